@@ -194,7 +194,7 @@ def test_mixing_meets_targets(spark):
     assert Counter(mixed_words(spark, docs.repartition(7)).collect()) == Counter(got)
     pieces, _ = mix(spark, docs)
     slots = pieces.select("slot", "s").distinct().orderBy("slot").collect()
-    assert [r.slot for r in slots] == list(range(len(slots)))  # no slot twice, none empty
+    assert len({r.slot for r in slots}) == len(slots)  # no slot goes to two sources
     half = Counter(r.s for r in slots[: len(slots) // 2])
     whole = Counter(r.s for r in slots)
     assert all(abs(half[s] - whole[s] / 2) <= 6 for s in whole)  # even along the mix

@@ -40,15 +40,20 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranked, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r; null where a side is constant (corr would divide by zero)."""
+    return F.try_divide(F.covar_pop(x, y), F.when(F.stddev_pop(x) > 1e-12, F.stddev_pop(x)) * F.when(F.stddev_pop(y) > 1e-12, F.stddev_pop(y)))
+
+
 def depth_norm_correlation(rows: DataFrame) -> DataFrame:
     """One row for rows(depth, norm): pearson (0 where a side is constant), slope and intercept of norm on depth."""
-    r = F.when((F.stddev_pop("depth") > 1e-12) & (F.stddev_pop("norm") > 1e-12), F.corr("depth", "norm")).otherwise(0.0)
-    return rows.agg(F.count("*").alias("n"), r.alias("pearson"), F.regr_slope("norm", "depth").alias("slope"), F.regr_intercept("norm", "depth").alias("intercept"))
+    slope = F.try_divide(F.covar_pop("depth", "norm"), F.var_pop("depth"))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(correlation("depth", "norm"), F.lit(0.0)).alias("pearson"), slope.alias("slope"), (F.avg("norm") - slope * F.avg("depth")).alias("intercept"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     both = average_ranks(average_ranks(rows.select(x, y), x, "_rx"), y, "_ry")
-    return both.agg(F.corr("_rx", "_ry").alias("spearman"))
+    return both.agg(correlation("_rx", "_ry").alias("spearman"))
 
 
 def norm_by_depth(rows: DataFrame) -> DataFrame:

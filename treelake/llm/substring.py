@@ -105,13 +105,16 @@ def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "w1 long, w2 long, doc long")
 
 
-def _removed(words: list[bytes], gone, window: int, memo: dict[bytes, int]):
-    """A flag for each word: whether one of the windows named in `gone` covers it."""
+def _removed(words: list[bytes], gone, whole: bool, window: int, memo: dict[bytes, int]):
+    """A flag for each word: whether one of the windows named in `gone` covers it (all, for a whole copy)."""
     import numpy as np
 
     n = len(words)
-    if gone is None or not len(gone) or n < window:
+    if n < window or not (whole or gone.is_valid and len(gone)):
         return np.zeros(n, bool)
+    if whole:
+        return np.ones(n, bool)
+    gone = gone.values.to_numpy(zero_copy_only=False)
     w1 = _rolling(_word_hashes(words, memo), window, BASES[0]).view(np.int64)
     starts = np.nonzero(np.isin(w1, gone))[0]
     edge = np.zeros(n + 1, np.int64)
@@ -121,25 +124,32 @@ def _removed(words: list[bytes], gone, window: int, memo: dict[bytes, int]):
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(doc, gone): for each doc the hashes of its windows that also start in a document with a smaller doc.
+    """(doc, gone, whole): for each doc the hashes of its windows that also start in a document with a smaller doc.
 
-    docs(doc, text). 1: count in how many documents each anchor occurs. Two runs of 50 equal words
+    docs(doc, text). 0: a doc whose text, word for word the same, a smaller doc has (in each of its rows) is `whole`: all
+    its windows are repeats, and none is the first; it needs no windows of its own. 1: count in how many documents each anchor occurs. Two runs of 50 equal words
     share an anchor at the same shift, as the cover has a shift at which both start on a cover
     position; so unshared anchors can go. 2: the shared ones, by document. 3: extend them to all windows
     that hold one, and compare these whole (128 bits of hash). Sums run partly before each shuffle, so
     a passage in a third of all documents costs a row a task; joins are on tables that Spark can split.
     """
+    texts = scratch.save(docs.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")), "texts")
+    owner = scratch.save(texts.groupBy("t1", "t2").agg(F.min("doc").alias("owner")), "owner")
+    copies = texts.join(owner, ["t1", "t2"]).groupBy("doc").agg(F.bool_and(F.col("owner") < F.col("doc")).alias("whole"))
+    copies = scratch.save(copies.where("whole"), "copies")
     hot = scratch.save(_anchors(docs, window).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     scratch.release()
-    shared = scratch.save(_anchors(docs, window).join(hot, "h").groupBy("doc").agg(F.collect_set("h").alias("shared")), "shared")
+    shared = scratch.save(_anchors(docs, window).join(hot, "h").join(copies, "doc", "left_anti").groupBy("doc").agg(F.collect_set("h").alias("shared")), "shared")
     scratch.release()
     windows = scratch.save(_candidate_windows(docs.join(shared, "doc"), window), "windows")
     scratch.release()
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     first = scratch.save(first.where("first < last").select("w1", "w2", "first"), "first")
+    scratch.release()
     late = windows.join(first, ["w1", "w2"]).where("first < doc")
-    gone = scratch.save(late.groupBy("doc").agg(F.collect_set("w1").alias("gone")), "gone")
-    for name in ("anchors", "shared", "windows", "first"):
+    gone = late.groupBy("doc").agg(F.collect_set("w1").alias("gone")).withColumn("whole", F.lit(False))
+    gone = scratch.save(gone.unionByName(copies.select("doc", F.lit(None).cast("array<long>").alias("gone"), "whole")), "gone")
+    for name in ("texts", "owner", "copies", "anchors", "shared", "windows", "first"):
         scratch.drop(name)
     scratch.release()
     return gone
@@ -167,9 +177,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> Da
         memo: dict[bytes, int] = {}
         for b in batches:
             n_words, n_removed, sha, kept_text = [], [], [], []
-            for text, gone in zip(texts_of(b), b.column("gone")):
+            for text, gone, whole in zip(texts_of(b), b.column("gone"), b.column("whole").to_pylist()):
                 words = text.split() if text else []
-                cut = _removed(words, gone.values.to_numpy(zero_copy_only=False) if gone.is_valid else None, window, memo)
+                cut = _removed(words, gone, whole, window, memo)
                 total = int(cut.sum())
                 kept = b" ".join([w for w, x in zip(words, cut) if not x] if total else words)
                 n_words.append(len(words))
@@ -181,7 +191,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> Da
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    joined = base.join(gone, "doc", "left").select("doc_id", "text", "gone")
+    joined = base.join(gone, "doc", "left").select("doc_id", "text", "gone", "whole")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -193,7 +203,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
     scratch = Scratch(spark, "cut")
     base = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)))
     gone = repeated_windows(spark, base.select(F.col("_doc").alias("doc"), "text"), window, scratch)
-    joined = base.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "_doc", "left").drop("_doc")
+    joined = base.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"), F.col("whole").alias("_whole")), "_doc", "left").drop("_doc")
     fields = docs.schema
 
     def run(batches: Iterator) -> Iterator:
@@ -202,9 +212,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
         memo: dict[bytes, int] = {}
         for b in batches:
             texts, keep = [], []
-            for text, gone in zip(texts_of(b), b.column("_gone")):
-                words = text.split() if text and gone.is_valid else []
-                cut = _removed(words, gone.values.to_numpy(zero_copy_only=False) if gone.is_valid else None, window, memo)
+            for text, gone, whole in zip(texts_of(b), b.column("_gone"), b.column("_whole").to_pylist()):
+                words = text.split() if text and whole is not None else []
+                cut = _removed(words, gone, whole, window, memo)
                 if cut.any():
                     kept = [w for w, x in zip(words, cut) if not x]
                     texts.append(b" ".join(kept).decode("utf-8", "replace"))

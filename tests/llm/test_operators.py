@@ -328,8 +328,8 @@ def test_leaks_match_brute_force(spark):
         for t in terms:
             for p in range(index.post_at[t], index.post_at[t + 1]):
                 full[index.post_item[p]] += index.post_impact[p]
-        found = index.search(terms, 0.2)
-        assert [i for i, _ in found] == [i for i in range(len(full)) if full[i] >= 0.2 - 1e-12] or np.isclose(full, 0.2).any()
+        found = index.search(np.zeros(len(terms), int), terms, 1, 0.2)
+        assert [i for _, i, _ in found] == [i for i in range(len(full)) if full[i] >= 0.2 - 1e-12] or np.isclose(full, 0.2).any()
 
 
 def test_pipeline_keeps_clean_documents(spark):

@@ -74,59 +74,69 @@ class Index:
         self.block_at = np.searchsorted(term[first] if len(rows) else term, np.arange(len(self.terms) + 1))
         self.n_blocks = n // block + 1
         self.bound = np.maximum.reduceat(self.post_impact, self.post_at[:-1]) if len(rows) else np.zeros(0)
-        # terms in a quarter of the blocks or more: counted once each in the first bound
-        self.common = np.diff(self.block_at) * 4 >= self.n_blocks if len(rows) else np.zeros(0, bool)
-        self.first_bound = np.where(self.common, 0.0, self.bound)
-        self.common_sum = float(self.bound[self.common].sum())
         self.parts = [question_and_answer(t) for _, t in self.items]
 
     @staticmethod
     def _gather(at, terms):
-        """Places of the entries of all the terms' lists."""
+        """Places of the entries of all the terms' lists, and for each which of the terms it belongs to."""
         import numpy as np
 
         low, n = at[terms], at[terms + 1] - at[terms]
         ends = np.cumsum(n)
-        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + n, n)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + n, n), np.repeat(np.arange(len(terms)), n)
 
-    def search(self, terms, threshold: float) -> list[tuple[int, float]]:
-        """(item place, score) of all items that a passage of these distinct terms scores at the threshold or above."""
+    def search(self, passage, term, n: int, threshold: float) -> list[tuple[int, int, float]]:
+        """(passage, item place, score) of all items that score at the threshold or above for one of n passages.
+
+        passage, term: the distinct terms of each passage, as pairs. A passage whose terms' highest
+        impacts together stay below the threshold is skipped, and so is every block whose maxima do.
+        """
         import numpy as np
 
-        if self.bound[terms].sum() < threshold:  # not even the terms' highest impacts reach it
+        low = threshold - 1e-12
+        keep = (np.bincount(passage, self.bound[term], n) >= low)[passage]
+        passage, term = passage[keep], term[keep]
+        if not len(term):
             return []
-        e = self._gather(self.block_at, terms)
-        upper = np.bincount(self.block_no[e], self.block_max[e], self.n_blocks)
-        viable = upper >= threshold - 1e-12  # blocks whose maxima can reach it; the others are skipped whole
-        if not viable.any():
+        e, of = self._gather(self.block_at, term)
+        upper = np.bincount(passage[of] * self.n_blocks + self.block_no[e], self.block_max[e], n * self.n_blocks)
+        viable = upper >= low
+        keep = viable.reshape(n, -1).any(1)[passage]
+        passage, term = passage[keep], term[keep]
+        if not len(term):
             return []
-        p = self._gather(self.post_at, terms)
-        p = p[viable[self.post_item[p] // self.block]]
-        score = np.bincount(self.post_item[p], self.post_impact[p], len(self.items))
-        return [(int(i), float(score[i])) for i in np.nonzero(score >= threshold)[0]]
+        p, of = self._gather(self.post_at, term)
+        keep = viable[passage[of] * self.n_blocks + self.post_item[p] // self.block]
+        p, of = p[keep], of[keep]
+        key, back = np.unique(passage[of] * len(self.items) + self.post_item[p], return_inverse=True)
+        score = np.bincount(back, self.post_impact[p], len(key))
+        return [(int(k) // len(self.items), int(k) % len(self.items), float(x)) for k, x in zip(key, score) if x >= low]
 
-    def passages(self, words: list[str], threshold: float) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
-        """(start, end, hits) of each passage of a text that retrieves something.
+    def passages(self, words: list[str], threshold: float) -> Iterator[tuple[int, int, int, float]]:
+        """(start, end, item place, score) for each passage of a text and each item that it retrieves.
 
         Passages are twice as long as the longest item and start at every item length, so that an
-        item's words always lie whole in one. A passage whose words' bounds, rare terms with repeats
-        and common terms once, stay below the threshold is not searched.
+        item's words always lie whole in one. They are searched some at a time, in bounded memory.
         """
         import numpy as np
 
         if not words or not self.items:
             return
-        step, n, get = max(self.longest, 16), len(words), self.terms.get
+        step, size, get = max(self.longest, 16), len(self.terms), self.terms.get
         ids = np.array([get(w, -1) for w in words], np.int64)
-        bound = np.where(ids >= 0, self.first_bound[ids], 0.0)
-        sums = np.concatenate([[0.0], np.cumsum(bound)])
-        starts = np.arange(0, max(1, n - step), step)
-        ends = np.minimum(starts + 2 * step, n)
-        for k in np.nonzero(sums[ends] - sums[starts] + self.common_sum >= threshold - 1e-9)[0]:
-            part = ids[starts[k] : ends[k]]
-            hits = self.search(np.unique(part[part >= 0]), threshold)
-            if hits:
-                yield int(starts[k]), int(ends[k]), hits
+        n = max(1, -(-len(words) // step) - 1)
+        at_once = max(1, min(256, (1 << 22) // self.n_blocks))
+        for first in range(0, n, at_once):
+            m = min(at_once, n - first)
+            part = ids[first * step : (first + m + 1) * step]
+            place = np.arange(len(part)) // step
+            known = part >= 0
+            # a word lies in the passage that starts in its stretch and in the one before
+            pairs = np.concatenate([place[known] * size + part[known], (place[known] - 1) * size + part[known]])
+            pairs = np.unique(pairs[(pairs >= 0) & (pairs < m * size)])
+            for k, item, score in self.search(pairs // size, pairs % size, m, threshold):
+                start = (first + k) * step
+                yield start, min(start + 2 * step, len(words)), item, score
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float]:
         """Shares of the question's and of the answer's five-word shingles that occur in a passage."""
@@ -177,11 +187,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
                 out = []
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                     words = words_of(text)
-                    for start, end, hits in index.passages(words, threshold):
-                        for item, score in hits:
-                            q, a = index.verify(item, words[start:end])
-                            if q >= similar and a >= similar:
-                                out.append((doc, index.items[item][0], score, q, a, start))
+                    for start, end, item, score in index.passages(words, threshold):
+                        q, a = index.verify(item, words[start:end])
+                        if q >= similar and a >= similar:
+                            out.append((doc, index.items[item][0], score, q, a, start))
                 yield as_batch(kinds, *([r[i] for r in out] for i in range(6)))
 
         return rows.mapInArrow(run, kinds)

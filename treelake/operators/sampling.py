@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import dense_index, saved
+
 
 def ticket(seed: int, *keys: Column) -> Column:
     """A portable pseudo-random text: md5 of the seed and the keys."""
@@ -64,8 +66,6 @@ def proportional_sample(df: DataFrame, by: str, size: int, seed: int, keys: list
 
 def batches(df: DataFrame, size: int, seed: int, keys: list[str]) -> DataFrame:
     """Adds batch: rows in hash order, `size` to a batch."""
-    from ..tables import dense_index
-
     mixed = df.withColumn("_t", ticket(seed, *[F.col(k) for k in keys]))
     return dense_index(mixed, ["_t", *keys], "_at").withColumn("batch", F.floor(F.col("_at") / size).cast("int")).drop("_t", "_at")
 
@@ -98,6 +98,7 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
     node is never its own negative (in a tree of one node there is none). positives(idx, negative_idx):
     pairs to leave out, if given.
     """
+    nodes = saved(nodes, "nodes")
     wanted = nodes.select(F.col("idx").alias("descendant_idx"), *[c for c in nodes.columns if c != "idx"], F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw_no"))
     found, low = None, 0
     for name, by, high in tiers:
@@ -105,9 +106,10 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
         hit = pool_negatives(part, nodes.select("idx", *by), by, seed, name)
         found, low = hit if found is None else found.unionByName(hit), high
     name, by, _ = tiers[-1]
+    found = saved(found, "negatives")  # read three times below
     left = wanted.join(found, ["descendant_idx", "draw_no"], "left_anti")
     again = pool_negatives(left.select("descendant_idx", "draw_no", *by), nodes.select("idx", *by), by, seed + 1, name)
-    found = found.unionByName(again)
+    found = found.unionByName(saved(again, "negatives"))
     size = nodes.agg(F.count("*").alias("n"))
     left = wanted.select("descendant_idx", "draw_no").join(found, ["descendant_idx", "draw_no"], "left_anti").join(F.broadcast(size), F.lit(True)).where("n > 1")
     # any node but itself: a step of 1 to n - 1 from its own index
@@ -121,8 +123,6 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
 
 def weighted_draws(weights: DataFrame, n: int, seed: int) -> DataFrame:
     """(draw_no, id): n draws with replacement from weights(id, weight), by inverting the cumulative weights."""
-    from ..tables import dense_index
-
     spark = weights.sparkSession
     indexed = dense_index(weights.where("weight > 0"), ["id"], "_i")
     # cumulative sums by blocks of 4096 rows, then within the block

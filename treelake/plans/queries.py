@@ -582,7 +582,8 @@ def _tiers_sql(tiers, k, seed):
         on = " AND ".join(f"p.{c} = w.{c}" for c in by)
         return f"""p_{name} AS (SELECT idx, {', '.join(by)}, row_number() OVER (PARTITION BY {', '.join(by)} ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY {', '.join(by)}) AS size FROM x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in by)}),
 s_{name} AS (SELECT DISTINCT {', '.join(by)}, size FROM p_{name}),
-h_{name} AS (SELECT w.idx AS descendant_idx, w.draw_no, p.idx AS negative_idx, '{label}' AS tier FROM {source} w JOIN s_{name} s ON {on.replace('p.', 's.')} JOIN p_{name} p ON {on} AND p.pos = {_DRAW(seed, 's.size', f"'{label}'", 'w.idx', 'w.draw_no')} WHERE {cond} AND p.idx <> w.idx)"""
+d_{name} AS MATERIALIZED (SELECT w.idx, w.draw_no, {', '.join('w.' + c for c in by)}, {_DRAW(seed, 's.size', f"'{label}'", 'w.idx', 'w.draw_no')} AS pos FROM {source} w JOIN s_{name} s ON {on.replace('p.', 's.')} WHERE {cond}),
+h_{name} AS MATERIALIZED (SELECT w.idx AS descendant_idx, w.draw_no, p.idx AS negative_idx, '{label}' AS tier FROM d_{name} w JOIN p_{name} p ON {on} AND p.pos = w.pos WHERE p.idx <> w.idx)"""
 
     for name, by, high in tiers:
         parts.append(hit(name, name, by, seed, "want", f"w.draw_no > {low} AND w.draw_no <= {high}"))

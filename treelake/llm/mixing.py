@@ -46,7 +46,7 @@ def _running(rows: DataFrame, keys: list[str], part: str, order: list, amount: s
     return rows.join(base, cond).withColumn(out, F.col("_base") + F.col("_own")).drop("_own", "_base", "_part", *[f"_{k}" for k in keys])
 
 
-def source_targets(spark: SparkSession, sized: DataFrame, share: float, scratch: Scratch, most_sources: int = 10_000) -> DataFrame:
+def source_targets(spark: SparkSession, sized: DataFrame, share: float, scratch: Scratch, most_sources: int = 1_000_000) -> DataFrame:
     """(s int, source, source_size, target) of each source of sized(source, size), by code point, null last."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rows = sums.limit(most_sources + 1).collect()  # one row a source
@@ -78,14 +78,14 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int, scratch: Scrat
     point = F.expr(f"pmod(cast(id as decimal(18,0)) * cast('{GOLDEN}' as decimal(19,0)), cast('{1 << 63}' as decimal(19,0)))")
     at_block = F.floor(point.cast("double") / float(1 << 63) * total).cast("long")
     slots = spark.range(total).select(F.col("id").alias("slot"), (F.col("id") / chunk).cast("long").alias("chunk"), F.least(at_block, F.lit(total - 1)).alias("point"))
-    # cumulative weights as a sorted array (one number a source), searched by halves
-    highs, names = F.lit([h for _, h in edges]), F.lit([s for s, _ in edges])
-    slots, step = slots.withColumn("_i", F.lit(0)), 1 << len(edges).bit_length()
-    while step:
-        probe = F.get(highs, (F.col("_i") + (step - 1)).cast("int"))
-        slots = slots.withColumn("_i", F.when(F.coalesce(probe <= F.col("point"), F.lit(False)), F.col("_i") + step).otherwise(F.col("_i")))
-        step >>= 1
-    slots = slots.select("slot", "chunk", F.get(names, F.col("_i")).alias("s"))
+    # cumulative weights, cut into equal cells: a point meets the few sources whose stretch touches its cell
+    width, cells, low = -(-total // (4 * len(edges))), [], 0
+    for s, high in edges:
+        cells += [(c, low, high, s) for c in range(low // width, (high - 1) // width + 1)]
+        low = high
+    lookup = F.broadcast(spark.createDataFrame(cells, "cell long, low long, high long, s int"))  # at most 5 rows a source
+    slots = slots.withColumn("cell", F.expr(f"point div {width}")).join(lookup, "cell")
+    slots = slots.where("point >= low and point < high").select("slot", "chunk", "s")
     ranked = _running(slots.withColumn("one", F.lit(1)), ["s"], "chunk", [F.col("slot")], "one", "rank").select("slot", "s", F.col("rank").cast("long").alias("rank"))
     ranked = scratch.save(ranked, "ranked")
     needs = spark.createDataFrame(need, "s int, need long")
@@ -97,7 +97,7 @@ def schedule(spark: SparkSession, targets: DataFrame, block: int, scratch: Scrat
     return kept.unionByName(tail)
 
 
-def mix(spark: SparkSession, docs: DataFrame, share: float = 1.5, block: int = 512, ranges: int = 256, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def mix(spark: SparkSession, docs: DataFrame, share: float = 1.5, block: int = 512, ranges: int = 4096, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """The mix of docs(doc_id, text, source): (pieces, sized).
 
     sized: (s, doc_id, size, at, source_size, target) for every row, `at` being the place of its first

@@ -20,10 +20,46 @@ def norm_stats(emb: DataFrame) -> DataFrame:
     return norms(emb).agg(F.count("*").alias("n"), F.min(n).alias("least"), F.avg(n).alias("mean"), F.max(n).alias("most"), F.count_if(n >= 1).alias("outside"), F.count_if(n > 0.9).alias("above_90"), F.count_if(n > 0.95).alias("above_95"))
 
 
+def percentiles(rows: DataFrame, column: str, at) -> DataFrame:
+    """(p, value) by linear interpolation: exact, by place in the sorted order, so that no task holds all values."""
+    from ..tables import dense_index
+
+    placed = dense_index(rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), ["v"], "i", "long")
+    n = placed.agg(F.count("*").alias("n"))
+    want = n.where("n > 0").select(F.explode(F.array(*[F.lit(float(x)) for x in at])).alias("p"), "n").withColumn("x", F.col("p") * (F.col("n") - 1))
+    ends = want.select("p", "x", F.explode(F.array(F.floor("x"), F.ceil("x"))).alias("i"))
+    hit = placed.join(F.broadcast(ends.distinct()), "i")  # two rows a percentile
+    share = F.col("x") - F.floor("x")
+    return hit.groupBy("p", "x").agg(F.min("v").alias("low"), F.max("v").alias("high")).select("p", (F.col("low") + share * (F.col("high") - F.col("low"))).alias("value"))
+
+
 def norm_percentiles(emb: DataFrame, at=(0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)) -> DataFrame:
-    """(p, value) by linear interpolation."""
-    p = norms(emb).agg(F.percentile("norm", F.array(*[F.lit(float(x)) for x in at])).alias("v"))
-    return p.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*[F.lit(float(x)) for x in at]), "i").alias("p"), "value")
+    return percentiles(norms(emb), "norm", at)
+
+
+def dimension_variances(emb: DataFrame) -> DataFrame:
+    """(dim, mean, variance): population variance of each coordinate."""
+    return emb.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
+
+
+def trained_summary(emb: DataFrame, used: DataFrame) -> DataFrame:
+    """(trained, n, mean_norm, max_norm): vectors whose idx occurs in used(idx), and the others."""
+    flag = norms(emb).join(used.select("idx").distinct().withColumn("trained", F.lit(True)), "idx", "left")
+    return flag.groupBy(F.coalesce("trained", F.lit(False)).alias("trained")).agg(F.count("*").alias("n"), F.avg("norm").alias("mean_norm"), F.max("norm").alias("max_norm"))
+
+
+def compare_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta): norms of two checkpoints side by side."""
+    names = ("least", "mean", "most", "outside", "above_90", "above_95")
+    one = lambda e, name: norm_stats(e).select(F.explode(F.create_map(*[y for x in names for y in (F.lit(x), F.col(x).cast("double"))])).alias("metric", name))
+    return one(before, "before").join(one(after, "after"), "metric").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def backfilled_depths(mapping: DataFrame, pair_depths: DataFrame, tree_depths: DataFrame, deepest: int) -> DataFrame:
+    """(idx, depth, origin): the depth from the pairs, else from the tree by taxid, else the deepest level."""
+    a = mapping.join(pair_depths.select("idx", F.col("depth").alias("d1")), "idx", "left").join(tree_depths.select("taxid", F.col("depth").alias("d2")), "taxid", "left")
+    origin = F.when(F.col("d1").isNotNull(), "pairs").when(F.col("d2").isNotNull(), "tree").otherwise("default")
+    return a.select("idx", F.coalesce("d1", "d2", F.lit(deepest)).cast("int").alias("depth"), origin.alias("origin"))
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -182,8 +218,8 @@ def distance_histogram(emb: DataFrame, label: str, width: float = 0.25, bins: in
     return distance_sums(emb, label, width=width, bins=bins).select("same", "bin", "n")
 
 
-def group_distances(rows: DataFrame, group: str, within: int = 20, across: int = 10, cap: int = 100, least: int = 10, seed: int = 1) -> DataFrame:
-    """One row: intra and inter means by bounded pairs, as for reports: at most `cap` rows of each group with
+def group_pairs(rows: DataFrame, group: str, within: int = 20, across: int = 10, cap: int = 100, least: int = 10, seed: int = 1) -> DataFrame:
+    """(same, d): distances of bounded pairs, as for reports: at most `cap` rows of each group with
     `least` or more; each row meets the next `within` - 1 of its group, each group's first row those of the
     next `across` - 1 groups."""
     from .sampling import capped_sample
@@ -197,9 +233,20 @@ def group_distances(rows: DataFrame, group: str, within: int = 20, across: int =
     near = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("b.i") > F.col("a.i")) & (F.col("b.i") < F.col("a.i") + within)).select(F.lit(True).alias("same"), d.alias("d"))
     heads = s.where("i = 1").select((F.explode(F.sequence(F.col("g") + 1, F.col("g") + across - 1))).alias("to"), "vec", "g")
     far = heads.alias("a").join(s.where("i = 1").alias("b"), F.col("a.to") == F.col("b.g")).select(F.lit(False).alias("same"), d.alias("d"))
-    both = near.unionByName(far)
+    return near.unionByName(far)
+
+
+def group_distances(pairs: DataFrame) -> DataFrame:
+    """One row for pairs(same, d): means, deviations, their ratio, and the share of intra distances above the median inter one."""
+    both = pairs
     intra, inter = F.when(F.col("same"), F.col("d")), F.when(~F.col("same"), F.col("d"))
-    return both.agg(F.count(intra).alias("n_intra"), F.count(inter).alias("n_inter"), F.avg(intra).alias("mean_intra"), F.avg(inter).alias("mean_inter"), F.stddev_pop(intra).alias("std_intra"), F.stddev_pop(inter).alias("std_inter"), (F.avg(inter) / F.avg(intra)).alias("ratio"))
+    return both.agg(F.count(intra).alias("n_intra"), F.count(inter).alias("n_inter"), F.avg(intra).alias("mean_intra"), F.avg(inter).alias("mean_inter"), F.stddev_pop(intra).alias("std_intra"), F.stddev_pop(inter).alias("std_inter"), F.try_divide(F.avg(inter), F.avg(intra)).alias("ratio"))
+
+
+def overlap_share(pairs: DataFrame) -> DataFrame:
+    """One row for pairs(same, d): the percentage of intra distances above the median of the inter distances."""
+    middle = percentiles(pairs.where(~F.col("same")), "d", [0.5]).select(F.col("value").alias("median"))
+    return pairs.where("same").join(F.broadcast(middle), F.lit(True)).agg(F.max("median").alias("median"), (100 * F.avg((F.col("d") > F.col("median")).cast("double"))).alias("overlap_pct"))
 
 
 def reconstruction(adjacent: DataFrame, emb: DataFrame) -> DataFrame:

@@ -437,6 +437,51 @@ def norm_percentiles(spark, sf_dir):
     return M.norm_percentiles(scaled_vectors(spark, sf_dir)).select("p", _r(F.col("value"), "value"))
 
 
+@query(f"{EMB}, x AS (SELECT unnest(vec) AS x, unnest(range(64)) AS dim FROM emb) SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM x GROUP BY dim")
+def dimension_variances(spark, sf_dir):
+    return M.dimension_variances(scaled_vectors(spark, sf_dir)).select("dim", _r(F.col("mean"), "mean"), _r(F.col("variance"), "variance"))
+
+
+@query(f"{EMB} SELECT idx % 3 = 0 AS trained, count(*) AS n, round(avg(norm), 6) AS mean_norm, round(max(norm), 6) AS max_norm FROM norms GROUP BY 1")
+def trained_summary(spark, sf_dir):
+    e = scaled_vectors(spark, sf_dir)
+    return M.trained_summary(e, e.where("idx % 3 = 0")).select("trained", "n", _r(F.col("mean_norm"), "mean_norm"), _r(F.col("max_norm"), "max_norm"))
+
+
+@query(f"{EMB}, m AS (SELECT avg(norm) AS a, avg(norm * 0.7 + 0.15) AS b, min(norm) AS c, min(norm * 0.7 + 0.15) AS d, max(norm) AS e, max(norm * 0.7 + 0.15) AS f FROM norms) SELECT metric, round(x, 6) AS before, round(y, 6) AS after, round(y - x, 6) AS delta FROM (SELECT 'mean' AS metric, a AS x, b AS y FROM m UNION ALL SELECT 'least', c, d FROM m UNION ALL SELECT 'most', e, f FROM m)")
+def checkpoint_comparison(spark, sf_dir):
+    e = scaled_vectors(spark, sf_dir)
+    after = e.withColumn("vec", V.radial_nudge(F.col("vec"), F.lit(0.5), 0.3))
+    return M.compare_vectors(e, after).where("metric in ('least', 'mean', 'most')").select("metric", *[_r(F.col(c), c) for c in ("before", "after", "delta")])
+
+
+@query(f"{PAIRED}, p AS (SELECT ancestor_idx AS idx, ancestor_depth AS depth FROM pairs WHERE depth_diff = 3 UNION SELECT descendant_idx, descendant_depth FROM pairs WHERE depth_diff = 3) SELECT m.idx, CAST(coalesce(p.depth, CASE WHEN m.taxid % 2 = 0 THEN d.depth END, 4) AS INTEGER) AS depth, CASE WHEN p.depth IS NOT NULL THEN 'pairs' WHEN m.taxid % 2 = 0 THEN 'tree' ELSE 'default' END AS origin FROM mapping m LEFT JOIN p ON p.idx = m.idx LEFT JOIN depths d ON d.taxid = m.taxid")
+def depth_backfill(spark, sf_dir):
+    _, paths, mapping, pairs = _geo_pairs(spark, sf_dir)
+    return M.backfilled_depths(mapping, P.depth_of_indices(pairs.where("depth_diff = 3")), paths.where("taxid % 2 = 0"), 4)
+
+
+_CAP = f"md5('1|' || CAST(idx AS VARCHAR))"
+GROUP_PAIRS = f"""WITH {VECTORS_SQL}, g AS (SELECT class, row_number() OVER (ORDER BY class) AS g FROM emb GROUP BY class HAVING count(*) >= 10),
+s AS (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY idx) AS i FROM (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY {_CAP}, idx) AS r FROM emb JOIN g USING (class)) WHERE r <= 40),
+two AS (SELECT true AS same, a.vec AS u, b.vec AS v FROM s a JOIN s b ON a.g = b.g AND b.i > a.i AND b.i < a.i + 20 UNION ALL SELECT false, a.vec, b.vec FROM s a JOIN s b ON a.i = 1 AND b.i = 1 AND b.g > a.g AND b.g < a.g + 10),
+d AS (SELECT same, acosh(1 + 2 * {_SQ} / ((1 - {_HU}) * (1 - {_HV}) + 1e-5) + 1e-5) AS d FROM two)"""
+
+
+def _group_pairs(spark, sf_dir):
+    return M.group_pairs(scaled_vectors(spark, sf_dir), "class", cap=40)
+
+
+@query(f"{GROUP_PAIRS} SELECT count(*) FILTER (same) AS n_intra, count(*) FILTER (NOT same) AS n_inter, round(avg(d) FILTER (same), 6) AS mean_intra, round(avg(d) FILTER (NOT same), 6) AS mean_inter, round(stddev_pop(d) FILTER (same), 6) AS std_intra, round(stddev_pop(d) FILTER (NOT same), 6) AS std_inter, round(avg(d) FILTER (NOT same) / avg(d) FILTER (same), 6) AS ratio FROM d")
+def group_distances(spark, sf_dir):
+    return M.group_distances(_group_pairs(spark, sf_dir)).select("n_intra", "n_inter", *[_r(F.col(c), c) for c in ("mean_intra", "mean_inter", "std_intra", "std_inter", "ratio")])
+
+
+@query(f"{GROUP_PAIRS}, m AS (SELECT median(d) AS m FROM d WHERE NOT same) SELECT round(max(m), 6) AS median, round(100 * avg(CASE WHEN d > m THEN 1.0 ELSE 0.0 END), 6) AS overlap_pct FROM d, m WHERE same")
+def distance_overlap(spark, sf_dir):
+    return M.overlap_share(_group_pairs(spark, sf_dir)).select(_r(F.col("median"), "median"), _r(F.col("overlap_pct"), "overlap_pct"))
+
+
 @query(f"{EMB} SELECT count(*) AS n, round(corr(depth, norm), 6) AS pearson, round(regr_slope(norm, depth), 6) AS slope, round(regr_intercept(norm, depth), 6) AS intercept FROM norms")
 def depth_norm_corr(spark, sf_dir):
     c = M.depth_norm_correlation(M.norms(scaled_vectors(spark, sf_dir)).select("depth", "norm"))

@@ -26,7 +26,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
+def dense_index(df: DataFrame, order: list[str], out: str, kind: str = "int") -> DataFrame:
     """Adds `out`: 0, 1, 2, ... in the order of the columns `order`, without one task for all rows.
 
     Rows are range-partitioned and numbered within their partition; the counts of the partitions (one
@@ -37,4 +37,4 @@ def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("_part", before.alias("_base")))
-    return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, (F.col("_base") + F.col("_own")).cast("int")).drop("_part", "_own", "_base")
+    return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, (F.col("_base") + F.col("_own")).cast(kind)).drop("_part", "_own", "_base")

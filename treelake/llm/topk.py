@@ -93,7 +93,7 @@ def exact_top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k:
     t = scratch.save(_tiles(vectors, tile, "tile"), "tiles")
     # every tile is dealt to the blocks of its dimension, ids alone, over 64 lanes; the matrices join by key
     blocks = q.select(F.col("block").alias("to"), "dim", F.pmod(F.xxhash64("block"), F.lit(64)).alias("lane"))
-    lanes = t.select("tile", "dim", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long").alias("lane"))
+    lanes = t.select("tile", "dim", F.explode(F.expr("sequence(0L, 63L)")).alias("lane"))
     work = lanes.join(blocks, ["dim", "lane"]).select("tile", "to").repartition("tile", "to")
     work = work.join(t.select("tile", "ids", "matrix"), "tile").join(q.select(F.col("block").alias("to"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "to")
 

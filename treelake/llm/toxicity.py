@@ -13,8 +13,9 @@ from .scratch import Scratch, as_batch, held_out
 
 #: Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "", "#": "h"}
-#: Natural log costs of the channel: a letter written as a sign, a sign that is noise, a letter repeated.
-COST_SIGN, COST_NOISE, COST_REPEAT, COST_SPACE = 2.0, 2.5, 1.0, 3.0
+#: Natural log costs of the channel: a letter written as a sign, a sign between letters that stands for none (of those that can
+#: stand for a letter, and of others), a letter repeated, a word end between lone letters.
+COST_SIGN, COST_NOISE, COST_MARK, COST_REPEAT, COST_SPACE = 2.0, 7.0, 1.0, 1.0, 3.0
 CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -84,7 +85,7 @@ class Restorer:
                 steps.append([(c, 0.0), (c + c, 0.0 if run == 2 else COST_REPEAT)] if run > 2 else [(c * run, 0.0)])
             else:
                 own = LEET.get(c, "")
-                steps.append([("", COST_NOISE)] + [(x * min(run, 2), COST_SIGN) for x in own] + ([(x, COST_SIGN + COST_REPEAT) for x in own] if run > 1 else []))
+                steps.append([("", COST_NOISE if own else COST_MARK)] + [(x * min(run, 2), COST_SIGN) for x in own] + ([(x, COST_SIGN + COST_REPEAT) for x in own] if run > 1 else []))
             i = j
         cost, beam = self.cost, {(0, 0): (0.0, "")}
         for options in [*steps, [(" ", 0.0)]]:

@@ -348,3 +348,20 @@ def test_pipeline_keeps_clean_documents(spark):
     assert names[1] >= groups - 3 and names[-1] > 0.6 * docs.count()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == names[-1] and set(out.columns) >= {"doc_id", "size", "source_size", "target", "taken"}
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, s string, word array<string>"
+    base = [(i, t, "en", "a", len(t), 1, "x", ["y"]) for i, t in enumerate(["the cat sat on the mat " * 3, "of all the things in the world", "and then there was light"])]
+    odd = [(10, None, None, None, None, None, None, None), (11, "", "en", "a", 0, 1, "", []), (None, "the cat and the hat", "en", None, 1, 1, "", []), (12, "of the", "en", "b", 6, 1, "", []), (12, "of the", "en", "b", 6, 1, "", [])]
+    for rows in ([], base + odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.schema.names == [x.split()[0] for x in schema.split(", ")], name
+        kept = docs.collect()
+        assert {r.doc_id for r in kept} == ({0, 1, 2, None, 12} if rows else set())
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert len(last) == len(kept) and all(0 <= r.taken <= 2 * r.size for r in last)

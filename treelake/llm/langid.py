@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,55 +10,66 @@ from pyspark.sql import functions as F
 
 from .scratch import as_batch, held_out
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+BUCKET_BITS = 15
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; digits, marks and signs part them."""
-    return LETTERS.findall(text.lower()) if text else []
+@lru_cache(1)
+def _letters():
+    """Whether each code point is a letter."""
+    import numpy as np
 
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
-@lru_cache(100_000)
-def subwords(word: str, buckets: int) -> tuple[int, ...]:
-    """Hash buckets of the word itself and of its character 1- to 4-grams, with its ends marked."""
-    from zlib import crc32
 
-    w = f"<{word[:64]}>" if len(word) <= 64 else None
-    if w is None:  # a very long run of letters: its pieces of 32 stand for it
-        return tuple(x for i in range(0, len(word), 32) for x in subwords(word[i : i + 32], buckets))
-    grams = [w] + [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return tuple(crc32(g.encode()) % buckets for g in grams)
+def subwords(text: str | None):
+    """Hash buckets of the 1- to 4-grams of characters of a text's words, as one array.
+
+    Words are runs of letters, lower-cased, with their two ends marked. Empty without a letter.
+    """
+    import numpy as np
+
+    code = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+    letter = _letters()[code]
+    if not letter.any():
+        return np.zeros(0, np.int64)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # one mark after each word
+    c = np.concatenate([[0], np.where(letter, code, 0)[keep], [0]]).astype(np.uint32)
+    end, x, g, out = c == 0, c * np.uint32(0x9E3779B1), None, []
+    for n in range(1, 5):
+        g = x if g is None else g[:-1] * np.uint32(0x01000193) + x[n - 1 :]
+        inner = ~end if n == 1 else ~(end[:-1] & end[1:]) if n == 2 else ~end[1:-1] if n == 3 else ~(end[1:-2] | end[2:-1])
+        h = g[inner] + np.uint32(n)
+        out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS))
+    return np.concatenate(out).astype(np.int64)
 
 
 class LanguageModel:
     """label = softmax(temperature * (mean of subword embeddings @ weights + bias))."""
 
-    def __init__(self, labels: list[str], buckets: int = 1 << 15, dim: int = 16, seed: int = 4):
+    def __init__(self, labels: list[str], dim: int = 16, seed: int = 4):
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        self.labels, self.buckets = labels, buckets
-        self.embed = rng.normal(0, 0.1, (buckets, dim)).astype("float32")
+        self.labels = labels
+        self.embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype("float32")
         self.out = np.zeros((dim, len(labels)), "float32")
         self.bias = np.zeros(len(labels), "float32")
         self.temperature, self.threshold = 1.0, 0.0
 
-    def features(self, words: list[str]):
+    def features(self, text: str):
+        """The different buckets of a text and their shares."""
         import numpy as np
 
-        seen = Counter()
-        for w, n in Counter(words).items():
-            for b in subwords(w, self.buckets):
-                seen[b] += n
-        total = sum(seen.values())
-        return np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.float32, len(seen)) / max(total, 1)
+        index, n = np.unique(subwords(text), return_counts=True)
+        return index, (n / max(n.sum(), 1)).astype("float32")
 
     def logits(self, x):
         index, weight = x
         return (weight @ self.embed[index]) @ self.out + self.bias
 
-    def fit(self, examples: list[tuple[list[str], int]], epochs: int = 6, rate: float = 4.0, seed: int = 4) -> None:
+    def fit(self, examples: list[tuple[str, int]], epochs: int = 6, rate: float = 4.0, seed: int = 4) -> None:
         """Plain stochastic gradient descent, one example at a time, with a linearly falling rate.
 
         Each text is joined by a short stretch of itself, so that short texts are known as well.
@@ -69,11 +78,12 @@ class LanguageModel:
 
         rng = np.random.default_rng(seed)
         data = []
-        for words, y in examples:
-            data.append((self.features(words), y))
+        for text, y in examples:
+            data.append((self.features(text), y))
+            words = text.split()
             n = int(rng.integers(1, 13))
             at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            data.append((self.features(words[at : at + n]), y))
+            data.append((self.features(" ".join(words[at : at + n])), y))
         steps, done = epochs * len(data), 0
         for _ in range(epochs):
             for i in rng.permutation(len(data)):
@@ -90,7 +100,7 @@ class LanguageModel:
                 self.bias -= lr * 0.01 * g
                 self.embed[index] -= lr * weight[:, None] * back[None, :]
 
-    def calibrate(self, examples: list[tuple[list[str], int]], loss: float = 0.002, ceiling: float = 0.4) -> None:
+    def calibrate(self, examples: list[tuple[str, int]], loss: float = 0.002, ceiling: float = 0.4) -> None:
         """Pick the temperature of least log loss on held-back texts, then the rejection threshold.
 
         The threshold is the score below which a share `loss` of rightly labelled texts falls, and
@@ -100,7 +110,7 @@ class LanguageModel:
 
         if not examples:
             return
-        z = np.array([self.logits(self.features(w)) for w, _ in examples])
+        z = np.array([self.logits(self.features(t)) for t, _ in examples])
         y = np.array([t for _, t in examples])
 
         def log_loss(t):
@@ -115,29 +125,19 @@ class LanguageModel:
         self.threshold = min(ceiling, float(np.quantile(right, loss))) if len(right) else 0.0
 
     def scorer(self):
-        """A function text -> (label, score) with a bounded cache of what each word adds to the logits."""
+        """A function text -> (label, score). Embeddings and weights are multiplied out once, so a text costs one
+        table row a subword; very long texts go in pieces of a million characters."""
         import numpy as np
 
-        table, rows, sums, counts = self.embed @ self.out, {}, [], []
+        table, piece = self.embed @ self.out, 1 << 20
 
         def score(text: str | None) -> tuple[str, float]:
-            words = words_of(text)
-            if not words:
-                return UNKNOWN, 0.0
-            if len(rows) > 300_000:
-                rows.clear()
-                sums.clear()
-                counts.clear()
             z, n = np.zeros(len(self.labels)), 0
-            for w, k in Counter(words).items():
-                at = rows.get(w)
-                if at is None:
-                    index = list(subwords(w, self.buckets))
-                    at = rows[w] = len(sums)
-                    sums.append(table[index].sum(0, dtype="float64"))
-                    counts.append(len(index))
-                z += k * sums[at]
-                n += k * counts[at]
+            for begin in range(0, len(text or ""), piece):
+                index = subwords(text[begin : begin + piece])
+                z, n = z + table[index].sum(0, dtype="float64"), n + len(index)
+            if not n:
+                return UNKNOWN, 0.0
             z = (z / n + self.bias) * self.temperature
             p = np.exp(z - z.max())
             return self.labels[int(p.argmax())], float(p.max() / p.sum())
@@ -159,7 +159,7 @@ def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int =
     rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").limit(per_label * most_labels).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     labels = sorted({r.lang for r in rows})
-    examples = [(w, labels.index(r.lang)) for r in rows if (w := words_of(r.text))]
+    examples = [(r.text, labels.index(r.lang)) for r in rows if len(subwords(r.text))]
     model = LanguageModel(labels)
     if labels:
         model.fit([x for i, x in enumerate(examples) if i % 5])

@@ -365,3 +365,18 @@ def test_pipeline_stages_on_odd_tables(spark):
         assert {r.doc_id for r in kept} == ({0, 1, 2, None, 12} if rows else set())
         last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
         assert len(last) == len(kept) and all(0 <= r.taken <= 2 * r.size for r in last)
+
+
+def test_bounded_helpers(spark):
+    from treelake.llm.scratch import Scratch, commonest, first_by_hash
+
+    counts = spark.createDataFrame([(f"w{i}", i) for i in range(1, 1001)], "w string, n long")
+    top = sorted(r.n for r in commonest(counts, 300, Scratch(spark, "test")))
+    assert 200 < len(top) <= 300 and top == list(range(1001 - len(top), 1001))
+    assert commonest(counts.limit(0), 10, Scratch(spark, "test")) == []
+    ids = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).alias("k"))
+    got = first_by_hash(ids.unionByName(ids), "k", 100).collect()
+    by = {}
+    for r in ids.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect():
+        by.setdefault(r.k, []).append((r.h, r.doc_id))
+    assert sorted((r.k, r.doc_id) for r in got) == sorted((k, d) for k, v in by.items() for _, d in sorted(v)[:100])

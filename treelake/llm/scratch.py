@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that part words in every contract: space, and 0x09 to 0x0D.
@@ -49,6 +49,37 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def commonest(counts: DataFrame, keep: int, scratch: Scratch) -> list:
+    """At most `keep` rows of counts(..., n), those of the largest n, on the driver.
+
+    A histogram of n (eight classes for each doubling, so a few hundred rows) gives the least class that
+    fits; every row of that class or above is taken. No task sorts or sends more than it is asked for.
+    """
+    counts = scratch.save(counts, "counts").withColumn("_class", F.floor(8 * F.log2(F.col("n").cast("double"))))
+    sizes = counts.groupBy("_class").agg(F.count("*").alias("k")).collect()
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r["_class"]):
+        total += r.k
+        if total > keep:
+            break
+        least = r["_class"]
+    return [] if least is None else counts.where(F.col("_class") >= least).drop("_class").collect()
+
+
+def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
+    """(doc_id, by): of each value of `by` the n different ids of least hash.
+
+    A count of each value tells below which hash twice as many are to be expected; only these are
+    ranked, so the work of a task doesn't grow with the table.
+    """
+    ids = ids.select("doc_id", by).distinct()
+    counts = ids.groupBy(by).agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = ids.join(counts, by).withColumn("_h", place).where(F.col("_h") < F.lit(float(1 << 40)) * (2 * n + 100) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).select("doc_id", by)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

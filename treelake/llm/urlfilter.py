@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, ascii_lower
+from .scratch import Scratch, as_batch, ascii_lower, commonest
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (
@@ -74,13 +74,12 @@ class Segmenter:
         return out
 
 
-def word_counts(pages: DataFrame, keep: int) -> list[tuple[str, int]]:
+def word_counts(pages: DataFrame, keep: int, scratch: Scratch) -> list[tuple[str, int]]:
     """The commonest words of the pages' texts and urls, for the segmenter; at most `keep`."""
     text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
     both = F.lower(F.concat_ws(" ", F.col("url").cast("string"), text))
     words = pages.select(F.explode(F.split(both, r"[^\p{L}]+")).alias("w")).where("length(w) between 1 and 24")
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(keep)
-    return [(r.w, r.n) for r in top.collect()]
+    return [(r.w, r.n) for r in commonest(words.groupBy("w").agg(F.count("*").alias("n")), keep, scratch)]
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, words: int = 50_000, features: int = 100_000) -> DataFrame:
@@ -98,7 +97,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, words: int =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = scratch.save(rows.select("*", rule.alias("rule"), verdict.alias("by_rule")), "rows")
-    counts_b = spark.sparkContext.broadcast(dict(word_counts(pages, words)))
+    counts_b = spark.sparkContext.broadcast(dict(word_counts(pages, words, scratch)))
 
     def learn(batches: Iterator) -> Iterator:
         cut, seen = Segmenter(counts_b.value), {}
@@ -118,7 +117,7 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, words: int =
     prior = {r.by_rule: r.n for r in rows.where("by_rule is not null").groupBy("by_rule").agg(F.count("*").alias("n")).collect()}
     learned = ruled.mapInArrow(learn, kinds).groupBy("token").pivot("label", ["allow", "block"]).agg(F.sum("n"))
     learned = learned.select("token", F.coalesce("allow", F.lit(0)).alias("a"), F.coalesce("block", F.lit(0)).alias("b"))
-    table = learned.orderBy((F.col("a") + F.col("b")).desc(), "token").limit(features).collect()
+    table = commonest(learned.withColumn("n", F.col("a") + F.col("b")), features, Scratch(spark, "features"))
     total_a, total_b, size = sum(r.a for r in table), sum(r.b for r in table), len(table) + 1
     odds = {r.token: math.log((r.b + 1) / (total_b + size)) - math.log((r.a + 1) / (total_a + size)) for r in table}
     model_b = spark.sparkContext.broadcast((odds, math.log((total_a + size) / (total_b + size)), math.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1)), bool(prior.get("allow") and prior.get("block"))))

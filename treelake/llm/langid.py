@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch, held_out
+from .scratch import as_batch, first_by_hash, held_out
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -153,9 +153,7 @@ def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int =
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
-    picked = picked.select("doc_id", "lang").distinct().limit(per_label * most_labels)
+    picked = first_by_hash(known, "lang", per_label).limit(per_label * most_labels)
     rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").limit(per_label * most_labels).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     labels = sorted({r.lang for r in rows})

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch
+from .scratch import Scratch, as_batch, commonest
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer files.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,7 +65,7 @@ class Lengths:
         return n
 
 
-def frequent_pre_tokens(docs: DataFrame, model_b, keep: int, per_task: int) -> list[str]:
+def frequent_pre_tokens(docs: DataFrame, model_b, keep: int, per_task: int, scratch: Scratch) -> list[str]:
     """The commonest pre-tokens of all texts. Each task keeps a summary of bounded size (space saving by halves)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -81,7 +81,7 @@ def frequent_pre_tokens(docs: DataFrame, model_b, keep: int, per_task: int) -> l
         yield as_batch("pre string, n long", [x for x, _ in top], [n for _, n in top])
 
     counts = docs.select("text").mapInArrow(run, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-    return [r.pre for r in counts.orderBy(F.desc("n"), "pre").limit(keep).collect()]
+    return [r.pre for r in commonest(counts, keep, scratch)]
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None, limit: int = 1024, keep: int = 32_768, per_task: int = 8_192) -> DataFrame:
@@ -99,7 +99,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
     model = tokenizer_file(path)
     model_b = sc.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = frequent_pre_tokens(texts, model_b, keep, per_task)
+    common = frequent_pre_tokens(texts, model_b, keep, per_task, Scratch(spark, "tokens"))
     lengths = Lengths(model, {})
     table_b = sc.broadcast({pre: lengths.whole(pre) for pre in common})
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, held_out
+from .scratch import Scratch, as_batch, first_by_hash, held_out
 
 #: Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "", "#": "h"}
@@ -221,8 +221,7 @@ def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame
     chars_b = spark.sparkContext.broadcast(chars)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for t in (0, 1)]
-    picked = F.broadcast(ids[0].unionByName(ids[1]))  # at most 2 * per_label rows
+    picked = F.broadcast(first_by_hash(marked, "toxic", per_label))  # at most 2 * per_label rows
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").limit(4 * per_label)
 
     def run(batches: Iterator) -> Iterator:

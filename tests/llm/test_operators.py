@@ -353,9 +353,10 @@ def test_pipeline_keeps_clean_documents(spark):
 def test_pipeline_stages_on_odd_tables(spark):
     import corpus_pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, s string, word array<string>"
-    base = [(i, t, "en", "a", len(t), 1, "x", ["y"]) for i, t in enumerate(["the cat sat on the mat " * 3, "of all the things in the world", "and then there was light"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, s string, word array<string>, _gone long, _doc string, _whole boolean"
+    base = [(i, t, "en", "a", len(t), 1, "x", ["y"], i, "d", True) for i, t in enumerate(["the cat sat on the mat " * 3, "of all the things in the world", "and then there was light"])]
     odd = [(10, None, None, None, None, None, None, None), (11, "", "en", "a", 0, 1, "", []), (None, "the cat and the hat", "en", None, 1, 1, "", []), (12, "of the", "en", "b", 6, 1, "", []), (12, "of the", "en", "b", 6, 1, "", [])]
+    odd = [(*x, 12, None, False) for x in odd]
     for rows in ([], base + odd):
         docs = spark.createDataFrame(rows, schema)
         for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch
+from .scratch import as_batch, unused
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
@@ -207,5 +207,6 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; rows without a doc_id stay."""
-    gone = find_leaks(spark, docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    key = unused(docs, "_gone")
+    gone = find_leaks(spark, docs, benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

@@ -80,6 +80,14 @@ def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     return near.withColumn("_rank", rank).where(F.col("_rank") <= n).select("doc_id", by)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

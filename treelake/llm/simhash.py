@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, texts_of
+from .scratch import Scratch, texts_of, unused
 
 SHINGLE, SEED, BITS = 3, 42, 64
 
@@ -166,5 +166,6 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id can't be told apart and stay. Of rows that repeat a doc_id, all stay or all go.
     """
-    gone = simhash_components(spark, docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    key = unused(docs, "_gone")
+    gone = simhash_components(spark, docs).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import MAX_LONG, Scratch, texts_of
+from .scratch import MAX_LONG, Scratch, texts_of, unused
 
 #: A perfect difference cover: every residue modulo 31 is the difference of two of these.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -201,9 +201,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
     n_chars, where there is one, is counted anew for texts that changed.
     """
     scratch = Scratch(spark, "cut")
-    base = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)))
-    gone = repeated_windows(spark, base.select(F.col("_doc").alias("doc"), "text"), window, scratch)
-    joined = base.join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"), F.col("whole").alias("_whole")), "_doc", "left").drop("_doc")
+    key, cut, all_ = (unused(docs, x) for x in ("_doc", "_gone", "_whole"))
+    base = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)))
+    gone = repeated_windows(spark, base.select(F.col(key).alias("doc"), "text"), window, scratch)
+    joined = base.join(gone.select(F.col("doc").alias(key), F.col("gone").alias(cut), F.col("whole").alias(all_)), key, "left").drop(key)
     fields = docs.schema
 
     def run(batches: Iterator) -> Iterator:
@@ -212,11 +213,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
         memo: dict[bytes, int] = {}
         for b in batches:
             texts, keep = [], []
-            for text, gone, whole in zip(texts_of(b), b.column("_gone"), b.column("_whole").to_pylist()):
+            for text, gone, whole in zip(texts_of(b), b.column(cut), b.column(all_).to_pylist()):
                 words = text.split() if text and whole is not None else []
-                cut = _removed(words, gone, whole, window, memo)
-                if cut.any():
-                    kept = [w for w, x in zip(words, cut) if not x]
+                flags = _removed(words, gone, whole, window, memo)
+                if flags.any():
+                    kept = [w for w, x in zip(words, flags) if not x]
                     texts.append(b" ".join(kept).decode("utf-8", "replace"))
                     keep.append(bool(kept))
                 else:

@@ -74,6 +74,9 @@ def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     """
     ids = ids.select("doc_id", by).distinct()
     counts = ids.groupBy(by).agg(F.count("*").alias("_n"))
+    rows = counts.limit(10_001).collect()
+    if len(rows) <= 10_000:  # else the join deals all ids by value, which many values allow
+        counts = F.broadcast(ids.sparkSession.createDataFrame(rows, counts.schema))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     near = ids.join(counts, by).withColumn("_h", place).where(F.col("_h") < F.lit(float(1 << 40)) * (2 * n + 100) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", "doc_id"))

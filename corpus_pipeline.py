@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from treelake.llm.decontam import drop_leaks
 from treelake.llm.langid import keep_known_languages
 from treelake.llm.mixing import mixed_words
+from treelake.llm.neardup import keep_one_per_group
 from treelake.llm.scratch import Scratch
-from treelake.llm.simhash import keep_one_per_group
 from treelake.llm.substring import cut_repeats
 
 
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
     return keep_one_per_group(spark, docs)
 
 

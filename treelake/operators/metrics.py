@@ -249,19 +249,47 @@ def overlap_share(pairs: DataFrame) -> DataFrame:
     return pairs.where("same").join(F.broadcast(middle), F.lit(True)).agg(F.max("median").alias("median"), (100 * F.avg((F.col("d") > F.col("median")).cast("double"))).alias("overlap_pct"))
 
 
-def reconstruction(adjacent: DataFrame, emb: DataFrame) -> DataFrame:
+def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int = 1024) -> DataFrame:
     """(source, n, mean_rank, ap) for adjacent(source, target): the rank of each target among the non-targets by distance.
 
     A target's rank is 1 + the non-targets that are nearer; the average precision runs over the targets in
-    order. Every source meets every vector, as the measure asks.
+    order; ties go to the smaller idx. Every source meets every vector: each pair of tiles is one block of
+    distances, in which each link counts the vectors nearer than its target; the counts are summed.
     """
-    pairs = adjacent.select("source").distinct().join(emb.select(F.col("idx").alias("source"), F.col("vec").alias("sv")), "source")
-    all_ = pairs.join(emb.select(F.col("idx").alias("target"), F.col("vec").alias("tv")), F.col("source") != F.col("target"))
-    scored = all_.select("source", "target", V.poincare_distance(F.col("sv"), F.col("tv"), "clamped").alias("d"))
-    hit = adjacent.select("source", "target").distinct().withColumn("hit", F.lit(1))
-    flag = scored.join(hit, ["source", "target"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    w = Window.partitionBy("source").orderBy("d", "target")
-    seen = flag.select("source", "hit", F.row_number().over(w).alias("place"), F.sum("hit").over(w).alias("found")).where("hit = 1")
+    tiles = _packed(emb, tile, None)
+    hit = adjacent.where("source <> target").select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
+    where = tiles.select("tile", F.explode("rows").alias("r")).select(F.col("r.idx").alias("idx"), F.col("tile"), F.col("r.vec").alias("vec"))
+    sources = hit.join(where.select(F.col("idx").alias("source"), F.col("tile").alias("a")), "source")
+    links = sources.join(where.select(F.col("idx").alias("target"), F.col("vec").alias("tv")), "target")
+    links = links.withColumn("part", F.pmod(F.xxhash64("source", "target"), F.lit(16)))  # at most a sixteenth of a tile's links in a row
+    links = links.groupBy("a", "part").agg(F.collect_list(F.struct("source", "target", "tv")).alias("links"))
+    work = links.join(tiles.select(F.col("tile").alias("a"), F.col("rows").alias("a_rows")), "a")
+    work = work.join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("b_rows")), F.lit(True)).repartition("a", "b", "part")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for pairs, a, b in zip(*(batch.column(c).to_pylist() for c in ("links", "a_rows", "b_rows"))):
+                own, bi, bv = {r["idx"]: r["vec"] for r in a}, np.array([r["idx"] for r in b]), np.array([r["vec"] for r in b])
+                of, out = {}, []
+                for x in pairs:
+                    of.setdefault(x["source"], []).append(x)
+                for source, mine in of.items():
+                    v = np.array([own[source]])
+                    d = _poincare_block(v, bv, True)[0]
+                    other = bi != source
+                    order = np.lexsort((bi[other], d[other]))
+                    di, ii = d[other][order], bi[other][order]
+                    t, td = np.array([x["target"] for x in mine]), _poincare_block(v, np.array([x["tv"] for x in mine]), True)[0]
+                    low, high = np.searchsorted(di, td, "left"), np.searchsorted(di, td, "right")
+                    nearer = [m + int((ii[m:n] < k).sum()) for m, n, k in zip(low.tolist(), high.tolist(), t)]
+                    out += [(source, int(k), n) for k, n in zip(t, nearer)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["source", "target", "nearer"])
+
+    place = work.mapInArrow(run, "source long, target long, nearer long").groupBy("source", "target").agg((1 + F.sum("nearer")).alias("place"))
+    seen = place.withColumn("found", F.row_number().over(Window.partitionBy("source").orderBy("place", "target")))  # a source's own links
     return seen.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("place") - F.col("found") + 1).alias("mean_rank"), F.avg(F.col("found") / F.col("place")).alias("ap"))
 
 

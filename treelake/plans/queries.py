@@ -549,6 +549,14 @@ def reconstruction_map(spark, sf_dir):
     return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
 
 
+@query(None)
+def reconstruction_map_all(spark, sf_dir):
+    """The whole job: every vector is a source, and linked to all others of its class. reconstruction_map is the part that its SQL covers."""
+    e = scaled_vectors(spark, sf_dir)
+    near = e.select(F.col("idx").alias("source"), "class").join(e.select(F.col("idx").alias("target"), "class"), "class").where("source <> target").select("source", "target")
+    return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
+
+
 @query(f"{EMB}, x AS (SELECT idx, unnest(vec) AS v, unnest(range(64)) AS k FROM emb), c AS (SELECT a.k AS i, b.k AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b ON a.idx = b.idx GROUP BY a.k, b.k) SELECT (SELECT count(*) FROM emb) AS n, round(pow(sum(CASE WHEN i = j THEN c END), 2) / sum(c * c), 6) AS participation_ratio FROM c")
 def participation_ratio(spark, sf_dir):
     return M.participation_ratio(scaled_vectors(spark, sf_dir)).select("n", _r(F.col("participation_ratio"), "participation_ratio"))

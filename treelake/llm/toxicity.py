@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,14 @@ from .scratch import Scratch, as_batch, first_by_hash, held_out
 
 #: Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "", "#": "h"}
-#: Natural log costs of the channel: a letter written as a sign, a sign between letters that stands for none (of those that can
-#: stand for a letter, and of others), a letter repeated, a word end between lone letters.
-COST_SIGN, COST_NOISE, COST_MARK, COST_REPEAT, COST_SPACE = 2.0, 7.0, 1.0, 1.0, 3.0
+#: Natural log costs of the channel: a letter written as a sign; a sign that stands for none, of those that can stand for a
+#: letter, and of others; the former as punctuation around a plain word, and after one that holds signs inside; a letter
+#: repeated; a double letter that was one; a word end between lone letters.
+COST_SIGN, COST_NOISE, COST_MARK, COST_EDGE, COST_RIM, COST_REPEAT, COST_DOUBLE, COST_SPACE = 2.0, 12.0, 1.0, 0.5, 6.0, 1.0, 6.0, 3.0
 CLASSES = 28  # 0: between words, 1-26: a-z, 27: any other letter
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+TWICE = re.compile(r"([^\W\d_])\1")
+PUNCTUATION = "!|+(*#"
 
 
 def _class(c: str) -> int:
@@ -67,28 +70,50 @@ def char_counts(spark: SparkSession, docs: DataFrame):
     return counts
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each run of one character of a lower-cased token: what it may stand for, and at which cost.
+
+    Letters stay, but a letter in a row may have been one or two. Signs and digits stand for letters or for none.
+    Punctuation at an edge is cheaply nothing around a plain word; the signs of a token without any letter are letters.
+    """
+    runs, i = [], 0
+    while i < len(token):
+        j = i
+        while j < len(token) and token[j] == token[i]:
+            j += 1
+        runs.append((token[i], j - i))
+        i = j
+    lettered = any(LETTER.match(c) for c, _ in runs)
+    plain = lettered and all(LETTER.match(c) or c not in LEET for c, _ in runs[1:-1])
+    out = []
+    for at, (c, n) in enumerate(runs):
+        edge = at in (0, len(runs) - 1)
+        if LETTER.match(c):
+            out.append([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, COST_DOUBLE)] if n == 2 else [(c, 0.0), (c + c, COST_REPEAT)])
+            continue
+        own = LEET.get(c, "")
+        if not own:
+            out.append([("", COST_MARK)])
+            continue
+        signs = [(x * min(n, 2), COST_SIGN) for x in own] + ([(x, COST_SIGN + (COST_DOUBLE if n == 2 else COST_REPEAT)) for x in own] if n > 1 else [])
+        none = COST_EDGE if edge and plain else COST_RIM if at == len(runs) - 1 and c in PUNCTUATION or c == "(" else COST_NOISE if lettered else None
+        out.append(signs if none is None else [("", none), *signs])
+    return out
+
+
 class Restorer:
     """Undoes leetspeak, letters set apart and letters repeated."""
 
     def __init__(self, model: CharModel):
         self.cost, self.memo = model.cost, {}
 
-    def decode(self, token: str, spaced: bool = False) -> list[str]:
-        """Viterbi over the token's lattice; states are the last two letter classes."""
-        steps, i = [], 0
-        while i < len(token):
-            j = i
-            while j < len(token) and token[j] == token[i]:
-                j += 1
-            c, run = token[i], j - i
-            if LETTER.match(c):
-                steps.append([(c, 0.0), (c + c, 0.0 if run == 2 else COST_REPEAT)] if run > 2 else [(c * run, 0.0)])
-            else:
-                own = LEET.get(c, "")
-                steps.append([("", COST_NOISE if own else COST_MARK)] + [(x * min(run, 2), COST_SIGN) for x in own] + ([(x, COST_SIGN + COST_REPEAT) for x in own] if run > 1 else []))
-            i = j
-        cost, beam = self.cost, {(0, 0): (0.0, "")}
-        for options in [*steps, [(" ", 0.0)]]:
+    def decode(self, steps: Iterable[list[tuple[str, float]]], spaced: bool = False) -> Iterator[str]:
+        """The words of the cheapest path through a lattice of any length: Viterbi, states are the last two letter classes.
+
+        What all paths of the beam share at their beginning is decided and leaves the beam, so its texts stay short.
+        """
+        cost, beam, rest = self.cost, {(0, 0): (0.0, "")}, ""
+        for n, options in enumerate(chain(steps, [[(" ", 0.0)]]), 1):
             after: dict = {}
             for (p, q), (total, text) in beam.items():
                 starts = [(p, q, total, text)]
@@ -104,7 +129,12 @@ class Restorer:
                         if (a, b) not in after or t < after[a, b][0]:
                             after[a, b] = (t, s0 + out)
             beam = after
-        return min(beam.values())[1].split()
+            if not n % 256:
+                sure = len(commonprefix([text for _, text in beam.values()]))
+                *whole, rest = (rest + next(iter(beam.values()))[1][:sure]).split(" ")
+                yield from filter(None, whole)
+                beam = {k: (t, text[sure:]) for k, (t, text) in beam.items()}
+        yield from (rest + min(beam.values())[1]).split()
 
     def word(self, token: str) -> tuple[str, ...]:
         """The restored words of one lower-cased token."""
@@ -112,23 +142,21 @@ class Restorer:
         if known is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            known = self.memo[token] = self._word(token)
+            known = self._word(token)
+            if len(token) <= 256:
+                self.memo[token] = known
         return known
 
     def _word(self, token: str) -> tuple[str, ...]:
-        core = EDGE.sub("", token)
-        if not core or not LETTER.search(core):
-            return ()
-        left = token.find(core)
-        tail, head = token[left + len(core) :], token[:left]
-        # one sign at an edge may stand for a letter; longer runs there, and dots and the like, are punctuation
-        if len(tail) == 1 and tail in "$@€£":
-            core += tail
-        if len(head) == 1 and head in "$@€£":
-            core = head + core
-        if core.isalpha() and not TRIPLE.search(core):
-            return (core,)
-        return tuple(self.decode(core[:64])) if len(core) <= 64 else tuple(re.findall(r"[^\W\d_]+", core))
+        low, high = 0, len(token)
+        while low < high and not token[low].isalnum() and token[low] not in LEET:  # never a letter
+            low += 1
+        while low < high and not token[high - 1].isalnum() and token[high - 1] not in LEET:
+            high -= 1
+        core = token[low:high]
+        if not core or core.isalpha() and not TWICE.search(core):
+            return (core,) if core else ()
+        return tuple(self.decode(lattice(core)))
 
     def words(self, text: str | None) -> set[str]:
         """The set of restored words of a whole text; lone letters in a row are read as words set apart."""
@@ -142,26 +170,18 @@ class Restorer:
                 if len(t) == 1 and (t.isalnum() or t in LEET):
                     apart.append(t)
                     continue
-                if apart:
-                    found.update(self._apart(apart))
-                    apart = []
+                if len(apart) >= 3 and len(set(apart)) >= 2:
+                    found.update(self.decode(lattice("".join(apart)), spaced=True))
+                apart = []
         for t in set(tokens):
             known = memo.get(t)
             found.update(self.word(t) if known is None else known)
         return found
 
-    def _apart(self, letters: list[str]) -> list[str]:
-        if len(letters) < 3 or len(set(letters)) < 2:
-            return []
-        out = []
-        for at in range(0, len(letters), 48):
-            out += self.decode("".join(letters[max(0, at - 12) : at + 48]), spaced=True)
-        return out
-
 
 def word_features(word: str) -> list[str]:
     """The word itself, and its first four, five and six letters."""
-    return ["=" + word[:32]] + ["^" + word[:n] for n in (4, 5, 6) if len(word) >= n]
+    return ["=" + word] + ["^" + word[:n] for n in (4, 5, 6) if len(word) >= n]
 
 
 class ToxicityModel:
@@ -209,12 +229,13 @@ def fit_weights(sample: list[tuple[list[int], int]], n_features: int, prior: flo
     return w, b
 
 
-def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = 2_000, features: int = 4_096, least: int = 3) -> ToxicityModel:
+def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = 2_000, features: int = 65_536, least: int = 3) -> ToxicityModel:
     """Fit the scorer. The character model counts all documents; labels come from a bounded sample.
 
     The sample: of documents whose crc32(doc_id as text) mod 5 is not 0, at most `per_label` of each
-    label, the first by a hash of doc_id. Features in at least `least` toxic documents whose share among
-    toxic documents is ten times that among the others are kept, the `features` strongest of them.
+    label, the first by a hash of doc_id; of an id in several rows the least text. Features in at least `least`
+    toxic documents whose share among toxic documents is ten times that among the others are kept, the
+    `features` strongest of them: with per_label and least, a bound of the classifier, not of what it reads.
     """
     counts = char_counts(spark, docs)
     chars = CharModel(counts)
@@ -222,7 +243,8 @@ def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 5, 0))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = F.broadcast(first_by_hash(marked, "toxic", per_label))  # at most 2 * per_label rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").limit(4 * per_label)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(64, "doc_id")  # decoded in many tasks
 
     def run(batches: Iterator) -> Iterator:
         restore = Restorer(chars_b.value)
@@ -251,7 +273,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
     score is the probability of toxicity of the restored text; predicted is 1 from 0.5 on. Null and
     empty texts get the score of a text without any feature. With labels of one kind alone, or none,
-    every score is that kind's share. Rows without a doc_id count as held out. labels(doc_id,
+    every score is that kind's share. Tokens are decoded whole, whatever their length. Rows without a doc_id count as held out. labels(doc_id,
     toxic): rows with nulls or other values are no labels; an id marked twice counts as toxic if
     either mark is. lang, source and further columns are not read. Repeated rows come back as given.
     """

@@ -163,7 +163,7 @@ def test_token_counts_match_the_library(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     texts += [None, "", " ", "\n\n  x", "a<|endoftext|>b", "don't we'll I'M", "x\x1c\x1dy\u3000z", "日本語 emoji 😀😀", "tab\t\t end  ", "१२३ ½ ²", "w" * 5000, "é\u0301 n\u0303", "ab " * 400_000]
-    got = token_counts(spark, frame(spark, [(i, x, "", "") for i, x in enumerate(texts)]), keep=50, per_task=100).collect()
+    got = token_counts(spark, frame(spark, [(i, x, "", "") for i, x in enumerate(texts)])).collect()
     for r in got:
         x = texts[r.doc_id] or ""
         n = len(t.encode(x, add_special_tokens=False))
@@ -233,7 +233,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_url_parts_rules_and_words(spark):
-    from treelake.llm.urlfilter import Segmenter, judge_urls
+    from treelake.llm.urlfilter import judge_urls
 
     urls = ["http://WWW.Example.com/en/x", "https://a.example.com/en/1", "http://example.com/de/", "http://net/es/", "http://x.net/FR/", "http://x.net/fr/a?q", "http://com", "http://com/", "http://xcom/", None, "no scheme", "", "a://b://c/d", "http://h?x://y", "http://ÀÉ.NET/es/#f"] + [f"http://casinowin{i}.example.org/en/{i}" for i in range(5)]
     pages = spark.createDataFrame([(i, u, "casino win" * 3, 1) for i, u in enumerate(urls)], "page_id long, url string, html string, host int")
@@ -246,7 +246,6 @@ def test_url_parts_rules_and_words(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, max(fits)[1] if fits else None)
         assert got[i].verdict == max(fits)[2] if fits else got[i].verdict in ("allow", "block")
-    assert Segmenter({"casino": 9, "win": 5, "cas": 1}).split("casinowin") == ("casino", "win")
     assert judge_urls(spark, pages.limit(0)).count() == 0
 
 
@@ -369,12 +368,8 @@ def test_pipeline_stages_on_odd_tables(spark):
 
 
 def test_bounded_helpers(spark):
-    from treelake.llm.scratch import Scratch, commonest, first_by_hash
+    from treelake.llm.scratch import first_by_hash
 
-    counts = spark.createDataFrame([(f"w{i}", i) for i in range(1, 1001)], "w string, n long")
-    top = sorted(r.n for r in commonest(counts, 300, Scratch(spark, "test")))
-    assert 200 < len(top) <= 300 and top == list(range(1001 - len(top), 1001))
-    assert commonest(counts.limit(0), 10, Scratch(spark, "test")) == []
     ids = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).alias("k"))
     got = first_by_hash(ids.unionByName(ids), "k", 100).collect()
     by = {}

@@ -49,23 +49,6 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def commonest(counts: DataFrame, keep: int, scratch: Scratch) -> list:
-    """At most `keep` rows of counts(..., n), those of the largest n, on the driver.
-
-    A histogram of n (eight classes for each doubling, so a few hundred rows) gives the least class that
-    fits; every row of that class or above is taken. No task sorts or sends more than it is asked for.
-    """
-    counts = scratch.save(counts, "counts").withColumn("_class", F.floor(8 * F.log2(F.col("n").cast("double"))))
-    sizes = counts.groupBy("_class").agg(F.count("*").alias("k")).collect()
-    least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["_class"]):
-        total += r.k
-        if total > keep:
-            break
-        least = r["_class"]
-    return [] if least is None else counts.where(F.col("_class") >= least).drop("_class").collect()
-
-
 def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     """(doc_id, by): of each value of `by` the n different ids of least hash.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, commonest
+from .scratch import as_batch
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer files.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -24,6 +25,14 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
+def refuse_other_splits(model: str) -> None:
+    """Raise unless the file's pre-tokenizer is the byte-level one with its own pattern and nothing rewrites texts before it."""
+    spec = json.loads(model)
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("this tokenizer splits texts in another way than PRE_TOKEN")
+
+
 class Lengths:
     """Token counts of texts in one worker: the shared table first, then a bounded cache, then the tokenizer."""
 
@@ -65,49 +74,43 @@ class Lengths:
         return n
 
 
-def frequent_pre_tokens(docs: DataFrame, model_b, keep: int, per_task: int, scratch: Scratch) -> list[str]:
-    """The commonest pre-tokens of all texts. Each task keeps a summary of bounded size (space saving by halves)."""
+def vocabulary_lengths(model: str) -> dict[str, int]:
+    """Lengths of those entries of the tokenizer's vocabulary that are pre-tokens: what was frequent where it was trained."""
+    at = Lengths(model, {})
+    entries = at.tokenizer.decode_batch([[i] for i in at.tokenizer.get_vocab().values()], skip_special_tokens=False)
+    whole = [x for x in set(entries) if x and at.is_plain(x) and at.find.fullmatch(x)]
+    return dict(zip(whole, map(len, at.tokenizer.encode_batch(whole, add_special_tokens=False))))
 
-    def run(batches: Iterator) -> Iterator:
-        at = Lengths(model_b.value, {})
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                if text and at.is_plain(text):
-                    seen.update(at.find.findall(text) if len(text) <= 1 << 20 else (m[0] for m in at.find.finditer(text)))
-                if len(seen) > 8 * per_task:
-                    seen = Counter(dict(seen.most_common(4 * per_task)))
-        top = seen.most_common(per_task)
-        yield as_batch("pre string, n long", [x for x, _ in top], [n for _, n in top])
 
-    counts = docs.select("text").mapInArrow(run, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-    return [r.pre for r in commonest(counts, keep, scratch)]
+@lru_cache(2)
+def _worker(model: str) -> Lengths:
+    """One tokenizer and one cache for all tasks of a worker."""
+    return Lengths(model, {})
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None, limit: int = 1024, keep: int = 32_768, per_task: int = 8_192) -> DataFrame:
+def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text, ...).
 
     n_tokens is what the tokenizer at `path` gives for the whole text, without added special tokens;
     special strings in a text count as the library reads them by default. Null and empty texts have 0
-    bytes and 0 tokens. Null doc_ids and repeated rows come back as given; further columns are not read.
+    bytes and 0 tokens; texts of any length are read whole. Null doc_ids and repeated rows come back as
+    given; further columns are not read. A tokenizer that doesn't split texts as PRE_TOKEN does is refused.
 
-    Tier one is a broadcast table of the lengths of the `keep` commonest pre-tokens of the whole corpus
-    (`keep` bounds it); tier two is each worker's own cache of the rest. Only the summaries of tier
-    one's counting pass are shuffled. The table decides the speed, never the result.
+    Tier one is a broadcast table of the lengths of the vocabulary's own entries, which bounds it; tier
+    two is each worker's own cache of the rest. Nothing is shuffled. The tables decide the speed, never the result.
     """
-    sc = spark.sparkContext
     model = tokenizer_file(path)
-    model_b = sc.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    common = frequent_pre_tokens(texts, model_b, keep, per_task, Scratch(spark, "tokens"))
-    lengths = Lengths(model, {})
-    table_b = sc.broadcast({pre: lengths.whole(pre) for pre in common})
+    refuse_other_splits(model)
+    tier_b = spark.sparkContext.broadcast((model, vocabulary_lengths(model)))
 
     def run(batches: Iterator) -> Iterator:
-        at = Lengths(model_b.value, table_b.value)
+        model, table = tier_b.value
+        at = _worker(model)
+        at.frequent = table
         for b in batches:
             yield as_batch(kinds, b.column("doc_id"), b.column("n_bytes"), [at.count(t) for t in b.column("text").to_pylist()])
 
     kinds = "doc_id long, n_bytes long, n_tokens long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text").mapInArrow(run, kinds)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where the session names none."""
+    """The folder of `spark.checkpoint.dir`. A temporary one stands in only where all executors are this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="treelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one, as a whole address; it goes when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/treelake/{name}-{uuid.uuid4().hex[:12]}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    whole = store.makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/treelake/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{new_folder(spark, name)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

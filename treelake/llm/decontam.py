@@ -6,11 +6,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch, unused
+from .scratch import Scratch, as_batch, store_of, unused
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
@@ -38,41 +39,39 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """An inverted index of one shard of the items.
+    """An inverted index of one shard of the items, under statistics of all of them.
 
     Impacts are BM25 term scores as a share of the item's score for its own text, so one threshold
     fits all items. Items are ordered by their first word and lie in blocks; for each term the index
-    keeps its highest impact in all items, in each block, and the postings.
+    keeps its highest impact in all items, in each block, and the postings. df: in how many of all `n` items
+    each term is; mean, longest: words of an item, of all items.
     """
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 8, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, longest: int, block: int = 8, k1: float = 1.2, b: float = 0.75):
         import numpy as np
 
-        kept = sorted(((i, t, w) for i, t in items if (w := words_of(t))), key=lambda x: (x[2], x[0]))
+        kept = sorted(((i, t, words_of(t)) for i, t in items), key=lambda x: (x[2], x[0]))
         self.items = [(i, t) for i, t, _ in kept]
-        self.block, n = block, len(kept)
-        self.longest = max((len(w) for _, _, w in kept), default=0)
-        mean = sum(len(w) for _, _, w in kept) / max(n, 1)
-        df = Counter(t for _, _, w in kept for t in set(w))
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
+        self.block, self.longest = block, longest
+        self.terms = {t: k for k, t in enumerate(sorted({t for _, _, w in kept for t in w}))}
         rows: list[tuple[int, int, float]] = []
         for at, (_, _, w) in enumerate(kept):
-            tf = Counter(w)
-            raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in tf.items()}
-            own = sum(raw.values())
-            rows += [(self.terms[t], at, x / own) for t, x in raw.items()]
+            tf = sorted(Counter(w).items())
+            raw = [(t, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean))) for t, c in tf]
+            own = math.fsum(x for _, x in raw)
+            rows += [(self.terms[t], at, x / own) for t, x in raw]
         rows.sort()
         term = np.array([r[0] for r in rows], np.int64)
         self.post_item = np.array([r[1] for r in rows], np.int64)
         self.post_impact = np.array([r[2] for r in rows], np.float64)
         self.post_at = np.searchsorted(term, np.arange(len(self.terms) + 1))
         # block maxima, in the same layout
-        key = term * (n // block + 1) + self.post_item // block
+        self.n_blocks = len(kept) // block + 1
+        key = term * self.n_blocks + self.post_item // block
         first = np.nonzero(np.diff(key, prepend=-1))[0]
         self.block_max = np.maximum.reduceat(self.post_impact, first) if len(rows) else np.zeros(0)
         self.block_no = self.post_item[first] // block if len(rows) else np.zeros(0, np.int64)
         self.block_at = np.searchsorted(term[first] if len(rows) else term, np.arange(len(self.terms) + 1))
-        self.n_blocks = n // block + 1
         self.bound = np.maximum.reduceat(self.post_impact, self.post_at[:-1]) if len(rows) else np.zeros(0)
         self.parts = [question_and_answer(t) for _, t in self.items]
 
@@ -89,7 +88,8 @@ class Index:
         """(passage, item place, score) of all items that score at the threshold or above for one of n passages.
 
         passage, term: the distinct terms of each passage, as pairs. A passage whose terms' highest
-        impacts together stay below the threshold is skipped, and so is every block whose maxima do.
+        impacts together stay below the threshold is skipped, and so is every block whose maxima do: the
+        pivot test of block-max WAND, taken for the blocks of all passages at once instead of by moving cursors.
         """
         import numpy as np
 
@@ -151,18 +151,55 @@ class Index:
         return out[0], out[1]
 
 
-def index_shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[Index]:
-    """Indexes of bounded size over all items: each holds at most about `shard_bytes` of item text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    held, size = [], 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += len(r.text.encode("utf-8", "replace"))
-        if size >= shard_bytes:
-            yield Index(held)
-            held, size = [], 0
-    if held:
-        yield Index(held)
+def write_index(benchmark: DataFrame, shard_bytes: int, scratch: Scratch) -> int:
+    """Write the index of all items as shards of about `shard_bytes` of text each below the scratch folder; how many there are.
+
+    Counts of terms, items and lengths are of all items. Shards are built in tasks, each from its items and the
+    counts of its own terms.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+
+    def split(batches: Iterator) -> Iterator:
+        for b in batches:
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            yield as_batch(kinds, b.column("item_id"), b.column("text"), [sorted(set(w)) for w in words], [len(w) for w in words])
+
+    kinds = "item_id long, text string, terms array<string>, words long"
+    items = scratch.save(items.mapInArrow(split, kinds).where("words > 0"), "items")
+    one = items.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    if not one.n:
+        return 0
+    shards = -(-one.bytes // shard_bytes)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    terms = items.select("shard", F.explode("terms").alias("term"))
+    df = scratch.save(terms.groupBy("term").agg(F.count("*").alias("df")), "df")
+    own = terms.distinct().join(df, "term").select(F.col("shard").alias("asker"), "term", "df")
+
+    def build(items, own):
+        import pickle
+
+        import pandas as pd
+
+        index = Index(list(zip(items["item_id"].tolist(), items["text"])), dict(zip(own["term"], own["df"].tolist())), one.n, one.mean, one.longest)
+        return pd.DataFrame({"shard": items["shard"].iloc[:1], "index": [pickle.dumps(index)]})
+
+    built = items.select("shard", "item_id", "text").groupBy("shard").cogroup(own.groupBy("asker")).applyInPandas(build, "shard int, index binary")
+    built.write.partitionBy("shard").parquet(f"{scratch.path}/index")
+    return shards
+
+
+@lru_cache(2)
+def read_shard(folder: str, shard: int) -> Index | None:
+    """A shard of the index from the shared folder; None where no item fell to it."""
+    import pickle
+
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    store, top = store_of(f"{folder}/shard={shard}")
+    if store.get_file_info(top).type == fs.FileType.NotFound:
+        return None
+    return pickle.loads(pq.read_table(top, filesystem=store, columns=["index"]).column("index")[0].as_py())
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, similar: float = SIMILAR, shard_bytes: int = 8 << 20) -> DataFrame:
@@ -172,35 +209,30 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
     BM25 score or more are retrieved, and stand if `similar` or more of the five-word shingles of both
     question and answer occur in the passage. Of several passages the one of highest score is given, then
     the first. Items or texts that are null, empty or without words match nothing; null doc_ids match
-    as null; rows that repeat a doc_id count as one document. Further columns are not read.
+    as null; rows that repeat a doc_id count as one document; very long texts are searched some passages at a
+    time. Further columns are not read.
 
-    The index is broadcast in shards of at most `shard_bytes` of items; each shard is searched by all
-    documents in a pass of its own, so its size is bounded whatever the number of items.
+    The index lies in the shared folder in shards of about `shard_bytes` of items. Documents are read and
+    split once; each batch of them takes the shards one after the other, so a task holds one or two,
+    whatever the number of items. Shards decide the memory, never the result.
     """
+    scratch = Scratch(spark, "leaks")
+    shards, folder = write_index(benchmark, shard_bytes, scratch), f"{scratch.path}/index"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
 
-    def found_in(index_b) -> DataFrame:
-        def run(batches: Iterator) -> Iterator:
-            index = index_b.value
-            for b in batches:
-                out = []
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    words = words_of(text)
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            out, texts = [], list(zip(b.column("doc_id").to_pylist(), map(words_of, b.column("text").to_pylist())))
+            for index in filter(None, (read_shard(folder, k) for k in range(shards))):
+                for doc, words in texts:
                     for start, end, item, score in index.passages(words, threshold):
                         q, a = index.verify(item, words[start:end])
                         if q >= similar and a >= similar:
                             out.append((doc, index.items[item][0], score, q, a, start))
-                yield as_batch(kinds, *([r[i] for r in out] for i in range(6)))
-
-        return rows.mapInArrow(run, kinds)
+            yield as_batch(kinds, *([r[i] for r in out] for i in range(6)))
 
-    found = None
-    for index in index_shards(benchmark, shard_bytes):
-        one = found_in(spark.sparkContext.broadcast(index))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], kinds)
+    found = rows.mapInArrow(run, kinds)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("passage_start")).alias("at"), "question_overlap", "answer_overlap")).alias("m"))
     return best.select("doc_id", "item_id", "m.score", "m.question_overlap", "m.answer_overlap", (-F.col("m.at")).alias("passage_start"))
 

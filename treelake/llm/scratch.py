@@ -3,37 +3,29 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import new_folder
+
 #: The characters that part words in every contract: space, and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_LONG = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="treelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Scratch:
     """Parquet tables below one new folder of the shared directory.
 
     A table that is written and read again cuts the lineage like checkpoint(): after the loss of an
-    executor, later jobs read the files instead of running the earlier jobs anew.
+    executor, later jobs read the files instead of running the earlier jobs anew. The folder goes when the
+    driver ends, large tables of an operator before that.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_dir(spark).rstrip('/')}/treelake/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = new_folder(spark, name)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -66,6 +58,13 @@ def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     return near.withColumn("_rank", rank).where(F.col("_rank") <= n).select("doc_id", by)
 
 
+def store_of(address: str):
+    """A filesystem and a path for a whole address, as tasks reach it."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(address)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, texts_of
+from .scratch import Scratch, store_of, texts_of
 
 #: The skippable frame that carries a dictionary, as its first four bytes (little-endian).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -83,13 +83,6 @@ def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("the archive ends within a record")
 
 
-def _store(path: str):
-    """A filesystem and a path for a folder's address, as the workers reach it."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-
-
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, scratch: Scratch, dictionary_size: int = 32_768, samples: int = 256, roll: int = 64 << 20, level: int = 6) -> DataFrame:
     """Write a record for every row of pages(page_id, url, html) below `folder`; (path, records) of each archive.
 
@@ -109,7 +102,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, scratch:
         import zstandard
         from pyspark import TaskContext
 
-        store, top = _store(folder)
+        store, top = store_of(folder)
         store.create_dir(top, recursive=True)
         task, number, done = TaskContext.get(), 0, []
         held, size, n, out, packer, draft = [], 0, 0, None, None, ""
@@ -163,7 +156,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        store, _ = _store(folder)
+        store, _ = store_of(folder)
         number = lambda x: None if x in (None, "<urn:page:null>") else int(x[10:-1])
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

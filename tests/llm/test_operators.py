@@ -95,9 +95,9 @@ def test_top_k_matches_brute_force(spark):
     from treelake.llm.topk import exact_top_k, quantize
 
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").limit(160).collect()]
-    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, rows[0][1]), (903, None), (904, [float("nan")] * 64), (905, [None] + [0.1] * 63), (None, rows[1][1]), (906, [0.5])]
-    vectors = quantize(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, tile int"))
-    got = exact_top_k(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, tile=16, query_tile=3, fan_in=2).collect()
+    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, rows[0][1]), (903, None), (904, [float("nan")] * 64), (905, [None] + [0.1] * 63), (None, rows[1][1]), (906, [0.5]), (907, [-1e-20] * 64), (950, [-1e-20, 1e-20] * 32)]
+    vectors = quantize(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, tile int"))
+    got = exact_top_k(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, tile=16, query_tile=3, shard_bytes=16_000, fan_in=2).collect()
     sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q, v in sound:
@@ -105,6 +105,7 @@ def test_top_k_matches_brute_force(spark):
             best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert quantize(spark.createDataFrame([(1, [-1e-20, 0.0, 1e300, -1e300])], "vec_id long, embedding array<double>")).first().v == [-1.0, 0.0, 256e300, -256e300]
     empty = vectors.limit(0)
     assert exact_top_k(spark, empty, empty).count() == 0
 
@@ -317,8 +318,13 @@ def test_leaks_match_brute_force(spark):
                 want.add((d, i))
     assert {(r.doc_id, r.item_id) for r in got} == want and {(1000, 0), (1000, 902), (1001, 1), (1001, 2), (None, 5)} <= want
     assert find_leaks(spark, frame(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    small, large = ({tuple(r) for r in find_leaks(spark, frame(spark, [(d, t, "", "") for d, t in docs]), spark.createDataFrame([(*i, 0.5) for i in items], "item_id long, text string, score double"), shard_bytes=n).collect()} for n in (200, 8 << 20))
+    assert small == large == {tuple(r) for r in got}  # shards decide no column
     # block-max skipping gives what scoring every item gives
-    index, rng = Index([(i, x) for i, x in items if i is not None and x]), random.Random(6)
+    kept = [(i, x) for i, x in items if i is not None and x and words_of(x)]
+    lengths = [len(words_of(x)) for _, x in kept]
+    df = Counter(t for _, x in kept for t in set(words_of(x)))
+    index, rng = Index(kept, df, len(kept), sum(lengths) / len(kept), max(lengths)), random.Random(6)
     import numpy as np
 
     for _ in range(200):

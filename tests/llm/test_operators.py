@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -90,8 +91,6 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_top_k_matches_brute_force(spark):
-    import math
-
     from treelake.llm.topk import exact_top_k, quantize
 
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").limit(160).collect()]
@@ -116,13 +115,13 @@ def brute_repeats(rows, window=50):
         w = WORD.findall(t or "")
         for i in range(len(w) - window + 1):
             key = tuple(w[i : i + window])
-            first[key] = min(d, first.get(key, d))
+            first[key] = min(math.inf if d is None else d, first.get(key, math.inf))
     out = []
     for d, t in rows:
         w = WORD.findall(t or "")
         gone = set()
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < d:
+            if first[tuple(w[i : i + window])] < (math.inf if d is None else d):
                 gone.update(range(i, i + window))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
@@ -142,7 +141,7 @@ def test_substring_dedup_matches_brute_force(spark):
             at = rng.randint(0, len(w))
             w[at:at] = p
         rows.append((d, rng.choice([" ", "\n", "\t "]).join(w)))
-    rows += [(100, rows[7][1]), (101, rows[7][1]), (101, rows[9][1]), (102, None), (103, ""), (104, "z " * 400), (105, "z " * 300), (106, "z " * 49)]
+    rows += [(100, rows[7][1]), (101, rows[7][1]), (101, rows[9][1]), (102, None), (103, ""), (104, "z " * 400), (105, "z " * 300), (106, "z " * 49), (107, "solo " * 60), (107, "other " * 70), ((1 << 63) - 1, rows[5][1] + " end")]
     got = remove_repeats(spark, frame(spark, [(d, t, "l", "s", 1, "x") for d, t in rows], EMPTY + ", doc int, shared string")).collect()
     want = brute_repeats(rows)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(want)
@@ -150,6 +149,10 @@ def test_substring_dedup_matches_brute_force(spark):
     real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = remove_repeats(spark, frame(spark, [(d, t, "", "") for d, t in real])).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(brute_repeats(real))
+    # rows without an id come last, and many of them are no one row
+    lost = [(None, f"{rows[4][1]} tail {i % 50} " + "pad " * (i % 9)) for i in range(2000)] + [(None, "only nulls have this " * 20)] * 30
+    got = remove_repeats(spark, frame(spark, [(d, t, "l", "s") for d, t in rows + lost])).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(brute_repeats(rows + lost))
     cut = {r.doc_id: r.text for r in cut_repeats(spark, frame(spark, [(d, t, "l", "s") for d, t in rows if d < 101])).collect()}
     gone = {d for d, n, k, _ in want if n == k and n and d < 101}
     assert gone and not gone & set(cut) and all(d in cut for d, _, k, _ in want if d < 101 and not k)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import MAX_LONG, Scratch, texts_of, unused
+from .scratch import Scratch, texts_of, unused
 
 #: A perfect difference cover: every residue modulo 31 is the difference of two of these.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -50,30 +50,36 @@ def _at_cover(n: int):
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc): each hash of window - 30 words at a cover position, once for each document row."""
+    """(h, t1): each hash of window - 30 words at a cover position, once for each text; a task skips texts it has seen lately."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         memo: dict[bytes, int] = {}
+        seen: set[int] = set()
         for b in batches:
-            hs, ids = [], []
-            for doc, text in zip(b.column("doc").to_pylist(), texts_of(b)):
-                words = text.split() if text else []
+            hs, keys = [], []
+            for key, text in zip(b.column("t1").to_pylist(), texts_of(b)):
+                if not text or key in seen:
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add(key)
+                words = text.split()
                 if len(words) >= window:
                     a = _rolling(_word_hashes(words, memo), window - PERIOD + 1, BASES[0])
                     a = np.unique(a[_at_cover(len(a))])
                     hs.append(a.view(np.int64))
-                    ids.append(np.full(len(a), doc, np.int64))
+                    keys.append(np.full(len(a), key, np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], ["h", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(keys))], ["h", "t1"])
 
-    return docs.mapInArrow(run, "h long, doc long")
+    return docs.select("t1", "text").mapInArrow(run, "h long, t1 long")
 
 
 def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc): windows around the shared anchors of a document, once for each document row."""
+    """(w1, w2, doc, t1): windows around the shared anchors of a document, once for each row."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -81,8 +87,8 @@ def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
 
         memo: dict[bytes, int] = {}
         for b in batches:
-            out = []
-            for doc, text, shared in zip(b.column("doc").to_pylist(), texts_of(b), b.column("shared")):
+            out, rows = [], []
+            for row, (text, shared) in enumerate(zip(texts_of(b), b.column("shared"))):
                 words = text.split() if text else []
                 if len(words) < window:
                     continue
@@ -98,11 +104,13 @@ def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
                 if len(starts):
                     w1, w2 = (_rolling(h, window, x)[starts].view(np.int64) for x in BASES)
                     _, first = np.unique(w1, return_index=True)
-                    out.append((w1[first], w2[first], np.full(len(first), doc, np.int64)))
+                    out.append((w1[first], w2[first]))
+                    rows.append(np.full(len(first), row))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["w1", "w2", "doc"])
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in zip(*out)], b.column("doc").take(at), b.column("t1").take(at)], ["w1", "w2", "doc", "t1"])
 
-    return docs.mapInArrow(run, "w1 long, w2 long, doc long")
+    return docs.select("doc", "t1", "text", "shared").mapInArrow(run, "w1 long, w2 long, doc long, t1 long")
 
 
 def _removed(words: list[bytes], gone, whole: bool, window: int, memo: dict[bytes, int]):
@@ -123,33 +131,50 @@ def _removed(words: list[bytes], gone, whole: bool, window: int, memo: dict[byte
     return np.cumsum(edge)[:n] > 0
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(doc, gone, whole): for each doc the hashes of its windows that also start in a document with a smaller doc.
+def _keyed(docs: DataFrame, doc: str = "doc", t1: str = "t1") -> DataFrame:
+    """Adds the key of a row: its doc_id as a long, which may be null, and a hash of its text."""
+    return docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(t1, F.xxhash64("text"))
+
+
+def _same_row(left: DataFrame, right: DataFrame):
+    return (left["t1"] == right["_t1"]) & left["doc"].eqNullSafe(right["_doc"])
+
+
+def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(_doc, _t1, gone, whole): for each row's key the hashes of its windows that also start in a document with a smaller doc.
 
-    docs(doc, text). 0: a doc whose text, word for word the same, a smaller doc has (in each of its rows) is `whole`: all
-    its windows are repeats, and none is the first; it needs no windows of its own. 1: count in how many documents each anchor occurs. Two runs of 50 equal words
+    docs(doc, t1, text), where t1 is a hash of text; a null doc comes after all ids and takes nothing from other
+    nulls. 0: a text, word for word the same, that a smaller doc has is `whole`: all its windows are repeats, and
+    none is the first. 1: find the anchors that different texts have. Two runs of 50 equal words
     share an anchor at the same shift, as the cover has a shift at which both start on a cover
-    position; so unshared anchors can go. 2: the shared ones, by document. 3: extend them to all windows
-    that hold one, and compare these whole (128 bits of hash). Sums run partly before each shuffle, so
-    a passage in a third of all documents costs a row a task; joins are on tables that Spark can split.
+    position; so unshared anchors can go. 2: the shared ones, by text, for the row of its smallest doc. 3: extend
+    them to all windows that hold one, and compare these whole (128 bits of hash). Anchors are taken once and written.
+    Sums run partly before each shuffle, so a passage in a third of all documents costs a row a task; joins are on
+    written tables, so that Spark can split a key with very many rows.
     """
-    texts = scratch.save(docs.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")), "texts")
+    texts = scratch.save(docs.select("doc", "t1", F.xxhash64(F.lit(7), "text").alias("t2")), "texts")
     owner = scratch.save(texts.groupBy("t1", "t2").agg(F.min("doc").alias("owner")), "owner")
-    copies = texts.join(owner, ["t1", "t2"]).groupBy("doc").agg(F.bool_and(F.col("owner") < F.col("doc")).alias("whole"))
-    copies = scratch.save(copies.where("whole"), "copies")
-    hot = scratch.save(_anchors(docs, window).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
+    copies = texts.join(owner, ["t1", "t2"]).where("owner is not null and (doc is null or owner < doc)")
+    copies = scratch.save(copies.select("doc", "t1").distinct(), "copies")
+    anchors = scratch.save(_anchors(docs, window), "anchors")
+    hot = anchors.groupBy("h").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low < high")
+    hot = scratch.save(hot.select("h"), "hot")
     scratch.release()
-    shared = scratch.save(_anchors(docs, window).join(hot, "h").join(copies, "doc", "left_anti").groupBy("doc").agg(F.collect_set("h").alias("shared")), "shared")
+    shared = anchors.join(hot, "h").groupBy(F.col("t1").alias("_t1")).agg(F.collect_set("h").alias("shared"))
+    shared = scratch.save(shared.join(owner.select(F.col("t1").alias("_t1"), F.col("owner").alias("_doc")), "_t1"), "shared")
+    scratch.drop("anchors")
     scratch.release()
-    windows = scratch.save(_candidate_windows(docs.join(shared, "doc"), window), "windows")
+    windows = scratch.save(_candidate_windows(docs.join(shared, _same_row(docs, shared)), window), "windows")
     scratch.release()
-    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    first = scratch.save(first.where("first < last").select("w1", "w2", "first"), "first")
+    sizes = [F.min("doc").alias("first"), F.max("doc").alias("last"), F.count_if(F.col("doc").isNull()).alias("without")]
+    first = windows.groupBy("w1", "w2").agg(*sizes).where("first < last or first is not null and without > 0")
+    first = scratch.save(first.select("w1", "w2", "first"), "first")
     scratch.release()
-    late = windows.join(first, ["w1", "w2"]).where("first < doc")
-    gone = late.groupBy("doc").agg(F.collect_set("w1").alias("gone")).withColumn("whole", F.lit(False))
-    gone = scratch.save(gone.unionByName(copies.select("doc", F.lit(None).cast("array<long>").alias("gone"), "whole")), "gone")
-    for name in ("texts", "owner", "copies", "anchors", "shared", "windows", "first"):
+    late = windows.join(first, ["w1", "w2"]).where("first < doc or doc is null")
+    gone = late.groupBy(F.col("doc").alias("_doc"), F.col("t1").alias("_t1")).agg(F.collect_set("w1").alias("gone")).withColumn("whole", F.lit(False))
+    whole = copies.select(F.col("doc").alias("_doc"), F.col("t1").alias("_t1"), F.lit(None).cast("array<long>").alias("gone"), F.lit(True).alias("whole"))
+    gone = scratch.save(gone.unionByName(whole), "gone")
+    for name in ("texts", "owner", "copies", "hot", "shared", "windows", "first"):
         scratch.drop(name)
     scratch.release()
     return gone
@@ -166,8 +191,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> Da
     text is then as it was). Further columns are not read.
     """
     scratch = Scratch(spark, "substring")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("doc"), F.col("text").cast("string").alias("text"))
-    gone = repeated_windows(spark, base.select("doc", "text"), window, scratch)
+    base = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    gone = repeated_windows(base, window, scratch)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -191,7 +216,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> Da
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    joined = base.join(gone, "doc", "left").select("doc_id", "text", "gone", "whole")
+    joined = base.join(gone, _same_row(base, gone), "left").select(F.col("doc").alias("doc_id"), "text", "gone", "whole")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -201,10 +226,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
     n_chars, where there is one, is counted anew for texts that changed.
     """
     scratch = Scratch(spark, "cut")
-    key, cut, all_ = (unused(docs, x) for x in ("_doc", "_gone", "_whole"))
-    base = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)))
-    gone = repeated_windows(spark, base.select(F.col(key).alias("doc"), "text"), window, scratch)
-    joined = base.join(gone.select(F.col("doc").alias(key), F.col("gone").alias(cut), F.col("whole").alias(all_)), key, "left").drop(key)
+    key, hashed, cut, all_ = (unused(docs, x) for x in ("_key", "_hashed", "_gone", "_whole"))
+    base = _keyed(docs, key, hashed)
+    gone = repeated_windows(base.select(F.col(key).alias("doc"), F.col(hashed).alias("t1"), "text"), window, scratch)
+    gone = gone.select("_doc", "_t1", F.col("gone").alias(cut), F.col("whole").alias(all_))
+    joined = base.join(gone, (base[hashed] == gone["_t1"]) & base[key].eqNullSafe(gone["_doc"]), "left").select(*[base[c] for c in docs.columns], cut, all_)
     fields = docs.schema
 
     def run(batches: Iterator) -> Iterator:

@@ -45,8 +45,17 @@ def subwords(text: str | None):
     return np.concatenate(out).astype(np.int64)
 
 
+def out_of_language(text: str, rng, letters: list[str]) -> tuple[str, str]:
+    """Two texts in no language: the letters of a text's words dealt anew, and its letters swapped by a random cipher."""
+    place = [i for i, c in enumerate(text) if c.isalpha()]
+    mixed = list(text)
+    for i, j in zip(place, rng.permutation(len(place)) if place else []):
+        mixed[i] = text[place[j]]
+    return "".join(mixed), text.lower().translate(str.maketrans(dict(zip(letters, rng.permutation(letters))))) if letters else text
+
+
 class LanguageModel:
-    """label = softmax(temperature * (mean of subword embeddings @ weights + bias))."""
+    """label = softmax(temperature * (mean of subword embeddings @ weights + bias)) over the labels and one class for anything else."""
 
     def __init__(self, labels: list[str], dim: int = 16, seed: int = 4):
         import numpy as np
@@ -54,9 +63,9 @@ class LanguageModel:
         rng = np.random.default_rng(seed)
         self.labels = labels
         self.embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype("float32")
-        self.out = np.zeros((dim, len(labels)), "float32")
-        self.bias = np.zeros(len(labels), "float32")
-        self.temperature, self.threshold = 1.0, 0.0
+        self.out = np.zeros((dim, len(labels) + 1), "float32")
+        self.bias = np.zeros(len(labels) + 1, "float32")
+        self.temperature, self.thresholds = 1.0, [0.0] * len(labels)
 
     def features(self, text: str):
         """The different buckets of a text and their shares."""
@@ -69,21 +78,11 @@ class LanguageModel:
         index, weight = x
         return (weight @ self.embed[index]) @ self.out + self.bias
 
-    def fit(self, examples: list[tuple[str, int]], epochs: int = 6, rate: float = 4.0, seed: int = 4) -> None:
-        """Plain stochastic gradient descent, one example at a time, with a linearly falling rate.
-
-        Each text is joined by a short stretch of itself, so that short texts are known as well.
-        """
+    def fit(self, data: list[tuple], epochs: int = 6, rate: float = 4.0, seed: int = 4) -> None:
+        """Plain stochastic gradient descent over (features, class), one example at a time, with a linearly falling rate."""
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        data = []
-        for text, y in examples:
-            data.append((self.features(text), y))
-            words = text.split()
-            n = int(rng.integers(1, 13))
-            at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            data.append((self.features(" ".join(words[at : at + n])), y))
         steps, done = epochs * len(data), 0
         for _ in range(epochs):
             for i in rng.permutation(len(data)):
@@ -100,68 +99,125 @@ class LanguageModel:
                 self.bias -= lr * 0.01 * g
                 self.embed[index] -= lr * weight[:, None] * back[None, :]
 
-    def calibrate(self, examples: list[tuple[str, int]], loss: float = 0.002, ceiling: float = 0.4) -> None:
-        """Pick the temperature of least log loss on held-back texts, then the rejection threshold.
+    def shares(self, features: list):
+        """Probabilities of all classes for each of a list of features."""
+        import numpy as np
+
+        z = np.array([self.logits(x) for x in features]).reshape(-1, len(self.labels) + 1) * self.temperature
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    def calibrate(self, held: list[tuple], strangers: list[tuple[int, float]], weight: float = 20.0) -> None:
+        """Pick the temperature of least log loss on held-back (features, class), then a threshold for each label.
 
-        The threshold is the score below which a share `loss` of rightly labelled texts falls, and
-        no higher than `ceiling`.
+        strangers: (label, score) that texts in no learned language got. A label's threshold costs `weight` times
+        the share of its own rightly labelled texts that it rejects and once the share of strangers that it lets
+        pass; the least cost decides, then the lowest threshold.
         """
         import numpy as np
 
-        if not examples:
+        if not held:
             return
-        z = np.array([self.logits(self.features(t)) for t, _ in examples])
-        y = np.array([t for _, t in examples])
+        y = np.array([t for _, t in held])
 
         def log_loss(t):
-            p = z * t
-            p = p - p.max(1, keepdims=True)
-            return float((np.log(np.exp(p).sum(1)) - p[np.arange(len(y)), y]).mean())
+            self.temperature = t
+            return float(-np.log(self.shares([x for x, _ in held])[np.arange(len(y)), y] + 1e-30).mean())
 
         self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=log_loss)
-        p = np.exp(z * self.temperature - (z * self.temperature).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        right = p.max(1)[p.argmax(1) == y]
-        self.threshold = min(ceiling, float(np.quantile(right, loss))) if len(right) else 0.0
+        own = self.shares([x for x, c in held if c < len(self.labels)])[:, :-1]
+        true = y[y < len(self.labels)]
+        strangers = strangers + self.best([x for x, c in held if c == len(self.labels)])
+        for k in range(len(self.labels)):
+            good = np.sort(own[(true == k) & (own.argmax(1) == k), k])
+            bad = np.sort([s for label, s in strangers if label == k])
+            if len(good) and len(bad):
+                tries = np.concatenate([[0.0], good, bad + 1e-9])
+                cost = weight * np.searchsorted(good, tries) / len(good) + 1 - np.searchsorted(bad, tries) / len(bad)
+                self.thresholds[k] = float(tries[np.lexsort((tries, cost))[0]])
+
+    def best(self, features: list) -> list[tuple[int, float]]:
+        """The likeliest label and its score for each of a list of features."""
+        p = self.shares(features)[:, :-1]
+        return [(int(k), float(x[k])) for k, x in zip(p.argmax(1), p)]
 
     def scorer(self):
-        """A function text -> (label, score). Embeddings and weights are multiplied out once, so a text costs one
+        """A function text -> (label, score, rejected). Embeddings and weights are multiplied out once, so a text costs one
         table row a subword; very long texts go in pieces of a million characters."""
         import numpy as np
 
         table, piece = self.embed @ self.out, 1 << 20
 
-        def score(text: str | None) -> tuple[str, float]:
-            z, n = np.zeros(len(self.labels)), 0
+        def score(text: str | None) -> tuple[str, float, bool]:
+            z, n = np.zeros(len(self.labels) + 1), 0
             for begin in range(0, len(text or ""), piece):
                 index = subwords(text[begin : begin + piece])
                 z, n = z + table[index].sum(0, dtype="float64"), n + len(index)
-            if not n:
-                return UNKNOWN, 0.0
+            if not n or not self.labels:
+                return UNKNOWN, 0.0, True
             z = (z / n + self.bias) * self.temperature
             p = np.exp(z - z.max())
-            return self.labels[int(p.argmax())], float(p.max() / p.sum())
+            k = int(p[:-1].argmax())
+            share = float(p[k] / p.sum())
+            return self.labels[k], share, share < self.thresholds[k]
 
         return score
 
 
-def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int = 600, most_labels: int = 200) -> LanguageModel:
-    """Fit on a sample of at most `per_label` documents of each language, the first by a hash of doc_id.
+def labelled_sample(docs: DataFrame, per_label: int, most: int, stretch: int) -> list[tuple[str, str]]:
+    """(lang, text) of at most `per_label` documents of each language and `most` in all, at most `stretch` characters of each.
 
-    Documents whose crc32(doc_id as text) mod 3 is 1, or without id, lang or letters, are no part of it. A
-    fifth of the sample is held back to calibrate. The sample is bounded by per_label * most_labels.
+    The first by a hash of doc_id, of the first `most` languages by name; the stretch starts at a place that a hash
+    gives. Of an id in several rows the least text counts.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    picked = first_by_hash(known, "lang", per_label).limit(per_label * most_labels)
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").limit(per_label * most_labels).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    labels = sorted({r.lang for r in rows})
-    examples = [(r.text, labels.index(r.lang)) for r in rows if len(subwords(r.text))]
-    model = LanguageModel(labels)
-    if labels:
-        model.fit([x for i, x in enumerate(examples) if i % 5])
-        model.calibrate(examples[::5])
+    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(most).collect()]
+    if not names:
+        return []
+    ids = known.select("doc_id", "lang")
+    ids = ids.where(F.col("lang") <= names[-1]) if len(names) == most else ids
+    picked = F.broadcast(first_by_hash(ids, "lang", min(per_label, max(1, most // len(names)))))  # at most `most` rows
+    spare = F.greatest(F.length("text") - F.lit(stretch - 1), F.lit(1))
+    part = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare) + 1).cast("int"), F.lit(stretch))
+    rows = known.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", part.alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return [(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))]
+
+
+def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int = 600, most: int = 24_000, stretch: int = 4_096, left_out: int = 8) -> LanguageModel:
+    """Fit on `labelled_sample`, which these parameters bound.
+
+    Documents whose crc32(doc_id as text) mod 3 is 1, or without id, lang or letters, are no part of it. Each text is
+    joined by a short stretch of itself, so that short texts are known as well, and every other one by texts in no
+    language. A fifth of the sample is held back to calibrate; so are, for the first `left_out` languages, the
+    scores that a model without the language gives to its texts.
+    """
+    import numpy as np
+
+    rows = [(x, t) for x, t in labelled_sample(docs, per_label, most, stretch) if any(map(str.isalpha, t))]
+    labels = sorted({x for x, _ in rows})
+    model, rng = LanguageModel(labels), np.random.default_rng(4)
+    if not labels:
+        return model
+    letters = sorted({c for _, t in rows for c in t.lower() if c.isalpha()})
+    train, held = [], []
+    for i, (label, text) in enumerate(rows):
+        words, y, to = text.split(), labels.index(label), train if i % 5 else held
+        n = int(rng.integers(1, 13))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        to.append((model.features(text), y))
+        if i % 5:
+            to.append((model.features(" ".join(words[at : at + n])), y))
+        if i % 2:
+            to += [(model.features(x), len(labels)) for x in out_of_language(text, rng, letters)]
+    train, held = ([(x, y) for x, y in part if len(x[0])] for part in (train, held))
+    model.fit(train)
+    strangers = []
+    for k in range(min(left_out, len(labels)) if len(labels) > 2 else 0):
+        less = LanguageModel(labels)
+        less.fit([(x, y) for x, y in train if y != k], epochs=2)
+        strangers += less.best([x for x, y in held if y == k])
+    model.calibrate(held, strangers)
     return model
 
 
@@ -170,7 +226,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel
 
     lang_pred is the likeliest learned language and score its calibrated probability. Null texts and texts
     without a letter, and all texts where there was nothing to learn from, are `und` with score 0.
-    rejected: `und`, or a score below the model's threshold. Whole texts are read; lang only to learn.
+    rejected: `und`, or a score below the label's threshold. Ties go to the first label by name. Whole texts are read; lang only to learn.
     Rows without a doc_id count as held out. Repeated rows come back as given.
     """
     model = model or train_language_model(spark, docs)
@@ -178,10 +234,10 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel
 
     def run(batches: Iterator) -> Iterator:
         model = model_b.value
-        score = model.scorer() if model.labels else lambda text: (UNKNOWN, 0.0)
+        score = model.scorer()
         for b in batches:
             found = [score(t) for t in b.column("text").to_pylist()]
-            yield as_batch(kinds, b.column("doc_id"), [x for x, _ in found], [s for _, s in found], [x == UNKNOWN or s < model.threshold for x, s in found])
+            yield as_batch(kinds, b.column("doc_id"), *([f[i] for f in found] for i in range(3)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -190,7 +246,11 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose language is not rejected, with all their columns."""
+    """The documents whose language is not rejected, with all their columns.
+
+    Null texts and texts without a letter go; rows that repeat stay or go together; rows without a doc_id are
+    judged like others; an empty table, or one without any labelled document, keeps nothing. Very long texts are read whole.
+    """
     model = train_language_model(spark, docs)
     model_b = spark.sparkContext.broadcast(model)
 
@@ -198,9 +258,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         model = model_b.value
-        score = model.scorer() if model.labels else lambda text: (UNKNOWN, 0.0)
+        score = model.scorer()
         for b in batches:
-            found = [score(t) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([x != UNKNOWN and s >= model.threshold for x, s in found], pa.bool_()))
+            yield b.filter(pa.array([not score(t)[2] for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

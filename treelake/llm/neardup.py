@@ -1,4 +1,8 @@
-"""Near-dedup of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+"""Near-dedup of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash's pigeonring search gives the first candidates. Sets of similarity 0.8 differ in about 10 of 64 bits, far beyond
+what masks can find, so min-hash keys give the rest; every candidate is checked exactly.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch, texts_of, unused
+from .simhash import hamming_links, majority_bits
 
 SHINGLE, SEED = 5, 42
 #: A pair of similarity 0.8 shares none of 32 keys of five minima with a chance of (1 - 0.8^5)^32 = 3e-6, more similar ones with less.
@@ -55,7 +60,7 @@ def band_keys(hashes):
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys, hashes) for every row; node is a hash of the whole set, n its size."""
+    """(doc_id, node, n, fp, keys, hashes) for every row; node is a hash of the whole set, n its size, fp its SimHash."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -68,8 +73,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
         def pack(ids, sets):
             node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists([band_keys(s) for s in sets]), lists(sets)]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "keys", "hashes"])
+            columns = [pa.array(ids, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64)), lists([band_keys(s) for s in sets]), lists(sets)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "keys", "hashes"])
 
         for b in batches:
             ids, sets, held = [], [], 0
@@ -84,7 +89,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
                 yield pack(ids, sets)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, keys array<long>, hashes array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>, hashes array<long>")
 
 
 def _fits(x: str, y: str):
@@ -100,11 +105,22 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
+def close_fingerprints(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of nodes(node, n, fp): a node and the leader of its fingerprint, and leaders of fingerprints within 3 bits."""
+    each = nodes.select("node", F.col("n").alias("m"), "fp")
+    leads = scratch.save(each.groupBy("fp").agg(F.min(F.struct("node", "m")).alias("l")), "leads")
+    near = scratch.save(hamming_links(spark, leads.select("fp"), scratch), "near-fps")
+    own = each.join(leads, "fp").select(F.col("l.node").alias("x"), F.col("l.m").alias("m"), F.col("node").alias("y"), F.col("m").alias("n"))
+    side = lambda fp, x, m: leads.select(F.col("fp").alias(fp), F.col("l.node").alias(x), F.col("l.m").alias(m))
+    across = near.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b").select("x", "m", "y", "n")
+    return own.unionByName(across).where((F.col("x") != F.col("y")) & _fits("m", "n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_links(spark: SparkSession, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, keys).
+    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, fp, keys).
 
-    Candidates share a band's key. First each member of a bucket meets the bucket's two leaders; then all
-    members of a bucket that are still in different components meet, so no candidate is left out but
+    Candidates are close by fingerprint or share a band's key. First come the former, and each member of a
+    bucket meets the bucket's two leaders; then all members of a bucket that are still in different components meet, so no candidate is left out but
     those that couldn't change a component, and a bucket of many alike makes few pairs.
     """
     filed = scratch.save(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")), "filed")
@@ -112,12 +128,14 @@ def similar_links(spark: SparkSession, nodes: DataFrame, sets: DataFrame, scratc
     many = scratch.save(many.where("_n > 1"), "many")
     near = scratch.save(filed.join(many.select("band", "key"), ["band", "key"], "left_semi"), "near")
     scratch.drop("filed")
-    sets = scratch.save(sets.join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "candidates")
+    close = scratch.save(close_fingerprints(spark, nodes, scratch), "close")
+    asked = near.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = scratch.save(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "candidates")
     scratch.drop("hashed")
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     led = near.join(many.select("band", "key", F.explode(F.array("l0", "l1")).alias("l")), ["band", "key"])
     led = led.select("node", "n", F.col("l.node").alias("lead"), F.col("l.n").alias("m")).where((F.col("node") != F.col("lead")) & _fits("n", "m"))
-    first = scratch.save(led.select(*ordered("node", "lead")).distinct(), "led")
+    first = scratch.save(led.select(*ordered("node", "lead")).unionByName(close).distinct(), "led")
     links = scratch.save(similar(first, sets), "links-1")
 
     part = connected_components(spark, links, Scratch(spark, "neardup-first"))
@@ -145,7 +163,7 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "neardup")
     hashed = scratch.save(_hashed(docs), "hashed")
     each = scratch.save(hashed.select("doc_id", "node"), "each")
-    nodes = scratch.save(hashed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = scratch.save(hashed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     links = similar_links(spark, nodes, hashed.select("node", "hashes"), scratch)
     member = connected_components(spark, links, scratch)
     member = scratch.save(member.join(nodes.select(F.col("node").alias("_node"), "rep"), F.col("node") == F.col("_node")).select("node", "component", "rep"), "member")

@@ -30,12 +30,29 @@ def fingerprint(text: bytes | None) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):  # a very long text never holds all its bits at once
         upto = min(n, at + (1 << 16))
-        h = np.array([xxh64_intdigest(line[i : j - 1], SEED) for i, j in zip(starts[at:upto], starts[at + SHINGLE : upto + SHINGLE])], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS)
-        counts += np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).sum(0, dtype=np.int64)
+        counts += _bit_counts(np.array([xxh64_intdigest(line[i : j - 1], SEED) for i, j in zip(starts[at:upto], starts[at + SHINGLE : upto + SHINGLE])], np.uint64))
+    return _over_half(counts, n)
+
+
+def _bit_counts(h):
+    """How many of the hashes have each bit."""
+    import numpy as np
+
+    bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS)
+    return np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).sum(0, dtype=np.int64)
+
+
+def _over_half(counts, n: int) -> int:
+    import numpy as np
+
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def majority_bits(hashes) -> int:
+    """The SimHash of an array of 64-bit hashes; 0 for none."""
+    return _over_half(sum(_bit_counts(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), len(hashes)) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row; fp is the fingerprint's bits as a signed long."""
 

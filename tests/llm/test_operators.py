@@ -175,13 +175,43 @@ def test_token_counts_match_the_library(spark):
     assert len(got) == len(texts) and token_counts(spark, frame(spark, [])).count() == 0
 
 
+def fill_targets(sizes, weights, total, most=2.0):
+    """Share by weight; what exceeds is shared anew among the rest, until none exceeds."""
+    target, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], total
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if unit * weights[i] > most * sizes[i]]
+        for i in over or open_:
+            target[i] = most * sizes[i] if over else unit * weights[i]
+            left -= target[i]
+        open_ = [i for i in open_ if i not in over] if over else []
+    return target
+
+
+def brute_mix(spark, rows, targets, block=512, seed=5):
+    """taken of each row: its source's stream of at most two passes, cut at the target."""
+    from treelake.llm.mixing import RANGE
+
+    ids = sorted({d for d, *_ in rows}, key=lambda d: (d is not None, d))
+    mixed = {r.d: r.m for r in spark.createDataFrame([(d,) for d in ids], "d long").select("d", F.xxhash64(F.coalesce("d", F.lit((1 << 63) - 1)), F.lit(seed)).alias("m")).collect()}
+    ranges, out = -(-len(rows) // RANGE), []
+    for source in {s for *_, s in rows}:
+        stream = sorted((((mixed[d] >> 40) % ranges, mixed[d], (d is not None, d or 0), len(WORD.findall(t or ""))), d) for d, t, _, s in rows if s == source)
+        size, at = sum(k[3] for k, _ in stream), 0
+        for key, d in stream:
+            taken = sum(max(0, min(at + again * size + key[3], int(targets[source])) - at - again * size) for again in (0, 1))
+            out.append((d, key[3], taken))
+            at += key[3]
+    return out
+
+
 def test_mixing_meets_targets(spark):
-    from treelake.llm.mixing import fill_targets, mix, mixed_words
+    from treelake.llm.mixing import mix, mixed_words
 
     assert fill_targets([100, 100, 100], [5, 2, 1], 450) == pytest.approx([200, 500 / 3, 250 / 3])
     assert fill_targets([0, 10], [5, 2], 15) == [0, 15]
     rng = random.Random(5)
-    rows = [(i, "w " * rng.choice([0, 1, 5, 60, 3000]), "", rng.choice(["b", "a", "c", None])) for i in range(200)] + [(3, "x y", "", "a"), (3, "x y", "", "a"), (None, "q", "", "z"), (7, None, "", "empty")]
+    rows = [(i, "w " * rng.choice([0, 1, 5, 60, 3000]), "", rng.choice(["b", "a", "c", None])) for i in range(200)] + [(3, "x y", "", "a"), (3, "x y", "", "a"), (None, "q", "", "z"), (7, None, "", "empty")] + [(None, "w " * (i % 4), "", "a") for i in range(300)] + [(8, "y z", "", f"s{i}") for i in range(50)]
     docs = frame(spark, [(*r, 1, 2) for r in rows], EMPTY + ", s int, rank int")
     got = mixed_words(spark, docs).collect()
     sizes = Counter()
@@ -195,6 +225,7 @@ def test_mixing_meets_targets(spark):
     for r in got:
         taken[round(r.target, 6)] += r.taken
     assert all(abs(n - t * sum(round(x, 6) == t for x in target.values())) <= 4 for t, n in taken.items())
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter(brute_mix(spark, rows, target))
     assert Counter(mixed_words(spark, docs.repartition(7)).collect()) == Counter(got)
     pieces, _ = mix(spark, docs)
     slots = pieces.select("slot", "s").distinct().orderBy("slot").collect()

@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, store_of, unused
+from .scratch import Scratch, as_batch, slices, store_of, unused
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
@@ -160,7 +160,7 @@ def write_index(benchmark: DataFrame, shard_bytes: int, scratch: Scratch) -> int
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
 
     def split(batches: Iterator) -> Iterator:
-        for b in batches:
+        for b in slices(batches):
             words = [words_of(t) for t in b.column("text").to_pylist()]
             yield as_batch(kinds, b.column("item_id"), b.column("text"), [sorted(set(w)) for w in words], [len(w) for w in words])
 
@@ -222,7 +222,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
     kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
 
     def run(batches: Iterator) -> Iterator:
-        for b in batches:
+        for b in slices(batches, 4096):
             out, texts = [], list(zip(b.column("doc_id").to_pylist(), map(words_of, b.column("text").to_pylist())))
             for index in filter(None, (read_shard(folder, k) for k in range(shards))):
                 for doc, words in texts:

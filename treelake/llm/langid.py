@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch, first_by_hash, held_out
+from .scratch import as_batch, first_by_hash, held_out, slices
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -235,7 +235,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel
     def run(batches: Iterator) -> Iterator:
         model = model_b.value
         score = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             found = [score(t) for t in b.column("text").to_pylist()]
             yield as_batch(kinds, b.column("doc_id"), *([f[i] for f in found] for i in range(3)))
 
@@ -259,7 +259,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
         model = model_b.value
         score = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([not score(t)[2] for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

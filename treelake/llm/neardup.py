@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, texts_of, unused
+from .scratch import Scratch, slices, texts_of, unused
 from .simhash import hamming_links, majority_bits
 
 SHINGLE, SEED = 5, 42
@@ -59,37 +59,47 @@ def band_keys(hashes):
     return key.view(np.int64)
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, fp, keys, hashes) for every row; node is a hash of the whole set, n its size, fp its SimHash."""
+def _lists(arrays):
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, arrays)]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, node, n, fp, keys) for every row; t1 is a hash of the text, node of the set of shingles, n its size, fp its SimHash."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        def lists(arrays):
-            ends = np.cumsum([0, *map(len, arrays)]).astype("int32")
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+        for b in slices(batches):
+            sets = [shingles(t) for t in texts_of(b)]
+            node, fp = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxh64_intdigest(s.tobytes(), SEED), majority_bits))
+            columns = [b.column("doc_id"), b.column("t1"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), _lists([band_keys(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t1", "node", "n", "fp", "keys"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, t1 long, node long, n long, fp long, keys array<long>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), text.alias("text"))
+
 
-        def pack(ids, sets):
-            node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority_bits(s) for s in sets], np.uint64).view(np.int64)), lists([band_keys(s) for s in sets]), lists(sets)]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "keys", "hashes"])
+def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, hashes) of asked(node, rep, t1), from a row of docs that has this id and text."""
+    rows = _rows(docs).join(asked.withColumnRenamed("t1", "_t1"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t1") == F.col("_t1"))).select("node", "text")
 
-        for b in batches:
-            ids, sets, held = [], [], 0
-            for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
-                ids.append(i)
-                sets.append(shingles(t))
-                held += len(sets[-1]) + BANDS
-                if held > 1 << 19:
-                    yield pack(ids, sets)
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield pack(ids, sets)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>, hashes array<long>")
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("node"), _lists([shingles(t) for t in texts_of(b)])], ["node", "hashes"])
+
+    return rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _fits(x: str, y: str):
@@ -106,21 +116,29 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def close_fingerprints(spark: SparkSession, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of nodes(node, n, fp): a node and the leader of its fingerprint, and leaders of fingerprints within 3 bits."""
+    """(a, b) of nodes(node, n, fp): a node and the leader of its fingerprint, and that leader and the leader of the
+    smallest fingerprint within 3 bits."""
     each = nodes.select("node", F.col("n").alias("m"), "fp")
     leads = scratch.save(each.groupBy("fp").agg(F.min(F.struct("node", "m")).alias("l")), "leads")
-    near = scratch.save(hamming_links(spark, leads.select("fp"), scratch), "near-fps")
+    near = hamming_links(spark, leads.select("fp"), scratch).groupBy("b").agg(F.min("a").alias("a"))
+    near = scratch.save(near, "near-fps")
     own = each.join(leads, "fp").select(F.col("l.node").alias("x"), F.col("l.m").alias("m"), F.col("node").alias("y"), F.col("m").alias("n"))
     side = lambda fp, x, m: leads.select(F.col("fp").alias(fp), F.col("l.node").alias(x), F.col("l.m").alias(m))
     across = near.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b").select("x", "m", "y", "n")
     return own.unionByName(across).where((F.col("x") != F.col("y")) & _fits("m", "n")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def similar_links(spark: SparkSession, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, fp, keys).
+def _components(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    part = connected_components(spark, links, Scratch(spark, "neardup-" + name))
+    return scratch.save(part.select(F.col("node").alias("_node"), "component"), name)
+
 
-    Candidates are close by fingerprint or share a band's key. First come the former, and each member of a
-    bucket meets the bucket's two leaders; then all members of a bucket that are still in different components meet, so no candidate is left out but
+def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, fp, keys, rep, t1).
+
+    Candidates are close by fingerprint or share a band's key. First come the former, and each node meets one of
+    the leaders of its buckets (two each). Then it meets those leaders that are still in another component; at last
+    all members of a bucket that are still in different components meet. So no candidate is left out but
     those that couldn't change a component, and a bucket of many alike makes few pairs.
     """
     filed = scratch.save(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")), "filed")
@@ -130,25 +148,35 @@ def similar_links(spark: SparkSession, nodes: DataFrame, sets: DataFrame, scratc
     scratch.drop("filed")
     close = scratch.save(close_fingerprints(spark, nodes, scratch), "close")
     asked = near.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    sets = scratch.save(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "candidates")
-    scratch.drop("hashed")
+    sets = scratch.save(_sets(docs, nodes.select("node", "rep", "t1").join(asked, "node", "left_semi")), "candidates")
+    scratch.release()
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     led = near.join(many.select("band", "key", F.explode(F.array("l0", "l1")).alias("l")), ["band", "key"])
     led = led.select("node", "n", F.col("l.node").alias("lead"), F.col("l.n").alias("m")).where((F.col("node") != F.col("lead")) & _fits("n", "m"))
-    first = scratch.save(led.select(*ordered("node", "lead")).unionByName(close).distinct(), "led")
+    led = scratch.save(led.select("node", "lead").distinct(), "led")
+    first = led.groupBy("node").agg(F.min("lead").alias("lead")).select(*ordered("node", "lead")).unionByName(close)
+    first = scratch.save(first.distinct(), "first")
     links = scratch.save(similar(first, sets), "links-1")
+    part = _components(spark, links, scratch, "parts-1")
+
+    of = lambda c: part.select(F.col("_node").alias(c), F.col("component").alias(f"_{c}"))
+    other = led.join(of("node"), "node", "left").join(of("lead"), "lead", "left")
+    other = other.where(F.coalesce("_node", "node") != F.coalesce("_lead", "lead")).select(*ordered("node", "lead")).distinct()
+    other = scratch.save(other.join(first, ["a", "b"], "left_anti"), "other")
+    links = scratch.save(links.unionByName(similar(other, sets)), "links-2")
+    part = _components(spark, links, scratch, "parts-2")
 
-    part = connected_components(spark, links, Scratch(spark, "neardup-first"))
-    part = scratch.save(part.select(F.col("node").alias("_node"), "component"), "parts")
     near = near.join(part, F.col("node") == F.col("_node"), "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = near.groupBy("band", "key").agg(F.min("c").alias("_l"), F.max("c").alias("_m")).where("_l < _m").select("band", "key")
     near = scratch.save(near.join(mixed, ["band", "key"], "left_semi"), "mixed")
     x, y = near.alias("x"), near.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
     rest = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _fits("x.n", "y.n"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch.save(similar(scratch.save(rest, "rest"), sets), "links-2")
-    scratch.drop("candidates")
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first.unionByName(other), ["a", "b"], "left_anti")
+    more = scratch.save(similar(scratch.save(rest, "rest"), sets), "links-3")
+    for name in ("candidates", "near", "led", "mixed"):
+        scratch.drop(name)
+    scratch.release()
     return links.unionByName(more)
 
 
@@ -161,10 +189,11 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stay or all go. Candidates come from min-hash keys, see BANDS; their similarity is exact.
     """
     scratch = Scratch(spark, "neardup")
-    hashed = scratch.save(_hashed(docs), "hashed")
-    each = scratch.save(hashed.select("doc_id", "node"), "each")
-    nodes = scratch.save(hashed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    links = similar_links(spark, nodes, hashed.select("node", "hashes"), scratch)
+    each = scratch.save(_keyed(docs), "each")
+    first = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = each.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1")).alias("r"), *first)
+    nodes = scratch.save(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t1").alias("t1"), "n", "fp", "keys"), "nodes")
+    links = similar_links(spark, docs, nodes, scratch)
     member = connected_components(spark, links, scratch)
     member = scratch.save(member.join(nodes.select(F.col("node").alias("_node"), "rep"), F.col("node") == F.col("_node")).select("node", "component", "rep"), "member")
     least = scratch.save(member.groupBy("component").agg(F.min("rep").alias("least")), "least")
@@ -172,6 +201,6 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_node = nodes.select("node", "rep").join(linked, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("least", "rep").alias("least"))
     of_node = scratch.save(of_node, "of-node")
     key = unused(docs, "_gone")
-    gone = scratch.save(each.join(of_node, "node").where("least < doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    gone = scratch.save(each.select("doc_id", "node").join(of_node, "node").where("least < doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
     scratch.release()
     return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

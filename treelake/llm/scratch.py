@@ -97,6 +97,13 @@ def as_batch(schema: str, *columns):
     return pa.RecordBatch.from_arrays([cast(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Arrow batches in pieces of a few rows, so that what a task makes of long texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts_of(batch, column: str = "text") -> Iterator[bytes | None]:
     """The UTF-8 bytes of a string column of an Arrow batch, without decoding them."""
     import pyarrow as pa

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, texts_of
+from .scratch import Scratch, slices, texts_of
 
 SHINGLE, SEED, BITS = 3, 42, 64
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in texts_of(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, texts_of, unused
+from .scratch import Scratch, slices, texts_of, unused
 
 #: A perfect difference cover: every residue modulo 31 is the difference of two of these.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -58,7 +58,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
         memo: dict[bytes, int] = {}
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             hs, keys = [], []
             for key, text in zip(b.column("t1").to_pylist(), texts_of(b)):
                 if not text or key in seen:
@@ -86,7 +86,7 @@ def _candidate_windows(docs: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
 
         memo: dict[bytes, int] = {}
-        for b in batches:
+        for b in slices(batches):
             out, rows = [], []
             for row, (text, shared) in enumerate(zip(texts_of(b), b.column("shared"))):
                 words = text.split() if text else []
@@ -200,7 +200,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> Da
         import pyarrow as pa
 
         memo: dict[bytes, int] = {}
-        for b in batches:
+        for b in slices(batches):
             n_words, n_removed, sha, kept_text = [], [], [], []
             for text, gone, whole in zip(texts_of(b), b.column("gone"), b.column("whole").to_pylist()):
                 words = text.split() if text else []
@@ -237,7 +237,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, window: int = 50) -> DataF
         import pyarrow as pa
 
         memo: dict[bytes, int] = {}
-        for b in batches:
+        for b in slices(batches):
             texts, keep = [], []
             for text, gone, whole in zip(texts_of(b), b.column(cut), b.column(all_).to_pylist()):
                 words = text.split() if text and whole is not None else []

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch
+from .scratch import as_batch, slices
 
 #: Fixed value: the pre-token pattern of the byte-level tokenizer files.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -107,7 +107,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None,
         model, table = tier_b.value
         at = _worker(model)
         at.frequent = table
-        for b in batches:
+        for b in slices(batches):
             yield as_batch(kinds, b.column("doc_id"), b.column("n_bytes"), [at.count(t) for t in b.column("text").to_pylist()])
 
     kinds = "doc_id long, n_bytes long, n_tokens long"

@@ -11,7 +11,7 @@ from os.path import commonprefix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, first_by_hash, held_out
+from .scratch import Scratch, as_batch, first_by_hash, held_out, slices
 
 #: Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "", "#": "h"}
@@ -52,7 +52,7 @@ def char_counts(spark: SparkSession, docs: DataFrame):
         for i in range(len(table)):
             table[i] = _class(chr(i).lower()[0])
         total = np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 if not text:
                     continue
@@ -248,7 +248,7 @@ def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame
 
     def run(batches: Iterator) -> Iterator:
         restore = Restorer(chars_b.value)
-        for b in batches:
+        for b in slices(batches):
             features = [sorted({f for w in restore.words(t) for f in word_features(w)}) for t in b.column("text").to_pylist()]
             yield as_batch(kinds, b.column("doc_id"), features, b.column("toxic"))
 
@@ -281,7 +281,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
     def run(batches: Iterator) -> Iterator:
         score = model_b.value.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield as_batch("doc_id long, score double", b.column("doc_id"), [score(t) for t in b.column("text").to_pylist()])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -20,6 +20,8 @@ from .simhash import hamming_links, majority_bits
 SHINGLE, SEED = 5, 42
 #: A pair of similarity 0.8 shares none of 32 keys of five minima with a chance of (1 - 0.8^5)^32 = 3e-6, more similar ones with less.
 BANDS, ROWS = 32, 5
+#: Words of 64 bits for the bound on the difference of two sets.
+PARITY = 32
 
 
 def shingles(text: bytes | None):
@@ -59,6 +61,18 @@ def band_keys(hashes):
     return key.view(np.int64)
 
 
+def parity_bits(hashes):
+    """Bit i of PARITY words of 64 bits: whether the set holds an odd number of hashes with this remainder.
+
+    An element that only one of two sets has changes one bit at most, so their bits differ in no more
+    places than the sets: a bound on the similarity that loses nothing.
+    """
+    import numpy as np
+
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(arrays):
     import numpy as np
     import pyarrow as pa
@@ -68,7 +82,7 @@ def _lists(arrays):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, node, n, fp, keys) for every row; t1 is a hash of the text, node of the set of shingles, n its size, fp its SimHash."""
+    """(doc_id, t1, node, n, fp, keys) for every row; t1 is a hash of the text, node of the set of shingles, n its size, fp its SimHash, bits its parities."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -78,10 +92,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             sets = [shingles(t) for t in texts_of(b)]
             node, fp = (np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: xxh64_intdigest(s.tobytes(), SEED), majority_bits))
-            columns = [b.column("doc_id"), b.column("t1"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), _lists([band_keys(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t1", "node", "n", "fp", "keys"])
+            columns = [b.column("doc_id"), b.column("t1"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), _lists([parity_bits(s) for s in sets]), _lists([band_keys(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t1", "node", "n", "fp", "bits", "keys"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, t1 long, node long, n long, fp long, keys array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, t1 long, node long, n long, fp long, bits array<long>, keys array<long>")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -107,6 +121,12 @@ def _fits(x: str, y: str):
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
+def _differ(x: str, y: str):
+    """In how many places the parities of two sets differ."""
+    parts = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY)]
+    return sum(parts[1:], parts[0])
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose sets(node, hashes) have an exact Jaccard similarity of at least 0.8."""
     x = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
@@ -134,17 +154,24 @@ def _components(spark: SparkSession, links: DataFrame, scratch: Scratch, name: s
 
 
 def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, fp, keys, rep, t1).
+    """Links (a, b) of exact similarity 0.8 or more that join all such candidates of nodes(node, n, fp, bits, keys, rep, t1).
 
-    Candidates are close by fingerprint or share a band's key. First come the former, and each node meets one of
-    the leaders of its buckets (two each). Then it meets those leaders that are still in another component; at last
-    all members of a bucket that are still in different components meet. So no candidate is left out but
+    Candidates are close by fingerprint or share a band's key. First come the former, and each node meets the most
+    central of the leaders of its buckets. A bucket has two: that whose buckets hold most in all, as the text that
+    the others are copies of does, and one by hash. Then each node meets those leaders that are still in another component; at last
+    all members of a bucket that are still in different components meet, and those pairs stay whose parities
+    allow the similarity (see parity_bits). So no candidate is left out but
     those that couldn't change a component, and a bucket of many alike makes few pairs.
     """
     filed = scratch.save(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")), "filed")
-    many = filed.groupBy("band", "key").agg(F.count("*").alias("_n"), *[F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(s))).alias(f"l{s}") for s in (0, 1)])
-    many = scratch.save(many.where("_n > 1"), "many")
-    near = scratch.save(filed.join(many.select("band", "key"), ["band", "key"], "left_semi"), "near")
+    sizes = scratch.save(filed.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1"), "sizes")
+    near = scratch.save(filed.join(sizes, ["band", "key"]), "near-sizes")
+    central = scratch.save(near.groupBy("node").agg(F.sum("_n").alias("w")), "central")
+    near = scratch.save(near.drop("_n").join(central, "node"), "near")
+    lead = F.struct("node", "n", "w")
+    many = near.groupBy("band", "key").agg(F.max_by(lead, F.struct("w", "node")).alias("l0"), F.min_by(lead, F.xxhash64("node")).alias("l1"))
+    many = scratch.save(many, "many")
+    scratch.drop("near-sizes")
     scratch.drop("filed")
     close = scratch.save(close_fingerprints(spark, nodes, scratch), "close")
     asked = near.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
@@ -152,9 +179,9 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, scratc
     scratch.release()
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     led = near.join(many.select("band", "key", F.explode(F.array("l0", "l1")).alias("l")), ["band", "key"])
-    led = led.select("node", "n", F.col("l.node").alias("lead"), F.col("l.n").alias("m")).where((F.col("node") != F.col("lead")) & _fits("n", "m"))
-    led = scratch.save(led.select("node", "lead").distinct(), "led")
-    first = led.groupBy("node").agg(F.min("lead").alias("lead")).select(*ordered("node", "lead")).unionByName(close)
+    led = led.select("node", "n", F.col("l.node").alias("lead"), F.col("l.n").alias("m"), F.col("l.w").alias("w")).where((F.col("node") != F.col("lead")) & _fits("n", "m"))
+    led = scratch.save(led.select("node", "lead", "w").distinct(), "led")
+    first = led.groupBy("node").agg(F.max_by("lead", F.struct("w", "lead")).alias("lead")).select(*ordered("node", "lead")).unionByName(close)
     first = scratch.save(first.distinct(), "first")
     links = scratch.save(similar(first, sets), "links-1")
     part = _components(spark, links, scratch, "parts-1")
@@ -168,10 +195,12 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, scratc
 
     near = near.join(part, F.col("node") == F.col("_node"), "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = near.groupBy("band", "key").agg(F.min("c").alias("_l"), F.max("c").alias("_m")).where("_l < _m").select("band", "key")
-    near = scratch.save(near.join(mixed, ["band", "key"], "left_semi"), "mixed")
+    near = near.join(mixed, ["band", "key"], "left_semi").join(nodes.select("node", "bits"), "node")
+    near = scratch.save(near, "mixed")
     x, y = near.alias("x"), near.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    rest = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _fits("x.n", "y.n"))
+    close = 9 * _differ("x.bits", "y.bits") <= F.col("x.n") + F.col("y.n")  # m + n - 2 i <= (m + n) / 9 where i / (m + n - i) >= 0.8
+    rest = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & _fits("x.n", "y.n") & close)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first.unionByName(other), ["a", "b"], "left_anti")
     more = scratch.save(similar(scratch.save(rest, "rest"), sets), "links-3")
     for name in ("candidates", "near", "led", "mixed"):
@@ -190,9 +219,9 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "neardup")
     each = scratch.save(_keyed(docs), "each")
-    first = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    first = [F.first(c).alias(c) for c in ("n", "fp", "bits", "keys")]
     nodes = each.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1")).alias("r"), *first)
-    nodes = scratch.save(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t1").alias("t1"), "n", "fp", "keys"), "nodes")
+    nodes = scratch.save(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t1").alias("t1"), "n", "fp", "bits", "keys"), "nodes")
     links = similar_links(spark, docs, nodes, scratch)
     member = connected_components(spark, links, scratch)
     member = scratch.save(member.join(nodes.select(F.col("node").alias("_node"), "rep"), F.col("node") == F.col("_node")).select("node", "component", "rep"), "member")

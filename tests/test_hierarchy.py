@@ -223,3 +223,26 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = pairs_by_difference(spark.read.parquet(f"{tmp_path}/in/*"), paths)
     assert sorted(map(tuple, spark.table("arrived").collect())) == sorted(map(tuple, batch.collect())) == [(1, 10), (2, 10), (3, 10), (4, 10)]
+
+
+def test_deep_chain_and_cycles(spark):
+    from treelake.operators.tree import node_paths
+
+    n = 6001
+    edges = [(i, i + 1) for i in range(1, n)] + [(8001, 8002), (8002, 8001), (8002, 8003), (8003, 8004), (9001, 9002)]
+    paths = node_paths(spark.createDataFrame(edges, "parent long, child long"), 1)
+    row = paths.selectExpr("count(*) n", "max(depth) deepest", "min(taxid) low", "max(taxid) high").first()
+    assert (row.n, row.deepest, row.low, row.high) == (n, n - 1, 1, n)
+
+
+def test_negatives_with_rejection_fill_up(spark):
+    from treelake.operators.sampling import rejecting_negatives
+
+    nodes = spark.range(40).selectExpr("cast(id as int) idx")
+    positives = [(i, j) for i in range(40) for j in range(30) if i % 4 == 0 and j != i]  # these may draw 10 nodes at most
+    got = rejecting_negatives(nodes, spark.createDataFrame(positives, "idx int, negative_idx int"), 5, 3).collect()
+    bad, by = set(positives), {}
+    for r in got:
+        assert r.negative_idx != r.descendant_idx and (r.descendant_idx, r.negative_idx) not in bad
+        by.setdefault(r.descendant_idx, []).append((r.draw_no, r.negative_idx))
+    assert len(by) == 40 and all(sorted(d for d, _ in v) == [1, 2, 3, 4, 5] and len({x for _, x in v}) == 5 for v in by.values())

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from treelake.plans.queries import ORACLE, QUERIES
+from treelake.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()

@@ -75,6 +75,11 @@ def riemannian_gradient(p: Column, g: Column) -> Column:
     return scale(g, (1 - squared_norm(p)) * (1 - squared_norm(p)) / 4)
 
 
+def riemannian_step(p: Column, g: Column, rate: float, most: float = 0.999) -> Column:
+    """One step of Riemannian gradient descent in the ball: against the scaled gradient, then back into the ball."""
+    return project_to_ball(F.zip_with(p, riemannian_gradient(p, g), lambda a, b: a - rate * b), most)
+
+
 def lorentz_dot(u: Column, v: Column) -> Column:
     return dot(u, v) - 2 * F.get(u, 0) * F.get(v, 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..tables import new_folder
 
 
 def norms(emb: DataFrame) -> DataFrame:
@@ -93,9 +94,17 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def norm_by_depth(rows: DataFrame) -> DataFrame:
-    n = F.percentile("norm", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    by = rows.groupBy("depth").agg(F.count("*").alias("n"), F.min("norm").alias("least"), n.alias("q"), F.max("norm").alias("most"))
-    return by.select("depth", "n", "least", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "most")
+    """(depth, n, least, q1, median, q3, most): quartiles by place among the numbered norms of a depth, interpolated."""
+    from .sampling import numbered
+
+    placed = numbered(rows.select("depth", "norm"), ["depth"], ["norm"], "i")
+    sizes = rows.groupBy("depth").agg(F.count("*").alias("n"), F.min("norm").alias("least"), F.max("norm").alias("most"))
+    want = sizes.select("depth", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), (1 + p * (F.col("n") - 1)).alias("x")) for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])).alias("w")).select("depth", "w.*")
+    ends = want.select("depth", "c", "x", F.explode(F.array_distinct(F.array(F.floor("x"), F.ceil("x")))).alias("i"))
+    hit = placed.join(ends, ["depth", "i"]).groupBy("depth", "c", "x").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    hit = hit.select("depth", "c", (F.col("low") + (F.col("x") - F.floor("x")) * (F.col("high") - F.col("low"))).alias("v"))
+    at = hit.groupBy("depth").pivot("c", ["q1", "median", "q3"]).agg(F.first("v"))
+    return sizes.join(at, "depth").select("depth", "n", "least", "q1", "median", "q3", "most")
 
 
 def hierarchy_share(pairs: DataFrame, emb: DataFrame) -> DataFrame:
@@ -127,40 +136,88 @@ def _packed(emb: DataFrame, tile: int, label: str | None) -> DataFrame:
     return rows.groupBy((F.col("_h") % n_tiles).cast("int").alias("tile")).agg(F.sort_array(F.collect_list(F.struct("idx", "cls", "vec"))).alias("rows"))
 
 
+def _rows_of(emb: DataFrame, label: str | None) -> DataFrame:
+    cls = F.coalesce(F.col(label).cast("long"), F.lit(-1)) if label else F.lit(-1).cast("long")
+    return emb.select(F.col("idx").cast("long").alias("idx"), cls.alias("cls"), F.col("vec").cast("array<double>").alias("vec"))
+
+
+def _arrays(batches: Iterator, size: int) -> Iterator[tuple]:
+    """(idx, cls, matrix) of at most `size` rows at a time from Arrow batches of (idx, cls, vec)."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            part = b.slice(at, size)
+            yield part.column("idx").to_numpy(), part.column("cls").to_numpy(), part.column("vec").flatten().to_numpy().reshape(part.num_rows, -1)
+
+
+def _against_all(emb: DataFrame, label: str | None, tile: int, work, schema: str) -> DataFrame:
+    """work(idx, cls, matrix, tiles) for blocks of at most `tile` rows, where tiles() gives all rows block by block.
+
+    The blocks are written once to the shared folder, and each task lets them stream past its own rows: no vector
+    is shuffled, and a task holds two blocks.
+    """
+    import pyarrow as pa
+
+    rows, folder = _rows_of(emb, label), new_folder(emb.sparkSession, "tiles")
+
+    def pack(batches: Iterator) -> Iterator:
+        for idx, cls, m in _arrays(batches, tile):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (idx, cls, m)], ["idx", "cls", "matrix"])
+
+    rows.mapInArrow(pack, "idx binary, cls binary, matrix binary").write.parquet(f"{folder}/tiles")
+
+    def tiles() -> Iterator[tuple]:
+        import numpy as np
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        store, top = fs.FileSystem.from_uri(f"{folder}/tiles")
+        for f in sorted(store.get_file_info(fs.FileSelector(top)), key=lambda f: f.path):
+            if f.path.endswith(".parquet"):
+                with store.open_input_file(f.path) as file:
+                    for b in pq.ParquetFile(file).iter_batches(batch_size=1):
+                        r = b.to_pylist()[0]
+                        idx = np.frombuffer(r["idx"], np.int64)
+                        yield idx, np.frombuffer(r["cls"], np.int64), np.frombuffer(r["matrix"]).reshape(len(idx), -1)
+
+    def run(batches: Iterator) -> Iterator:
+        for idx, cls, m in _arrays(batches, tile):
+            yield from work(idx, cls, m, tiles)
+
+    return rows.mapInArrow(run, schema)
+
+
 def nearest_neighbors(emb: DataFrame, k: int, label: str | None = None, clamped: bool = True, tile: int = 1024) -> DataFrame:
     """(idx, cls, rank, neighbor, neighbor_cls, distance): the k nearest of each row by Poincaré distance.
 
-    The row itself is left out by its idx; ties go to the smaller idx. Rows are hashed into tiles of
-    about `tile` vectors; each pair of tiles is one block of distances, of which k a row are kept and merged.
+    The row itself is left out by its idx; ties go to the smaller idx. Each block of `tile` rows meets all blocks in
+    turn and keeps k of each row; only these leave the task.
     """
-    tiles = _packed(emb, tile, label)
-    work = tiles.select(F.col("tile").alias("a"), F.col("rows").alias("a_rows")).join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("b_rows")), F.lit(True))
-    work = work.repartition("a", "b")
 
-    def run(batches: Iterator) -> Iterator:
+    def work(ai, ac, av, tiles):
         import numpy as np
         import pyarrow as pa
 
-        names = ["idx", "cls", "neighbor", "neighbor_cls", "distance"]
-        for batch in batches:
-            for a, b in zip(batch.column("a_rows").to_pylist(), batch.column("b_rows").to_pylist()):
-                av, bv = np.array([r["vec"] for r in a]), np.array([r["vec"] for r in b])
-                ai, bi = np.array([r["idx"] for r in a]), np.array([r["idx"] for r in b])
-                ac, bc = np.array([r["cls"] for r in a]), np.array([r["cls"] for r in b])
-                out = []
-                for at in range(0, len(av), 128):
-                    d = _poincare_block(av[at : at + 128], bv, clamped)
-                    d[ai[at : at + 128, None] == bi[None, :]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows of a tile lie in order of idx
-                    r, c = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
-                    keep = np.isfinite(d[r, c])
-                    r, c = r[keep], c[keep]
-                    out.append((ai[at + r], ac[at + r], bi[c], bc[c], d[r, c]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names)
-
-    found = work.mapInArrow(run, "idx long, cls long, neighbor long, neighbor_cls long, distance double")
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy("distance", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("idx", "cls", "rank", "neighbor", "neighbor_cls", "distance")
+        best = None
+        for bi, bc, bv in tiles():
+            for at in range(0, len(av), 128):
+                d = _poincare_block(av[at : at + 128], bv, clamped)
+                d[ai[at : at + 128, None] == bi[None, :]] = np.inf
+                near = np.lexsort((np.broadcast_to(bi, d.shape), d), axis=1)[:, :k]
+                r, c = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
+                keep = np.isfinite(d[r, c])
+                r, c = r[keep], c[keep]
+                new = (at + r, bi[c], bc[c], d[r, c])
+                best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
+            order = np.lexsort((best[1], best[3], best[0]))
+            row, other, kind, d = (x[order] for x in best)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = tuple(x[place < k] for x in (row, other, kind, d))
+        if best is not None:
+            row, other, kind, d = best
+            rank = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype("int32")
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ai[row], ac[row], rank, other, kind, d)], ["idx", "cls", "rank", "neighbor", "neighbor_cls", "distance"])
+
+    return _against_all(emb, label, tile, work, "idx long, cls long, rank int, neighbor long, neighbor_cls long, distance double")
 
 
 def knn_purity(emb: DataFrame, label: str, k: int = 10) -> DataFrame:
@@ -172,32 +229,26 @@ def knn_purity(emb: DataFrame, label: str, k: int = 10) -> DataFrame:
 
 def distance_sums(emb: DataFrame, label: str, tile: int = 1024, width: float = 1.0, bins: int = 64, clamped: bool = True) -> DataFrame:
     """(same, bin, n, total, squares) of all ordered pairs of different rows, summed within each block of distances."""
-    tiles = _packed(emb.where(F.col(label).isNotNull()), tile, label)
-    work = tiles.select(F.col("tile").alias("a"), F.col("rows").alias("a_rows")).join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("b_rows")), F.lit(True))
 
-    def run(batches: Iterator) -> Iterator:
+    def work(ai, ac, av, tiles):
         import numpy as np
         import pyarrow as pa
 
         n, total, squares = (np.zeros((2, bins)) for _ in range(3))
-        for batch in batches:
-            for a, b in zip(batch.column("a_rows").to_pylist(), batch.column("b_rows").to_pylist()):
-                av, bv = np.array([r["vec"] for r in a]), np.array([r["vec"] for r in b])
-                ai, bi = np.array([r["idx"] for r in a]), np.array([r["idx"] for r in b])
-                ac, bc = np.array([r["cls"] for r in a]), np.array([r["cls"] for r in b])
-                for at in range(0, len(av), 128):
-                    d = _poincare_block(av[at : at + 128], bv, clamped)
-                    other, same = ai[at : at + 128, None] != bi[None, :], ac[at : at + 128, None] == bc[None, :]
-                    slot = np.minimum((d / width).astype(int), bins - 1)
-                    for s in (0, 1):
-                        take = other & (same == bool(s))
-                        n[s] += np.bincount(slot[take], minlength=bins)
-                        total[s] += np.bincount(slot[take], d[take], bins)
-                        squares[s] += np.bincount(slot[take], d[take] ** 2, bins)
+        for bi, bc, bv in tiles():
+            for at in range(0, len(av), 128):
+                d = _poincare_block(av[at : at + 128], bv, clamped)
+                other, same = ai[at : at + 128, None] != bi[None, :], ac[at : at + 128, None] == bc[None, :]
+                slot = np.minimum((d / width).astype(int), bins - 1)
+                for s in (0, 1):
+                    take = other & (same == bool(s))
+                    n[s] += np.bincount(slot[take], minlength=bins)
+                    total[s] += np.bincount(slot[take], d[take], bins)
+                    squares[s] += np.bincount(slot[take], d[take] ** 2, bins)
         s, k = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(s == 1), pa.array(k.astype("int32")), pa.array(n[s, k].astype("int64")), pa.array(total[s, k]), pa.array(squares[s, k])], ["same", "bin", "n", "total", "squares"])
 
-    part = work.repartition("a", "b").mapInArrow(run, "same boolean, bin int, n long, total double, squares double")
+    part = _against_all(emb.where(F.col(label).isNotNull()), label, tile, work, "same boolean, bin int, n long, total double, squares double")
     return part.groupBy("same", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
 
 
@@ -218,7 +269,7 @@ def distance_histogram(emb: DataFrame, label: str, width: float = 0.25, bins: in
     return distance_sums(emb, label, width=width, bins=bins).select("same", "bin", "n")
 
 
-def group_pairs(rows: DataFrame, group: str, within: int = 20, across: int = 10, cap: int = 100, least: int = 10, seed: int = 1) -> DataFrame:
+def group_pairs(rows: DataFrame, group: str, within: int = 20, across: int = 10, cap: int = 100, least: int = 10, seed: int = 1, metric: str = "poincare") -> DataFrame:
     """(same, d): distances of bounded pairs, as for reports: at most `cap` rows of each group with
     `least` or more; each row meets the next `within` - 1 of its group, each group's first row those of the
     next `across` - 1 groups."""
@@ -226,10 +277,10 @@ def group_pairs(rows: DataFrame, group: str, within: int = 20, across: int = 10,
 
     big = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     number = big.select(F.col(group).alias("_g"), F.row_number().over(Window.orderBy(group)).alias("g"))  # a row a group
-    s = capped_sample(rows, [group], cap, seed, ["idx"]).join(F.broadcast(number), F.col(group) == F.col("_g"))
+    s = capped_sample(rows, [group], cap, seed, ["idx"]).join(number, F.col(group) == F.col("_g"))
     s = s.select("g", "idx", "vec", F.row_number().over(Window.partitionBy("g").orderBy("idx")).alias("i"))
     a, b = s.alias("a"), s.alias("b")
-    d = V.poincare_distance(F.col("a.vec"), F.col("b.vec"))
+    d = V.poincare_distance(F.col("a.vec"), F.col("b.vec")) if metric == "poincare" else F.sqrt(V.squared_distance(F.col("a.vec"), F.col("b.vec")))
     near = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("b.i") > F.col("a.i")) & (F.col("b.i") < F.col("a.i") + within)).select(F.lit(True).alias("same"), d.alias("d"))
     heads = s.where("i = 1").select((F.explode(F.sequence(F.col("g") + 1, F.col("g") + across - 1))).alias("to"), "vec", "g")
     far = heads.alias("a").join(s.where("i = 1").alias("b"), F.col("a.to") == F.col("b.g")).select(F.lit(False).alias("same"), d.alias("d"))
@@ -293,6 +344,76 @@ def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int = 1024) -> Dat
     return seen.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("place") - F.col("found") + 1).alias("mean_rank"), F.avg(F.col("found") / F.col("place")).alias("ap"))
 
 
+def rank_clustering(emb: DataFrame, groups: DataFrame, metric: str = "poincare") -> DataFrame:
+    """One row: distances within and between the groups(idx, group), as group_distances, and a verdict on their ratio.
+
+    `euclid` takes straight distances. Without distances of either kind the ratio is null and the verdict N/A.
+    """
+    d = group_distances(group_pairs(emb.join(groups.where("group is not null"), "idx"), "group", metric=metric))
+    r = F.col("ratio")
+    return d.withColumn("verdict", F.when(r > 2.0, "excellent").when(r > 1.5, "good").when(r > 1.2, "moderate").when(r.isNotNull(), "weak").otherwise("N/A"))
+
+
+def multiscale_knn(emb: DataFrame, paths: DataFrame, depths, k: int = 10) -> DataFrame:
+    """(depth, n, purity): share of the k nearest neighbours with the row's ancestor at each depth, for paths(idx, path).
+
+    Neighbours are found once; rows or neighbours above a depth take no part in it.
+    """
+    near = nearest_neighbors(emb, k).select("idx", "neighbor")
+    own = paths.select("idx", "path")
+    both = near.join(own, "idx").join(own.select(F.col("idx").alias("neighbor"), F.col("path").alias("other")), "neighbor")
+    at = both.select(F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"), "path", "other")
+    a, b = F.get("path", F.col("depth")), F.get("other", F.col("depth"))
+    return at.where(a.isNotNull() & b.isNotNull()).groupBy("depth").agg(F.count("*").alias("n"), F.avg((a == b).cast("double")).alias("purity"))
+
+
+def euclidean_neighbors(emb: DataFrame, idx: int, k: int) -> DataFrame:
+    """(idx, distance): the k rows nearest to one row by straight distance, ties to the smaller idx; itself left out."""
+    one = emb.where(F.col("idx") == idx).select(F.col("vec").alias("_q")).limit(1)
+    d = F.sqrt(V.squared_distance(F.col("vec"), F.col("_q")))
+    return emb.where(F.col("idx") != idx).join(F.broadcast(one), F.lit(True)).select("idx", d.alias("distance")).orderBy("distance", "idx").limit(k)
+
+
+def histogram(rows: DataFrame, column: str, bins: int = 50) -> DataFrame:
+    """(bin, n) of equal bins from 0 to the largest value, which falls into the last one."""
+    top = rows.agg(F.max(column).alias("_top"))
+    at = F.least(F.floor(F.col(column) / F.col("_top") * bins), F.lit(bins - 1)).cast("int")
+    return rows.join(F.broadcast(top), F.lit(True)).groupBy(F.coalesce(at, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def norm_by_quartile(rows: DataFrame) -> DataFrame:
+    """(quartile, n, least, mean, most) of the norms in rows(depth, norm), by quartile of depth."""
+    q = percentiles(rows, "depth", (0.25, 0.5, 0.75)).agg(F.min("value").alias("q1"), F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("q2"), F.max("value").alias("q3"))
+    part = F.when(F.col("depth") <= F.col("q1"), 1).when(F.col("depth") <= F.col("q2"), 2).when(F.col("depth") <= F.col("q3"), 3).otherwise(4)
+    return rows.join(F.broadcast(q), F.lit(True)).groupBy(part.alias("quartile")).agg(F.count("*").alias("n"), F.min("norm").alias("least"), F.avg("norm").alias("mean"), F.max("norm").alias("most"))
+
+
+def distance_summary(pairs: DataFrame) -> DataFrame:
+    """(same, n, least, median, most) of pairs(same, d)."""
+    middle = None
+    for same in (True, False):
+        one = percentiles(pairs.where(F.col("same") == same), "d", [0.5]).select(F.lit(same).alias("_same"), F.col("value").alias("median"))
+        middle = one if middle is None else middle.unionByName(one)
+    by = pairs.groupBy("same").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
+    return by.join(F.broadcast(middle), F.col("same") == F.col("_same")).select("same", "n", "least", "median", "most")
+
+
+def largest_groups(rows: DataFrame, by: str, n: int) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
+
+
+def shares(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, pct) of all rows."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all"))), F.lit(True)).select(by, "n", (100.0 * F.col("n") / F.col("_all")).alias("pct"))
+
+
+def compare_histories(clean: DataFrame, dirty: DataFrame) -> DataFrame:
+    """(epoch, clean, dirty, delta, delta_pct) of the losses of two histories(epoch, loss); an epoch of one alone has nulls."""
+    both = clean.select("epoch", F.col("loss").alias("clean")).join(dirty.select("epoch", F.col("loss").alias("dirty")), "epoch", "full")
+    return both.select("epoch", "clean", "dirty", (F.col("clean") - F.col("dirty")).alias("delta"), F.try_divide(100 * (F.col("clean") - F.col("dirty")), F.col("dirty")).alias("delta_pct"))
+
+
 def participation_ratio(emb: DataFrame) -> DataFrame:
     """One row: (sum of eigenvalues)^2 / sum of their squares of the covariance, as trace(C)^2 / |C|_F^2.
 
@@ -342,8 +463,8 @@ def class_weights(labels: DataFrame, most: float = 10.0) -> DataFrame:
 
 
 def improvement(history: DataFrame) -> DataFrame:
-    """history(epoch, loss) with the change to the epoch before and the best so far. A row an epoch: few."""
+    """history(epoch, loss) with the change to the epoch before, the best so far and its epoch. A row an epoch: few."""
     w = Window.orderBy("epoch")
     prev = F.lag("loss").over(w)
-    best = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return history.select("epoch", "loss", (F.col("loss") - prev).alias("delta"), (100 * (F.col("loss") - prev) / prev).alias("delta_pct"), best.alias("best"))
+    best = F.min(F.struct("loss", "epoch")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return history.select("epoch", "loss", (F.col("loss") - prev).alias("delta"), (100 * (F.col("loss") - prev) / prev).alias("delta_pct"), best["loss"].alias("best"), best["epoch"].alias("best_epoch"))

@@ -107,3 +107,25 @@ def symmetrized(cooc: DataFrame) -> DataFrame:
 def unigram_weights(cooc: DataFrame, power: float = 0.75) -> DataFrame:
     """(id, count, weight): summed weights of an id as second end, and their power, for sampling negatives."""
     return cooc.groupBy(F.col("id2").alias("id")).agg(F.sum("weight").alias("count")).withColumn("weight", F.pow("count", F.lit(power)))
+
+
+def within_bounds(pairs: DataFrame, emb: DataFrame) -> DataFrame:
+    """Pairs whose two indices are no larger than the largest of emb(idx)."""
+    top = emb.agg(F.max("idx").alias("_top"))
+    return pairs.join(F.broadcast(top), (F.col("ancestor_idx") <= F.col("_top")) & (F.col("descendant_idx") <= F.col("_top"))).drop("_top")
+
+
+def at_positions(pairs: DataFrame, positions: DataFrame, order: list[str]) -> DataFrame:
+    """The pairs at positions(pos) in the order of the columns `order`, with pos."""
+    return dense_index(pairs, order, "pos", "long").join(positions, "pos")
+
+
+def first_pairs(edges: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n edges, as a small data set."""
+    return dense_index(edges, order, "_i", "long").where(F.col("_i") < n).drop("_i")
+
+
+def with_objects(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges with the objects(taxid, name) of both ends."""
+    a = objects.select(F.col("taxid").alias("parent"), F.col("name").alias("parent_name"))
+    return edges.join(a, "parent").join(objects.select(F.col("taxid").alias("child"), F.col("name").alias("child_name")), "child")

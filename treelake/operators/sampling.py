@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,18 @@ def draw(seed: int, n: Column, *keys: Column) -> Column:
     return F.pmod(F.conv(F.substring(ticket(seed, *keys), 1, 12), 16, 10).cast("long"), n)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds `out`: 1, 2, ... within each group in the order of `order`. Ranges of all rows are numbered, then the first
+    number of a group is taken off, so a group of most rows is dealt to as many tasks as its share. A null in
+    `by` is a group of its own."""
+    placed = dense_index(df, [*by, *order], "_i", "long")
+    start = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_i").alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    return placed.join(start, reduce(Column.__and__, same)).withColumn(out, F.col("_i") - F.col("_start") + 1).drop("_i", "_start", *[f"_g{i}" for i in range(len(by))])
+
+
 def _ranked(df: DataFrame, by: list[str], seed: int, keys: list[str]) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(ticket(seed, *[F.col(k) for k in keys]), *keys)))
+    return numbered(df.withColumn("_t", ticket(seed, *[F.col(k) for k in keys])), by, ["_t", *keys], "_rn").drop("_t")
 
 
 def simple_sample(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
@@ -28,7 +40,8 @@ def simple_sample(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFram
 
 def capped_sample(df: DataFrame, by: list[str], cap: int, seed: int, keys: list[str]) -> DataFrame:
     """At most `cap` rows of each group; Spark cuts the ranks off before the shuffle."""
-    return _ranked(df, by, seed, keys).where(F.col("_rn") <= cap).drop("_rn")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(ticket(seed, *[F.col(k) for k in keys]), *keys))
+    return df.withColumn("_rn", rank).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def fraction_sample(df: DataFrame, by: str, fraction: float, seed: int, keys: list[str]) -> DataFrame:
@@ -44,7 +57,8 @@ def stratified_subsample(df: DataFrame, by: str, most: int, seed: int, keys: lis
     quota = quota.select("_by", F.greatest(F.lit(1), F.floor(F.lit(float(most)) * F.col("_n") / F.col("_total") + 1e-9)).alias("_quota"))
     ranked = _ranked(df, [by], seed, keys).join(F.broadcast(quota), F.col(by) == F.col("_by"))
     first = (F.col("_rn") > F.col("_quota")).cast("int")
-    return ranked.orderBy(first, ticket(seed, *[F.col(k) for k in keys]), *keys).limit(most).drop("_rn", "_by", "_quota")
+    ranked = ranked.select(*df.columns, first.alias("_late"), ticket(seed, *[F.col(k) for k in keys]).alias("_t"))
+    return dense_index(ranked, ["_late", "_t", *keys], "_i", "long").where(F.col("_i") < most).select(*df.columns)
 
 
 def class_balanced(df: DataFrame, by: str, total: int, seed: int, keys: list[str]) -> DataFrame:
@@ -72,9 +86,8 @@ def batches(df: DataFrame, size: int, seed: int, keys: list[str]) -> DataFrame:
 
 def pool(nodes: DataFrame, by: list[str]) -> DataFrame:
     """Adds pos (0.. in order of idx) and pool_size within each group: a table to draw from by equi-join."""
-    pos = F.row_number().over(Window.partitionBy(*by).orderBy("idx")) - 1
     sizes = nodes.groupBy(*by).agg(F.count("*").alias("pool_size"))
-    return nodes.withColumn("pos", pos.cast("long")).join(sizes, by)
+    return numbered(nodes.dropna(subset=by), by, ["idx"], "_at").withColumn("pos", F.col("_at") - 1).drop("_at").join(sizes, by)
 
 
 def pool_negatives(wanted: DataFrame, nodes: DataFrame, by: list[str], seed: int, tier: str) -> DataFrame:
@@ -90,13 +103,12 @@ def pool_negatives(wanted: DataFrame, nodes: DataFrame, by: list[str], seed: int
     return hit.where("negative_idx <> descendant_idx").select("descendant_idx", "draw_no", "negative_idx", F.lit(tier).alias("tier"))
 
 
-def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]], positives: DataFrame | None = None) -> DataFrame:
+def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]]) -> DataFrame:
     """(descendant_idx, draw_no, negative_idx, tier): k negatives for each of nodes(idx, <columns of the tiers>).
 
     tiers: (name, columns, last draw_no) in order; draws up to that number come from the pool of nodes
     that agree in these columns. What a tier can't give falls to the last tier, and then to any node; a
-    node is never its own negative (in a tree of one node there is none). positives(idx, negative_idx):
-    pairs to leave out, if given.
+    node is never its own negative (in a tree of one node there is none). rejecting_negatives leaves out positives.
     """
     nodes = saved(nodes, "nodes")
     wanted = nodes.select(F.col("idx").alias("descendant_idx"), *[c for c in nodes.columns if c != "idx"], F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw_no"))
@@ -116,8 +128,33 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
     step = draw(seed, F.col("n") - 1, F.lit("random"), F.col("descendant_idx"), F.col("draw_no")) + 1
     anywhere = left.select("descendant_idx", "draw_no", F.pmod(F.col("descendant_idx") + step, F.col("n")).cast("int").alias("negative_idx"), F.lit("random").alias("tier"))
     found = found.unionByName(anywhere)
-    if positives is not None:
-        found = found.join(positives.select(F.col("idx").alias("descendant_idx"), "negative_idx"), ["descendant_idx", "negative_idx"], "left_anti")
+    return found
+
+
+def rejecting_negatives(nodes: DataFrame, positives: DataFrame, k: int, seed: int, spare: int = 4, rounds: int = 20) -> DataFrame:
+    """(descendant_idx, draw_no, negative_idx): k different negatives for each of nodes(idx), never itself nor its positives.
+
+    nodes: idx runs 0..n-1. positives(idx, negative_idx). Each round draws `spare` times what a node still lacks,
+    drops hits and repeats, and keeps the first; nodes that lack some draw again. A node that has fewer than k
+    others to draw from gets what the rounds find of them.
+    """
+    nodes = saved(nodes.select(F.col("idx").alias("descendant_idx")), "nodes")
+    n = nodes.count()
+    taken = positives.select(F.col("idx").alias("descendant_idx"), "negative_idx").distinct()
+    found = saved(nodes.select("descendant_idx", F.lit(0).cast("int").alias("draw_no"), F.col("descendant_idx").alias("negative_idx")).limit(0), "drawn")
+    lack = nodes.select("descendant_idx", F.lit(k).cast("long").alias("lack"))
+    for r in range(rounds):
+        tries = lack.select("descendant_idx", "lack", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lack") * spare)).alias("try"))
+        tries = tries.withColumn("negative_idx", draw(seed, F.lit(n), F.lit(r), F.col("descendant_idx"), F.col("try")).cast("int"))
+        fresh = tries.where("negative_idx <> descendant_idx").groupBy("descendant_idx", "negative_idx", "lack").agg(F.min("try").alias("try"))
+        fresh = fresh.join(taken, ["descendant_idx", "negative_idx"], "left_anti").join(found, ["descendant_idx", "negative_idx"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("descendant_idx").orderBy("try"))  # at most spare * k rows
+        kept = fresh.withColumn("_p", place).where("_p <= lack").select("descendant_idx", (F.lit(k) - F.col("lack") + F.col("_p")).cast("int").alias("draw_no"), "negative_idx")
+        found = saved(found.unionByName(kept), "drawn")
+        have = found.groupBy("descendant_idx").agg(F.count("*").alias("have"))
+        lack = nodes.join(have, "descendant_idx", "left").select("descendant_idx", (F.lit(k) - F.coalesce("have", F.lit(0))).alias("lack")).where("lack > 0")
+        if lack.isEmpty():
+            break
     return found
 
 

@@ -48,6 +48,14 @@ def initial_vectors(nodes: DataFrame, dim: int, max_depth: int, schedule: str =
     return raw.select("idx", "depth", V.scale(F.col("g"), radius / F.greatest(V.norm(F.col("g")), F.lit(1e-12))).alias("vec"))
 
 
+def uniform_vectors(nodes: DataFrame, dim: int, most: float = 1e-3, seed: int = 7) -> DataFrame:
+    """(idx, vec): each coordinate drawn evenly from -most to most, by a hash of (seed, idx, coordinate)."""
+    from .sampling import draw
+
+    part = lambda k: (2 * draw(seed, F.lit(1 << 40), F.col("idx"), k) / float(1 << 40) - 1) * most
+    return nodes.select("idx", F.array(*[part(F.lit(k)) for k in range(dim)]).alias("vec"))
+
+
 def _distance_and_gradient(u, v):
     """Distances of rows of u and v, and their gradients by u and by v."""
     import numpy as np

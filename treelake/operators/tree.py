@@ -16,22 +16,22 @@ def edges_of(nodes: DataFrame) -> DataFrame:
     return nodes.where("taxid is not null and parent is not null and parent <> taxid").select("parent", F.col("taxid").alias("child"))
 
 
-def node_paths(edges: DataFrame, root: int, max_depth: int | None = None, most_levels: int = 1 << 12) -> DataFrame:
+def node_paths(edges: DataFrame, root: int, max_depth: int | None = None) -> DataFrame:
     """The subtree of `root`: (taxid, path, depth), root included, at most `max_depth` levels below it.
 
     By path doubling: each round appends to every unfinished chain of ancestors the chain of its last
-    one, so a tree of d levels takes log2(d) joins of one row a node. Nodes that don't lead to the root,
-    cycles among them, never finish and are left out; of several parents of a node the least counts. Each
+    one, so a tree of d levels takes log2(d) joins of one row a node, however deep it is. Nodes that don't
+    lead to the root are left out, those as soon as their chain meets itself that lead into a cycle; of several parents of a node the least counts. Each
     round is written, so the plan stays short.
     """
     spark = edges.sparkSession
     up = edges.where(F.col("child") != root).groupBy(F.col("child").alias("taxid")).agg(F.min("parent").alias("top"))
-    open_, done, levels = saved(up.select("taxid", F.array("taxid").alias("chain"), "top"), "chains"), None, 1
+    open_, done = saved(up.select("taxid", F.array("taxid").alias("chain"), "top"), "chains"), None
     while True:
         ended = open_.where(F.col("top") == root).select("taxid", "chain")
         done = ended if done is None else done.unionByName(ended)
         rest = open_.where(F.col("top") != root)
-        if levels >= most_levels or rest.isEmpty():
+        if rest.isEmpty():
             break
         # the chain above a node may be open or ended; where it is neither, the node is unreachable
         above = rest.select(F.col("taxid").alias("top"), F.col("chain").alias("more"), F.col("top").alias("next"))
@@ -39,7 +39,7 @@ def node_paths(edges: DataFrame, root: int, max_depth: int | None = None, most_l
         grown = rest.join(above, "top").select("taxid", F.concat("chain", "more").alias("chain"), F.col("next").alias("top"))
         if max_depth is not None:
             grown = grown.where(F.size("chain") <= max_depth)
-        open_, levels = saved(grown, "chains"), 2 * levels
+        open_ = saved(grown.where((F.col("top") == root) | ~F.array_contains("chain", F.col("top"))), "chains")
     start = spark.createDataFrame([(root,)], "taxid long").select("taxid", F.array().cast("array<bigint>").alias("chain"))
     nodes = start if max_depth is not None and max_depth <= 0 else start.unionByName(done)
     if max_depth is not None:

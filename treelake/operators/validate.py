@@ -51,3 +51,10 @@ def node_roles(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     both = mapping.select("idx").join(flags, "idx", "left")
     role = F.when((F.col("a") == 1) & (F.col("d") == 1), "both").when(F.col("a") == 1, "ancestor").when(F.col("d") == 1, "descendant").otherwise("never")
     return both.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """One row: edges, distinct parents, children and nodes. Ends are counted once each first."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("parent").alias("taxid"), F.lit(1).alias("p"), F.lit(0).alias("c")), F.struct(F.col("child").alias("taxid"), F.lit(0).alias("p"), F.lit(1).alias("c")))).alias("e")).select("e.*")
+    by = ends.groupBy("taxid").agg(F.max("p").alias("p"), F.max("c").alias("c"))
+    return by.agg(F.sum("p").alias("parents"), F.sum("c").alias("children"), F.count("*").alias("nodes"))

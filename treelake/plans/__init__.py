@@ -1,0 +1,6 @@
+"""All registered queries and their SQL."""
+
+from . import queries, reports, round_trips
+
+QUERIES = {**queries.QUERIES, **reports.QUERIES, **round_trips.QUERIES}
+ORACLE = {**queries.ORACLE, **reports.ORACLE, **round_trips.ORACLE}

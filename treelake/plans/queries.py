@@ -20,7 +20,6 @@ from .trees import CLOSURE_SQL, PART_NOISE, PARTS_SQL, VECTORS_SQL, geo, geo_sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 GEO = f"WITH RECURSIVE {geo_sql()}, {CLOSURE_SQL}"
-SMALL = f"WITH RECURSIVE {geo_sql(False)}, {CLOSURE_SQL}"
 PARTS = f"WITH RECURSIVE {PARTS_SQL}, {CLOSURE_SQL}"
 MAPPED = f"{GEO}, mapping AS (SELECT taxid, CAST(row_number() OVER (ORDER BY taxid) - 1 AS INTEGER) AS idx FROM nodes)"
 PAIRED = f"""{MAPPED}, pairs AS (SELECT ma.idx AS ancestor_idx, md.idx AS descendant_idx, CAST(dd AS INTEGER) AS depth_diff, CAST(da.depth AS INTEGER) AS ancestor_depth, CAST(d2.depth AS INTEGER) AS descendant_depth, a AS ancestor_taxid, d AS descendant_taxid
@@ -153,9 +152,9 @@ def leaf_nodes(spark, sf_dir):
     return T.leaves(T.edges_of(geo(spark, sf_dir)))
 
 
-@query(f"{SMALL} SELECT parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS neighbors FROM edges GROUP BY parent")
+@query(f"{GEO} SELECT parent, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS neighbors FROM edges GROUP BY parent")
 def children_lists(spark, sf_dir):
-    return T.adjacency(T.edges_of(geo(spark, sf_dir, False))).select("parent", F.array_join("neighbors", ",").alias("neighbors"))
+    return T.adjacency(T.edges_of(geo(spark, sf_dir))).select("parent", F.array_join("neighbors", ",").alias("neighbors"))
 
 
 @query(f"{GEO} SELECT parent, count(*) AS n_children, min(child) AS first_child, max(child) AS last_child FROM edges GROUP BY parent")
@@ -163,11 +162,10 @@ def children_counts(spark, sf_dir):
     return T.children_counts(T.edges_of(geo(spark, sf_dir)))
 
 
-@query("WITH m AS (SELECT n_nationkey + 100 AS taxid, n_name AS name FROM nation ORDER BY n_nationkey LIMIT 1) SELECT CAST(taxid AS BIGINT) AS taxid, name FROM m")
+@query(f"{GEO} SELECT min(taxid) AS taxid, min(name) AS name FROM nodes WHERE name = 'NATION_5' UNION ALL SELECT taxid, name FROM nodes WHERE taxid = 12")
 def resolve_name(spark, sf_dir):
-    nodes = geo(spark, sf_dir, False)
-    first = nodes.where("rank = 'nation'").agg(F.min_by("name", "taxid").alias("wanted"))
-    return nodes.join(F.broadcast(first), F.col("name") == F.col("wanted")).groupBy().agg(F.min_by(F.struct("taxid", "name"), "taxid").alias("m")).select("m.taxid", "m.name")
+    nodes = geo(spark, sf_dir)
+    return T.resolve(nodes, "NATION_5").unionByName(T.resolve(nodes, "12"))
 
 
 # ---------------------------------------------------------------- indices and pairs
@@ -209,10 +207,10 @@ def coverage_report(spark, sf_dir):
     return P.coverage(mapping, P.used_indices(pairs.where("depth_diff = 2")))
 
 
-@query(f"{PAIRED}, {USED} SELECT idx, taxid FROM mapping WHERE idx NOT IN (SELECT idx FROM used)")
+@query(f"{PAIRED}, used AS (SELECT ancestor_idx AS idx FROM pairs WHERE depth_diff = 3 AND descendant_taxid % 3 = 0 UNION SELECT descendant_idx FROM pairs WHERE depth_diff = 3 AND descendant_taxid % 3 = 0) SELECT idx, taxid FROM mapping WHERE idx NOT IN (SELECT idx FROM used)")
 def coverage_missing(spark, sf_dir):
     *_, mapping, pairs = _geo_pairs(spark, sf_dir)
-    return P.missing(mapping, P.used_indices(pairs.where("depth_diff = 2"))).select("idx", "taxid")
+    return P.missing(mapping, P.used_indices(pairs.where("depth_diff = 3 and descendant_taxid % 3 = 0"))).select("idx", "taxid")
 
 
 @query(f"{PAIRED}, few AS (SELECT * FROM pairs WHERE descendant_taxid % 3 = 0), used AS (SELECT ancestor_idx AS idx FROM few UNION SELECT descendant_idx FROM few) SELECT * FROM few UNION ALL SELECT coalesce(p.idx, m.idx), m.idx, CASE WHEN p.idx IS NULL THEN 0 ELSE 1 END, CAST(coalesce(dp.depth, dm.depth) AS INTEGER), CAST(dm.depth AS INTEGER), coalesce(p.taxid, m.taxid), m.taxid FROM mapping m LEFT JOIN edges e ON e.child = m.taxid LEFT JOIN mapping p ON p.taxid = e.parent LEFT JOIN depths dp ON dp.taxid = p.taxid LEFT JOIN depths dm ON dm.taxid = m.taxid WHERE m.idx NOT IN (SELECT idx FROM used)")
@@ -232,9 +230,9 @@ def pair_totals(spark, sf_dir):
     return pairs.agg(F.count("*").alias("pairs"), (F.max(F.greatest("ancestor_idx", "descendant_idx")) + 1).alias("n_nodes"), F.max("descendant_depth").alias("max_depth"))
 
 
-@query(f"{SMALL} SELECT id1, id2, count(*) AS n FROM (SELECT parent AS id1, child AS id2 FROM edges UNION ALL SELECT child, parent FROM edges) GROUP BY id1, id2")
+@query(f"{GEO} SELECT id1, id2, count(*) AS n FROM (SELECT parent AS id1, child AS id2 FROM edges UNION ALL SELECT child, parent FROM edges) GROUP BY id1, id2")
 def symmetrize(spark, sf_dir):
-    e = T.edges_of(geo(spark, sf_dir, False)).select(F.col("parent").alias("id1"), F.col("child").alias("id2"), F.lit(1.0).alias("weight"))
+    e = T.edges_of(geo(spark, sf_dir)).select(F.col("parent").alias("id1"), F.col("child").alias("id2"), F.lit(1.0).alias("weight"))
     return P.symmetrized(e).groupBy("id1", "id2").agg(F.count("*").alias("n"))
 
 
@@ -463,13 +461,13 @@ def depth_backfill(spark, sf_dir):
 
 _CAP = f"md5('1|' || CAST(idx AS VARCHAR))"
 GROUP_PAIRS = f"""WITH {VECTORS_SQL}, g AS (SELECT class, row_number() OVER (ORDER BY class) AS g FROM emb GROUP BY class HAVING count(*) >= 10),
-s AS (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY idx) AS i FROM (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY {_CAP}, idx) AS r FROM emb JOIN g USING (class)) WHERE r <= 40),
+s AS (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY idx) AS i FROM (SELECT g, idx, vec, row_number() OVER (PARTITION BY g ORDER BY {_CAP}, idx) AS r FROM emb JOIN g USING (class)) WHERE r <= 100),
 two AS (SELECT true AS same, a.vec AS u, b.vec AS v FROM s a JOIN s b ON a.g = b.g AND b.i > a.i AND b.i < a.i + 20 UNION ALL SELECT false, a.vec, b.vec FROM s a JOIN s b ON a.i = 1 AND b.i = 1 AND b.g > a.g AND b.g < a.g + 10),
 d AS (SELECT same, acosh(1 + 2 * {_SQ} / ((1 - {_HU}) * (1 - {_HV}) + 1e-5) + 1e-5) AS d FROM two)"""
 
 
 def _group_pairs(spark, sf_dir):
-    return M.group_pairs(scaled_vectors(spark, sf_dir), "class", cap=40)
+    return M.group_pairs(scaled_vectors(spark, sf_dir), "class")
 
 
 @query(f"{GROUP_PAIRS} SELECT count(*) FILTER (same) AS n_intra, count(*) FILTER (NOT same) AS n_inter, round(avg(d) FILTER (same), 6) AS mean_intra, round(avg(d) FILTER (NOT same), 6) AS mean_inter, round(stddev_pop(d) FILTER (same), 6) AS std_intra, round(stddev_pop(d) FILTER (NOT same), 6) AS std_inter, round(avg(d) FILTER (NOT same) / avg(d) FILTER (same), 6) AS ratio FROM d")
@@ -499,11 +497,11 @@ def norm_by_depth(spark, sf_dir):
     return q.select("depth", "n", *[_r(F.col(c), c) for c in ("least", "q1", "median", "q3", "most")])
 
 
-@query(f"{EMB}, p AS (SELECT x.norm AS a, y.norm AS d FROM norms x JOIN norms y ON y.class = x.class + 1 AND y.idx % 10 = x.idx % 10) SELECT count(*) AS n, round(100 * avg(CASE WHEN round(a, 9) < round(d, 9) THEN 1.0 ELSE 0.0 END), 6) AS hierarchy_pct FROM p")
+@query(f"{EMB}, p AS (SELECT x.norm AS a, y.norm AS d FROM norms x JOIN norms y ON y.class = x.class + 1) SELECT count(*) AS n, round(100 * avg(CASE WHEN round(a, 9) < round(d, 9) THEN 1.0 ELSE 0.0 END), 6) AS hierarchy_pct FROM p")
 def hierarchy_pct(spark, sf_dir):
     e = scaled_vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: F.round(x, 9)))
-    a = e.select(F.col("idx").alias("ancestor_idx"), (F.col("class") + 1).alias("c"), (F.col("idx") % 10).alias("m"))
-    pairs = a.join(e.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("c"), (F.col("idx") % 10).alias("m")), ["c", "m"])
+    a = e.select(F.col("idx").alias("ancestor_idx"), (F.col("class") + 1).alias("c"))
+    pairs = a.join(e.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("c")), "c")
     return M.hierarchy_share(pairs, e).select("n", _r(F.col("hierarchy_pct"), "hierarchy_pct"))
 
 
@@ -541,17 +539,9 @@ def distance_histogram(spark, sf_dir):
     return M.distance_histogram(scaled_vectors(spark, sf_dir), "class")
 
 
-@query(f"{ALL_PAIRS}, h AS (SELECT i, d, j, ci = cj AND j % 5 = i % 5 AS hit FROM d WHERE i % 25 = 0), o AS (SELECT i, hit, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY d, j) AS found FROM h) SELECT i AS source, count(*) AS n, round(avg(place - found + 1), 6) AS mean_rank, round(avg(found / place), 6) AS ap FROM o WHERE hit GROUP BY i")
+@query(f"{ALL_PAIRS}, h AS (SELECT i, d, j, ci = cj AS hit FROM d), o AS (SELECT i, hit, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY d, j) AS found FROM h) SELECT i AS source, count(*) AS n, round(avg(place - found + 1), 6) AS mean_rank, round(avg(found / place), 6) AS ap FROM o WHERE hit GROUP BY i")
 def reconstruction_map(spark, sf_dir):
-    e = scaled_vectors(spark, sf_dir)
-    a = e.where("idx % 25 = 0").select(F.col("idx").alias("source"), "class", (F.col("idx") % 5).alias("m"))
-    near = a.join(e.select(F.col("idx").alias("target"), "class", (F.col("idx") % 5).alias("m")), ["class", "m"]).where("source <> target").select("source", "target")
-    return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
-
-
-@query(None)
-def reconstruction_map_all(spark, sf_dir):
-    """The whole job: every vector is a source, and linked to all others of its class. reconstruction_map is the part that its SQL covers."""
+    """Every vector is a source, and linked to all others of its class."""
     e = scaled_vectors(spark, sf_dir)
     near = e.select(F.col("idx").alias("source"), "class").join(e.select(F.col("idx").alias("target"), "class"), "class").where("source <> target").select("source", "target")
     return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
@@ -573,10 +563,10 @@ def recommend_dim(spark, sf_dir):
     return geo(spark, sf_dir).agg(F.count("*").alias("n")).select("n", p.alias("packing"), F.least(F.greatest(p, F.lit(10)), F.lit(200)).alias("recommended"))
 
 
-@query("WITH h AS (SELECT CAST(l_linenumber AS INTEGER) AS epoch, avg(l_discount) AS loss FROM lineitem GROUP BY 1) SELECT epoch, round(loss, 6) AS loss, round(loss - lag(loss) OVER w, 6) AS delta, round(100 * (loss - lag(loss) OVER w) / lag(loss) OVER w, 5) AS delta_pct, round(min(loss) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING), 6) AS best FROM h WINDOW w AS (ORDER BY epoch)")
+@query("WITH h AS (SELECT CAST(l_linenumber AS INTEGER) AS epoch, avg(l_discount) AS loss FROM lineitem GROUP BY 1) SELECT epoch, round(loss, 6) AS loss, round(loss - lag(loss) OVER w, 6) AS delta, round(100 * (loss - lag(loss) OVER w) / lag(loss) OVER w, 5) AS delta_pct, round(min(loss) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING), 6) AS best, arg_min(epoch, loss) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_epoch FROM h WINDOW w AS (ORDER BY epoch)")
 def history_improvement(spark, sf_dir):
     h = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("epoch")).agg(F.avg("l_discount").alias("loss"))
-    return M.improvement(h).select("epoch", *[_r(F.col(c), c) for c in ("loss", "delta")], F.round("delta_pct", 5).alias("delta_pct"), _r(F.col("best"), "best"))
+    return M.improvement(h).select("epoch", *[_r(F.col(c), c) for c in ("loss", "delta")], F.round("delta_pct", 5).alias("delta_pct"), _r(F.col("best"), "best"), "best_epoch")
 
 
 # ---------------------------------------------------------------- samples
@@ -664,7 +654,7 @@ def negatives_tiered(spark, sf_dir):
     return S.negatives(_drawable(spark, sf_dir), 10, 18, TIERED)
 
 
-@query(None)
+@query(f"WITH w AS (SELECT o_custkey AS id, pow(count(*), 0.75) AS weight FROM orders GROUP BY o_custkey), c AS (SELECT id, sum(weight) OVER (ORDER BY id) AS high, weight FROM w), t AS (SELECT sum(weight) AS total FROM w), d AS (SELECT draw_no, {_DRAW(19, 1 << 40, 'draw_no')} / {float(1 << 40)} * total AS point FROM range(1, 10001) r(draw_no), t) SELECT draw_no, id FROM d ASOF JOIN (SELECT id, high - weight AS low FROM c) c ON d.point >= c.low")
 def weighted_negatives(spark, sf_dir):
     cooc = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id1"), F.col("o_custkey").alias("id2"), F.lit(1.0).alias("weight"))
     return S.weighted_draws(P.unigram_weights(cooc), 10_000, 19)

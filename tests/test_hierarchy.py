@@ -210,6 +210,50 @@ def test_training_lowers_the_loss(spark, tmp_path):
     assert h[-1].loss < h[0].loss and h[-1].depth_norm_corr > 0.5
     assert M.norms(vectors).agg(F.max("norm")).first()[0] < 1 and vectors.count() == 15
     assert writers.leaderboard(spark, str(tmp_path)).first().loss == min(x.loss for x in h)
+    least = min(h, key=lambda x: x.loss)  # the best epoch's vectors are kept and returned
+    assert [x.epoch for x in h if x.best][-1] == least.epoch
+    kept = readers.vectors_parquet(spark, f"{tmp_path}/best/vectors")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, vectors.select(F.col("idx").cast("int"), "vec").collect()))
+    more = training.Options(dim=6, epochs=7, negatives=4, rate=0.03, batches=4, curriculum=False)
+    _, later = training.train(data.pairs, table, more, str(tmp_path), resume=True)
+    assert sorted(r.epoch for r in later.collect()) == [6, 7]
+    assert writers.last_checkpoint(spark, str(tmp_path))[1] == 7
+
+
+def test_curriculum_keeps_the_best_quality(spark, tmp_path):
+    data = build_dataset(binary(spark), 100, "bin")
+    table = training.node_table(data.paths, data.mapping)
+    o = training.Options(dim=4, epochs=3, negatives=2, batches=1, phases=N.curriculum_phases("2:1,3:None"), burn_in=1, class_balanced=True, scaled_margin=True, max_pairs=40)
+    h = training.train(data.pairs, table, o, str(tmp_path))[1].orderBy("epoch").collect()
+    assert not h[0].best and h[1].best  # burn-in is never best
+    assert max(h[1:], key=lambda x: x.quality).epoch == [x.epoch for x in h if x.best][-1]
+    assert training.train(data.pairs, table, o, str(tmp_path), resume=True)[1].count() == 0
+
+
+def test_phases():
+    assert N.curriculum_phases(" 20:3, 1:1,50:None") == [(1, 1), (20, 3), (50, None)]
+    for bad in ("", "1", "1:x", "1:1,", "1:1;2:2", "-1:2"):
+        with pytest.raises(ValueError):
+            N.curriculum_phases(bad)
+    phases = [(5, 1), (9, None)]
+    assert [training.phase_limit(phases, e) for e in (1, 5, 8, 9)] == [None, 1, 1, None]
+
+
+def test_train_command_records_the_run(spark, tmp_path):
+    from treelake import cli
+
+    build_dataset(binary(spark, 2), 100, "bin", str(tmp_path))
+    data = next(p.parent for p in tmp_path.rglob("pairs"))
+    for extra, ended in ((["--curriculum-phases", "1:1,2:None", "--class-weighted-loss", "--optimizer", "riemannian", "--batch-size", "9"], "done"), (["--dim", "-1"], "failed")):
+        out = f"{tmp_path}/run{len(extra)}"
+        args = cli.parser().parse_args(["train", str(data), "--out", out, "--epochs", "1", "--dim", "3", "--n-negatives", "2", *extra])
+        if ended == "failed":
+            with pytest.raises(Exception):
+                cli.train(spark, args)
+        else:
+            cli.train(spark, args)
+            assert readers.vectors_parquet(spark, f"{out}/vectors").count() == 7
+        assert readers.json_record(spark, f"{out}/run.json", "status string").first().status == ended
 
 
 def test_streaming_counts_equal_batch(spark, tmp_path):

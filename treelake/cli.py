@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.names import dataset_name
+from .functions.names import curriculum_phases, dataset_name
 from .operators import metrics, pairs, training, tree
 from .plans.build import build_dataset
 from .sources import readers, writers
@@ -35,10 +36,18 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     mapping = readers.mapping_tsv(spark, f"{a.dataset}/mapping")
     root = tree.roots(edges).first().taxid
     nodes = training.node_table(tree.node_paths(edges, root), mapping)
-    options = training.Options(dim=a.dim or metrics.recommended_dimension(nodes.count()), epochs=a.epochs, negatives=a.n_negatives, rate=a.lr, margin=a.margin, radial=a.lambda_reg, schedule=a.radial_schedule, curriculum=a.curriculum, burn_in=a.burnin, nudge=a.radial_nudge, patience=a.early_stopping, fraction=a.epoch_fraction, tiered=a.tiered_negatives, scaled_margin=a.depth_scale_margin, class_weights=a.class_weighted_loss, riemannian=a.optimizer == "riemannian")
-    vectors, history = training.train(table, nodes, options, f"{a.out}/checkpoints")
-    vectors.write.mode("overwrite").parquet(f"{a.out}/vectors")
-    history.orderBy("epoch").show(a.epochs, False)
+    phases = curriculum_phases(a.curriculum_phases) if a.curriculum_phases else None
+    n_pairs = table.count() if a.batch_size else 0
+    options = training.Options(phases=phases, batches=max(1, -(-n_pairs // a.batch_size)) if a.batch_size else 4, burn_in_rate=a.burnin_multiplier, margin_low=a.margin_min, margin_high=a.margin_max, max_pairs=a.max_pairs, class_balanced=a.class_balanced, dim=a.dim or metrics.recommended_dimension(nodes.count()), epochs=a.epochs, negatives=a.n_negatives, rate=a.lr, margin=a.margin, radial=a.lambda_reg, schedule=a.radial_schedule, curriculum=a.curriculum or bool(phases), burn_in=a.burnin, nudge=a.radial_nudge, patience=a.early_stopping, fraction=a.epoch_fraction, tiered=a.tiered_negatives, scaled_margin=a.depth_scale_margin, class_weights=a.class_weighted_loss, riemannian=a.optimizer == "riemannian")
+    started, ended = time.time(), "failed"
+    try:
+        vectors, history = training.train(table, nodes, options, f"{a.out}/checkpoints", a.resume)
+        vectors.write.mode("overwrite").parquet(f"{a.out}/vectors")
+        history.orderBy("epoch").show(a.epochs, False)
+        ended = "done"
+    finally:  # a run that broke off can still be looked at by its checkpoints
+        chosen = {k: v for k, v in vars(a).items() if k != "do"}
+        writers.record(spark, {"dataset": a.dataset, "created_at": started, "seconds": time.time() - started, "status": ended, "args": chosen, "checkpoints": f"{a.out}/checkpoints", "best": f"{a.out}/checkpoints/best"}, f"{a.out}/run.json")
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -83,11 +92,12 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("train")
     p.add_argument("dataset")
     p.add_argument("--out", required=True)
-    for name, kind, default in (("dim", int, 0), ("epochs", int, 10), ("n-negatives", int, 10), ("lr", float, 0.01), ("margin", float, 0.1), ("lambda-reg", float, 0.01), ("burnin", int, 0), ("radial-nudge", float, 0.0), ("early-stopping", int, 10), ("epoch-fraction", float, 1.0)):
+    for name, kind, default in (("dim", int, 0), ("epochs", int, 10), ("n-negatives", int, 10), ("lr", float, 0.01), ("margin", float, 0.1), ("lambda-reg", float, 0.01), ("burnin", int, 0), ("radial-nudge", float, 0.0), ("early-stopping", int, 10), ("epoch-fraction", float, 1.0), ("burnin-multiplier", float, 0.1), ("margin-min", float, 0.05), ("margin-max", float, 1.0), ("max-pairs", int, 0), ("batch-size", int, 0)):
         p.add_argument(f"--{name}", type=kind, default=default)
+    p.add_argument("--curriculum-phases", help="first epoch:deepest difference, ..., such as 1:1,20:3,50:None")
     p.add_argument("--radial-schedule", choices=("linear", "log"), default="linear")
     p.add_argument("--optimizer", choices=("adam", "riemannian"), default="adam")
-    for name in ("curriculum", "tiered-negatives", "depth-scale-margin", "class-weighted-loss"):
+    for name in ("curriculum", "tiered-negatives", "depth-scale-margin", "class-weighted-loss", "class-balanced", "resume"):
         p.add_argument(f"--{name}", action="store_true")
     p.set_defaults(do=train)
     p = sub.add_parser("evaluate")

@@ -71,6 +71,13 @@ def radial_nudge(u: Column, target: Column, share: float) -> Column:
     return scale(u, (n * (1 - share) + target * share) / n)
 
 
+def tanh_radial_nudge(z: Column, target: Column, share: float) -> Column:
+    """radial_nudge of the ball's image of z, taken back to R^d; the radius stays within 1e-6 of 0 and 1."""
+    n = F.greatest(norm(z), F.lit(1e-8))
+    r = F.least(F.greatest(F.tanh(n / 2) * (1 - share) + target * share, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return scale(z, 2 * F.atanh(r) / n)
+
+
 def riemannian_gradient(p: Column, g: Column) -> Column:
     return scale(g, (1 - squared_norm(p)) * (1 - squared_norm(p)) / 4)
 
@@ -124,11 +131,21 @@ def lorentz_gradient(p: Column, g: Column) -> Column:
     return F.zip_with(h, p, lambda a, b: a + lorentz_dot(p, h) * b)
 
 
+def _held_cosine(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(-1 + EPS)), F.lit(1 - EPS))
+
+
+def _inner_radius(k: float) -> float:
+    return 2 * k / (1 + (1 + 4 * k * k) ** 0.5)
+
+
+def _aperture(s: Column, k: float) -> Column:
+    return F.asin(_held_cosine(_inner_radius(k) * (1 - s) / F.sqrt(s)))
+
+
 def cone_aperture(u: Column, k: float = 0.1) -> Column:
     """Half aperture of the entailment cone at u in the ball; k sets the inner radius."""
-    radius = 2 * k / (1 + (1 + 4 * k * k) ** 0.5)
-    s = squared_norm(u)
-    return F.asin(F.least(F.greatest(radius * (1 - s) / F.sqrt(s), F.lit(-1 + EPS)), F.lit(1 - EPS)))
+    return _aperture(squared_norm(u), k)
 
 
 def cone_angle(u: Column, v: Column) -> Column:
@@ -136,7 +153,29 @@ def cone_angle(u: Column, v: Column) -> Column:
     nu, nv, uv = squared_norm(u), squared_norm(v), dot(u, v)
     top = uv * (1 + nu) - nu * (1 + nv)
     bottom = F.sqrt(nu) * F.sqrt(squared_distance(u, v)) * F.sqrt(F.greatest(1 + nu * nv - 2 * uv, F.lit(1e-15)))
-    return F.acos(F.least(F.greatest(top / bottom, F.lit(-1 + EPS)), F.lit(1 - EPS)))
+    return F.acos(_held_cosine(top / bottom))
+
+
+def lorentz_cone_aperture(x: Column, k: float = 0.1) -> Column:
+    """Half aperture at a point of the hyperboloid: that of its image in the ball."""
+    return _aperture(squared_norm(lorentz_to_poincare(x)), k)
+
+
+def lorentz_cone_angle(x: Column, y: Column) -> Column:
+    """cone_angle on the hyperboloid."""
+    x0, y0, xy = F.get(x, F.lit(0)), F.get(y, F.lit(0)), lorentz_dot(x, y)
+    return F.acos(_held_cosine((y0 + x0 * xy) / (F.sqrt(x0 * x0 - 1) * F.sqrt(F.greatest(xy * xy - 1, F.lit(EPS))))))
+
+
+def euclidean_cone_aperture(u: Column, k: float = 0.1) -> Column:
+    """Half aperture in flat space; nearly a right angle within the inner radius."""
+    return F.asin(_held_cosine(_inner_radius(k) / norm(u)))
+
+
+def euclidean_cone_angle(u: Column, v: Column) -> Column:
+    """cone_angle in flat space, by the law of cosines with the plain distance."""
+    d = F.sqrt(squared_distance(u, v))
+    return F.acos(_held_cosine((squared_norm(v) - squared_norm(u) - d * d) / (2 * norm(u) * d)))
 
 
 def cone_energy(general: Column, special: Column, k: float = 0.1) -> Column:
@@ -151,5 +190,12 @@ def hinge(positive: Column, negative: Column, margin: Column) -> Column:
     return F.greatest(positive - negative + margin, F.lit(0.0))
 
 
+def distance_softmax(positive: Column, negatives: Column) -> Column:
+    """Cross entropy of the positive among itself and an array of negatives, with scores of minus the distance."""
+    low = F.least(positive, F.coalesce(F.array_min(negatives), positive))
+    total = F.aggregate(negatives, F.exp(low - positive), lambda s, d: s + F.exp(low - d))
+    return positive - low + F.ln(total)
+
+
 def quality_score(corr: Column, hierarchy_pct: Column, purity: Column, ratio: Column) -> Column:
     return corr + hierarchy_pct / 100 + purity + (ratio - 1)

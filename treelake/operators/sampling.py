@@ -103,12 +103,13 @@ def pool_negatives(wanted: DataFrame, nodes: DataFrame, by: list[str], seed: int
     return hit.where("negative_idx <> descendant_idx").select("descendant_idx", "draw_no", "negative_idx", F.lit(tier).alias("tier"))
 
 
-def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]]) -> DataFrame:
+def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]], positives: DataFrame | None = None, rounds: int = 20) -> DataFrame:
     """(descendant_idx, draw_no, negative_idx, tier): k negatives for each of nodes(idx, <columns of the tiers>).
 
     tiers: (name, columns, last draw_no) in order; draws up to that number come from the pool of nodes
     that agree in these columns. What a tier can't give falls to the last tier, and then to any node; a
-    node is never its own negative (in a tree of one node there is none). rejecting_negatives leaves out positives.
+    node is never its own negative (in a tree of one node there is none). With positives(idx, negative_idx), draws
+    that hit one are drawn again from all nodes, up to `rounds` times; a node with no other left stays short.
     """
     nodes = saved(nodes, "nodes")
     wanted = nodes.select(F.col("idx").alias("descendant_idx"), *[c for c in nodes.columns if c != "idx"], F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw_no"))
@@ -128,6 +129,17 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
     step = draw(seed, F.col("n") - 1, F.lit("random"), F.col("descendant_idx"), F.col("draw_no")) + 1
     anywhere = left.select("descendant_idx", "draw_no", F.pmod(F.col("descendant_idx") + step, F.col("n")).cast("int").alias("negative_idx"), F.lit("random").alias("tier"))
     found = found.unionByName(anywhere)
+    if positives is None:
+        return found
+    taken = positives.select(F.col("idx").alias("descendant_idx"), "negative_idx").distinct()
+    found = saved(found.join(taken, ["descendant_idx", "negative_idx"], "left_anti"), "negatives")
+    for r in range(rounds):
+        left = wanted.select("descendant_idx", "draw_no").join(found, ["descendant_idx", "draw_no"], "left_anti").join(F.broadcast(size), F.lit(True)).where("n > 1")
+        if left.isEmpty():
+            break
+        step = draw(seed, F.col("n") - 1, F.lit("redraw"), F.lit(r), F.col("descendant_idx"), F.col("draw_no")) + 1
+        fresh = left.select("descendant_idx", "draw_no", F.pmod(F.col("descendant_idx") + step, F.col("n")).cast("int").alias("negative_idx"), F.lit("random").alias("tier"))
+        found = saved(found.unionByName(fresh.join(taken, ["descendant_idx", "negative_idx"], "left_anti")), "negatives")
     return found
 
 

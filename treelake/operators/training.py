@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.names import automatic_phases
 from ..tables import saved
+from ..sources import readers, writers
 from . import metrics, pairs, sampling
 
+#: What is measured of each epoch.
+MEASURES = ("loss", "depth_norm_corr", "hierarchy_pct", "knn_purity", "class_sep_ratio", "quality")
+
 
 @dataclass
 class Options:
@@ -29,6 +33,12 @@ class Options:
     curriculum: bool = True
     burn_in: int = 0
     burn_in_rate: float = 0.1
+    phases: list | None = None  # (first epoch, deepest difference) in place of the automatic ones
+    margin_low: float = 0.05
+    margin_high: float = 1.0
+    max_pairs: int = 0
+    class_balanced: bool = False
+    measured: int = 1000  # nodes that neighbour purity and class separation of an epoch are taken of
     nudge: float = 0.0
     patience: int = 10
     fraction: float = 1.0
@@ -162,12 +172,35 @@ def adam_step(state: DataFrame, grads: DataFrame, step: int, rate: float, radial
     return moved.select("idx", "depth", "target", V.project_to_ball(F.zip_with("vec", step_, lambda a, b: a - b)).alias("vec"), "m", "v")
 
 
-def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vectors, history) from pairs and nodes(idx, depth, <tier columns>).
+def phase_limit(phases: list, epoch: int) -> int | None:
+    """The deepest difference of the last phase that has begun; None (all) before the first."""
+    return next((d for e, d in sorted(phases, key=lambda x: x[0], reverse=True) if e <= epoch), None)
+
+
+def epoch_metrics(table: DataFrame, nodes: DataFrame, state: DataFrame, loss: float, measured: int, seed: int) -> dict:
+    """What a checkpoint records. Purity and separation by class are of a sample of `measured` nodes, 0 without classes."""
+    out = {"loss": float(loss)}
+    out["depth_norm_corr"] = float(metrics.depth_norm_correlation(metrics.norms(state).select("depth", "norm")).first().pearson or 0)
+    out["hierarchy_pct"] = float(metrics.hierarchy_share(table, state.select("idx", "vec")).first().hierarchy_pct or 0)
+    purity, ratio = 0.0, 0.0
+    if "class" in nodes.columns:
+        some = sampling.simple_sample(nodes.where("class is not null").select("idx", "class"), measured, seed, ["idx"])
+        rows = saved(state.select("idx", "vec").join(some, "idx"), "measured")
+        purity = metrics.knn_purity(rows, "class").first().purity
+        ratio = metrics.class_separation(rows, "class").first().ratio
+    out |= {"knn_purity": float(purity), "class_sep_ratio": float(ratio)}
+    return out | {"quality": out["depth_norm_corr"] + out["hierarchy_pct"] / 100 + purity + ratio - 1}
+
+
+def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, folder: str | None = None, resume: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(best vectors, history) from pairs and nodes(idx, depth, <tier columns>).
 
     Each epoch: the pairs of the curriculum's phase, fresh negatives, `batches` steps; the state is
-    written after every step, so the plan never grows and a lost executor repeats one step. Early stop
-    after `patience` epochs without a better loss; epochs of burn-in don't count.
+    written after every step, so the plan never grows and a lost executor repeats one step. The best epoch
+    is that of the least loss or, under a curriculum, whose phases make losses incomparable, of the highest
+    quality; epochs of burn-in are never best. Early stop after `patience` epochs that are not (0: never).
+    `folder` gets the last checkpoints, `best` and `final`; with `resume`, training goes on after the last one
+    there. Without a best epoch the last vectors are returned.
     """
     o = options or Options()
     spark = table.sparkSession
@@ -176,22 +209,35 @@ def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, fo
     start = initial_vectors(nodes, o.dim, deepest, o.schedule, o.seed)
     radius: Column = V.target_radius(F.col("depth").cast("double"), F.lit(float(deepest)), o.schedule)
     state = saved(start.select("idx", "depth", radius.alias("target"), "vec", zero.alias("m"), zero.alias("v")), "state")
-    phases = automatic_phases(deepest, o.epochs) if o.curriculum else [(1, None)]
-    history, best, waited, step = [], math.inf, 0, 0
+    phases = (o.phases or automatic_phases(deepest, o.epochs)) if o.curriculum else [(1, None)]
+    if o.max_pairs:
+        table = saved(sampling.stratified_subsample(table, "depth_diff", o.max_pairs, o.seed, ["ancestor_idx", "descendant_idx"]), "pairs")
+    history, best, best_vectors, waited, step, done = [], -math.inf, None, 0, 0, 0
+    last = writers.last_checkpoint(spark, folder) if resume and folder else None
+    if last:
+        path, done, notes = last
+        old = spark.read.schema("idx int, vec array<double>, m array<double>, v array<double>").parquet(f"{path}/vectors")
+        state = saved(state.select("idx", "depth", "target").join(old, "idx"), "state")
+        step, waited, best = notes["step"], notes["waited"], -math.inf if notes["best"] is None else notes["best"]
+        if notes["best"] is not None:
+            best_vectors = saved(readers.vectors_parquet(spark, f"{folder}/best/vectors"), "best")
     tiers = o.tiers if not o.tiered else [("grandparent", ["gp", "depth"], o.negatives // 2), ("class", ["class", "depth"], o.negatives // 2 + int(0.3 * o.negatives)), ("depth", ["depth"], 1 << 30)]
     weights = metrics.class_weights(nodes.select("class")).select("class", F.col("weight").alias("class_weight")) if o.class_weights else None
-    for epoch in range(1, o.epochs + 1):
-        limit = [d for e, d in phases if e <= epoch][-1]
+    for epoch in range(done + 1, o.epochs + 1):
+        limit = phase_limit(phases, epoch)
         now = table.where("ancestor_idx <> descendant_idx") if limit is None else table.where((F.col("depth_diff") <= limit) & (F.col("ancestor_idx") != F.col("descendant_idx")))
         keys = ["ancestor_idx", "descendant_idx"]
         if o.fraction < 1:
             now = sampling.fraction_sample(now, "depth_diff", o.fraction, o.seed + epoch, keys)
+        if o.class_balanced:
+            owned = now.join(nodes.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("_class")), "descendant_idx").where("_class is not null")
+            now = sampling.class_balanced(owned, "_class", owned.count(), o.seed + epoch, keys).drop("_class")
         if weights is not None:
             now = now.join(nodes.select(F.col("idx").alias("descendant_idx"), "class"), "descendant_idx").join(F.broadcast(weights), "class", "left")
         neg = sampling.negatives(nodes, o.negatives, o.seed + 1000 * epoch, tiers).groupBy("descendant_idx").agg(F.sort_array(F.collect_list("negative_idx")).alias("negatives"))
-        margin = V.depth_margin(F.col("depth_diff"), F.lit(float(max(deepest, 1)))) if o.scaled_margin else F.lit(o.margin)
+        margin = V.depth_margin(F.col("depth_diff"), F.lit(float(max(deepest, 1))), o.margin_low, o.margin_high) if o.scaled_margin else F.lit(o.margin)
         weight = F.sqrt(F.col("depth_diff") + 1.0) * (F.coalesce("class_weight", F.lit(1.0)) if weights is not None else F.lit(1.0))
-        full = now.join(neg, "descendant_idx").select(*keys, "negatives", margin.alias("margin"), weight.alias("raw"), F.xxhash64(*keys).alias("pair_id"))
+        full = now.join(neg, "descendant_idx").select(*keys, "negatives", margin.alias("margin"), weight.alias("raw"), F.xxhash64(*keys, *(["draw_no"] if o.class_balanced else [])).alias("pair_id"))
         full = saved(full.withColumn("batch", F.pmod(F.xxhash64("pair_id", F.lit(epoch)), F.lit(o.batches))), "epoch")
         sizes = {r.batch: (r.n, r.mean) for r in full.groupBy("batch").agg(F.count("*").alias("n"), F.avg("raw").alias("mean")).collect()}
         total = 0.0
@@ -204,20 +250,25 @@ def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, fo
             state = saved(adam_step(state, grads, step, rate, o.radial, riemannian=o.riemannian), "state")
         if o.nudge:
             state = saved(state.withColumn("vec", V.radial_nudge(F.col("vec"), F.col("target"), o.nudge)), "state")
-        loss = total / max(len(sizes), 1)
-        r = metrics.depth_norm_correlation(metrics.norms(state).select("depth", "norm")).first().pearson
-        h = metrics.hierarchy_share(table, state.select("idx", "vec")).first().hierarchy_pct
-        history.append((epoch, float(loss), float(r or 0), float(h or 0)))
+        notes = epoch_metrics(table, nodes, state, total / max(len(sizes), 1), o.measured, o.seed)
+        score = notes["quality"] if o.curriculum else -notes["loss"]
+        counts = epoch > o.burn_in
+        better = counts and score > best
+        if better:
+            best, waited, best_vectors = score, 0, state.select("idx", "vec")
+        elif counts:
+            waited += 1
+        history.append((epoch, *[notes[c] for c in MEASURES], better))
         if folder:
-            from ..sources.writers import checkpoint
-
-            checkpoint(state.select("idx", "vec"), {"loss": loss, "depth_norm_corr": r, "hierarchy_pct": h}, folder, epoch)
-        if epoch > o.burn_in:
-            waited = 0 if loss < best else waited + 1
-            best = min(best, loss)
-            if waited >= o.patience:
-                break
-    return state.select("idx", "vec"), spark.createDataFrame(history, "epoch int, loss double, depth_norm_corr double, hierarchy_pct double")
+            if better:
+                writers.kept_checkpoint(best_vectors, {"epoch": epoch, **notes}, f"{folder}/best")
+            writers.checkpoint(state.select("idx", "vec", "m", "v"), {**notes, "step": step, "waited": waited, "best": best if best > -math.inf else None}, folder, epoch)
+        if counts and 0 < o.patience <= waited:
+            break
+    if folder and history:
+        writers.kept_checkpoint(state.select("idx", "vec"), {"epoch": history[-1][0], **notes}, f"{folder}/final")
+    schema = "epoch int, " + ", ".join(f"{c} double" for c in MEASURES) + ", best boolean"
+    return state.select("idx", "vec") if best_vectors is None else best_vectors, spark.createDataFrame(history, schema)
 
 
 def node_table(paths: DataFrame, mapping: DataFrame) -> DataFrame:

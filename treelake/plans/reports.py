@@ -279,3 +279,35 @@ def riemannian_step(spark, sf_dir):
     v = F.col("vec")
     stepped = scaled_vectors(spark, sf_dir).select("idx", V.norm(V.riemannian_step(v, v, 0.3)).alias("norm"))
     return stepped.where("norm < 0.9").select("idx", _r(F.col("norm"), "norm"))
+
+
+_XU, _YU = f"sqrt(1 + {_NU})", f"sqrt(1 + {_NV})"
+_DOT = f"({_UV} - {_XU} * {_YU})"
+_HELD = "least(greatest({}, -1 + 1e-5), 1 - 1e-5)"
+_RADIUS, _IMAGE = "(0.2 / (1 + sqrt(1.04)))", f"({_NU} / pow(1 + {_XU}, 2))"
+_CONES = {
+    "lorentz_aperture": "asin(" + _HELD.format(f"{_RADIUS} * (1 - {_IMAGE}) / sqrt({_IMAGE})") + ")",
+    "lorentz_angle": "acos(" + _HELD.format(f"({_YU} + {_XU} * {_DOT}) / (sqrt({_NU}) * sqrt(greatest({_DOT} * {_DOT} - 1, 1e-5)))") + ")",
+    "euclid_aperture": "asin(" + _HELD.format(f"{_RADIUS} / sqrt({_NU})") + ")",
+    "euclid_angle": "acos(" + _HELD.format(f"({_NV} - {_NU} - {_SQ}) / (2 * sqrt({_NU}) * sqrt({_SQ}))") + ")",
+}
+
+
+@query(f"{TWO} SELECT idx, {', '.join(f'round({sql}, 5) AS {name}' for name, sql in _CONES.items())} FROM two WHERE du > 0 AND dv > 0")
+def cones_of_manifolds(spark, sf_dir):
+    u, v = F.col("u"), F.col("v")
+    x, y = V.lorentz_lift(u), V.lorentz_lift(v)
+    found = {"lorentz_aperture": V.lorentz_cone_aperture(x), "lorentz_angle": V.lorentz_cone_angle(x, y), "euclid_aperture": V.euclidean_cone_aperture(u), "euclid_angle": V.euclidean_cone_angle(u, v)}
+    return _two(spark, sf_dir).where("du > 0 and dv > 0").select("idx", *[F.round(c, 5).alias(name) for name, c in found.items()])
+
+
+@query(f"{TWO} SELECT idx, round(sqrt({_SQ}) + ln(exp(-sqrt({_SQ})) + exp(-sqrt({_NU})) + exp(-sqrt({_NV}))), 6) AS loss FROM two")
+def softmax_of_distances(spark, sf_dir):
+    u, v = F.col("u"), F.col("v")
+    return _two(spark, sf_dir).select("idx", _r(V.distance_softmax(F.sqrt(V.squared_distance(u, v)), F.array(V.norm(u), V.norm(v))), "loss"))
+
+
+@query(f"{EMB} SELECT idx, round(2 * atanh(tanh(norm / 2) * 0.7 + 0.3 * 0.5), 6) AS norm FROM norms WHERE depth > 0")
+def tanh_nudge(spark, sf_dir):
+    nudged = V.norm(V.tanh_radial_nudge(F.col("vec"), F.lit(0.5), 0.3))
+    return scaled_vectors(spark, sf_dir).where("depth > 0").select("idx", _r(nudged, "norm"))

@@ -37,16 +37,38 @@ def record(spark: SparkSession, data: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(data),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def kept_checkpoint(vectors: DataFrame, metrics: dict, path: str) -> None:
+    """Vectors and metrics under a name that is never deleted, such as the best epoch's."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    record(vectors.sparkSession, metrics, f"{path}/metrics")
+
+
+def _epochs(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and the names of its checkpoints in order."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    return fs, sorted(n for n in names if n.startswith("epoch-"))
+
+
+def last_checkpoint(spark: SparkSession, folder: str) -> tuple[str, int, dict] | None:
+    """(path, epoch, metrics) of the last whole checkpoint; its metrics are written after its vectors."""
+    fs, names = _epochs(spark, folder)
+    for name in reversed(names):
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/metrics/_SUCCESS")):
+            notes = json.loads(spark.read.text(f"{folder}/{name}/metrics").first().value)
+            return f"{folder}/{name}", notes["epoch"], notes
+    return None
+
+
 def checkpoint(vectors: DataFrame, metrics: dict, folder: str, epoch: int, keep: int = 5) -> str:
     """Vectors and metrics of an epoch below `folder`; older epochs than the last `keep` are deleted."""
     spark = vectors.sparkSession
     path = f"{folder}/epoch-{epoch:05d}"
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     record(spark, {"epoch": epoch, **metrics}, f"{path}/metrics")
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = sorted(s.getPath().getName() for s in fs.listStatus(top) if s.getPath().getName().startswith("epoch-"))[:-keep]
-    for name in old:
+    fs, names = _epochs(spark, folder)
+    for name in names[:-keep]:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
     return path
 

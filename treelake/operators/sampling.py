@@ -44,21 +44,57 @@ def capped_sample(df: DataFrame, by: list[str], cap: int, seed: int, keys: list[
     return df.withColumn("_rn", rank).where(F.col("_rn") <= cap).drop("_rn")
 
 
+def _dealt(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """Adds the ticket _t and its first three digits _b, one of 4,096 even cells."""
+    return df.withColumn("_t", ticket(seed, *[F.col(k) for k in keys])).withColumn("_b", F.substring("_t", 1, 3))
+
+
+def _cells(dealt: DataFrame, by: str) -> DataFrame:
+    """(_by, _cell, _n, _before, _size): rows of a group's cell, rows of its cells before that, rows of the group."""
+    counts = dealt.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by"), F.col("_b").alias("_cell")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy("_by")  # at most 4,096 rows
+    before = F.sum("_n").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_size", F.sum("_n").over(group))
+
+
+def _in_cell(dealt: DataFrame, cells: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """The rows of these cells with their rank _rn in the cell: (group, cell) is no hot key, whatever a group holds."""
+    rank = F.row_number().over(Window.partitionBy(by, "_b").orderBy("_t", *keys))
+    return dealt.join(cells, (F.col(by) == F.col("_by")) & (F.col("_b") == F.col("_cell"))).withColumn("_rn", rank)
+
+
 def fraction_sample(df: DataFrame, by: str, fraction: float, seed: int, keys: list[str]) -> DataFrame:
-    """max(1, floor(n * fraction)) rows of each group, without replacement."""
-    quota = df.groupBy(F.col(by).alias("_by")).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(fraction) + 1e-9)).alias("_quota"))
-    return _ranked(df, [by], seed, keys).join(F.broadcast(quota), F.col(by) == F.col("_by")).where("_rn <= _quota").drop("_rn", "_by", "_quota")
+    """max(1, floor(n * fraction)) rows of each group, without replacement; rows whose group is null are left out."""
+    dealt = _dealt(df, seed, keys)
+    quota = F.greatest(F.lit(1), F.floor(F.col("_size") * F.lit(fraction) + 1e-9))
+    cells = _cells(dealt, by).select("_by", "_cell", (quota - F.col("_before")).alias("_rest")).where("_rest > 0")
+    return _in_cell(dealt, cells, by, keys).where("_rn <= _rest").select(*df.columns)
 
 
 def stratified_subsample(df: DataFrame, by: str, most: int, seed: int, keys: list[str]) -> DataFrame:
-    """Exactly `most` rows, or all if fewer: each group's share (1 at least) first, then by hash."""
-    total = df.agg(F.count("*").alias("_total"))
-    quota = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")).join(F.broadcast(total), F.lit(True))
-    quota = quota.select("_by", F.greatest(F.lit(1), F.floor(F.lit(float(most)) * F.col("_n") / F.col("_total") + 1e-9)).alias("_quota"))
-    ranked = _ranked(df, [by], seed, keys).join(F.broadcast(quota), F.col(by) == F.col("_by"))
-    first = (F.col("_rn") > F.col("_quota")).cast("int")
-    ranked = ranked.select(*df.columns, first.alias("_late"), ticket(seed, *[F.col(k) for k in keys]).alias("_t"))
-    return dense_index(ranked, ["_late", "_t", *keys], "_i", "long").where(F.col("_i") < most).select(*df.columns)
+    """Exactly `most` rows, or all if fewer: each group's share (1 at least) first, then by hash. Rows whose group is null are left out.
+
+    The counts of cells say how many first and late rows each cell of tickets holds, and so in which cell
+    either kind ends; only rows up to there are shuffled, and only those of the last cell are ranked among all groups.
+    """
+    dealt = _dealt(df, seed, keys)
+    cells = saved(_cells(dealt, by), "cells")
+    total = cells.agg(F.sum("_n").alias("_total"))
+    quota = F.greatest(F.lit(1), F.floor(F.lit(float(most)) * F.col("_size") / F.col("_total") + 1e-9))
+    parted = cells.join(F.broadcast(total), F.lit(True)).withColumn("_first", F.greatest(F.lit(0), F.least(F.col("_n"), quota - F.col("_before"))))
+    every = Window.orderBy("_late", "_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 8,192 rows
+    kinds = parted.select("_cell", F.explode(F.array(F.struct(F.lit(0).alias("_late"), F.col("_first").alias("_n")), F.struct(F.lit(1).alias("_late"), (F.col("_n") - F.col("_first")).alias("_n")))).alias("_k"))
+    kinds = kinds.groupBy("_cell", F.col("_k._late").alias("_late")).agg(F.sum("_k._n").alias("_n"))
+    kinds = kinds.withColumn("_room", F.lit(most) - F.coalesce(F.sum("_n").over(every), F.lit(0))).where("_room > 0 and _n > 0")
+    ends = kinds.groupBy("_cell").agg(*[F.coalesce(F.max(F.when(F.col("_late") == k, F.col("_room"))), F.lit(0)).alias(f"_room{k}") for k in (0, 1)])
+    ends = ends.join(kinds.groupBy("_cell").agg(*[F.coalesce(F.max(F.when(F.col("_late") == k, F.col("_n"))), F.lit(0)).alias(f"_all{k}") for k in (0, 1)]), "_cell")
+    wanted = parted.join(ends, "_cell").where("(_first > 0 and _room0 > 0) or (_first < _n and _room1 > 0)")
+    rows = _in_cell(dealt, wanted.select("_by", "_cell", "_first", "_room0", "_room1", "_all0", "_all1"), by, keys)
+    rows = rows.withColumn("_late", (F.col("_rn") > F.col("_first")).cast("int"))
+    room, among = (F.when(F.col("_late") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1")) for c in ("_room", "_all"))
+    rows = saved(rows.select(*df.columns, "_t", "_b", "_late", room.alias("_room"), among.alias("_among")).where("_room > 0"), "sampled")
+    last = rows.where("_room < _among").withColumn("_rn", F.row_number().over(Window.partitionBy("_late", "_b").orderBy("_t", *keys))).where("_rn <= _room")
+    return rows.where("_room >= _among").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def class_balanced(df: DataFrame, by: str, total: int, seed: int, keys: list[str]) -> DataFrame:
@@ -90,17 +126,17 @@ def pool(nodes: DataFrame, by: list[str]) -> DataFrame:
     return numbered(nodes.dropna(subset=by), by, ["idx"], "_at").withColumn("pos", F.col("_at") - 1).drop("_at").join(sizes, by)
 
 
-def pool_negatives(wanted: DataFrame, nodes: DataFrame, by: list[str], seed: int, tier: str) -> DataFrame:
-    """A draw for each row of wanted(descendant_idx, draw_no, <by>), from nodes(idx, <by>) of the same group.
+def pool_negatives(wanted: DataFrame, pools: DataFrame, by: list[str], seed: int, tier: str) -> DataFrame:
+    """A draw for each row of wanted(descendant_idx, draw_no, <by>, ...), from pool(nodes, by): adds negative_idx and tier.
 
-    Rows whose pool is empty, or whose draw is the node itself, get no row; the caller fills them from
+    Where the pool is empty, or the draw is the node itself, negative_idx is null; the caller fills it from
     the next tier. The draws meet the pool on (group, position), so a large pool is no hot key.
     """
-    pools = pool(nodes, by)
     sizes = pools.groupBy(*by).agg(F.max("pool_size").alias("pool_size"))
-    drawn = wanted.join(sizes, by).withColumn("pos", draw(seed, F.col("pool_size"), F.lit(tier), F.col("descendant_idx"), F.col("draw_no")))
-    hit = drawn.join(pools.select(*by, "pos", F.col("idx").alias("negative_idx")), [*by, "pos"])
-    return hit.where("negative_idx <> descendant_idx").select("descendant_idx", "draw_no", "negative_idx", F.lit(tier).alias("tier"))
+    drawn = wanted.join(sizes, by, "left").withColumn("pos", draw(seed, F.col("pool_size"), F.lit(tier), F.col("descendant_idx"), F.col("draw_no")))
+    hit = drawn.join(pools.select(*by, "pos", F.col("idx").alias("_hit")), [*by, "pos"], "left")
+    other = F.when(F.col("_hit") != F.col("descendant_idx"), F.col("_hit"))
+    return hit.select(*wanted.columns, other.alias("negative_idx"), F.lit(tier).alias("tier"))
 
 
 def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]], positives: DataFrame | None = None, rounds: int = 20) -> DataFrame:
@@ -111,24 +147,25 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
     node is never its own negative (in a tree of one node there is none). With positives(idx, negative_idx), draws
     that hit one are drawn again from all nodes, up to `rounds` times; a node with no other left stays short.
     """
+    out = ["descendant_idx", "draw_no", "negative_idx", "tier"]
     nodes = saved(nodes, "nodes")
     wanted = nodes.select(F.col("idx").alias("descendant_idx"), *[c for c in nodes.columns if c != "idx"], F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw_no"))
-    found, low = None, 0
+    parts, low = [], 0
     for name, by, high in tiers:
-        part = wanted.where((F.col("draw_no") > low) & (F.col("draw_no") <= high)).select("descendant_idx", "draw_no", *by)
-        hit = pool_negatives(part, nodes.select("idx", *by), by, seed, name)
-        found, low = hit if found is None else found.unionByName(hit), high
-    name, by, _ = tiers[-1]
-    found = saved(found, "negatives")  # read three times below
-    left = wanted.join(found, ["descendant_idx", "draw_no"], "left_anti")
-    again = pool_negatives(left.select("descendant_idx", "draw_no", *by), nodes.select("idx", *by), by, seed + 1, name)
-    found = found.unionByName(saved(again, "negatives"))
+        pools = saved(pool(nodes.select("idx", *by), by), "pool")
+        parts.append(pool_negatives(wanted.where((F.col("draw_no") > low) & (F.col("draw_no") <= high)), pools, by, seed, name))
+        low = high
+    if low < k:
+        parts.append(wanted.where(F.col("draw_no") > low).withColumns({"negative_idx": F.lit(None).cast("int"), "tier": F.lit(None).cast("string")}))
+    tried = saved(reduce(DataFrame.unionByName, parts), "negatives")
+    left = tried.where("negative_idx is null").drop("negative_idx", "tier")
+    again = saved(pool_negatives(left, pools, by, seed + 1, name), "negatives")
     size = nodes.agg(F.count("*").alias("n"))
-    left = wanted.select("descendant_idx", "draw_no").join(found, ["descendant_idx", "draw_no"], "left_anti").join(F.broadcast(size), F.lit(True)).where("n > 1")
+    left = again.where("negative_idx is null").join(F.broadcast(size), F.lit(True)).where("n > 1")
     # any node but itself: a step of 1 to n - 1 from its own index
     step = draw(seed, F.col("n") - 1, F.lit("random"), F.col("descendant_idx"), F.col("draw_no")) + 1
     anywhere = left.select("descendant_idx", "draw_no", F.pmod(F.col("descendant_idx") + step, F.col("n")).cast("int").alias("negative_idx"), F.lit("random").alias("tier"))
-    found = found.unionByName(anywhere)
+    found = tried.where("negative_idx is not null").select(*out).unionByName(again.where("negative_idx is not null").select(*out)).unionByName(anywhere)
     if positives is None:
         return found
     taken = positives.select(F.col("idx").alias("descendant_idx"), "negative_idx").distinct()

@@ -290,3 +290,23 @@ def test_negatives_with_rejection_fill_up(spark):
         assert r.negative_idx != r.descendant_idx and (r.descendant_idx, r.negative_idx) not in bad
         by.setdefault(r.descendant_idx, []).append((r.draw_no, r.negative_idx))
     assert len(by) == 40 and all(sorted(d for d, _ in v) == [1, 2, 3, 4, 5] and len({x for _, x in v}) == 5 for v in by.values())
+
+
+def test_subsample_of_hot_and_tiny_strata(spark):
+    """Against ranks over all rows: one stratum holds most rows, many hold one, some rows are repeated, one has no stratum."""
+    import hashlib
+
+    from treelake.operators.sampling import stratified_subsample
+
+    rows = [(i, 0) for i in range(3000)] + [(5000 + i, 1 + i) for i in range(30)] + [(9000 + i, 50) for i in range(200)] + [(17, 0)] * 2 + [(1, None)]
+    df = spark.createDataFrame(rows, "id int, stratum int").repartition(3)
+    held = [r for r in rows if r[1] is not None]
+    mark = lambda r: (hashlib.md5(f"7|{r[0]}".encode()).hexdigest(), r[0])
+    for most in (10, 400, 5000):
+        late = []
+        for g in {r[1] for r in held}:
+            own = sorted((r for r in held if r[1] == g), key=mark)
+            quota = max(1, int(most * len(own) / len(held) + 1e-9))
+            late += [(i >= quota, *mark(r), r[1]) for i, r in enumerate(own)]
+        want = sorted((x[2], x[3]) for x in sorted(late)[:most])
+        assert sorted(map(tuple, stratified_subsample(df, "stratum", most, 7, ["id"]).collect())) == want

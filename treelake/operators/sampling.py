@@ -75,7 +75,7 @@ def stratified_subsample(df: DataFrame, by: str, most: int, seed: int, keys: lis
     """Exactly `most` rows, or all if fewer: each group's share (1 at least) first, then by hash. Rows whose group is null are left out.
 
     The counts of cells say how many first and late rows each cell of tickets holds, and so in which cell
-    either kind ends; only rows up to there are shuffled, and only those of the last cell are ranked among all groups.
+    either kind ends; only rows up to there are sorted, and only those of the last cell are ranked among all groups.
     """
     dealt = _dealt(df, seed, keys)
     cells = saved(_cells(dealt, by), "cells")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import dense_index, saved
+from ..tables import dense_index, running_total, saved
 
 
 def ticket(seed: int, *keys: Column) -> Column:
@@ -139,13 +139,14 @@ def pool_negatives(wanted: DataFrame, pools: DataFrame, by: list[str], seed: int
     return hit.select(*wanted.columns, other.alias("negative_idx"), F.lit(tier).alias("tier"))
 
 
-def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]], positives: DataFrame | None = None, rounds: int = 20) -> DataFrame:
+def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[str], int]], positives: DataFrame | None = None) -> DataFrame:
     """(descendant_idx, draw_no, negative_idx, tier): k negatives for each of nodes(idx, <columns of the tiers>).
 
     tiers: (name, columns, last draw_no) in order; draws up to that number come from the pool of nodes
     that agree in these columns. What a tier can't give falls to the last tier, and then to any node; a
-    node is never its own negative (in a tree of one node there is none). With positives(idx, negative_idx), draws
-    that hit one are drawn again from all nodes, up to `rounds` times; a node with no other left stays short.
+    node is never its own negative (in a tree of one node there is none). With positives(idx, negative_idx), idx
+    running 0..n-1, draws that hit one are replaced by the node's `eligible_draws` of the same number (tier "eligible");
+    a node with no other left has none.
     """
     out = ["descendant_idx", "draw_no", "negative_idx", "tier"]
     nodes = saved(nodes, "nodes")
@@ -170,57 +171,96 @@ def negatives(nodes: DataFrame, k: int, seed: int, tiers: list[tuple[str, list[s
         return found
     taken = positives.select(F.col("idx").alias("descendant_idx"), "negative_idx").distinct()
     found = saved(found.join(taken, ["descendant_idx", "negative_idx"], "left_anti"), "negatives")
-    for r in range(rounds):
-        left = wanted.select("descendant_idx", "draw_no").join(found, ["descendant_idx", "draw_no"], "left_anti").join(F.broadcast(size), F.lit(True)).where("n > 1")
-        if left.isEmpty():
-            break
-        step = draw(seed, F.col("n") - 1, F.lit("redraw"), F.lit(r), F.col("descendant_idx"), F.col("draw_no")) + 1
-        fresh = left.select("descendant_idx", "draw_no", F.pmod(F.col("descendant_idx") + step, F.col("n")).cast("int").alias("negative_idx"), F.lit("random").alias("tier"))
-        found = saved(found.unionByName(fresh.join(taken, ["descendant_idx", "negative_idx"], "left_anti")), "negatives")
-    return found
-
-
-def rejecting_negatives(nodes: DataFrame, positives: DataFrame, k: int, seed: int, spare: int = 4, rounds: int = 20) -> DataFrame:
-    """(descendant_idx, draw_no, negative_idx): k different negatives for each of nodes(idx), never itself nor its positives.
-
-    nodes: idx runs 0..n-1. positives(idx, negative_idx). Each round draws `spare` times what a node still lacks,
-    drops hits and repeats, and keeps the first; nodes that lack some draw again. A node that has fewer than k
-    others to draw from gets what the rounds find of them.
+    lack = wanted.select("descendant_idx", "draw_no").join(found, ["descendant_idx", "draw_no"], "left_anti")
+    exact = rejecting_negatives(lack.select(F.col("descendant_idx").alias("idx")).distinct(), positives, k, seed, nodes.count())
+    return found.unionByName(lack.join(exact, ["descendant_idx", "draw_no"]).where("negative_idx <> descendant_idx").select("descendant_idx", "draw_no", "negative_idx", F.lit("eligible").alias("tier")))
+
+
+def _marks_up_to(points: DataFrame, marks: DataFrame, order: list[str], out: str, equal: bool = True) -> DataFrame:
+    """points with `out`: how many rows of marks(<order>) come before the point in this order; equal ones count, or don't.
+
+    Both are sorted together in ranges, so neither a group with most marks nor one with most points is ever in one task.
     """
-    nodes = saved(nodes.select(F.col("idx").alias("descendant_idx")), "nodes")
-    n = nodes.count()
-    taken = positives.select(F.col("idx").alias("descendant_idx"), "negative_idx").distinct()
-    found = saved(nodes.select("descendant_idx", F.lit(0).cast("int").alias("draw_no"), F.col("descendant_idx").alias("negative_idx")).limit(0), "drawn")
-    lack = nodes.select("descendant_idx", F.lit(k).cast("long").alias("lack"))
-    for r in range(rounds):
-        tries = lack.select("descendant_idx", "lack", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lack") * spare)).alias("try"))
-        tries = tries.withColumn("negative_idx", draw(seed, F.lit(n), F.lit(r), F.col("descendant_idx"), F.col("try")).cast("int"))
-        fresh = tries.where("negative_idx <> descendant_idx").groupBy("descendant_idx", "negative_idx", "lack").agg(F.min("try").alias("try"))
-        fresh = fresh.join(taken, ["descendant_idx", "negative_idx"], "left_anti").join(found, ["descendant_idx", "negative_idx"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("descendant_idx").orderBy("try"))  # at most spare * k rows
-        kept = fresh.withColumn("_p", place).where("_p <= lack").select("descendant_idx", (F.lit(k) - F.col("lack") + F.col("_p")).cast("int").alias("draw_no"), "negative_idx")
-        found = saved(found.unionByName(kept), "drawn")
-        have = found.groupBy("descendant_idx").agg(F.count("*").alias("have"))
-        lack = nodes.join(have, "descendant_idx", "left").select("descendant_idx", (F.lit(k) - F.coalesce("have", F.lit(0))).alias("lack")).where("lack > 0")
-        if lack.isEmpty():
-            break
-    return found
+    rest = [F.lit(0).alias("_"), *[c for c in points.columns if c not in order]]  # a struct needs a field
+    first, last = (marks, points) if equal else (points, marks)
+    kind = lambda df, k: df.select(*order, F.lit(k).alias("_kind"), F.lit(df is marks).alias("_mark"), *([F.struct(*rest).alias("_row")] if df is points else []))
+    placed = running_total(kind(first, 0).unionByName(kind(last, 1), allowMissingColumns=True), [*order, "_kind"], F.col("_mark").cast("long"), "_count")
+    return placed.where("not _mark").select(*order, "_row.*", F.col("_count").alias(out)).drop("_")
+
+
+def _spread(i: Column, k: int, m: Column, seed: int, *keys: Column) -> Column:
+    """The i-th (from 0) of k different numbers below m, one in each of k even stretches; where m < k, each once and then repeats."""
+    low, high = F.floor(i * m / k), F.floor((i + 1) * m / k)
+    even = low + draw(seed, F.greatest(high - low, F.lit(1)), *keys)
+    return F.when(m >= k, even).when(i < m, i).otherwise(draw(seed, F.greatest(m, F.lit(1)), *keys))
+
+
+def eligible_draws(wanted: DataFrame, links: DataFrame, k: int, seed: int, n: int, keys: list[str]) -> DataFrame:
+    """(idx, <keys>, draw_no, negative_idx): k draws among 0..n-1 for each row of wanted(idx, weight, <keys>), without rejection.
+
+    links(idx, other, weight): a row may draw any node that its idx isn't linked to, and those it is linked to by less
+    than the row's weight; never idx itself. Of several links of a pair the greatest weight holds. A null weight
+    draws among unlinked nodes only. All k are different if so many may be drawn; else each of them comes once, and
+    the rest of the k repeats them; if none may be drawn, all k are idx itself, which tells a caller that there is none.
+
+    A row numbers its choice: unlinked nodes by index, then lighter links by (weight, index). Each of its k draws is
+    one of an even stretch of these numbers, so they differ without a second look. The r-th link l of a node (from 0) has
+    l - r unlinked nodes before it, so number j stands for the node j plus the count of links with l - r <= j. That
+    count comes from sorting links and draws together, so a node with most links is dealt to many ranges.
+    """
+    kind = links.schema["other"].dataType
+    own = wanted.select("idx").distinct()
+    held = saved(links.where("idx <> other").groupBy("idx", "other").agg(F.max("weight").alias("weight")).join(own, "idx", "left_semi"), "links")
+    placed = saved(dense_index(held.select("idx", "other").unionByName(own.select("idx", F.col("idx").alias("other"))), ["idx", "other"], "_i", "long"), "placed")
+    heavy = saved(dense_index(held, ["idx", "weight", "other"], "_j", "long"), "by_weight")
+    facts = placed.groupBy("idx").agg(F.min("_i").alias("_start"), (F.lit(n) - F.count("*")).alias("_free"))
+    facts = facts.join(heavy.groupBy("idx").agg(F.min("_j").alias("_first")), "idx", "left")
+    asked = wanted.where("weight is not null").select("idx", "weight").distinct()
+    lighter = _marks_up_to(asked, held.select("idx", "weight"), ["idx", "weight"], "_light", equal=False)
+    rows = wanted.join(facts, "idx").join(lighter, ["idx", "weight"], "left")
+    rows = rows.withColumn("_may", F.col("_free") + F.coalesce(F.col("_light") - F.col("_first"), F.lit(0)))
+    draws = rows.select("idx", *keys, "_start", "_first", "_free", "_may", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_no"))
+    number = _spread(F.col("_no").cast("long"), k, F.col("_may"), seed, F.col("idx"), *[F.col(c) for c in keys], F.col("_no"))
+    draws = saved(draws.withColumn("_j", F.when(F.col("_may") > 0, number).cast("long")), "draws")
+    out = ["idx", *keys, (F.col("_no") + 1).alias("draw_no")]
+    none = draws.where("_j is null").select(*out, F.col("idx").cast(kind).alias("negative_idx"))
+    # both sides leave out the number of links of smaller nodes: l - i <= j - start is l - r <= j
+    free = draws.where("_j < _free").select("idx", (F.col("_j") - F.col("_start")).alias("_at"), *keys, "_no", "_j", "_start")
+    free = _marks_up_to(free, placed.select("idx", (F.col("other") - F.col("_i")).cast("long").alias("_at")), ["idx", "_at"], "_before")
+    free = free.select(*out, (F.col("_j") + F.col("_before") - F.col("_start")).cast(kind).alias("negative_idx"))
+    light = draws.where("_j >= _free").withColumn("_j", F.col("_first") + F.col("_j") - F.col("_free")).join(heavy.select("_j", F.col("other").alias("negative_idx")), "_j")
+    return free.unionByName(light.select(*out, "negative_idx")).unionByName(none)
+
+
+def rejecting_negatives(nodes: DataFrame, positives: DataFrame, k: int, seed: int, n: int | None = None) -> DataFrame:
+    """(descendant_idx, draw_no, negative_idx): exactly k negatives for each of nodes(idx), never one of its positives.
+
+    Indices run 0..n-1; n is the number of nodes if none is given. positives(idx, negative_idx). See `eligible_draws`: they
+    differ if there are k to draw from, else all come and some repeat; a node that is linked to all others gets itself.
+    """
+    links = positives.select("idx", F.col("negative_idx").alias("other"), F.lit(1.0).alias("weight"))
+    wanted = nodes.select("idx", F.lit(None).cast("double").alias("weight"))
+    return eligible_draws(wanted, links, k, seed, nodes.count() if n is None else n, []).withColumnRenamed("idx", "descendant_idx")
+
+
+def weight_rejecting_negatives(links: DataFrame, k: int, seed: int, n: int) -> DataFrame:
+    """(idx, other, draw_no, negative_idx): k negatives for each of links(idx, other, weight): nodes of 0..n-1 that idx isn't
+    linked to, or by less weight than to `other`. Exactly k, as `eligible_draws` says; repeated links are one, of the greatest weight."""
+    one = links.where("idx <> other").groupBy("idx", "other").agg(F.max("weight").cast("double").alias("weight"))
+    one = saved(one, "weighted")
+    return eligible_draws(one, one, k, seed, n, ["other"])
 
 
 def weighted_draws(weights: DataFrame, n: int, seed: int) -> DataFrame:
-    """(draw_no, id): n draws with replacement from weights(id, weight), by inverting the cumulative weights."""
-    spark = weights.sparkSession
-    indexed = dense_index(weights.where("weight > 0"), ["id"], "_i")
-    # cumulative sums by blocks of 4096 rows, then within the block
-    block = indexed.withColumn("_b", F.floor(F.col("_i") / 4096))
-    sums = block.groupBy("_b").agg(F.sum("weight").alias("_s"))
-    base = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_base"))
-    high = F.col("_base") + F.sum("weight").over(Window.partitionBy("_b").orderBy("_i"))
-    cum = block.join(F.broadcast(base), "_b").select("id", "_b", (high - F.col("weight")).alias("low"), high.alias("high"))
-    total = weights.where("weight > 0").agg(F.sum("weight").alias("total"))
+    """(draw_no, id): n draws with replacement from weights(id, weight), by inverting the cumulative weights.
+
+    Draws and the lower ends of the weights' stretches are sorted together, so a draw's place among them is its id's
+    place in the order of ids, whatever the number of ids.
+    """
+    held = weights.where("weight > 0").select("id", F.col("weight").cast("double").alias("weight"))
+    ends = saved(running_total(held, ["id"], F.col("weight"), "_high"), "ends").withColumn("_at", F.col("_high") - F.col("weight"))
+    total = ends.agg(F.max("_high").alias("total"))  # one row
     point = draw(seed, F.lit(1 << 40), F.col("id")) / float(1 << 40)
-    draws = spark.range(1, n + 1).join(F.broadcast(total), F.lit(True)).select(F.col("id").alias("draw_no"), (point * F.col("total")).alias("point"))
-    # the block of a draw by a range lookup on the block sums (one row for 4096 ids), then an equi-join on it
-    edges = base.join(sums, "_b").select("_b", F.col("_base").alias("b_low"), (F.col("_base") + F.col("_s")).alias("b_high"))
-    placed = draws.join(F.broadcast(edges), (F.col("point") >= F.col("b_low")) & (F.col("point") < F.col("b_high")))
-    return placed.join(cum, "_b").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("draw_no", "id")
+    draws = weights.sparkSession.range(1, n + 1).join(F.broadcast(total), F.lit(True)).select(F.col("id").alias("draw_no"), (point * F.col("total")).alias("_at"))
+    placed = _marks_up_to(draws.where("_at is not null"), ends.select("_at"), ["_at"], "_place")
+    return placed.join(dense_index(ends.select("id"), ["id"], "_i", "long"), F.col("_place") == F.col("_i") + 1).select("draw_no", "id")

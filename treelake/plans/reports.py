@@ -202,12 +202,43 @@ def proportional_sample(spark, sf_dir):
     return S.proportional_sample(_geo_pairs(spark, sf_dir)[3], "depth_diff", 777, 21, _KEYS).select(*_KEYS)
 
 
-@query(None)
+def _eligible_sql(rows: str, links: str, k: int, seed: int, n: str, keys: list[str]) -> str:
+    """Numbers of a row's choice in even stretches, moved past the links before them; rows(idx, weight, <keys>), links(idx, other, weight)."""
+    own, key = ", ".join(keys), "".join(f", {c}" for c in keys)
+    number = f"(lo + {_DRAW(seed, 'greatest(hi - lo, 1)', 'idx', *keys, 'no')})"
+    again = _DRAW(seed, "greatest(may, 1)", "idx", *keys, "no")
+    return f"""rows0 AS (SELECT * FROM ({rows})), held AS (SELECT idx, other, max(weight) AS weight FROM ({links}) WHERE idx <> other GROUP BY ALL),
+barred AS (SELECT idx, other, row_number() OVER (PARTITION BY idx ORDER BY other) - 1 AS r, count(*) OVER (PARTITION BY idx) AS size FROM (SELECT idx, other FROM held UNION SELECT idx, idx FROM rows0)),
+ranked AS (SELECT idx, other, weight, row_number() OVER (PARTITION BY idx ORDER BY weight, other) - 1 AS r, rank() OVER (PARTITION BY idx ORDER BY weight) - 1 AS light FROM held),
+asked AS (SELECT w.*, {n} - size AS free, {n} - size + coalesce(light, 0) AS may FROM rows0 w JOIN (SELECT DISTINCT idx, size FROM barred) b USING (idx) LEFT JOIN (SELECT DISTINCT idx, weight, light FROM ranked) l ON l.idx = w.idx AND l.weight = w.weight),
+each AS (SELECT idx{key}, free, may, no, CAST(floor(no * may / {k}) AS BIGINT) AS lo, CAST(floor((no + 1) * may / {k}) AS BIGINT) AS hi FROM asked, range({k}) t(no)),
+drawn AS MATERIALIZED (SELECT idx{key}, no, free, CASE WHEN may = 0 THEN NULL WHEN may >= {k} THEN {number} WHEN no < may THEN no ELSE {again} END AS j FROM each),
+gaps AS (SELECT idx, other - r AS gap, max(r) + 1 AS before FROM barred GROUP BY 1, 2),
+met AS (SELECT d.*, g.before FROM drawn d ASOF LEFT JOIN gaps g ON d.idx = g.idx AND d.j >= g.gap)
+SELECT idx{key}, CAST(no + 1 AS INTEGER) AS draw_no, CAST(CASE WHEN j IS NULL THEN idx WHEN j < free THEN j + coalesce(before, 0) ELSE other END AS INTEGER) AS negative_idx
+FROM (SELECT m.*, h.other AS lit FROM met m LEFT JOIN (SELECT idx, other, r FROM ranked) h ON h.idx = m.idx AND h.r = m.j - m.free)""".replace("ELSE other END", "ELSE lit END")
+
+
+@query(f"{PAIRED}, {_eligible_sql('SELECT idx, NULL::DOUBLE AS weight FROM mapping', 'SELECT descendant_idx AS idx, ancestor_idx AS other, 1.0 AS weight FROM pairs', 5, 22, '(SELECT count(*) FROM mapping)', []).replace('SELECT idx, CAST(no', 'SELECT idx AS descendant_idx, CAST(no')}")
 def negatives_with_rejection(spark, sf_dir):
     _, _, mapping, pairs = _geo_pairs(spark, sf_dir)
     return S.rejecting_negatives(mapping, pairs.select(F.col("descendant_idx").alias("idx"), F.col("ancestor_idx").alias("negative_idx")), 5, 22)
 
 
+#: Suppliers linked to the parts they delivered, by how often; parts and suppliers share the indices from 0.
+_BOUGHT = "SELECT CAST(l_suppkey AS INTEGER) AS idx, CAST(l_partkey AS INTEGER) AS other, CAST(count(*) AS DOUBLE) AS weight FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL"
+_MOST = "(SELECT greatest(max(l_suppkey), max(l_partkey)) + 1 FROM lineitem)"
+
+
+@query(f"WITH {_eligible_sql(f'SELECT * FROM ({_BOUGHT})', _BOUGHT, 6, 23, _MOST, ['other'])}")
+def negatives_lighter_than_link(spark, sf_dir):
+    """For each link, nodes that its source isn't linked to or by less weight."""
+    items = table(spark, sf_dir, "lineitem")
+    links = items.groupBy(F.col("l_suppkey").cast("int").alias("idx"), F.col("l_partkey").cast("int").alias("other")).agg(F.count("*").cast("double").alias("weight"))
+    n = items.agg(F.greatest(F.max("l_suppkey"), F.max("l_partkey")) + 1).first()[0]
+    return S.weight_rejecting_negatives(links, 6, 23, n)
+
+
 @query(f"WITH v AS (SELECT vec_id AS idx FROM embeddings) SELECT idx, " + ", ".join(f"round((2 * ({_DRAW(7, 1 << 40, 'idx', str(k))}) / {float(1 << 40)} - 1) * 1e-3, 9) AS x{k}" for k in range(3)) + " FROM v")
 def uniform_start(spark, sf_dir):
     v = L.uniform_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx")), 3)

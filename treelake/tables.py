@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,13 @@ def dense_index(df: DataFrame, order: list[str], out: str, kind: str = "int") ->
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("_part", before.alias("_base")))
     return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, (F.col("_base") + F.col("_own")).cast(kind)).drop("_part", "_own", "_base")
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` over all rows up to and with this one in the order of `order`, without one task for all rows."""
+    part = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value), "ranges")
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = part.groupBy("_part").agg(F.sum("_value").alias("_n"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sums.select("_part", before.alias("_base")))
+    return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, F.coalesce("_base", F.lit(0)) + F.col("_own")).drop("_part", "_own", "_base", "_value")

@@ -8,6 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.manifolds import LOSSES, MANIFOLDS
 from .functions.names import curriculum_phases, dataset_name
 from .operators import metrics, pairs, training, tree
 from .plans.build import build_dataset
@@ -38,7 +39,7 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
     nodes = training.node_table(tree.node_paths(edges, root), mapping)
     phases = curriculum_phases(a.curriculum_phases) if a.curriculum_phases else None
     n_pairs = table.count() if a.batch_size else 0
-    options = training.Options(phases=phases, batches=max(1, -(-n_pairs // a.batch_size)) if a.batch_size else 4, burn_in_rate=a.burnin_multiplier, margin_low=a.margin_min, margin_high=a.margin_max, max_pairs=a.max_pairs, class_balanced=a.class_balanced, dim=a.dim or metrics.recommended_dimension(nodes.count()), epochs=a.epochs, negatives=a.n_negatives, rate=a.lr, margin=a.margin, radial=a.lambda_reg, schedule=a.radial_schedule, curriculum=a.curriculum or bool(phases), burn_in=a.burnin, nudge=a.radial_nudge, patience=a.early_stopping, fraction=a.epoch_fraction, tiered=a.tiered_negatives, scaled_margin=a.depth_scale_margin, class_weights=a.class_weighted_loss, riemannian=a.optimizer == "riemannian")
+    options = training.Options(phases=phases, batches=max(1, -(-n_pairs // a.batch_size)) if a.batch_size else 4, burn_in_rate=a.burnin_multiplier, margin_low=a.margin_min, margin_high=a.margin_max, max_pairs=a.max_pairs, class_balanced=a.class_balanced, dim=a.dim or metrics.recommended_dimension(nodes.count()), epochs=a.epochs, negatives=a.n_negatives, rate=a.lr, margin=a.margin, radial=a.lambda_reg, schedule=a.radial_schedule, curriculum=a.curriculum or bool(phases), burn_in=a.burnin, nudge=a.radial_nudge, patience=a.early_stopping, fraction=a.epoch_fraction, tiered=a.tiered_negatives, scaled_margin=a.depth_scale_margin, class_weights=a.class_weighted_loss, riemannian=a.optimizer == "riemannian", optimizer="rsgd" if a.optimizer == "rsgd" else "adam", manifold=a.manifold, loss=a.loss, accumulate=a.accumulate)
     started, ended = time.time(), "failed"
     try:
         vectors, history = training.train(table, nodes, options, f"{a.out}/checkpoints", a.resume)
@@ -96,7 +97,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", type=kind, default=default)
     p.add_argument("--curriculum-phases", help="first epoch:deepest difference, ..., such as 1:1,20:3,50:None")
     p.add_argument("--radial-schedule", choices=("linear", "log"), default="linear")
-    p.add_argument("--optimizer", choices=("adam", "riemannian"), default="adam")
+    p.add_argument("--optimizer", choices=("adam", "riemannian", "rsgd"), default="adam")
+    p.add_argument("--manifold", choices=tuple(MANIFOLDS), default="poincare")
+    p.add_argument("--loss", choices=tuple(LOSSES), default="ranking")
+    p.add_argument("--accumulate", type=int, default=1)
     for name in ("curriculum", "tiered-negatives", "depth-scale-margin", "class-weighted-loss", "class-balanced", "resume"):
         p.add_argument(f"--{name}", action="store_true")
     p.set_defaults(do=train)

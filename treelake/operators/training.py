@@ -1,4 +1,4 @@
-"""Training vectors in the Poincaré ball: a driver loop of DataFrame jobs, a step a job."""
+"""Training vectors on a manifold: a driver loop of DataFrame jobs, two jobs a step."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.names import automatic_phases
-from ..tables import saved
+from ..functions.manifolds import MANIFOLDS, Poincare, ranking
 from ..sources import readers, writers
-from . import metrics, pairs, sampling
+from ..tables import new_folder, saved
+from . import blocks, metrics, pairs, sampling
 
 #: What is measured of each epoch.
 MEASURES = ("loss", "depth_norm_corr", "hierarchy_pct", "knn_purity", "class_sep_ratio", "quality")
@@ -44,6 +45,10 @@ class Options:
     fraction: float = 1.0
     tiered: bool = False
     riemannian: bool = False
+    optimizer: str = "adam"  # or "rsgd": sparse steps along the manifold, without moments
+    manifold: str = "poincare"
+    loss: str = "ranking"
+    accumulate: int = 1  # batches whose gradients are added up for a step
     class_weights: bool = False
     seed: int = 7
     tiers: list = field(default_factory=lambda: [("depth", ["depth"], 1 << 30)])
@@ -66,110 +71,55 @@ def uniform_vectors(nodes: DataFrame, dim: int, most: float = 1e-3, seed: int =
     return nodes.select("idx", F.array(*[part(F.lit(k)) for k in range(dim)]).alias("vec"))
 
 
-def _distance_and_gradient(u, v):
-    """Distances of rows of u and v, and their gradients by u and by v."""
-    import numpy as np
+def loss_and_gradient(anc, desc, neg, margin, weight):
+    """`ranking` in the Poincaré ball."""
+    return ranking(Poincare(), anc, desc, neg, margin, weight)
 
-    eps = V.EPS
-    a, b = np.clip((u * u).sum(1), 0, 1 - eps), np.clip((v * v).sum(1), 0, 1 - eps)
-    alpha, beta = 1 - a, 1 - b
-    diff = u - v
-    s = (diff * diff).sum(1)
-    bottom = alpha * beta + eps
-    x = 1 + 2 * s / bottom + eps
-    d = np.arccosh(x)
-    slope = 1 / np.sqrt(x * x - 1)
-    # x depends on u through the difference and, inside the clamp, through alpha
-    gu = (4 * diff / bottom[:, None] + (4 * s * beta / bottom**2 * (a < 1 - eps))[:, None] * u) * slope[:, None]
-    gv = (-4 * diff / bottom[:, None] + (4 * s * alpha / bottom**2 * (b < 1 - eps))[:, None] * v) * slope[:, None]
-    return d, gu, gv
 
+def _moved(packed: DataFrame, change) -> DataFrame:
+    """Packed blocks whose x is change(x, target); moments that are missing start at 0."""
+    kinds = "block int, idx binary, target binary, pools binary, x binary, m binary, v binary"
 
-def loss_and_gradient(anc, desc, neg, margin, weight):
-    """Weighted hinge losses of (ancestor, descendant, negatives) and the gradients by each of the three.
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    anc, desc: (n, dim); neg: (n, k, dim); margin, weight: (n,). A pair's loss is the mean over its negatives.
-    """
-    import numpy as np
+        for b in batches:
+            for r in b.to_pylist():
+                n = len(r["idx"]) // 8
+                x = np.ascontiguousarray(change(np.frombuffer(r["x"], "<f8").reshape(n, -1), np.frombuffer(r["target"], "<f8")))
+                zero = np.zeros_like(x).tobytes()
+                yield pa.RecordBatch.from_pylist([{"m": zero, "v": zero, **r, "x": x.tobytes()}], schema=blocks.schema_of(kinds))
 
-    n, k, dim = neg.shape
-    pos, ga, gd = _distance_and_gradient(anc, desc)
-    far, gna, gn = _distance_and_gradient(np.repeat(anc, k, 0), neg.reshape(n * k, dim))
-    far, gna, gn = far.reshape(n, k), gna.reshape(n, k, dim), gn.reshape(n, k, dim)
-    gap = pos[:, None] - far + margin[:, None]
-    on = (gap > 0) * (weight / k)[:, None]
-    loss = weight * np.maximum(gap, 0).mean(1)
-    g_anc = ga * on.sum(1)[:, None] - (gna * on[:, :, None]).sum(1)
-    return loss, g_anc, gd * on.sum(1)[:, None], -gn * on[:, :, None]
+    return packed.mapInArrow(run, kinds)
 
 
-def batch_gradients(batch: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(idx, g, loss) summed by idx for batch(pair_id, ancestor_idx, descendant_idx, negatives, margin, weight).
+def start_blocks(rows: DataFrame, size: int, manifold: str = "poincare") -> DataFrame:
+    """Packed blocks of rows(idx, target, pools, vec), where vec is a point of the ball."""
+    space = MANIFOLDS[manifold]()
+    packed = blocks.pack(rows.select("idx", F.col("target"), F.col("pools"), F.col("vec").alias("x")), size, {"target": "<f8", "pools": "<i8", "x": "<f8"})
+    return _moved(packed, lambda x, _: space.of_ball(x))
 
-    The vectors come by join; each task adds up the gradients of its own rows before the shuffle.
-    """
-    v = vectors.select(F.col("idx"), F.col("vec"))
-    want = batch.select("pair_id", F.posexplode("negatives").alias("k", "idx")).join(v, "idx")
-    negs = want.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("k", "idx", "vec"))).alias("neg"))  # a few a pair
-    rows = batch.join(v.select(F.col("idx").alias("ancestor_idx"), F.col("vec").alias("a")), "ancestor_idx").join(v.select(F.col("idx").alias("descendant_idx"), F.col("vec").alias("d")), "descendant_idx").join(negs, "pair_id")
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+def ball_vectors(packed: DataFrame, manifold: str = "poincare") -> DataFrame:
+    """(idx, vec): the image in the ball of each packed vector."""
+    space = MANIFOLDS[manifold]()
+    return blocks.unpack(_moved(packed, lambda x, _: space.to_ball(x)), {"x": "<f8"}).withColumnRenamed("x", "vec")
 
-        sums: dict[int, list] = {}
 
-        def pack():
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0].tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array([s[1] for s in sums.values()], pa.float64())], ["idx", "g", "loss"])
+def nudged(packed: DataFrame, share: float, manifold: str = "poincare") -> DataFrame:
+    """Packed blocks whose images in the ball went a share of the way to their target radius."""
+    space = MANIFOLDS[manifold]()
 
-        for b in batches:
-            by_k: dict[int, list[int]] = {}
-            neg = b.column("neg").to_pylist()
-            for i, x in enumerate(neg):
-                by_k.setdefault(len(x), []).append(i)
-            a, d = (np.array(b.column(c).to_pylist()) for c in ("a", "d"))
-            ai, di, m, w = (b.column(c).to_numpy() for c in ("ancestor_idx", "descendant_idx", "margin", "weight"))
-            for k, at in by_k.items():
-                nv = np.array([[e["vec"] for e in neg[i]] for i in at])
-                ni = np.array([[e["idx"] for e in neg[i]] for i in at])
-                loss, g_a, g_d, g_n = loss_and_gradient(a[at], d[at], nv, m[at], w[at])
-                ids = np.concatenate([ai[at], di[at], ni.ravel()])
-                g = np.concatenate([g_a, g_d, g_n.reshape(-1, nv.shape[2])])
-                share = np.concatenate([loss, np.zeros(len(ids) - len(loss))])
-                for i, row, x in zip(ids.tolist(), g, share.tolist()):
-                    if i in sums:
-                        sums[i][0] += row
-                        sums[i][1] += x
-                    else:
-                        sums[i] = [row.copy(), x]
-            if len(sums) > 100_000:
-                yield pack()
-                sums.clear()
-        if sums:
-            yield pack()
-
-    part = rows.select("ancestor_idx", "descendant_idx", "a", "d", "neg", "margin", "weight").mapInArrow(run, "idx int, g array<double>, loss double")
-    flat = part.select("idx", "loss", F.posexplode("g").alias("k", "x"))
-    summed = flat.groupBy("idx", "k").agg(F.sum("x").alias("x"), F.sum("loss").alias("loss"))
-    return summed.groupBy("idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("g"), F.max("loss").alias("loss"))
-
-
-def adam_step(state: DataFrame, grads: DataFrame, step: int, rate: float, radial: float, clip: float = 1.0, riemannian: bool = False) -> DataFrame:
-    """New state(idx, depth, target, vec, m, v): dense moments, gradients clipped by their global norm, then back into the ball."""
-    n = state.agg(F.count("*").alias("n"))
-    pull = 2 * radial * (V.norm(F.col("vec")) - F.col("target")) / F.greatest(V.norm(F.col("vec")), F.lit(1e-8)) / F.col("n")
-    joined = state.join(F.broadcast(n), F.lit(True)).join(grads.select("idx", "g"), "idx", "left")
-    zero = F.transform("vec", lambda x: x * 0)
-    joined = joined.withColumn("g", F.zip_with(F.coalesce("g", zero), V.scale(F.col("vec"), pull), lambda a, b: a + b))
-    if riemannian:
-        joined = joined.withColumn("g", V.riemannian_gradient(F.col("vec"), F.col("g")))
-    total = joined.agg(F.sqrt(F.sum(V.squared_norm(F.col("g")))).alias("total"))
-    scaled = joined.join(F.broadcast(total), F.lit(True)).withColumn("g", V.scale(F.col("g"), F.least(F.lit(1.0), F.lit(clip) / (F.col("total") + 1e-6))))
-    m = F.zip_with("m", "g", lambda a, b: 0.9 * a + 0.1 * b)
-    v = F.zip_with("v", "g", lambda a, b: 0.999 * a + 0.001 * b * b)
-    moved = scaled.withColumn("m", m).withColumn("v", v)
-    step_ = F.zip_with("m", "v", lambda a, b: rate * (a / (1 - 0.9**step)) / (F.sqrt(b / (1 - 0.999**step)) + 1e-8))
-    return moved.select("idx", "depth", "target", V.project_to_ball(F.zip_with("vec", step_, lambda a, b: a - b)).alias("vec"), "m", "v")
+    def change(x, target):
+        import numpy as np
+
+        u = space.to_ball(x)
+        n = np.maximum(np.sqrt((u * u).sum(1)), 1e-8)
+        r = np.clip(n * (1 - share) + target * share, 1e-6, 1 - 1e-6)
+        return space.of_ball(u * (r / n)[:, None])
+
+    return _moved(packed, change)
 
 
 def phase_limit(phases: list, epoch: int) -> int | None:
@@ -192,23 +142,55 @@ def epoch_metrics(table: DataFrame, nodes: DataFrame, state: DataFrame, loss: fl
     return out | {"quality": out["depth_norm_corr"] + out["hierarchy_pct"] / 100 + purity + ratio - 1}
 
 
+def epoch_links(table: DataFrame, nodes: DataFrame, o: Options, epoch: int, limit: int | None, deepest: int, weights: DataFrame | None) -> DataFrame:
+    """(ancestor_idx, descendant_idx, margin, raw, batch): the links of an epoch, written by batch so that a step reads its own only."""
+    keys = ["ancestor_idx", "descendant_idx"]
+    now = table.where("ancestor_idx <> descendant_idx")
+    if limit is not None:
+        now = now.where(F.col("depth_diff") <= limit)
+    if o.fraction < 1:
+        now = sampling.fraction_sample(now, "depth_diff", o.fraction, o.seed + epoch, keys)
+    if o.class_balanced:
+        owned = now.join(nodes.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("_class")), "descendant_idx").where("_class is not null")
+        now = sampling.class_balanced(owned, "_class", owned.count(), o.seed + epoch, keys).drop("_class")
+    if weights is not None:
+        now = now.join(nodes.select(F.col("idx").alias("descendant_idx"), "class"), "descendant_idx").join(weights, "class", "left")
+    margin = V.depth_margin(F.col("depth_diff"), F.lit(float(max(deepest, 1))), o.margin_low, o.margin_high) if o.scaled_margin else F.lit(o.margin)
+    weight = F.sqrt(F.col("depth_diff") + 1.0) * (F.coalesce("class_weight", F.lit(1.0)) if weights is not None else F.lit(1.0))
+    batch = F.pmod(F.xxhash64(*keys, *(["draw_no"] if o.class_balanced else []), F.lit(epoch)), F.lit(o.batches * max(1, o.accumulate)))
+    rows = now.select(*keys, margin.alias("margin"), weight.alias("raw"), batch.cast("int").alias("batch"))
+    folder = new_folder(table.sparkSession, "epoch")
+    rows.repartition("batch", F.pmod(F.xxhash64(*keys), F.lit(16))).write.partitionBy("batch").parquet(f"{folder}/links")
+    return table.sparkSession.read.schema(rows.schema).parquet(f"{folder}/links")
+
+
 def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, folder: str | None = None, resume: bool = False) -> tuple[DataFrame, DataFrame]:
     """(best vectors, history) from pairs and nodes(idx, depth, <tier columns>).
 
-    Each epoch: the pairs of the curriculum's phase, fresh negatives, `batches` steps; the state is
-    written after every step, so the plan never grows and a lost executor repeats one step. The best epoch
-    is that of the least loss or, under a curriculum, whose phases make losses incomparable, of the highest
-    quality; epochs of burn-in are never best. Early stop after `patience` epochs that are not (0: never).
-    `folder` gets the last checkpoints, `best` and `final`; with `resume`, training goes on after the last one
-    there. Without a best epoch the last vectors are returned.
+    Vectors lie in packed blocks (see `blocks`). Each epoch: the pairs of the curriculum's phase, `batches` steps, each over
+    `accumulate` batches whose mean loss it lowers; negatives are drawn in the tasks, afresh each epoch, from the blocks
+    at hand. The state is written after every step, so the plan never grows and a lost executor repeats one step.
+    `manifold`, `loss` and `optimizer` are named as in MANIFOLDS, LOSSES and Options; vectors come back as points of
+    the ball (of flat space for "euclidean"). The best epoch is that of the least loss or, under a curriculum, whose
+    phases make losses incomparable, of the highest quality; epochs of burn-in are never best. Early stop after
+    `patience` epochs that are not (0: never). `folder` gets the last checkpoints, `best` and `final`; with
+    `resume`, training goes on after the last one there. Without a best epoch the last vectors are returned.
     """
     o = options or Options()
+    if o.dim < 1:
+        raise ValueError("vectors need a dimension")
     spark = table.sparkSession
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    zero = F.array_repeat(F.lit(0.0), o.dim)
-    start = initial_vectors(nodes, o.dim, deepest, o.schedule, o.seed)
+    facts = nodes.agg(F.max("depth").alias("deepest"), F.count("*").alias("n"), F.max("idx").alias("last")).first()
+    deepest, n = facts.deepest or 0, facts.n
     radius: Column = V.target_radius(F.col("depth").cast("double"), F.lit(float(deepest)), o.schedule)
-    state = saved(start.select("idx", "depth", radius.alias("target"), "vec", zero.alias("m"), zero.alias("v")), "state")
+    tiers = o.tiers if not o.tiered else [("grandparent", ["gp", "depth"], o.negatives // 2), ("class", ["class", "depth"], o.negatives // 2 + int(0.3 * o.negatives)), ("depth", ["depth"], 1 << 30)]
+    ends = [high for *_, high in tiers]
+    space = MANIFOLDS[o.manifold]()
+    size = blocks.rows_of_block(space.width(o.dim))
+    n_blocks = 1 + (facts["last"] or 0) // size
+    held = nodes.select("idx", blocks.pool_keys(tiers).alias("pools"))
+    start = initial_vectors(nodes, o.dim, deepest, o.schedule, o.seed).withColumn("target", radius).join(held, "idx")
+    state = saved(start_blocks(start, size, o.manifold), "state")
     phases = (o.phases or automatic_phases(deepest, o.epochs)) if o.curriculum else [(1, None)]
     if o.max_pairs:
         table = saved(sampling.stratified_subsample(table, "depth_diff", o.max_pairs, o.seed, ["ancestor_idx", "descendant_idx"]), "pairs")
@@ -217,58 +199,58 @@ def train(table: DataFrame, nodes: DataFrame, options: Options | None = None, fo
     if last:
         path, done, notes = last
         old = spark.read.schema("idx int, vec array<double>, m array<double>, v array<double>").parquet(f"{path}/vectors")
-        state = saved(state.select("idx", "depth", "target").join(old, "idx"), "state")
+        rows = old.join(nodes.select("idx", radius.alias("target")), "idx").join(held, "idx").withColumnRenamed("vec", "x")
+        state = saved(_moved(blocks.pack(rows, size, {"target": "<f8", "pools": "<i8", "x": "<f8", "m": "<f8", "v": "<f8"}), lambda x, _: x), "state")
         step, waited, best = notes["step"], notes["waited"], -math.inf if notes["best"] is None else notes["best"]
         if notes["best"] is not None:
             best_vectors = saved(readers.vectors_parquet(spark, f"{folder}/best/vectors"), "best")
-    tiers = o.tiers if not o.tiered else [("grandparent", ["gp", "depth"], o.negatives // 2), ("class", ["class", "depth"], o.negatives // 2 + int(0.3 * o.negatives)), ("depth", ["depth"], 1 << 30)]
+    versions = blocks.Versions(state) if o.optimizer == "rsgd" else None
     weights = metrics.class_weights(nodes.select("class")).select("class", F.col("weight").alias("class_weight")) if o.class_weights else None
     for epoch in range(done + 1, o.epochs + 1):
-        limit = phase_limit(phases, epoch)
-        now = table.where("ancestor_idx <> descendant_idx") if limit is None else table.where((F.col("depth_diff") <= limit) & (F.col("ancestor_idx") != F.col("descendant_idx")))
-        keys = ["ancestor_idx", "descendant_idx"]
-        if o.fraction < 1:
-            now = sampling.fraction_sample(now, "depth_diff", o.fraction, o.seed + epoch, keys)
-        if o.class_balanced:
-            owned = now.join(nodes.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("_class")), "descendant_idx").where("_class is not null")
-            now = sampling.class_balanced(owned, "_class", owned.count(), o.seed + epoch, keys).drop("_class")
-        if weights is not None:
-            now = now.join(nodes.select(F.col("idx").alias("descendant_idx"), "class"), "descendant_idx").join(F.broadcast(weights), "class", "left")
-        neg = sampling.negatives(nodes, o.negatives, o.seed + 1000 * epoch, tiers).groupBy("descendant_idx").agg(F.sort_array(F.collect_list("negative_idx")).alias("negatives"))
-        margin = V.depth_margin(F.col("depth_diff"), F.lit(float(max(deepest, 1))), o.margin_low, o.margin_high) if o.scaled_margin else F.lit(o.margin)
-        weight = F.sqrt(F.col("depth_diff") + 1.0) * (F.coalesce("class_weight", F.lit(1.0)) if weights is not None else F.lit(1.0))
-        full = now.join(neg, "descendant_idx").select(*keys, "negatives", margin.alias("margin"), weight.alias("raw"), F.xxhash64(*keys, *(["draw_no"] if o.class_balanced else [])).alias("pair_id"))
-        full = saved(full.withColumn("batch", F.pmod(F.xxhash64("pair_id", F.lit(epoch)), F.lit(o.batches))), "epoch")
+        full = epoch_links(table, nodes, o, epoch, phase_limit(phases, epoch), deepest, weights)
         sizes = {r.batch: (r.n, r.mean) for r in full.groupBy("batch").agg(F.count("*").alias("n"), F.avg("raw").alias("mean")).collect()}
-        total = 0.0
+        total, parts = 0.0, max(1, o.accumulate)
         rate = o.rate * (o.burn_in_rate if epoch <= o.burn_in else 1.0)
-        for b, (n, mean) in sorted(sizes.items()):
+        for first in range(0, o.batches * parts, parts):
+            mine = [b for b in range(first, first + parts) if b in sizes]
+            if not mine:
+                continue
             step += 1
-            batch = full.where(F.col("batch") == b).withColumn("weight", F.col("raw") / (mean * n))
-            grads = saved(batch_gradients(batch, state), "grads")
-            total += grads.agg(F.sum("loss")).first()[0] or 0.0
-            state = saved(adam_step(state, grads, step, rate, o.radial, riemannian=o.riemannian), "state")
+            even = F.coalesce(*[F.when(F.col("batch") == b, 1.0 / (sizes[b][0] * sizes[b][1] * len(mine))) for b in mine])
+            links = full.where(F.col("batch").isin(mine)).withColumn("weight", F.col("raw") * even)
+            now = state if versions is None else versions.current()
+            grads = blocks.block_gradients(links, now, o.manifold, o.loss, o.negatives, ends, size, n_blocks, o.seed + 1000 * epoch + first)
+            if versions is None:
+                state, loss, _ = blocks.adam_blocks(state, grads, step, rate, o.radial, n, o.manifold, riemannian=o.riemannian)
+            else:
+                loss, _ = blocks.descend(versions, grads, rate, o.manifold, clear=o.loss == "cones")
+            total += loss
+        if versions is not None:
+            state = versions.current()
         if o.nudge:
-            state = saved(state.withColumn("vec", V.radial_nudge(F.col("vec"), F.col("target"), o.nudge)), "state")
-        notes = epoch_metrics(table, nodes, state, total / max(len(sizes), 1), o.measured, o.seed)
+            state = saved(nudged(state, o.nudge, o.manifold), "state")
+            versions = versions and blocks.Versions(state)
+        rows = saved(ball_vectors(state, o.manifold).join(nodes.select("idx", "depth"), "idx"), "vectors")
+        notes = epoch_metrics(table, nodes, rows, total / max(len(sizes) / parts, 1), o.measured, o.seed)
         score = notes["quality"] if o.curriculum else -notes["loss"]
         counts = epoch > o.burn_in
         better = counts and score > best
         if better:
-            best, waited, best_vectors = score, 0, state.select("idx", "vec")
+            best, waited, best_vectors = score, 0, rows.select("idx", "vec")
         elif counts:
             waited += 1
         history.append((epoch, *[notes[c] for c in MEASURES], better))
         if folder:
             if better:
                 writers.kept_checkpoint(best_vectors, {"epoch": epoch, **notes}, f"{folder}/best")
-            writers.checkpoint(state.select("idx", "vec", "m", "v"), {**notes, "step": step, "waited": waited, "best": best if best > -math.inf else None}, folder, epoch)
+            whole = blocks.unpack(state, {c: "<f8" for c in blocks.STATE}).withColumnRenamed("x", "vec")
+            writers.checkpoint(whole, {**notes, "step": step, "waited": waited, "best": best if best > -math.inf else None}, folder, epoch)
         if counts and 0 < o.patience <= waited:
             break
     if folder and history:
-        writers.kept_checkpoint(state.select("idx", "vec"), {"epoch": history[-1][0], **notes}, f"{folder}/final")
+        writers.kept_checkpoint(rows.select("idx", "vec"), {"epoch": history[-1][0], **notes}, f"{folder}/final")
     schema = "epoch int, " + ", ".join(f"{c} double" for c in MEASURES) + ", best boolean"
-    return state.select("idx", "vec") if best_vectors is None else best_vectors, spark.createDataFrame(history, schema)
+    return ball_vectors(state, o.manifold) if best_vectors is None else best_vectors, spark.createDataFrame(history, schema)
 
 
 def node_table(paths: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -276,4 +258,4 @@ def node_table(paths: DataFrame, mapping: DataFrame) -> DataFrame:
     return paths.join(mapping, "taxid").select("idx", "depth", F.get("path", F.col("depth") - 2).alias("gp"), F.get("path", F.lit(1)).alias("class"))
 
 
-__all__ = ["Options", "adam_step", "batch_gradients", "initial_vectors", "loss_and_gradient", "node_table", "pairs", "train"]
+__all__ = ["Options", "ball_vectors", "epoch_links", "initial_vectors", "loss_and_gradient", "node_table", "nudged", "pairs", "start_blocks", "train"]

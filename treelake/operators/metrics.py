@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..tables import new_folder
+from . import rings
 
 
 def norms(emb: DataFrame) -> DataFrame:
@@ -128,14 +129,6 @@ def _poincare_block(a, b, clamped: bool):
     return np.arccosh(np.maximum(x, 1 + V.EPS) if clamped else x + V.EPS)
 
 
-def _packed(emb: DataFrame, tile: int, label: str | None) -> DataFrame:
-    """(tile, idx, cls, vecs): blocks of rows; the class is -1 where there is none."""
-    cls = F.coalesce(F.col(label).cast("long"), F.lit(-1)) if label else F.lit(-1)
-    rows = emb.select(F.pmod(F.xxhash64("idx"), F.lit(1 << 30)).alias("_h"), F.col("idx").cast("long").alias("idx"), cls.cast("long").alias("cls"), F.col("vec").cast("array<double>").alias("vec"))
-    n_tiles = max(1, -(-emb.count() // tile))
-    return rows.groupBy((F.col("_h") % n_tiles).cast("int").alias("tile")).agg(F.sort_array(F.collect_list(F.struct("idx", "cls", "vec"))).alias("rows"))
-
-
 def _rows_of(emb: DataFrame, label: str | None) -> DataFrame:
     cls = F.coalesce(F.col(label).cast("long"), F.lit(-1)) if label else F.lit(-1).cast("long")
     return emb.select(F.col("idx").cast("long").alias("idx"), cls.alias("cls"), F.col("vec").cast("array<double>").alias("vec"))
@@ -186,38 +179,13 @@ def _against_all(emb: DataFrame, label: str | None, tile: int, work, schema: str
     return rows.mapInArrow(run, schema)
 
 
-def nearest_neighbors(emb: DataFrame, k: int, label: str | None = None, clamped: bool = True, tile: int = 1024) -> DataFrame:
+def nearest_neighbors(emb: DataFrame, k: int, label: str | None = None, clamped: bool = True, tile: int | None = None) -> DataFrame:
     """(idx, cls, rank, neighbor, neighbor_cls, distance): the k nearest of each row by Poincaré distance.
 
-    The row itself is left out by its idx; ties go to the smaller idx. Each block of `tile` rows meets all blocks in
-    turn and keeps k of each row; only these leave the task.
+    The row itself is left out by its idx; ties go to the smaller idx. Rows lie in blocks by their norm, and a block
+    reads only those that can hold one of its k nearest (see `rings`); k rows leave the task for each row.
     """
-
-    def work(ai, ac, av, tiles):
-        import numpy as np
-        import pyarrow as pa
-
-        best = None
-        for bi, bc, bv in tiles():
-            for at in range(0, len(av), 128):
-                d = _poincare_block(av[at : at + 128], bv, clamped)
-                d[ai[at : at + 128, None] == bi[None, :]] = np.inf
-                near = np.lexsort((np.broadcast_to(bi, d.shape), d), axis=1)[:, :k]
-                r, c = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
-                keep = np.isfinite(d[r, c])
-                r, c = r[keep], c[keep]
-                new = (at + r, bi[c], bc[c], d[r, c])
-                best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
-            order = np.lexsort((best[1], best[3], best[0]))
-            row, other, kind, d = (x[order] for x in best)
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            best = tuple(x[place < k] for x in (row, other, kind, d))
-        if best is not None:
-            row, other, kind, d = best
-            rank = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype("int32")
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ai[row], ac[row], rank, other, kind, d)], ["idx", "cls", "rank", "neighbor", "neighbor_cls", "distance"])
-
-    return _against_all(emb, label, tile, work, "idx long, cls long, rank int, neighbor long, neighbor_cls long, distance double")
+    return rings.nearest_neighbors(emb, k, label, lambda a, b: _poincare_block(a, b, clamped), tile)
 
 
 def knn_purity(emb: DataFrame, label: str, k: int = 10) -> DataFrame:
@@ -300,46 +268,13 @@ def overlap_share(pairs: DataFrame) -> DataFrame:
     return pairs.where("same").join(F.broadcast(middle), F.lit(True)).agg(F.max("median").alias("median"), (100 * F.avg((F.col("d") > F.col("median")).cast("double"))).alias("overlap_pct"))
 
 
-def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int = 1024) -> DataFrame:
+def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int | None = None) -> DataFrame:
     """(source, n, mean_rank, ap) for adjacent(source, target): the rank of each target among the non-targets by distance.
 
     A target's rank is 1 + the non-targets that are nearer; the average precision runs over the targets in
-    order; ties go to the smaller idx. Every source meets every vector: each pair of tiles is one block of
-    distances, in which each link counts the vectors nearer than its target; the counts are summed.
+    order; ties go to the smaller idx. See `rings.link_places` for how vectors are counted.
     """
-    tiles = _packed(emb, tile, None)
-    hit = adjacent.where("source <> target").select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
-    where = tiles.select("tile", F.explode("rows").alias("r")).select(F.col("r.idx").alias("idx"), F.col("tile"), F.col("r.vec").alias("vec"))
-    sources = hit.join(where.select(F.col("idx").alias("source"), F.col("tile").alias("a")), "source")
-    links = sources.join(where.select(F.col("idx").alias("target"), F.col("vec").alias("tv")), "target")
-    links = links.withColumn("part", F.pmod(F.xxhash64("source", "target"), F.lit(16)))  # at most a sixteenth of a tile's links in a row
-    links = links.groupBy("a", "part").agg(F.collect_list(F.struct("source", "target", "tv")).alias("links"))
-    work = links.join(tiles.select(F.col("tile").alias("a"), F.col("rows").alias("a_rows")), "a")
-    work = work.join(tiles.select(F.col("tile").alias("b"), F.col("rows").alias("b_rows")), F.lit(True)).repartition("a", "b", "part")
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for pairs, a, b in zip(*(batch.column(c).to_pylist() for c in ("links", "a_rows", "b_rows"))):
-                own, bi, bv = {r["idx"]: r["vec"] for r in a}, np.array([r["idx"] for r in b]), np.array([r["vec"] for r in b])
-                of, out = {}, []
-                for x in pairs:
-                    of.setdefault(x["source"], []).append(x)
-                for source, mine in of.items():
-                    v = np.array([own[source]])
-                    d = _poincare_block(v, bv, True)[0]
-                    other = bi != source
-                    order = np.lexsort((bi[other], d[other]))
-                    di, ii = d[other][order], bi[other][order]
-                    t, td = np.array([x["target"] for x in mine]), _poincare_block(v, np.array([x["tv"] for x in mine]), True)[0]
-                    low, high = np.searchsorted(di, td, "left"), np.searchsorted(di, td, "right")
-                    nearer = [m + int((ii[m:n] < k).sum()) for m, n, k in zip(low.tolist(), high.tolist(), t)]
-                    out += [(source, int(k), n) for k, n in zip(t, nearer)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["source", "target", "nearer"])
-
-    place = work.mapInArrow(run, "source long, target long, nearer long").groupBy("source", "target").agg((1 + F.sum("nearer")).alias("place"))
+    place = rings.link_places(adjacent, emb, lambda a, b: _poincare_block(a, b, True), tile)
     seen = place.withColumn("found", F.row_number().over(Window.partitionBy("source").orderBy("place", "target")))  # a source's own links
     return seen.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("place") - F.col("found") + 1).alias("mean_rank"), F.avg(F.col("found") / F.col("place")).alias("ap"))
 

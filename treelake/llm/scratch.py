@@ -27,8 +27,8 @@ class Scratch:
         self.spark = spark
         self.path = new_folder(spark, name)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        df.write.mode("overwrite").option("compression", codec).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
@@ -36,7 +36,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of jobs that are over."""
+        """Let Spark's cleaner delete the shuffle files of jobs that are over; those of the last job are held until another has run."""
+        self.spark.range(1).collect()
         gc.collect()
         self.spark._jvm.System.gc()
 

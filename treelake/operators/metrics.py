@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.special import correlation_p
 from ..tables import new_folder
 from . import rings
 
@@ -50,6 +51,18 @@ def trained_summary(emb: DataFrame, used: DataFrame) -> DataFrame:
     return flag.groupBy(F.coalesce("trained", F.lit(False)).alias("trained")).agg(F.count("*").alias("n"), F.avg("norm").alias("mean_norm"), F.max("norm").alias("max_norm"))
 
 
+def compare_percentiles(before: DataFrame, after: DataFrame, at=(0.5, 0.9, 0.99)) -> DataFrame:
+    """(p, before, after, delta): percentiles of the norms of two checkpoints."""
+    one = lambda e, name: norm_percentiles(e, at).withColumnRenamed("value", name)
+    return one(before, "before").join(one(after, "after"), "p").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def boundary_report(emb: DataFrame, close: float = 0.95) -> DataFrame:
+    """One row: vectors, the percentage with a norm of `close` or more, the largest norm, and whether all lie in the ball."""
+    n = F.col("norm")
+    return norms(emb).agg(F.count("*").alias("n"), (100 * F.avg((n >= close).cast("double"))).alias("close_pct"), F.max(n).alias("most"), F.coalesce(F.max(n) < 1, F.lit(True)).alias("inside"))
+
+
 def compare_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
     """(metric, before, after, delta): norms of two checkpoints side by side."""
     names = ("least", "mean", "most", "outside", "above_90", "above_95")
@@ -94,6 +107,23 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(correlation("_rx", "_ry").alias("spearman"))
 
 
+def correlation_report(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """One row for the pairs without a null: n, pearson, pearson_p, spearman, spearman_p and, of the former, the verdict."""
+    both = average_ranks(average_ranks(rows.select(x, y).dropna(), x, "_rx"), y, "_ry")
+    one = both.agg(F.count("*").alias("n"), correlation(x, y).alias("pearson"), correlation("_rx", "_ry").alias("spearman"))
+    return one.select("n", "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"), depth_verdict(F.col("pearson")).alias("verdict"))
+
+
+def depth_verdict(r: Column) -> Column:
+    """How well norms follow depths."""
+    return F.when(r > 0.5, "good").when(r > 0.3, "weak").when(r > 0, "poor").when(r.isNotNull(), "broken")
+
+
+def separation_verdict(ratio: Column) -> Column:
+    """How far groups lie apart."""
+    return F.when(ratio > 2.0, "excellent").when(ratio > 1.5, "good").when(ratio > 1.2, "moderate").when(ratio.isNotNull(), "poor")
+
+
 def norm_by_depth(rows: DataFrame) -> DataFrame:
     """(depth, n, least, q1, median, q3, most): quartiles by place among the numbered norms of a depth, interpolated."""
     from .sampling import numbered

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dense_index
+
 
 def validate_edgelist(lines: DataFrame) -> DataFrame:
     """(line_no, issue) for lines(line_no, value): not two tokens, or not whole numbers."""
@@ -58,3 +62,37 @@ def edge_totals(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array(F.struct(F.col("parent").alias("taxid"), F.lit(1).alias("p"), F.lit(0).alias("c")), F.struct(F.col("child").alias("taxid"), F.lit(0).alias("p"), F.lit(1).alias("c")))).alias("e")).select("e.*")
     by = ends.groupBy("taxid").agg(F.max("p").alias("p"), F.max("c").alias("c"))
     return by.agg(F.sum("p").alias("parents"), F.sum("c").alias("children"), F.count("*").alias("nodes"))
+
+
+def id_gaps(ids: DataFrame, column: str) -> DataFrame:
+    """(after, before, missing): stretches of whole numbers between the least and the largest of a column that it lacks.
+
+    Numbers less their place in order are constant over a run without gaps; runs are numbered, and each meets the next.
+    """
+    held = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("v")).distinct()
+    runs = dense_index(held, ["v"], "_i", "long").groupBy((F.col("v") - F.col("_i")).alias("_k")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    runs = dense_index(runs, ["low"], "_n", "long")
+    after = runs.select("_n", F.col("high").alias("after"))
+    return after.join(runs.select((F.col("_n") - 1).alias("_n"), F.col("low").alias("before")), "_n").select("after", "before", (F.col("before") - F.col("after") - 1).alias("missing"))
+
+
+def ten_checks(edges: DataFrame, mapping: DataFrame, pairs: DataFrame, vectors: DataFrame, links: DataFrame) -> DataFrame:
+    """(check, bad): how many rows break each of ten rules; 0 everywhere for a sound dataset.
+
+    mapping(taxid, idx), pairs with depths, vectors(idx, vec, depth, target) as a training starts, links(ancestor_idx,
+    descendant_idx, negatives). The rules: one index an id; one id an index; indices without gaps; ends of pairs are
+    mapped; no pair of a node with itself; depths of a pair agree; every edge is a pair; vectors lie in the ball;
+    each at its target radius; no negative is its own descendant.
+    """
+    mapped = mapping.select("idx").distinct()
+    twice = lambda c: mapping.groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
+    ends = pairs.select(F.explode(F.array("ancestor_idx", "descendant_idx")).alias("idx"))
+    by = [mapping.select("taxid", F.col("idx").alias("i")), mapping.select("taxid", F.col("idx").alias("j"))]
+    direct = edges.join(by[0], edges.parent == by[0].taxid).select("child", "i").join(by[1], F.col("child") == by[1].taxid).select(F.col("i").alias("ancestor_idx"), F.col("j").alias("descendant_idx"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    bad = {
+        "one index an id": twice("taxid"), "one id an index": twice("idx"), "no gaps": id_gaps(mapping.unionByName(mapping.limit(1).select("taxid", F.lit(0).cast("int").alias("idx"))), "idx"), "ends are mapped": ends.join(mapped, "idx", "left_anti"),
+        "no self pairs": pairs.where("ancestor_idx = descendant_idx"), "depths agree": pairs.where("depth_diff <> descendant_depth - ancestor_depth or depth_diff < 1"), "edges are pairs": direct.join(pairs, ["ancestor_idx", "descendant_idx"], "left_anti"),
+        "inside the ball": vectors.where(norm >= 1), "at the target radius": vectors.where(F.abs(norm - F.col("target")) > 1e-6), "negatives are others": links.where(F.array_contains("negatives", F.col("descendant_idx"))),
+    }
+    return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("bad")).select(F.lit(name).alias("check"), "bad") for name, rows in bad.items()])

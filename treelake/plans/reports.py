@@ -342,3 +342,41 @@ def softmax_of_distances(spark, sf_dir):
 def tanh_nudge(spark, sf_dir):
     nudged = V.norm(V.tanh_radial_nudge(F.col("vec"), F.lit(0.5), 0.3))
     return scaled_vectors(spark, sf_dir).where("depth > 0").select("idx", _r(nudged, "norm"))
+
+
+# ---------------------------------------------------------------- significance and verdicts
+
+#: p as a share of the integral of cos^(n - 3), by Simpson's rule over 20,000 stretches.
+_TAIL = "(SELECT sum(CASE WHEN i % 20000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos({low} + (pi() / 2 - {low}) * i / 20000), 0), n - 3)) * (pi() / 2 - {low}) FROM range(20001) t(i))"
+_P = lambda r: f"({_TAIL.format(low=f'asin(abs({r}))')} / {_TAIL.format(low='0.0')})"
+
+
+@query(f"WITH r AS (SELECT p_size AS x, p_retailprice AS y, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part), c AS (SELECT count(*) AS n, corr(x, y) AS pearson, corr(a, b) AS spearman FROM r) SELECT n, round(pearson, 6) AS pearson, round({_P('pearson')}, 6) AS pearson_p, round(spearman, 6) AS spearman, round({_P('spearman')}, 6) AS spearman_p, CASE WHEN pearson > 0.5 THEN 'good' WHEN pearson > 0.3 THEN 'weak' WHEN pearson > 0 THEN 'poor' ELSE 'broken' END AS verdict FROM c")
+def correlation_report(spark, sf_dir):
+    r = M.correlation_report(table(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").cast("double").alias("price")), "p_size", "price")
+    return r.select("n", *[_r(F.col(c), c) for c in ("pearson", "pearson_p", "spearman", "spearman_p")], "verdict")
+
+
+@query(f"{EMB}, q AS (SELECT quantile_cont(norm, [0.5, 0.9, 0.99]) AS a, quantile_cont(norm * 0.7 + 0.15, [0.5, 0.9, 0.99]) AS b FROM norms) SELECT CAST([0.5, 0.9, 0.99][i] AS DOUBLE) AS p, round(a[i], 6) AS before, round(b[i], 6) AS after, round(b[i] - a[i], 6) AS delta FROM q, range(1, 4) t(i)")
+def percentile_comparison(spark, sf_dir):
+    e = scaled_vectors(spark, sf_dir)
+    after = e.withColumn("vec", V.radial_nudge(F.col("vec"), F.lit(0.5), 0.3))
+    return M.compare_percentiles(e, after).select("p", *[_r(F.col(c), c) for c in ("before", "after", "delta")])
+
+
+@query(f"{EMB} SELECT count(*) AS n, round(100 * avg(CASE WHEN norm >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS close_pct, round(max(norm), 6) AS most, max(norm) < 1 AS inside FROM norms")
+def boundary_report(spark, sf_dir):
+    return M.boundary_report(scaled_vectors(spark, sf_dir), 0.7).select("n", _r(F.col("close_pct"), "close_pct"), _r(F.col("most"), "most"), "inside")
+
+
+@query(f"{PAIRED}, bad AS (SELECT count(*) AS k FROM pairs WHERE descendant_idx % 9 = 4) SELECT * FROM (VALUES ('one index an id', 0), ('one id an index', 0), ('no gaps', 0), ('ends are mapped', 0), ('no self pairs', (SELECT k FROM bad)), ('depths agree', 0), ('edges are pairs', (SELECT count(*) FROM pairs WHERE descendant_idx % 9 = 4 AND depth_diff = 1)), ('inside the ball', 0), ('at the target radius', (SELECT count(*) FROM mapping WHERE idx % 11 = 3)), ('negatives are others', (SELECT count(*) FROM pairs WHERE descendant_idx % 9 = 5))) t(\"check\", bad)")
+def ten_checks(spark, sf_dir):
+    """A dataset with faults of three kinds: pairs turned into self pairs, vectors off their radius, negatives that are the node."""
+    nodes, paths, mapping, pairs = _geo_pairs(spark, sf_dir)
+    k = F.col("descendant_idx") % 9
+    dirty = pairs.withColumn("ancestor_idx", F.when(k == 4, F.col("descendant_idx")).otherwise(F.col("ancestor_idx")))
+    links = pairs.select("ancestor_idx", "descendant_idx", F.array(F.when(k == 5, F.col("descendant_idx")).otherwise(F.lit(-1))).alias("negatives"))
+    depths = paths.join(mapping, "taxid").select("idx", "depth")
+    target = V.target_radius(F.col("depth").cast("double"), F.lit(4.0))
+    start = L.initial_vectors(depths, 4, 4).withColumn("target", F.when(F.col("idx") % 11 == 3, 0.99).otherwise(target))
+    return C.ten_checks(T.edges_of(nodes), mapping, dirty, start, links)

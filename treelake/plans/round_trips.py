@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import pairs as P
 from ..operators import tree as T
+from ..operators import validate as C
 from ..sources import readers as R
 from ..sources import writers as W
 from ..tables import new_folder
 from .queries import GEO, MAPPED, PAIRED, _geo_pairs
-from .trees import geo, scaled_vectors
+from .trees import VECTORS_SQL, geo, scaled_vectors, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -121,21 +123,65 @@ def text_id_list(spark, sf_dir):
     return R.id_list(spark, path)
 
 
-@query("SELECT vec_id AS idx, len(embedding) AS dim FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL")
+@query(f"WITH {VECTORS_SQL} SELECT idx, len(vec) AS dim, round(list_sum(list_transform(vec, lambda x, i: x * i)), 6) AS weighted FROM emb")
 def checkpoint_vectors(spark, sf_dir):
+    """Every component counts, at its place."""
     path = W.checkpoint(scaled_vectors(spark, sf_dir).select("idx", "vec"), {"loss": 0.5}, new_folder(spark, "run"), 1)
-    return R.vectors_parquet(spark, f"{path}/vectors").select(F.col("idx").cast("long").alias("idx"), F.size("vec").cast("long").alias("dim"))
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return R.vectors_parquet(spark, f"{path}/vectors").select(F.col("idx").cast("long").alias("idx"), F.size("vec").cast("long").alias("dim"), F.round(weighted, 6).alias("weighted"))
 
 
-@query("SELECT epoch, CAST(loss AS DOUBLE) AS loss FROM (VALUES (3, 0.5), (4, 0.2), (5, 0.9), (6, 0.2), (7, 0.4)) t(epoch, loss)")
+@query(f"WITH {VECTORS_SQL} SELECT count(*) AS n, round(max(norm), 6) AS most, count(*) FILTER (norm >= 1) AS outside FROM norms")
+def checked_checkpoint(spark, sf_dir):
+    path = W.checkpoint(scaled_vectors(spark, sf_dir).select("idx", "vec"), {"loss": 0.5}, new_folder(spark, "run"), 1)
+    _, seen = R.checked_vectors(spark, f"{path}/vectors")
+    return spark.createDataFrame([(seen["n"], round(seen["most"], 6), seen["outside"])], "n long, most double, outside long")
+
+
+_LOSSES = "e AS (SELECT CAST(class + 1 AS INTEGER) AS epoch, round(avg(norm), 6) AS loss FROM norms WHERE class IS NOT NULL GROUP BY class)"
+
+
+@query(f"WITH {VECTORS_SQL}, {_LOSSES} SELECT epoch, loss FROM e QUALIFY row_number() OVER (ORDER BY epoch DESC) <= 5")
 def checkpoint_leaderboard(spark, sf_dir):
-    """Of seven checkpoints the last five stay."""
-    vectors, folder = scaled_vectors(spark, sf_dir).select("idx", "vec"), new_folder(spark, "run")
-    for epoch, loss in enumerate((0.7, 0.1, 0.5, 0.2, 0.9, 0.2, 0.4), 1):
-        W.checkpoint(vectors, {"loss": loss}, folder, epoch)
+    """A checkpoint for each class of vectors, with their mean norm for a loss; the last five stay."""
+    e, folder = M.norms(scaled_vectors(spark, sf_dir)), new_folder(spark, "run")
+    losses = e.where("class is not null").groupBy("class").agg(F.round(F.avg("norm"), 6).alias("loss")).orderBy("class").collect()  # a row a class
+    for r in losses:
+        W.checkpoint(e.where(F.col("class") == r["class"]).select("idx", "vec"), {"loss": r.loss}, folder, r["class"] + 1)
     return W.leaderboard(spark, folder)
 
 
+@query(f"{PAIRED}, t AS (SELECT count(*) AS n, max(depth_diff) AS deepest, avg(depth_diff) AS mean FROM pairs) SELECT n AS n_pairs, deepest, round(mean, 6) AS mean, (SELECT count(*) FROM pairs WHERE depth_diff <= 1) AS first, (SELECT count(*) FROM pairs WHERE depth_diff BETWEEN 3 AND 5) AS third FROM t")
+def training_data_statistics(spark, sf_dir):
+    """The record that the writing pass leaves beside the pairs, read back."""
+    folder = new_folder(spark, "training")
+    W.training_data(_geo_pairs(spark, sf_dir)[3], folder)
+    r = R.json_record(spark, f"{folder}/statistics.json", "n_pairs long, deepest int, mean double, `bin 1` long, `bin 3-5` long")
+    return r.select("n_pairs", "deepest", F.round("mean", 6).alias("mean"), F.col("bin 1").alias("first"), F.col("bin 3-5").alias("third"))
+
+
+@query(f"{PAIRED} SELECT ancestor_idx, descendant_idx, depth_diff FROM pairs")
+def tsv_closure(spark, sf_dir):
+    folder = new_folder(spark, "closure")
+    W.closure_tsv(_geo_pairs(spark, sf_dir)[3].select("ancestor_idx", "descendant_idx", "depth_diff"), folder)
+    return spark.read.option("header", True).option("sep", "\t").schema("ancestor_idx int, descendant_idx int, depth_diff int").csv(f"{folder}/closure")
+
+
+@query("WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS line_no FROM orders) SELECT line_no, CASE WHEN o_orderkey % 5 = 1 THEN 'not a whole number' ELSE 'not two tokens' END AS issue FROM o WHERE o_orderkey % 5 IN (1, 2)")
+def issues_of_edge_files(spark, sf_dir):
+    """A folder of edge lists with bad lines: the lines' numbers come from the files."""
+    k = F.col("o_orderkey")
+    line = F.when(k % 5 == 1, F.concat(k, F.lit(" x"))).when(k % 5 == 2, k.cast("string")).otherwise(F.concat(k, F.lit("\t1")))
+    path = f"{new_folder(spark, 'edges')}/text"
+    table(spark, sf_dir, "orders").orderBy("o_orderkey").select(line.alias("value")).write.text(path)
+    return C.validate_edgelist(R.numbered_lines(spark, path))
+
+
+@query("WITH k AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS n FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 7 <> 3)) SELECT k AS after, n AS before, n - k - 1 AS missing FROM k WHERE n > k + 1")
+def gaps_of_ids(spark, sf_dir):
+    return C.id_gaps(table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 3"), "o_orderkey")
+
+
 @query(f"{GEO} SELECT 'world' AS name, count(*) AS n_nodes, true AS clean FROM nodes")
 def json_manifest(spark, sf_dir):
     path = f"{new_folder(spark, 'manifest')}/manifest.json"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 _DUMP = {"sep": "|", "header": False, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "quote": "\u0000", "mode": "PERMISSIVE"}
 
 
@@ -49,6 +53,20 @@ def _numbers(spark: SparkSession, path: str) -> tuple[Column, DataFrame]:
     return F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("long")), lines
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value): the lines of a text or a folder of texts, numbered from 1 over all files in order of their paths.
+
+    Lines are numbered within the split that a task reads; counts of the splits, a row each, give the rest.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = saved(spark.read.text(path).select("value", *[F.col(c) for c in at], F.monotonically_increasing_id().alias("_id")), "lines")
+    split = ["file_path", "file_block_start"]
+    own = F.row_number().over(Window.partitionBy(*split).orderBy("_id"))
+    counts = lines.groupBy(*split).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("_own", own).join(F.broadcast(counts.select(*split, before.alias("_before"))), split).select((F.col("_before") + F.col("_own")).alias("line_no"), "value")
+
+
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
     """(parent, child) of a text of two numbers a line; other lines and self-loops are dropped."""
     tokens, lines = _numbers(spark, path)
@@ -110,6 +128,24 @@ def vectors_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("idx").cast("int").alias("idx"), F.col("vec").cast("array<double>").alias("vec"))
 
 
+def checked_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The vectors of a checkpoint, written anew, and what was seen on the way: n, the largest norm, how many lie outside the ball.
+
+    A warning tells of those outside. The pass that reads the vectors takes the statistics along.
+    """
+    seen = Observation("vectors")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    rows = saved(vectors_parquet(spark, path).observe(seen, F.count("*").alias("n"), F.max(norm).alias("most"), F.count_if(norm >= 1).alias("outside")), "checked")
+    if seen.get["outside"]:
+        warnings.warn(f"{seen.get['outside']} of {seen.get['n']} vectors lie outside the ball; the largest norm is {seen.get['most']:.6g}", stacklevel=2)
+    return rows, dict(seen.get)
+
+
+def rank_of_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(taxid, rank) of nodes whose taxid is in ids(taxid)."""
+    return nodes.join(ids.select("taxid").distinct(), "taxid", "left_semi").select("taxid", "rank")
+
+
 def json_record(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A manifest or a run's record: one JSON object, on one line or several."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

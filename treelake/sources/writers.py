@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,32 @@ def tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def pairs_parquet(pairs: DataFrame, path: str) -> None:
-    """Partitioned by depth difference, so that a curriculum reads only what it trains on; one shuffle, no tiny files."""
-    pairs.repartition("depth_diff", F.pmod(F.col("descendant_idx"), F.lit(16))).write.mode("overwrite").option("compression", "zstd").partitionBy("depth_diff").parquet(path)
+def pairs_parquet(pairs: DataFrame, path: str, rows: int = 4_000_000) -> None:
+    """Partitioned by depth difference, so that a curriculum reads only what it trains on; one shuffle, about `rows` pairs a file."""
+    files = pairs.groupBy(F.col("depth_diff").alias("_d")).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_files"))  # a row a difference
+    dealt = pairs.join(F.broadcast(files), F.col("depth_diff") == F.col("_d")).withColumn("_file", F.pmod(F.xxhash64("ancestor_idx", "descendant_idx"), F.col("_files")))
+    dealt.repartition("depth_diff", "_file").drop("_d", "_files", "_file").write.mode("overwrite").option("compression", "zstd").partitionBy("depth_diff").parquet(path)
+
+
+def training_data(pairs: DataFrame, path: str) -> dict:
+    """Writes the pairs, and beside them a record of what the writing pass saw: how many, in bins of depth difference, the deepest."""
+    seen, d = Observation("pairs"), F.col("depth_diff")
+    bins = {"1": d <= 1, "2": d == 2, "3-5": (d > 2) & (d <= 5), "6-10": (d > 5) & (d <= 10), ">10": d > 10}
+    pairs_parquet(pairs.observe(seen, F.count("*").alias("n_pairs"), F.max(d).alias("deepest"), F.avg(d).alias("mean"), *[F.count_if(c).alias(f"bin {k}") for k, c in bins.items()]), f"{path}/pairs")
+    facts = dict(seen.get)
+    record(pairs.sparkSession, facts, f"{path}/statistics.json")
+    return facts
+
+
+def closure_tsv(pairs: DataFrame, path: str) -> None:
+    """All pairs as a TSV with a header, and those of parent and child as an edge list."""
+    tsv(pairs, f"{path}/closure")
+    edge_list(pairs.where("depth_diff = 1").select("ancestor_idx", "descendant_idx"), f"{path}/edges")
+
+
+def audit(rows: DataFrame, path: str) -> None:
+    """An audit of names as a CSV with a header: (taxid, name, rank, reasons, kept, ...) as they come."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
 
 
 def ids(df: DataFrame, path: str) -> None:

@@ -15,6 +15,8 @@ from .scratch import Scratch, as_batch, slices, store_of, unused
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
+#: Bytes of texts that a task holds as words.
+TEXT_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -202,6 +204,43 @@ def read_shard(folder: str, shard: int) -> Index | None:
     return pickle.loads(pq.read_table(top, filesystem=store, columns=["index"]).column("index")[0].as_py())
 
 
+def _by_bytes(batches: Iterator, size: int) -> Iterator[list[tuple]]:
+    """Rows (doc_id, t1, words) whose texts are about `size` bytes together; a longer text comes alone."""
+    held, filled = [], 0
+    for b in slices(batches, 64):
+        for doc, t1, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "text"))):
+            held.append((doc, t1, words_of(text)))
+            filled += len(text or "")
+            if filled >= size:
+                yield held
+                held, filled = [], 0
+    if held:
+        yield held
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float, similar: float, shard_bytes: int) -> DataFrame:
+    """(doc_id, t1, item_id, score, question_overlap, answer_overlap, passage_start) of every passage found; t1 is a hash of
+    the text of a row without a doc_id."""
+    scratch = Scratch(spark, "leaks")
+    shards, folder = write_index(benchmark, shard_bytes, scratch), f"{scratch.path}/index"
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("t1"), text.alias("text"))
+    kinds = "doc_id long, t1 long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
+
+    def run(batches: Iterator) -> Iterator:
+        for texts in _by_bytes(batches, TEXT_BYTES):
+            out = []
+            for index in filter(None, (read_shard(folder, k) for k in range(shards))):
+                for doc, t1, words in texts:
+                    for start, end, item, score in index.passages(words, threshold):
+                        q, a = index.verify(item, words[start:end])
+                        if q >= similar and a >= similar:
+                            out.append((doc, t1, index.items[item][0], score, q, a, start))
+            yield as_batch(kinds, *([r[i] for r in out] for i in range(7)))
+
+    return rows.mapInArrow(run, kinds)
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, similar: float = SIMILAR, shard_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, passage_start) of each item found in a document.
 
@@ -213,32 +252,21 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
     time. Further columns are not read.
 
     The index lies in the shared folder in shards of about `shard_bytes` of items. Documents are read and
-    split once; each batch of them takes the shards one after the other, so a task holds one or two,
-    whatever the number of items. Shards decide the memory, never the result.
+    split once, TEXT_BYTES of them at a time; each such batch takes the shards one after the other, so a task holds one
+    or two, whatever the number of items. Shards decide the memory, never the result.
     """
-    scratch = Scratch(spark, "leaks")
-    shards, folder = write_index(benchmark, shard_bytes, scratch), f"{scratch.path}/index"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
-
-    def run(batches: Iterator) -> Iterator:
-        for b in slices(batches, 4096):
-            out, texts = [], list(zip(b.column("doc_id").to_pylist(), map(words_of, b.column("text").to_pylist())))
-            for index in filter(None, (read_shard(folder, k) for k in range(shards))):
-                for doc, words in texts:
-                    for start, end, item, score in index.passages(words, threshold):
-                        q, a = index.verify(item, words[start:end])
-                        if q >= similar and a >= similar:
-                            out.append((doc, index.items[item][0], score, q, a, start))
-            yield as_batch(kinds, *([r[i] for r in out] for i in range(6)))
-
-    found = rows.mapInArrow(run, kinds)
+    found = _found(spark, docs, benchmark, threshold, similar, shard_bytes)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("passage_start")).alias("at"), "question_overlap", "answer_overlap")).alias("m"))
     return best.select("doc_id", "item_id", "m.score", "m.question_overlap", "m.answer_overlap", (-F.col("m.at")).alias("passage_start"))
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows without a doc_id stay."""
-    key = unused(docs, "_gone")
-    gone = find_leaks(spark, docs, benchmark).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, similar: float = SIMILAR) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows of one doc_id stay or go together. A row without a doc_id goes by its own text, and so do others that have
+    no doc_id and the same text. Null and empty texts stay; very long ones are read whole; see find_leaks.
+    """
+    key, own = unused(docs, "_gone"), unused(docs, "_text")
+    gone = _found(spark, docs, benchmark, threshold, similar, 8 << 20).select(F.col("doc_id").alias(key), F.col("t1").alias(own)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).eqNullSafe(F.col(own))
+    return docs.join(gone, same, "left_anti")

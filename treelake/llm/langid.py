@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import as_batch, first_by_hash, held_out, slices
+from .scratch import Scratch, as_batch, first_by_hash, held_out, slices
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -164,63 +164,98 @@ class LanguageModel:
         return score
 
 
-def labelled_sample(docs: DataFrame, per_label: int, most: int, stretch: int) -> list[tuple[str, str]]:
-    """(lang, text) of at most `per_label` documents of each language and `most` in all, at most `stretch` characters of each.
-
-    The first by a hash of doc_id, of the first `most` languages by name; the stretch starts at a place that a hash
-    gives. Of an id in several rows the least text counts.
-    """
+def labelled_sample(docs: DataFrame, per_label: int, most: int) -> DataFrame:
+    """(doc_id, lang, text): whole texts of at most `per_label` documents of each language, fewer if all languages
+    together would exceed `most`, one of each at least. The first by a hash of doc_id; of an id in several rows the least text counts."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(most).collect()]
-    if not names:
-        return []
-    ids = known.select("doc_id", "lang")
-    ids = ids.where(F.col("lang") <= names[-1]) if len(names) == most else ids
-    picked = F.broadcast(first_by_hash(ids, "lang", min(per_label, max(1, most // len(names)))))  # at most `most` rows
-    spare = F.greatest(F.length("text") - F.lit(stretch - 1), F.lit(1))
-    part = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare) + 1).cast("int"), F.lit(stretch))
-    rows = known.join(picked, ["doc_id", "lang"]).select("doc_id", "lang", part.alias("text")).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    return [(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.lang))]
+    n = known.select("lang").distinct().count()
+    picked = F.broadcast(first_by_hash(known.select("doc_id", "lang"), "lang", min(per_label, max(1, most // max(n, 1)))))  # at most `most` rows
+    return known.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
 
+def _examples(sample: DataFrame, letters: list[str]) -> DataFrame:
+    """(doc_id, lang, part, bucket, share) of a sample: bucket shares of a whole text (part 0), of a short stretch of it (1), and
+    for half of the ids of two texts in no language made of it (2, 3). A row has no more than all buckets."""
+    seen = sample.sparkSession.sparkContext.broadcast(letters)
 
-def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int = 600, most: int = 24_000, stretch: int = 4_096, left_out: int = 8) -> LanguageModel:
-    """Fit on `labelled_sample`, which these parameters bound.
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        features = LanguageModel([]).features
+        for b in slices(batches, 64):
+            rows = []
+            for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
+                rng = np.random.default_rng([4, doc & ((1 << 63) - 1)])
+                words, n = text.split(), int(rng.integers(1, 13))
+                at = int(rng.integers(0, max(1, len(words) - n + 1)))
+                parts = [text, " ".join(words[at : at + n]), *(out_of_language(text, rng, seen.value) if rng.random() < 0.5 else ())]
+                rows += [(doc, lang, k, *features(x)) for k, x in enumerate(parts)]
+            rows = [r for r in rows if len(r[3])]
+            ends = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]), pa.int32())
+            flat = lambda k, kind: np.concatenate([np.asarray(r[k], kind) for r in rows] or [np.zeros(0, kind)])  # noqa: E731, B023
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.ListArray.from_arrays(ends, flat(3, np.int32)), pa.ListArray.from_arrays(ends, flat(4, np.float32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "part", "bucket", "share"])
+
+    return sample.mapInArrow(run, "doc_id long, lang string, part int, bucket array<int>, share array<float>")
+
+
+def _strangers(spark: SparkSession, labels: list[str], train: list, held: list) -> list[tuple[int, float]]:
+    """(label, score) that held-back texts of each language get from a model that never saw it; a model a task."""
+    data = spark.sparkContext.broadcast((labels, train, held))
+
+    def run(batches: Iterator) -> Iterator:
+        labels, train, held = data.value
+        for b in batches:
+            for k in b.column("k").to_pylist():
+                less = LanguageModel(labels)
+                less.fit([(x, y) for x, y in train if y != k], epochs=2)
+                found = less.best([x for x, y in held if y == k])
+                yield as_batch("k int, label int, score double", [k] * len(found), [a for a, _ in found], [s for _, s in found])
+
+    tasks = spark.range(0, len(labels), 1, len(labels)).select(F.col("id").cast("int").alias("k"))
+    rows = tasks.mapInArrow(run, "k int, label int, score double").collect()  # a row a held-back text
+    return [(r.label, r.score) for r in sorted(rows)]
+
+
+def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int = 600, most: int = 6_000) -> LanguageModel:
+    """Fit on the whole texts of `labelled_sample`, whose rows these parameters bound; tasks turn them into bucket shares.
 
     Documents whose crc32(doc_id as text) mod 3 is 1, or without id, lang or letters, are no part of it. Each text is
-    joined by a short stretch of itself, so that short texts are known as well, and every other one by texts in no
-    language. A fifth of the sample is held back to calibrate; so are, for the first `left_out` languages, the
-    scores that a model without the language gives to its texts.
+    joined by a short stretch of itself, so that short texts are known as well, and half of them by texts in no
+    language. A fifth of the sample is held back to calibrate; so are, for each language, the
+    scores that a model without it gives to its texts, each fitted in a task of its own.
     """
-    import numpy as np
-
-    rows = [(x, t) for x, t in labelled_sample(docs, per_label, most, stretch) if any(map(str.isalpha, t))]
-    labels = sorted({x for x, _ in rows})
-    model, rng = LanguageModel(labels), np.random.default_rng(4)
+    scratch = Scratch(spark, "langid")
+    sample = scratch.save(labelled_sample(docs, per_label, most).where(F.regexp_like("text", F.lit(r"\p{L}"))).repartition(32, "doc_id"), "sample")
+    labels = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
+    model = LanguageModel(labels)
     if not labels:
         return model
-    letters = sorted({c for _, t in rows for c in t.lower() if c.isalpha()})
+    letters = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where(F.regexp_like("c", F.lit(r"^\p{L}$"))).distinct()
+    letters = sorted(r.c for r in letters.collect())  # of one alphabet or some
+    rows = sorted(_examples(sample, letters).collect(), key=lambda r: (r.doc_id, r.lang, r.part))
+    place = {key: i for i, key in enumerate(sorted({(r.doc_id, r.lang) for r in rows}))}
     train, held = [], []
-    for i, (label, text) in enumerate(rows):
-        words, y, to = text.split(), labels.index(label), train if i % 5 else held
-        n = int(rng.integers(1, 13))
-        at = int(rng.integers(0, max(1, len(words) - n + 1)))
-        to.append((model.features(text), y))
+    for r in rows:
+        i, x = place[r.doc_id, r.lang], _arrays(r.bucket, r.share)
+        y = labels.index(r.lang) if r.part < 2 else len(labels)
         if i % 5:
-            to.append((model.features(" ".join(words[at : at + n])), y))
-        if i % 2:
-            to += [(model.features(x), len(labels)) for x in out_of_language(text, rng, letters)]
-    train, held = ([(x, y) for x, y in part if len(x[0])] for part in (train, held))
+            train.append((x, y))
+        elif r.part != 1:
+            held.append((x, y))
     model.fit(train)
-    strangers = []
-    for k in range(min(left_out, len(labels)) if len(labels) > 2 else 0):
-        less = LanguageModel(labels)
-        less.fit([(x, y) for x, y in train if y != k], epochs=2)
-        strangers += less.best([x for x, y in held if y == k])
-    model.calibrate(held, strangers)
+    model.calibrate(held, _strangers(spark, labels, train, held) if len(labels) > 1 else [])
     return model
 
 
+def _arrays(index, share) -> tuple:
+    import numpy as np
+
+    return np.array(index, np.uint16 if BUCKET_BITS <= 16 else np.int32), np.array(share, np.float32)
+
+
 def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of docs(doc_id, text, lang, ...).
 

@@ -210,26 +210,34 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, scratc
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, with all their columns.
+    """One document of each group, that of the smallest doc_id, with all its columns.
 
     Texts are lower-cased (A-Z) and split into words; a Jaccard similarity of 0.8 or more between the sets
     of five-word shingles links two documents, and groups are what links reach. Texts without words
-    are alike. Rows without a doc_id link others but stay themselves. Of rows that repeat a doc_id, all
-    stay or all go. Candidates come from min-hash keys, see BANDS; their similarity is exact.
+    are alike. Rows without a doc_id come after all others: they go if their group has an id, else one of them stays, a row
+    of the text whose hash is least. Of rows that repeat a doc_id, all stay or all go. Candidates come from min-hash
+    keys, see BANDS; their similarity is exact.
     """
     scratch = Scratch(spark, "neardup")
     each = scratch.save(_keyed(docs), "each")
     first = [F.first(c).alias(c) for c in ("n", "fp", "bits", "keys")]
-    nodes = each.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1")).alias("r"), *first)
-    nodes = scratch.save(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.t1").alias("t1"), "n", "fp", "bits", "keys"), "nodes")
+    order = lambda rep: F.struct(F.col(rep).isNull().alias("last"), F.col(rep).alias("rep"), F.col("t1").alias("t1"))
+    nodes = each.groupBy("node").agg(F.min(order("doc_id")).alias("r"), *first)
+    nodes = scratch.save(nodes.select("node", F.col("r.rep").alias("rep"), F.col("r.t1").alias("t1"), "n", "fp", "bits", "keys"), "nodes")
     links = similar_links(spark, docs, nodes, scratch)
     member = connected_components(spark, links, scratch)
-    member = scratch.save(member.join(nodes.select(F.col("node").alias("_node"), "rep"), F.col("node") == F.col("_node")).select("node", "component", "rep"), "member")
-    least = scratch.save(member.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    member = scratch.save(member.join(nodes.select(F.col("node").alias("_node"), "rep", "t1"), F.col("node") == F.col("_node")).select("node", "component", "rep", "t1"), "member")
+    least = scratch.save(member.groupBy("component").agg(F.min(order("rep")).alias("least")), "least")
     linked = scratch.save(member.join(least, "component").select(F.col("node").alias("_node"), "least"), "linked")
-    of_node = nodes.select("node", "rep").join(linked, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("least", "rep").alias("least"))
+    of_node = nodes.select("node", order("rep").alias("own")).join(linked, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("least", "own").alias("least"))
     of_node = scratch.save(of_node, "of-node")
-    key = unused(docs, "_gone")
-    gone = scratch.save(each.select("doc_id", "node").join(of_node, "node").where("least < doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    key, own = unused(docs, "_gone"), unused(docs, "_text")
+    later = F.when(F.col("doc_id").isNull(), F.col("least.rep").isNotNull() | (F.col("least.t1") != F.col("t1"))).otherwise(F.col("least.rep") < F.col("doc_id"))
+    by_text = F.when(F.col("doc_id").isNull(), F.col("t1"))
+    gone = scratch.save(each.select("doc_id", "t1", "node").join(of_node, "node").where(later).select(F.col("doc_id").alias(key), by_text.alias(own)).distinct(), "gone")
     scratch.release()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    text = F.xxhash64(F.col("text").cast("string"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.when(F.col("doc_id").isNull(), text).eqNullSafe(F.col(own))
+    kept = docs.join(gone, same, "left_anti")
+    nameless = kept.where("doc_id is null").withColumn(own, text).dropDuplicates([own]).drop(own)
+    return kept.where("doc_id is not null").unionByName(nameless)

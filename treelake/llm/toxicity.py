@@ -229,13 +229,13 @@ def fit_weights(sample: list[tuple[list[int], int]], n_features: int, prior: flo
     return w, b
 
 
-def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = 2_000, features: int = 65_536, least: int = 3) -> ToxicityModel:
+def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = 2_000, least: int = 3) -> ToxicityModel:
     """Fit the scorer. The character model counts all documents; labels come from a bounded sample.
 
     The sample: of documents whose crc32(doc_id as text) mod 5 is not 0, at most `per_label` of each
     label, the first by a hash of doc_id; of an id in several rows the least text. Features in at least `least`
-    toxic documents whose share among toxic documents is ten times that among the others are kept, the
-    `features` strongest of them: with per_label and least, a bound of the classifier, not of what it reads.
+    toxic documents whose share among toxic documents is ten times that among the others are kept, all of them:
+    per_label alone bounds the fit.
     """
     counts = char_counts(spark, docs)
     chars = CharModel(counts)
@@ -260,7 +260,7 @@ def train_toxicity_model(spark: SparkSession, docs: DataFrame, labels: DataFrame
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     by = seen.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0"))
     strong = by.where((F.col("k1") >= least) & (F.col("k1") * max(n0, 1) >= 10 * (F.col("k0") + 0.1) * max(n1, 1)))
-    chosen = [r.f for r in strong.orderBy(F.desc("k1"), "f").limit(features).collect()]
+    chosen = [r.f for r in strong.orderBy(F.desc("k1"), "f").collect()]
     number = {f: i for i, f in enumerate(chosen)}
     keep = F.array_intersect("features", F.lit(chosen) if chosen else F.array().cast("array<string>"))
     data = [([number[f] for f in r.features], r.toxic) for r in seen.select("doc_id", keep.alias("features"), "toxic").orderBy("doc_id").collect()]

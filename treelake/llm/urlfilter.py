@@ -93,10 +93,9 @@ class Segmenter:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(w, n) of every word of the pages' texts and urls, for the segmenter."""
-    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
-    both = F.lower(F.concat_ws(" ", F.col("url").cast("string"), text))
-    words = pages.select(F.explode(F.split(both, r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    """(w, n) of every word of the pages' texts, for the segmenter. Urls give none: a name that many urls hold would be its own word."""
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>|[a-zA-Z]+://\S*", " ")
+    words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where("w <> ''")
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 

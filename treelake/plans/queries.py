@@ -547,6 +547,18 @@ def reconstruction_map(spark, sf_dir):
     return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
 
 
+_NEXT = "h AS (SELECT e.idx AS i, (e.idx + k.k) % (SELECT max(idx) + 1 FROM emb) AS j FROM emb e, (VALUES (1), (2), (40)) k(k))"
+
+
+@query(f"{ALL_PAIRS}, {_NEXT}, t AS (SELECT h.i, h.j, d.d FROM h JOIN d ON d.i = h.i AND d.j = h.j), p AS (SELECT t.i, t.j, 1 + count(*) FILTER (o.d < t.d OR o.d = t.d AND o.j < t.j) AS place FROM t JOIN d o ON o.i = t.i GROUP BY t.i, t.j), f AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY place, j) AS found FROM p) SELECT i AS source, count(*) AS n, round(avg(place - found + 1), 6) AS mean_rank, round(avg(found / place), 6) AS ap FROM f GROUP BY i")
+def reconstruction_of_links(spark, sf_dir):
+    """Three links of each vector, as many as grow with the vectors: to the next, the next but one and the fortieth."""
+    e = scaled_vectors(spark, sf_dir)
+    n = F.broadcast(e.agg((F.max("idx") + 1).alias("n")))
+    links = e.join(n, F.lit(True)).select(F.col("idx").alias("source"), F.explode(F.array(*[F.pmod(F.col("idx") + k, F.col("n")) for k in (1, 2, 40)])).alias("target"))
+    return M.reconstruction(links, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
+
+
 @query(f"{EMB}, x AS (SELECT idx, unnest(vec) AS v, unnest(range(64)) AS k FROM emb), c AS (SELECT a.k AS i, b.k AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b ON a.idx = b.idx GROUP BY a.k, b.k) SELECT (SELECT count(*) FROM emb) AS n, round(pow(sum(CASE WHEN i = j THEN c END), 2) / sum(c * c), 6) AS participation_ratio FROM c")
 def participation_ratio(spark, sf_dir):
     return M.participation_ratio(scaled_vectors(spark, sf_dir)).select("n", _r(F.col("participation_ratio"), "participation_ratio"))

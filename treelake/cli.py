@@ -1,8 +1,9 @@
-"""Command line: build a dataset, train on it, evaluate it, recommend a dimension, project vectors."""
+"""Command line: build a dataset, audit names, train, evaluate and analyze a run, recommend a dimension, draw vectors."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import time
 
 from pyspark.sql import SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions.manifolds import LOSSES, MANIFOLDS
 from .functions.names import curriculum_phases, dataset_name
-from .operators import metrics, pairs, training, tree
+from .operators import metrics, noise, pairs, projection, training, tree
 from .plans.build import build_dataset
 from .sources import readers, writers
+from .tables import saved
 
 
 def _nodes(spark: SparkSession, dump: str):
@@ -27,6 +29,9 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
     if hit is None:
         raise SystemExit(f"no node is called {a.identifier}")
     name = spark.createDataFrame([(hit.name or str(hit.taxid), hit.taxid, a.max_depth, a.clean)], "n string, t long, d int, c boolean").select(dataset_name(F.col("n"), F.col("t"), F.col("d"), F.col("c"))).first()[0]
+    if not a.force and writers.exists(spark, f"{a.out}/{name}/manifest"):
+        print(f"{name} is there; --force builds it anew")
+        return
     data = build_dataset(nodes, hit.taxid, name, a.out, a.max_depth, a.max_pairs, a.clean)
     print(f"{data.name}: {data.node_count} nodes, {data.edge_count} edges, {data.pairs_count} pairs, depth {data.max_depth}")
 
@@ -64,19 +69,48 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     metrics.class_separation(labeled, "class").show()
 
 
+def audit(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The audit of the names below a node as a CSV, and the ids that pruning keeps."""
+    nodes = _nodes(spark, a.dump)
+    paths = tree.node_paths(tree.edges_of(nodes), a.root)
+    writers.audit(noise.audit(paths, nodes), f"{a.out}/audit")
+    writers.ids(noise.prune(paths, nodes, a.root), f"{a.out}/kept")
+
+
+def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Depth against norm with significance and verdict, and how far the groups of each depth lie apart, as one JSON record."""
+    vectors = saved(readers.vectors_parquet(spark, f"{a.run}/vectors"), "vectors")
+    table = readers.pairs_parquet(spark, f"{a.dataset}/pairs")
+    rows = metrics.norms(vectors).join(pairs.depth_of_indices(table), "idx")
+    report = {"depth_and_norm": metrics.correlation_report(rows, "depth", "norm").first().asDict(), "boundary": metrics.boundary_report(vectors).first().asDict(), "hierarchy": metrics.hierarchy_share(table, vectors).first().asDict(), "groups": {}}
+    for depth in a.depths:
+        labels = table.where(F.col("ancestor_depth") == depth).select(F.col("descendant_idx").alias("idx"), F.col("ancestor_idx").alias("class"))
+        found = metrics.group_distances(metrics.group_pairs(vectors.join(labels, "idx"), "class", least=a.min_size, metric=a.metric))
+        report["groups"][str(depth)] = found.withColumn("verdict", metrics.separation_verdict(F.col("ratio"))).first().asDict()
+    writers.record(spark, report, a.out)
+    print(json.dumps(report, indent=1))
+
+
 def dim(spark: SparkSession, a: argparse.Namespace) -> None:
     n = readers.mapping_tsv(spark, f"{a.dataset}/mapping").count()
     print(f"{n} nodes: packing {metrics.packing_dimension(n, a.max_cosine)}, recommended {metrics.recommended_dimension(n, max_cosine=a.max_cosine)}")
+    if a.run:
+        used = metrics.participation_ratio(readers.vectors_parquet(spark, f"{a.run}/vectors")).first().participation_ratio
+        print(f"the run's vectors use {used:.2f} dimensions")
 
 
-def project(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Two coordinates of each vector by principal components; a stand-in for neighbour embeddings."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = readers.vectors_parquet(spark, f"{a.run}/vectors").select("idx", array_to_vector("vec").alias("v"))
-    xy = PCA(k=2, inputCol="v", outputCol="p").fit(v).transform(v).select("idx", vector_to_array("p").alias("p"))
-    writers.tsv(xy.select("idx", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")), a.out)
+def visualize(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Two coordinates and a label of each point, as a TSV: the main components at the Fréchet mean, a stand-in for neighbour embeddings."""
+    vectors = saved(readers.vectors_parquet(spark, f"{a.run}/vectors"), "vectors")
+    labels = vectors.select("idx", F.lit("Other").alias("label"))
+    if a.group:
+        edges, mapping = readers.edge_list(spark, f"{a.dataset}/edges"), readers.mapping_tsv(spark, f"{a.dataset}/mapping")
+        paths = tree.node_paths(edges, tree.roots(edges).first().taxid)
+        groups = spark.createDataFrame([(str(g), g, i) for i, g in enumerate(a.group)], "label string, root long, priority int")
+        labels = tree.first_group(paths, groups).join(mapping, "taxid").select("idx", "label")
+    trained = readers.pairs_parquet(spark, f"{a.dataset}/pairs") if a.trained_only else None
+    trained = trained and pairs.used_indices(trained)
+    writers.tsv(projection.picture(vectors, labels, a.sample, a.only, trained, a.metric), a.out)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -89,7 +123,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-depth", type=int)
     p.add_argument("--max-pairs", type=int)
     p.add_argument("--clean", action="store_true")
+    p.add_argument("--force", action="store_true", help="build what is there already")
     p.set_defaults(do=build)
+    p = sub.add_parser("audit")
+    p.add_argument("root", type=int)
+    p.add_argument("--dump", required=True)
+    p.add_argument("--out", required=True)
+    p.set_defaults(do=audit)
     p = sub.add_parser("train")
     p.add_argument("dataset")
     p.add_argument("--out", required=True)
@@ -112,11 +152,27 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("dim")
     p.add_argument("dataset")
     p.add_argument("--max-cosine", type=float, default=0.3)
+    p.add_argument("--run")
     p.set_defaults(do=dim)
-    p = sub.add_parser("project")
+    p = sub.add_parser("analyze")
     p.add_argument("run")
+    p.add_argument("--dataset", required=True)
     p.add_argument("--out", required=True)
-    p.set_defaults(do=project)
+    p.add_argument("--depths", type=int, nargs="+", default=[1])
+    p.add_argument("--min-size", type=int, default=10)
+    p.add_argument("--metric", choices=("poincare", "euclidean"), default="poincare")
+    p.set_defaults(do=analyze)
+    for name in ("visualize", "project"):
+        p = sub.add_parser(name)
+        p.add_argument("run")
+        p.add_argument("--out", required=True)
+        p.add_argument("--dataset")
+        p.add_argument("--group", type=int, action="append", help="a node whose descendants get a colour; the first that holds a point counts")
+        p.add_argument("--sample", type=int, default=0)
+        p.add_argument("--metric", choices=("poincare", "euclidean"), default="poincare")
+        p.add_argument("--only", action="store_true", help="leave out points of no group")
+        p.add_argument("--trained-only", action="store_true")
+        p.set_defaults(do=visualize)
     return top
 
 

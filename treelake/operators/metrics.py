@@ -379,8 +379,8 @@ def compare_histories(clean: DataFrame, dirty: DataFrame) -> DataFrame:
     return both.select("epoch", "clean", "dirty", (F.col("clean") - F.col("dirty")).alias("delta"), F.try_divide(100 * (F.col("clean") - F.col("dirty")), F.col("dirty")).alias("delta_pct"))
 
 
-def participation_ratio(emb: DataFrame) -> DataFrame:
-    """One row: (sum of eigenvalues)^2 / sum of their squares of the covariance, as trace(C)^2 / |C|_F^2.
+def covariance(emb: DataFrame) -> DataFrame:
+    """(i, j, n, c): the covariance of each pair of coordinates of emb(vec); null for one vector.
 
     The products of coordinates are summed in each task (dim^2 numbers), so no pair of columns is shuffled.
     """
@@ -401,7 +401,12 @@ def participation_ratio(emb: DataFrame) -> DataFrame:
 
     part = emb.select("vec").mapInArrow(run, "i int, j int, n long, si double, sj double, p double")
     c = part.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("si").alias("si"), F.sum("sj").alias("sj"), F.sum("p").alias("p"))
-    c = c.select("i", "j", "n", F.try_divide(F.col("p") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1).alias("c"))
+    return c.select("i", "j", "n", F.try_divide(F.col("p") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1).alias("c"))
+
+
+def participation_ratio(emb: DataFrame) -> DataFrame:
+    """One row: (sum of eigenvalues)^2 / sum of their squares of the covariance, as trace(C)^2 / |C|_F^2."""
+    c = covariance(emb)
     trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
     return c.agg(F.max("n").alias("n"), F.when(F.max("n") < 2, F.sqrt(F.count("*").cast("double"))).otherwise(F.try_divide(trace * trace, F.sum(F.col("c") * F.col("c")))).alias("participation_ratio"))
 

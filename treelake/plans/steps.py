@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import blocks as B
 from ..operators import pairs as P
+from ..operators import projection as R
 from ..operators import training as L
 from ..operators import tree as T
 from ..tables import saved
@@ -148,3 +149,40 @@ def train_epoch(spark, sf_dir):
     table = saved(P.pair_table(paths, mapping), "pairs")
     vectors, _ = L.train(table, saved(L.node_table(paths, mapping), "nodes"), L.Options(dim=10, epochs=1, curriculum=False))
     return vectors
+
+
+# ---------------------------------------------------------------- pictures
+
+
+def _moebius_sql(x: str, y: str) -> str:
+    xy, xx, yy = f"list_inner_product({x}, {y})", f"list_inner_product({x}, {x})", f"list_inner_product({y}, {y})"
+    return f"list_transform(range(1, {WIDTH + 1}), lambda r: ((1 + 2 * {xy} + {yy}) * {x}[r] + (1 - {xx}) * {y}[r]) / (1 + 2 * {xy} + {xx} * {yy}))"
+
+
+def _mean_sql(rounds: int) -> str:
+    """The mean after some rounds of logarithm, average and exponential map, from the origin on."""
+    out = [f"m0 AS (SELECT [{', '.join(['0.0'] * WIDTH)}] AS m)"]
+    for k in range(rounds + 1):
+        out.append(f"y{k} AS (SELECT idx, m, {_moebius_sql('n', 'vec')} AS y FROM (SELECT idx, vec, m, list_transform(m, lambda c: -c) AS n FROM emb, m{k}))")
+        out.append(f"t{k} AS MATERIALIZED (SELECT idx, m, list_transform(y, lambda c: c * (1 - list_inner_product(m, m)) * atanh(sqrt(list_inner_product(y, y))) / greatest(sqrt(list_inner_product(y, y)), 1e-12)) AS t FROM y{k})")
+        if k < rounds:
+            out.append(f"a{k} AS (SELECT max(m) AS m, list(v ORDER BY r) AS v FROM (SELECT r, avg(t[r]) AS v, max(m) AS m FROM t{k}, range(1, {WIDTH + 1}) r(r) GROUP BY r))")
+            out.append(f"e{k} AS (SELECT m, list_transform(v, lambda c: c * tanh(sqrt(list_inner_product(v, v)) / (1 - list_inner_product(m, m))) / sqrt(list_inner_product(v, v))) AS s FROM a{k})")
+            out.append(f"m{k + 1} AS MATERIALIZED (SELECT {_moebius_sql('m', 's')} AS m FROM e{k})")
+    return ", ".join(out)
+
+
+@query(f"WITH {VECTORS_SQL}, {_mean_sql(2)} SELECT idx, round(t[1], 6) AS x0, round(t[2], 6) AS x1, round(sqrt(list_inner_product(t, t)), 6) AS norm FROM t2")
+def tangents_at_mean(spark, sf_dir):
+    """Tangent vectors at the Fréchet mean after two rounds."""
+    e = scaled_vectors(spark, sf_dir).select("idx", "vec")
+    return _show(R.tangents(e, R.frechet_mean(e, 2)), "vec")
+
+
+@query(f"{EMB}, p AS (SELECT idx, CASE WHEN class IN (1, 2) THEN CAST(class AS VARCHAR) ELSE 'Other' END AS label FROM emb WHERE idx % 2 = 0) SELECT label, count(*) AS n FROM p WHERE label <> 'Other' GROUP BY label")
+def points_of_picture(spark, sf_dir):
+    """Of two labels, the trained points only."""
+    e = scaled_vectors(spark, sf_dir)
+    labels = e.where("class in (1, 2)").select("idx", F.col("class").cast("string").alias("label"))
+    shown = R.picture(e.select("idx", "vec"), labels, only=True, trained=e.where("idx % 2 = 0"))
+    return shown.where("x is not null and y is not null").groupBy("label").agg(F.count("*").alias("n"))

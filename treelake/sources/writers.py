@@ -51,6 +51,12 @@ def audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table or file is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ids(df: DataFrame, path: str) -> None:
     df.select("taxid").orderBy("taxid").select(F.col("taxid").cast("string")).write.mode("overwrite").text(path)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, as_batch, first_by_hash, held_out, slices
 
 UNKNOWN = "und"
-BUCKET_BITS = 15
+BUCKET_BITS = 15  # 16 at most
 
 
 @lru_cache(1)
@@ -192,13 +192,11 @@ def _examples(sample: DataFrame, letters: list[str]) -> DataFrame:
                 at = int(rng.integers(0, max(1, len(words) - n + 1)))
                 parts = [text, " ".join(words[at : at + n]), *(out_of_language(text, rng, seen.value) if rng.random() < 0.5 else ())]
                 rows += [(doc, lang, k, *features(x)) for k, x in enumerate(parts)]
-            rows = [r for r in rows if len(r[3])]
-            ends = pa.array(np.cumsum([0, *[len(r[3]) for r in rows]]), pa.int32())
-            flat = lambda k, kind: np.concatenate([np.asarray(r[k], kind) for r in rows] or [np.zeros(0, kind)])  # noqa: E731, B023
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.ListArray.from_arrays(ends, flat(3, np.int32)), pa.ListArray.from_arrays(ends, flat(4, np.float32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "part", "bucket", "share"])
+            rows = [(*r[:3], r[3].astype("<u2").tobytes(), r[4].astype("<f4").tobytes()) for r in rows if len(r[3])]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "lang", "part", "bucket", "share"])
 
-    return sample.mapInArrow(run, "doc_id long, lang string, part int, bucket array<int>, share array<float>")
+    return sample.mapInArrow(run, "doc_id long, lang string, part int, bucket binary, share binary")
 
 
 def _strangers(spark: SparkSession, labels: list[str], train: list, held: list) -> list[tuple[int, float]]:
@@ -224,7 +222,7 @@ def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int =
 
     Documents whose crc32(doc_id as text) mod 3 is 1, or without id, lang or letters, are no part of it. Each text is
     joined by a short stretch of itself, so that short texts are known as well, and half of them by texts in no
-    language. A fifth of the sample is held back to calibrate; so are, for each language, the
+    language; what the driver gets of a text is 6 bytes a bucket at most. A fifth of the sample is held back to calibrate; so are, for each language, the
     scores that a model without it gives to its texts, each fitted in a task of its own.
     """
     scratch = Scratch(spark, "langid")
@@ -250,10 +248,10 @@ def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int =
     return model
 
 
-def _arrays(index, share) -> tuple:
+def _arrays(bucket: bytes, share: bytes) -> tuple:
     import numpy as np
 
-    return np.array(index, np.uint16 if BUCKET_BITS <= 16 else np.int32), np.array(share, np.float32)
+    return np.frombuffer(bucket, "<u2"), np.frombuffer(share, "<f4")
 
 
 def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

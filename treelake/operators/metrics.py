@@ -146,17 +146,7 @@ def hierarchy_share(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     return pairs.join(a, "ancestor_idx").join(d, "descendant_idx").agg(F.count("*").alias("n"), (100 * F.avg(F.when(F.col("a") < F.col("d"), 1.0).otherwise(0.0))).alias("hierarchy_pct"))
 
 
-def _poincare_block(a, b, clamped: bool):
-    """Distances of all rows of a to all of b."""
-    import numpy as np
-
-    hold = lambda m: np.clip((m * m).sum(1), 0, 1 - V.EPS)
-    d = np.zeros((len(a), len(b)))
-    for at in range(0, a.shape[1], 16):  # a few dimensions at a time: exact differences in bounded memory
-        part = a[:, None, at : at + 16] - b[None, :, at : at + 16]
-        d += (part * part).sum(2)
-    x = 1 + 2 * d / ((1 - hold(a))[:, None] * (1 - hold(b))[None, :] + V.EPS)
-    return np.arccosh(np.maximum(x, 1 + V.EPS) if clamped else x + V.EPS)
+_poincare_block = rings.poincare_block
 
 
 def _rows_of(emb: DataFrame, label: str | None) -> DataFrame:
@@ -215,7 +205,7 @@ def nearest_neighbors(emb: DataFrame, k: int, label: str | None = None, clamped:
     The row itself is left out by its idx; ties go to the smaller idx. Rows lie in blocks by their norm, and a block
     reads only those that can hold one of its k nearest (see `rings`); k rows leave the task for each row.
     """
-    return rings.nearest_neighbors(emb, k, label, lambda a, b: _poincare_block(a, b, clamped), tile)
+    return rings.nearest_neighbors(emb, k, label, clamped, tile)
 
 
 def knn_purity(emb: DataFrame, label: str, k: int = 10) -> DataFrame:
@@ -304,7 +294,7 @@ def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int | None = None)
     A target's rank is 1 + the non-targets that are nearer; the average precision runs over the targets in
     order; ties go to the smaller idx. See `rings.link_places` for how vectors are counted.
     """
-    place = rings.link_places(adjacent, emb, lambda a, b: _poincare_block(a, b, True), tile)
+    place = rings.link_places(adjacent, emb, tile)
     seen = place.withColumn("found", F.row_number().over(Window.partitionBy("source").orderBy("place", "target")))  # a source's own links
     return seen.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("place") - F.col("found") + 1).alias("mean_rank"), F.avg(F.col("found") / F.col("place")).alias("ap"))
 

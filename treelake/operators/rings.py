@@ -15,6 +15,64 @@ from ..tables import dense_index, new_folder, saved
 GROUP_LINKS, SLACK = 100_000, 1e-9
 
 
+def _argument(s, a, b, clamped: bool):
+    """What acosh is taken of, for squared distances s of rows whose held squared norms are a and b."""
+    import numpy as np
+
+    x = 1 + 2 * s / ((1 - a) * (1 - b) + V.EPS)
+    return np.maximum(x, 1 + V.EPS) if clamped else x + V.EPS
+
+
+def _held(m):
+    import numpy as np
+
+    return np.clip((m * m).sum(1), 0, 1 - V.EPS)
+
+
+def poincare_block(a, b, clamped: bool):
+    """Distances of all rows of a to all of b, from exact differences."""
+    import numpy as np
+
+    s = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], 16):  # a few dimensions at a time, in bounded memory
+        part = a[:, None, at : at + 16] - b[None, :, at : at + 16]
+        s += (part * part).sum(2)
+    return np.arccosh(_argument(s, _held(a)[:, None], _held(b)[None, :], clamped))
+
+
+def poincare_pairs(a, b, clamped: bool):
+    """Distances of each row of a to the row of b at its place, as poincare_block gives them."""
+    import numpy as np
+
+    s = np.zeros(len(a))
+    for at in range(0, a.shape[1], 16):
+        part = a[:, at : at + 16] - b[:, at : at + 16]
+        s += (part * part).sum(1)
+    return np.arccosh(_argument(s, _held(a), _held(b), clamped))
+
+
+def _exactly(a, rows, b, columns, clamped: bool):
+    """poincare_pairs of rows of a and of b, 65,536 pairs at a time: copies of one vector are all candidates of each other."""
+    import numpy as np
+
+    cuts = range(0, len(rows), 1 << 16)
+    return np.concatenate([poincare_pairs(a[rows[i : i + (1 << 16)]], b[columns[i : i + (1 << 16)]], clamped) for i in cuts] or [np.zeros(0)])
+
+
+def quick_block(a, b, clamped: bool):
+    """The argument of acosh for all rows of a and all of b by one matrix product; `band` says how far it may be off."""
+    import numpy as np
+
+    s = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+    return _argument(s, _held(a)[:, None], _held(b)[None, :], clamped)
+
+
+def band(x):
+    """Two arguments of quick_block that differ by more than this differ in truth: a product of `dim` terms is off by dim * 2^-52
+    at most, which the least bottom, EPS, makes 4e-11 a dimension."""
+    return 1e-7 + 1e-9 * x
+
+
 @dataclass
 class Rings:
     """Where blocks lie and between which radii: a row of this for a block of vectors, as a task uses it."""
@@ -103,11 +161,12 @@ def over_rings(spark: SparkSession, rings: Rings, work: Callable, schema: str) -
     return spark.range(0, n, 1, max(1, min(n, 100_000))).select(F.col("id").cast("int").alias("ring")).mapInArrow(run, schema)
 
 
-def nearest_neighbors(emb: DataFrame, k: int, label: str | None, block_distance: Callable, tile: int | None = None, seen=None) -> DataFrame:
+def nearest_neighbors(emb: DataFrame, k: int, label: str | None, clamped: bool = True, tile: int | None = None, seen=None) -> DataFrame:
     """(idx, cls, rank, neighbor, neighbor_cls, distance): see metrics.nearest_neighbors.
 
-    A block meets the others in the order of the least distance that radii leave possible, and stops where this exceeds the
-    k-th best of all its rows; rows that are done sooner sit out. `seen`, an accumulator, counts the blocks read.
+    A block meets the others in the order of the least distance that radii leave possible; rows whose k-th best is nearer than
+    that sit out. A matrix product picks each row's candidates, with all that rounding could mistake; their distances are
+    then taken exactly. `seen`, an accumulator, counts the blocks read.
     """
     rings, _ = index(emb, label, tile)
 
@@ -127,15 +186,14 @@ def nearest_neighbors(emb: DataFrame, k: int, label: str | None, block_distance:
                 seen.add(1)
             bi, bc, bv = rings.read(other)
             parts = [best]
-            for at in range(0, len(rows), 128):
-                own = rows[at : at + 128]
-                d = block_distance(av[own], bv)
-                d[ai[own, None] == bi[None, :]] = np.inf
-                near = np.lexsort((np.broadcast_to(bi, d.shape), d), axis=1)[:, :k]
-                r, c = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel()
-                keep = np.isfinite(d[r, c])
-                r, c = r[keep], c[keep]
-                parts.append([own[r], bi[c], bc[c], d[r, c]])
+            for at in range(0, len(rows), 512):
+                own = rows[at : at + 512]
+                x = quick_block(av[own], bv, clamped)
+                x[ai[own, None] == bi[None, :]] = np.inf
+                last = np.partition(x, k - 1, axis=1)[:, k - 1] if k < x.shape[1] else np.full(len(x), np.finfo(float).max)
+                last = np.minimum(last, np.cosh(np.minimum(worst[own], 700)))
+                r, c = np.nonzero(x <= (last + 2 * band(last))[:, None])
+                parts.append([own[r], bi[c], bc[c], _exactly(av, own[r], bv, c, clamped)])
             best = [np.concatenate(x) for x in zip(*parts)]
             order = np.lexsort((best[1], best[3], best[0]))
             best = [x[order] for x in best]
@@ -150,12 +208,13 @@ def nearest_neighbors(emb: DataFrame, k: int, label: str | None, block_distance:
     return over_rings(emb.sparkSession, rings, work, "idx long, cls long, rank int, neighbor long, neighbor_cls long, distance double")
 
 
-def link_places(adjacent: DataFrame, emb: DataFrame, block_distance: Callable, tile: int | None = None, seen=None) -> DataFrame:
+def link_places(adjacent: DataFrame, emb: DataFrame, tile: int | None = None, seen=None) -> DataFrame:
     """(source, target, place): 1 + how many vectors other than the source are nearer to it than the target; ties go to the smaller idx.
 
     Links carry only indices and blocks. A group of links of one block of sources reads the blocks of its targets, then
     counts, block by block: one that lies beyond a source's farthest link counts nothing, one that lies wholly within
-    its nearest link counts all its rows, both without being read. `seen` counts the blocks read for counting.
+    its nearest link counts all its rows, both without being read. In the others a matrix product tells what is surely
+    nearer; what rounding could mistake is compared exactly. `seen` counts the blocks read for counting.
     """
     rings, where = index(emb, None, tile)
     hit = adjacent.where("source <> target").select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
@@ -170,23 +229,22 @@ def link_places(adjacent: DataFrame, emb: DataFrame, block_distance: Callable, t
 
         t = t.sort_by([("source", "ascending"), ("target", "ascending")])
         source, target, to = (t.column(c).to_numpy() for c in ("source", "target", "to"))
-        oi, _, ov = rings.read(t.column("of")[0].as_py())
+        own = t.column("of")[0].as_py()
+        oi, _, ov = rings.read(own)
         order = np.argsort(oi)
         row = order[np.searchsorted(oi, source, sorter=order)]
         far, places = np.zeros(len(source)), np.zeros(len(source), np.int64)
         for ring in np.unique(to).tolist():
             bi, _, bv = rings.read(ring)
-            mine = np.nonzero(to == ring)[0]
-            sorted_b = np.argsort(bi)
-            for s, e in _stretches(source[mine]):
-                cut = mine[s:e]
-                far[cut] = block_distance(ov[row[cut[:1]]], bv[sorted_b[np.searchsorted(bi, target[cut], sorter=sorted_b)]])[0]
+            mine, sorted_b = np.nonzero(to == ring)[0], np.argsort(bi)
+            far[mine] = poincare_pairs(ov[row[mine]], bv[sorted_b[np.searchsorted(bi, target[mine], sorter=sorted_b)]], True)
+        x_far = np.cosh(far)
+        low_x, high_x = x_far - band(x_far), x_far + band(x_far)
         starts = list(_stretches(source))
-        first = np.array([s for s, _ in starts])
-        rows, radius = row[first], np.sqrt((ov[row[first]] ** 2).sum(1))
+        rows = row[[s for s, _ in starts]]
+        radius = np.sqrt((ov[rows] ** 2).sum(1))
         most, least = (np.array([f(far[s:e]) for s, e in starts]) for f in (np.max, np.min))
         low, high = rings.nearest(radius), rings.farthest(radius)
-        own = t.column("of")[0].as_py()
         for ring in range(len(rings.path)):
             ask = low[:, ring] <= most
             inside = ask & (high[:, ring] < least) if ring != own else np.zeros(len(ask), bool)
@@ -198,16 +256,20 @@ def link_places(adjacent: DataFrame, emb: DataFrame, block_distance: Callable, t
             if seen is not None:
                 seen.add(1)
             bi, _, bv = rings.read(ring)
-            for lo in range(0, len(rest), 128):
-                part = rest[lo : lo + 128]
-                d = block_distance(ov[rows[part]], bv)
-                for i, dist in zip(part, d):
+            for at in range(0, len(rest), 512):
+                part = rest[at : at + 512]
+                x = quick_block(ov[rows[part]], bv, True)
+                if ring == own:
+                    x[oi[rows[part], None] == bi[None, :]] = np.inf  # the source itself
+                x_sorted = np.sort(x, axis=1)
+                for i, each, by in zip(part, x, x_sorted):
                     s, e = starts[i]
-                    other = bi != source[s]
-                    by = np.lexsort((bi[other], dist[other]))
-                    di, ii = dist[other][by], bi[other][by]
-                    left, right = np.searchsorted(di, far[s:e], "left"), np.searchsorted(di, far[s:e], "right")
-                    places[s:e] += [m + int((ii[m:n] < x).sum()) for m, n, x in zip(left.tolist(), right.tolist(), target[s:e])]
+                    sure, maybe = np.searchsorted(by, low_x[s:e], "left"), np.searchsorted(by, high_x[s:e], "right")
+                    places[s:e] += sure
+                    for n in np.nonzero(maybe > sure)[0] + s:
+                        near = np.nonzero((each >= low_x[n]) & (each <= high_x[n]))[0]
+                        d = poincare_pairs(np.broadcast_to(ov[rows[i]], (len(near), ov.shape[1])), bv[near], True)
+                        places[n] += int(((d < far[n]) | (d == far[n]) & (bi[near] < target[n])).sum())
         return pa.Table.from_arrays([pa.array(source), pa.array(target), pa.array(places + 1)], ["source", "target", "place"])
 
     return links.select("of", "share", "source", "target", "to").groupBy("of", "share").applyInArrow(work, "source long, target long, place long")

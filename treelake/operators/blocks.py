@@ -194,6 +194,8 @@ def block_gradients(links: DataFrame, blocks: DataFrame, manifold: str = "poinca
         rows.append((int(at.block[0]), b"", b"", float(losses.sum()), links.num_rows))
         return pa.Table.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
+    # links are few bytes and much work: without a number of its own, Spark would put them all into one task
+    grouped = grouped.repartition(2 * links.sparkSession.sparkContext.defaultParallelism, *key)
     grads = grouped.groupBy(*key).cogroup(held.groupBy(*[f"_{c}" for c in key])).applyInArrow(run, GRADIENTS)
     return grads.mapInArrow(_combined, GRADIENTS)
 

@@ -272,7 +272,9 @@ def link_places(adjacent: DataFrame, emb: DataFrame, tile: int | None = None, se
                         places[n] += int(((d < far[n]) | (d == far[n]) & (bi[near] < target[n])).sum())
         return pa.Table.from_arrays([pa.array(source), pa.array(target), pa.array(places + 1)], ["source", "target", "place"])
 
-    return links.select("of", "share", "source", "target", "to").groupBy("of", "share").applyInArrow(work, "source long, target long, place long")
+    # links are few bytes and much work: without a number of its own, Spark would put them all into one task
+    tasks = max(2 * emb.sparkSession.sparkContext.defaultParallelism, min(len(rings.path), 10_000))
+    return links.select("of", "share", "source", "target", "to").repartition(tasks, "of", "share").groupBy("of", "share").applyInArrow(work, "source long, target long, place long")
 
 
 def _stretches(values) -> Iterator[tuple[int, int]]:

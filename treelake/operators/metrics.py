@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.special import correlation_p
-from ..tables import new_folder
 from . import rings
 
 
@@ -146,57 +145,25 @@ def hierarchy_share(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     return pairs.join(a, "ancestor_idx").join(d, "descendant_idx").agg(F.count("*").alias("n"), (100 * F.avg(F.when(F.col("a") < F.col("d"), 1.0).otherwise(0.0))).alias("hierarchy_pct"))
 
 
-_poincare_block = rings.poincare_block
-
-
-def _rows_of(emb: DataFrame, label: str | None) -> DataFrame:
-    cls = F.coalesce(F.col(label).cast("long"), F.lit(-1)) if label else F.lit(-1).cast("long")
-    return emb.select(F.col("idx").cast("long").alias("idx"), cls.alias("cls"), F.col("vec").cast("array<double>").alias("vec"))
-
-
-def _arrays(batches: Iterator, size: int) -> Iterator[tuple]:
-    """(idx, cls, matrix) of at most `size` rows at a time from Arrow batches of (idx, cls, vec)."""
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            part = b.slice(at, size)
-            yield part.column("idx").to_numpy(), part.column("cls").to_numpy(), part.column("vec").flatten().to_numpy().reshape(part.num_rows, -1)
-
+def hierarchy_share_of_groups(ancestors: DataFrame, descendants: DataFrame, group: str) -> DataFrame:
+    """hierarchy_share of all pairs of ancestors(<group>, norm) and descendants(<group>, norm) of one group, without a row a pair.
 
-def _against_all(emb: DataFrame, label: str | None, tile: int, work, schema: str) -> DataFrame:
-    """work(idx, cls, matrix, tiles) for blocks of at most `tile` rows, where tiles() gives all rows block by block.
-
-    The blocks are written once to the shared folder, and each task lets them stream past its own rows: no vector
-    is shuffled, and a task holds two blocks.
+    Equal norms are counted first; a running sum over both in the order of (group, norm) tells how many ancestors have a smaller one.
     """
-    import pyarrow as pa
-
-    rows, folder = _rows_of(emb, label), new_folder(emb.sparkSession, "tiles")
+    from ..tables import running_total
 
-    def pack(batches: Iterator) -> Iterator:
-        for idx, cls, m in _arrays(batches, tile):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (idx, cls, m)], ["idx", "cls", "matrix"])
+    part = lambda df, kind: df.where(F.col(group).isNotNull() & F.col("norm").isNotNull()).groupBy(F.col(group).alias("g"), "norm").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    below = F.when(F.col("kind") == 1, F.col("n"))  # of equal norms the descendants come first
+    rows = running_total(part(descendants, 0).unionByName(part(ancestors, 1)), ["g", "norm", "kind"], below, "seen")
+    sizes = [df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias(name)) for df, name in ((ancestors, "of_a"), (descendants, "of_d"))]
+    pairs = sizes[0].join(sizes[1], "g").agg(F.coalesce(F.sum(F.col("of_a") * F.col("of_d")), F.lit(0)).alias("n"))
+    # what was seen before a group's rows is the same for all of them
+    by = rows.groupBy("g").agg(F.min(F.col("seen") - F.coalesce(below, F.lit(0))).alias("base"), F.sum(F.when(F.col("kind") == 0, F.col("n") * F.col("seen"))).alias("sum"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("of_d"))
+    hits = by.agg(F.coalesce(F.sum(F.col("sum") - F.col("base") * F.col("of_d")), F.lit(0)).alias("hits"))
+    return pairs.join(F.broadcast(hits), F.lit(True)).select("n", F.try_divide(100.0 * F.col("hits"), F.col("n")).alias("hierarchy_pct"))
 
-    rows.mapInArrow(pack, "idx binary, cls binary, matrix binary").write.parquet(f"{folder}/tiles")
 
-    def tiles() -> Iterator[tuple]:
-        import numpy as np
-        import pyarrow.fs as fs
-        import pyarrow.parquet as pq
-
-        store, top = fs.FileSystem.from_uri(f"{folder}/tiles")
-        for f in sorted(store.get_file_info(fs.FileSelector(top)), key=lambda f: f.path):
-            if f.path.endswith(".parquet"):
-                with store.open_input_file(f.path) as file:
-                    for b in pq.ParquetFile(file).iter_batches(batch_size=1):
-                        r = b.to_pylist()[0]
-                        idx = np.frombuffer(r["idx"], np.int64)
-                        yield idx, np.frombuffer(r["cls"], np.int64), np.frombuffer(r["matrix"]).reshape(len(idx), -1)
-
-    def run(batches: Iterator) -> Iterator:
-        for idx, cls, m in _arrays(batches, tile):
-            yield from work(idx, cls, m, tiles)
-
-    return rows.mapInArrow(run, schema)
+_poincare_block = rings.poincare_block
 
 
 def nearest_neighbors(emb: DataFrame, k: int, label: str | None = None, clamped: bool = True, tile: int | None = None) -> DataFrame:
@@ -215,28 +182,12 @@ def knn_purity(emb: DataFrame, label: str, k: int = 10) -> DataFrame:
     return near.agg(F.count("*").alias("n"), F.coalesce(F.avg(same), F.lit(0.0)).alias("purity"))
 
 
-def distance_sums(emb: DataFrame, label: str, tile: int = 1024, width: float = 1.0, bins: int = 64, clamped: bool = True) -> DataFrame:
-    """(same, bin, n, total, squares) of all ordered pairs of different rows, summed within each block of distances."""
-
-    def work(ai, ac, av, tiles):
-        import numpy as np
-        import pyarrow as pa
+def distance_sums(emb: DataFrame, label: str, tile: int | None = None, width: float = 1.0, bins: int = 64, clamped: bool = True) -> DataFrame:
+    """(same, bin, n, total, squares) of all ordered pairs of different rows, summed within each block of distances.
 
-        n, total, squares = (np.zeros((2, bins)) for _ in range(3))
-        for bi, bc, bv in tiles():
-            for at in range(0, len(av), 128):
-                d = _poincare_block(av[at : at + 128], bv, clamped)
-                other, same = ai[at : at + 128, None] != bi[None, :], ac[at : at + 128, None] == bc[None, :]
-                slot = np.minimum((d / width).astype(int), bins - 1)
-                for s in (0, 1):
-                    take = other & (same == bool(s))
-                    n[s] += np.bincount(slot[take], minlength=bins)
-                    total[s] += np.bincount(slot[take], d[take], bins)
-                    squares[s] += np.bincount(slot[take], d[take] ** 2, bins)
-        s, k = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(s == 1), pa.array(k.astype("int32")), pa.array(n[s, k].astype("int64")), pa.array(total[s, k]), pa.array(squares[s, k])], ["same", "bin", "n", "total", "squares"])
-
-    part = _against_all(emb.where(F.col(label).isNotNull()), label, tile, work, "same boolean, bin int, n long, total double, squares double")
+    All pairs are n^2 by nature; a pair costs a matrix product once for both orders, and a task holds two blocks (see `rings.pair_sums`).
+    """
+    part = rings.pair_sums(emb, label, width, bins, clamped, tile)
     return part.groupBy("same", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
 
 
@@ -244,7 +195,7 @@ def class_separation(emb: DataFrame, label: str) -> DataFrame:
     """One row: means and deviations of distances within and between classes, and their ratio (0 without either)."""
     s, n = F.sum, F.col("n")
     pick = lambda c, same: F.coalesce(s(F.when(F.col("same") == same, F.col(c))), F.lit(0))
-    one = distance_sums(emb, label).agg(*[pick(c, k).alias(f"{c}_{'intra' if k else 'inter'}") for c in ("n", "total", "squares") for k in (True, False)])
+    one = distance_sums(emb, label, bins=1).agg(*[pick(c, k).alias(f"{c}_{'intra' if k else 'inter'}") for c in ("n", "total", "squares") for k in (True, False)])
     mean = lambda k: F.try_divide(f"total_{k}", f"n_{k}")
     dev = lambda k: F.sqrt(F.greatest(F.try_divide(f"squares_{k}", f"n_{k}") - mean(k) * mean(k), F.lit(0.0)))
     return one.select(
@@ -299,6 +250,14 @@ def reconstruction(adjacent: DataFrame, emb: DataFrame, tile: int | None = None)
     return seen.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("place") - F.col("found") + 1).alias("mean_rank"), F.avg(F.col("found") / F.col("place")).alias("ap"))
 
 
+def reconstruction_of_classes(emb: DataFrame, label: str, tile: int | None = None) -> DataFrame:
+    """(source, n, mean_rank, ap) as `reconstruction` gives them where every vector is linked to all others of its class.
+
+    The links, n^2 of them, are never rows. Vectors without a class are no sources, but compete; a vector alone in its class has no row.
+    """
+    return rings.class_places(emb, label, tile)
+
+
 def rank_clustering(emb: DataFrame, groups: DataFrame, metric: str = "poincare") -> DataFrame:
     """One row: distances within and between the groups(idx, group), as group_distances, and a verdict on their ratio.
 

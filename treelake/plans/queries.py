@@ -500,9 +500,8 @@ def norm_by_depth(spark, sf_dir):
 @query(f"{EMB}, p AS (SELECT x.norm AS a, y.norm AS d FROM norms x JOIN norms y ON y.class = x.class + 1) SELECT count(*) AS n, round(100 * avg(CASE WHEN round(a, 9) < round(d, 9) THEN 1.0 ELSE 0.0 END), 6) AS hierarchy_pct FROM p")
 def hierarchy_pct(spark, sf_dir):
     e = scaled_vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: F.round(x, 9)))
-    a = e.select(F.col("idx").alias("ancestor_idx"), (F.col("class") + 1).alias("c"))
-    pairs = a.join(e.select(F.col("idx").alias("descendant_idx"), F.col("class").alias("c")), "c")
-    return M.hierarchy_share(pairs, e).select("n", _r(F.col("hierarchy_pct"), "hierarchy_pct"))
+    n = M.norms(e)
+    return M.hierarchy_share_of_groups(n.select((F.col("class") + 1).alias("c"), "norm"), n.select(F.col("class").alias("c"), "norm"), "c").select("n", _r(F.col("hierarchy_pct"), "hierarchy_pct"))
 
 
 _DIST = f"acosh(greatest(1 + 2 * {_SQ} / ((1 - {_HU}) * (1 - {_HV}) + 1e-5), 1 + 1e-5))"
@@ -542,9 +541,7 @@ def distance_histogram(spark, sf_dir):
 @query(f"{ALL_PAIRS}, h AS (SELECT i, d, j, ci = cj AS hit FROM d), o AS (SELECT i, hit, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY d, j) AS found FROM h) SELECT i AS source, count(*) AS n, round(avg(place - found + 1), 6) AS mean_rank, round(avg(found / place), 6) AS ap FROM o WHERE hit GROUP BY i")
 def reconstruction_map(spark, sf_dir):
     """Every vector is a source, and linked to all others of its class."""
-    e = scaled_vectors(spark, sf_dir)
-    near = e.select(F.col("idx").alias("source"), "class").join(e.select(F.col("idx").alias("target"), "class"), "class").where("source <> target").select("source", "target")
-    return M.reconstruction(near, e).select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
+    return M.reconstruction_of_classes(scaled_vectors(spark, sf_dir), "class").select("source", "n", _r(F.col("mean_rank"), "mean_rank"), _r(F.col("ap"), "ap"))
 
 
 _NEXT = "h AS (SELECT e.idx AS i, (e.idx + k.k) % (SELECT max(idx) + 1 FROM emb) AS j FROM emb e, (VALUES (1), (2), (40)) k(k))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import dense_index
+from ..tables import MANY, dense_index, saved
 from .tree import closure
 
 #: The columns of the table of pairs.
@@ -25,15 +25,23 @@ def first_seen_mapping(edges: DataFrame, position: str = "pos") -> DataFrame:
     return dense_index(first, ["at"], "idx").select("taxid", "idx")
 
 
-def pair_table(paths: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Closure pairs with indices; pairs with an unmapped end are dropped (see skipped_pairs)."""
+def pair_table(paths: DataFrame, mapping: DataFrame, most: int = MANY) -> DataFrame:
+    """Closure pairs with indices; pairs with an unmapped end are dropped (see skipped_pairs).
+
+    The root is in a pair with every node, so ancestors of more than `most` nodes take their index by broadcast (there are no
+    more than pairs / most of them); the pairs of the others meet theirs by a join.
+    """
     a = mapping.select(F.col("taxid").alias("ancestor"), F.col("idx").alias("ancestor_idx"))
     d = mapping.select(F.col("taxid").alias("descendant"), F.col("idx").alias("descendant_idx"))
     # the descendants' indices join one row a node, before the paths are exploded
     withd = paths.join(d, paths.taxid == d.descendant).select("taxid", "path", "depth", "descendant_idx")
     each = withd.select(F.posexplode("path").alias("ancestor_depth", "ancestor"), F.col("taxid").alias("descendant_taxid"), F.col("depth").alias("descendant_depth"), "descendant_idx").where("ancestor_depth < descendant_depth")
     each = each.withColumn("depth_diff", F.col("descendant_depth") - F.col("ancestor_depth"))
-    return each.join(a, "ancestor").withColumnRenamed("ancestor", "ancestor_taxid").select(*COLUMNS)
+    hot = paths.select(F.explode(F.slice("path", 1, F.col("depth"))).alias("ancestor")).groupBy("ancestor").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = saved(hot.join(a, "ancestor", "left").select("ancestor", "ancestor_idx"), "hot_ancestors")
+    near = each.join(F.broadcast(hot.select("ancestor")), "ancestor", "left_anti").join(a, "ancestor")
+    far = each.join(F.broadcast(hot.where("ancestor_idx is not null")), "ancestor")
+    return far.unionByName(near).withColumnRenamed("ancestor", "ancestor_taxid").select(*COLUMNS)
 
 
 def skipped_pairs(paths: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -85,9 +93,9 @@ def mapped_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def depth_of_indices(pairs: DataFrame) -> DataFrame:
-    """(idx, depth) from both ends of the pairs; the descendant's end wins."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("descendant_idx").alias("idx"), F.col("descendant_depth").alias("depth")), F.struct(F.lit(1).alias("side"), F.col("ancestor_idx").alias("idx"), F.col("ancestor_depth").alias("depth")))).alias("e")).select("e.*")
-    return ends.groupBy("idx").agg(F.min_by("depth", F.struct("side", "depth")).alias("depth"))
+    """(idx, depth) from both ends of the pairs; the descendant's end wins. Plain minima, so that tasks add up in a hash table without sorting."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("descendant_idx").alias("idx"), F.col("descendant_depth").alias("below"), F.lit(None).cast("int").alias("above")), F.struct(F.col("ancestor_idx").alias("idx"), F.lit(None).cast("int").alias("below"), F.col("ancestor_depth").alias("above")))).alias("e")).select("e.*")
+    return ends.groupBy("idx").agg(F.coalesce(F.min("below"), F.min("above")).alias("depth"))
 
 
 def depth_bins(pairs: DataFrame) -> DataFrame:

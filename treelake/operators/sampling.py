@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import dense_index, running_total, saved
+from ..tables import dense_index, running_total, saved, with_group
 
 
 def ticket(seed: int, *keys: Column) -> Column:
@@ -25,9 +25,13 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFr
     number of a group is taken off, so a group of most rows is dealt to as many tasks as its share. A null in
     `by` is a group of its own."""
     placed = dense_index(df, [*by, *order], "_i", "long")
-    start = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_i").alias("_start"))
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
-    return placed.join(start, reduce(Column.__and__, same)).withColumn(out, F.col("_i") - F.col("_start") + 1).drop("_i", "_start", *[f"_g{i}" for i in range(len(by))])
+    # a null equals a null here, other than in a join: a value of the same kind and whether it is null stand in for it
+    names = [f"_g{i}" for i in range(2 * len(by))]
+    whole = [t in ("int", "bigint", "smallint") for _, t in df.select(*by).dtypes]
+    keys = [x for c, w in zip(by, whole) for x in (F.coalesce(F.col(c) if w else F.col(c).cast("string"), F.lit(0 if w else "")), F.col(c).isNull())]
+    placed = placed.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    start = placed.groupBy(*names).agg(F.min("_i").alias("_start"), F.count("*").alias("_size"))
+    return with_group(placed, start, names, "_size").withColumn(out, F.col("_i") - F.col("_start") + 1).drop("_i", "_start", "_size", *names)
 
 
 def _ranked(df: DataFrame, by: list[str], seed: int, keys: list[str]) -> DataFrame:
@@ -122,8 +126,9 @@ def batches(df: DataFrame, size: int, seed: int, keys: list[str]) -> DataFrame:
 
 def pool(nodes: DataFrame, by: list[str]) -> DataFrame:
     """Adds pos (0.. in order of idx) and pool_size within each group: a table to draw from by equi-join."""
-    sizes = nodes.groupBy(*by).agg(F.count("*").alias("pool_size"))
-    return numbered(nodes.dropna(subset=by), by, ["idx"], "_at").withColumn("pos", F.col("_at") - 1).drop("_at").join(sizes, by)
+    held = nodes.dropna(subset=by)
+    sizes = held.groupBy(*by).agg(F.count("*").alias("pool_size"))
+    return with_group(numbered(held, by, ["idx"], "_at").withColumn("pos", F.col("_at") - 1).drop("_at"), sizes, by, "pool_size")
 
 
 def pool_negatives(wanted: DataFrame, pools: DataFrame, by: list[str], seed: int, tier: str) -> DataFrame:
@@ -133,7 +138,7 @@ def pool_negatives(wanted: DataFrame, pools: DataFrame, by: list[str], seed: int
     the next tier. The draws meet the pool on (group, position), so a large pool is no hot key.
     """
     sizes = pools.groupBy(*by).agg(F.max("pool_size").alias("pool_size"))
-    drawn = wanted.join(sizes, by, "left").withColumn("pos", draw(seed, F.col("pool_size"), F.lit(tier), F.col("descendant_idx"), F.col("draw_no")))
+    drawn = with_group(wanted, sizes, by, "pool_size", "left").withColumn("pos", draw(seed, F.col("pool_size"), F.lit(tier), F.col("descendant_idx"), F.col("draw_no")))
     hit = drawn.join(pools.select(*by, "pos", F.col("idx").alias("_hit")), [*by, "pos"], "left")
     other = F.when(F.col("_hit") != F.col("descendant_idx"), F.col("_hit"))
     return hit.select(*wanted.columns, other.alias("negative_idx"), F.lit(tier).alias("tier"))
@@ -225,9 +230,9 @@ def eligible_draws(wanted: DataFrame, links: DataFrame, k: int, seed: int, n: in
     out = ["idx", *keys, (F.col("_no") + 1).alias("draw_no")]
     none = draws.where("_j is null").select(*out, F.col("idx").cast(kind).alias("negative_idx"))
     # both sides leave out the number of links of smaller nodes: l - i <= j - start is l - r <= j
-    free = draws.where("_j < _free").select("idx", (F.col("_j") - F.col("_start")).alias("_at"), *keys, "_no", "_j", "_start")
+    free = draws.where("_j < _free").select("idx", (F.col("_j") - F.col("_start")).alias("_at"), *keys, "_no")
     free = _marks_up_to(free, placed.select("idx", (F.col("other") - F.col("_i")).cast("long").alias("_at")), ["idx", "_at"], "_before")
-    free = free.select(*out, (F.col("_j") + F.col("_before") - F.col("_start")).cast(kind).alias("negative_idx"))
+    free = free.select(*out, (F.col("_at") + F.col("_before")).cast(kind).alias("negative_idx"))
     light = draws.where("_j >= _free").withColumn("_j", F.col("_first") + F.col("_j") - F.col("_free")).join(heavy.select("_j", F.col("other").alias("negative_idx")), "_j")
     return free.unionByName(light.select(*out, "negative_idx")).unionByName(none)
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Rows above which a key counts as hot: these rows meet the key's one row by broadcast.
+MANY = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,22 +46,51 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def dense_index(df: DataFrame, order: list[str], out: str, kind: str = "int") -> DataFrame:
     """Adds `out`: 0, 1, 2, ... in the order of the columns `order`, without one task for all rows.
 
-    Rows are range-partitioned and numbered within their partition; the counts of the partitions (one
-    row each) give the offsets.
+    Rows are range-partitioned, sorted and numbered in the task that holds their range, so they are shuffled once; the
+    counts of the ranges (one row each) give the offsets.
     """
-    part = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    # the id of a row: its task's number, and below 33 bits its place there
+    part = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_own", F.monotonically_increasing_id()), "ranges")
+    part = part.withColumn("_part", F.shiftright("_own", 33)).withColumn("_own", F.col("_own").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(counts.select("_part", before.alias("_base")))
-    return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, (F.col("_base") + F.col("_own")).cast(kind)).drop("_part", "_own", "_base")
+    return part.join(offsets, "_part").withColumn(out, (F.col("_base") + F.col("_own")).cast(kind)).drop("_part", "_own", "_base")
 
 
 def running_total(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over all rows up to and with this one in the order of `order`, without one task for all rows."""
-    part = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value), "ranges")
-    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    """Adds `out`: the sum of `value` over all rows up to and with this one in the order of `order`, without one task for all rows.
+
+    As in `dense_index`, a range is summed in the task that holds it; the sums of the ranges (one row each) give the offsets.
+    """
+    rows = df.withColumn("_value", F.coalesce(value, F.lit(0)))
+    kind = StructType([*rows.schema.fields, StructField("_own", rows.schema["_value"].dataType)])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        last = 0
+        for b in batches:
+            v = b.column("_value").to_numpy()
+            own = np.cumsum(np.concatenate([np.array([last], v.dtype), v]))[1:]
+            last = own[-1] if len(own) else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], [*b.schema.names, "_own"])
+
+    summed = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kind)
+    part = saved(summed.withColumn("_part", F.spark_partition_id()), "ranges")
     sums = part.groupBy("_part").agg(F.sum("_value").alias("_n"))  # one row a range
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = F.broadcast(sums.select("_part", before.alias("_base")))
-    return part.withColumn("_own", own).join(offsets, "_part").withColumn(out, F.coalesce("_base", F.lit(0)) + F.col("_own")).drop("_part", "_own", "_base", "_value")
+    return part.join(offsets, "_part").withColumn(out, F.coalesce("_base", F.lit(0)) + F.col("_own")).drop("_part", "_own", "_base", "_value")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str], size: str, how: str = "inner", most: int = MANY) -> DataFrame:
+    """rows with the columns of their group, for groups(<by>, <size>, ...) of one row a group, `size` being how many rows it has.
+
+    Groups above `most` rows are broadcast, of which there are no more than rows / most, so none meets its rows in one task.
+    Groups with a null in `by` match nothing.
+    """
+    big = F.broadcast(groups.where(F.col(size) > most))
+    rest = rows.join(big.select(*by), by, "left_anti").join(groups.where(F.col(size) <= most), by, how)
+    return rows.join(big, by).unionByName(rest)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, first_by_hash, held_out, slices
+from .scratch import Scratch, as_batch, first_by_hash, held_out, slices, store_of
 
 UNKNOWN = "und"
 BUCKET_BITS = 15  # 16 at most
@@ -199,22 +200,79 @@ def _examples(sample: DataFrame, letters: list[str]) -> DataFrame:
     return sample.mapInArrow(run, "doc_id long, lang string, part int, bucket binary, share binary")
 
 
-def _strangers(spark: SparkSession, labels: list[str], train: list, held: list) -> list[tuple[int, float]]:
-    """(label, score) that held-back texts of each language get from a model that never saw it; a model a task."""
-    data = spark.sparkContext.broadcast((labels, train, held))
+class Examples:
+    """The table of `_examples` in the shared folder, as tasks read it, and the split of its documents: a fifth is held back."""
+
+    def __init__(self, path: str, labels: list[str]):
+        self.path, self.labels = path, labels
+
+    def read(self) -> tuple[list, list]:
+        """(train, held): lists of (features, class), in the order of doc_id, lang and part."""
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        store, top = store_of(self.path)
+        rows = []
+        for f in sorted(store.get_file_info(fs.FileSelector(top)), key=lambda f: f.path):
+            if f.path.endswith(".parquet"):
+                with store.open_input_file(f.path) as file:
+                    t = pq.read_table(file)
+                rows += zip(*(t.column(c).to_pylist() for c in ("doc_id", "lang", "part", "bucket", "share")))
+        rows.sort(key=lambda r: r[:3])
+        place = {key: i for i, key in enumerate(sorted({r[:2] for r in rows}))}
+        train, held = [], []
+        for doc, lang, part, bucket, share in rows:
+            i, x = place[doc, lang], _arrays(bucket, share)
+            y = self.labels.index(lang) if part < 2 else len(self.labels)
+            if i % 5:
+                train.append((x, y))
+            elif part != 1:
+                held.append((x, y))
+        return train, held
+
+
+def _fitted(spark: SparkSession, examples: Examples) -> LanguageModel:
+    """The model, fitted in one task, and beside it a model without each language in a task of its own, which scores held-back
+    texts of that language; a last task calibrates by these. The driver gets the model's numbers alone."""
+    labels = examples.labels
+
+    def fit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        labels, train, held = data.value
         for b in batches:
             for k in b.column("k").to_pylist():
-                less = LanguageModel(labels)
-                less.fit([(x, y) for x, y in train if y != k], epochs=2)
-                found = less.best([x for x, y in held if y == k])
-                yield as_batch("k int, label int, score double", [k] * len(found), [a for a, _ in found], [s for _, s in found])
+                train, held = examples.read()
+                model = LanguageModel(labels)
+                if k < 0:
+                    model.fit(train)
+                    found = model
+                else:
+                    model.fit([(x, y) for x, y in train if y != k], epochs=2)
+                    found = model.best([x for x, y in held if y == k])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(found)])], ["k", "found"])
+
+    first = -1
+    last = len(labels) if len(labels) > 1 else 0
+    tasks = spark.range(first, last, 1, last - first).select(F.col("id").cast("int").alias("k"))
+    rows = sorted(tasks.mapInArrow(fit, "k int, found binary").collect(), key=lambda r: r.k)  # a row a language
+    model = pickle.loads(rows[0].found)
+    # as rows of (language left out, label, score), sorted
+    strangers = [(label, score) for _, label, score in sorted((r.k, label, score) for r in rows[1:] for label, score in pickle.loads(r.found))]
+    shipped = spark.sparkContext.broadcast((model, strangers))
+
+    def calibrate(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    tasks = spark.range(0, len(labels), 1, len(labels)).select(F.col("id").cast("int").alias("k"))
-    rows = tasks.mapInArrow(run, "k int, label int, score double").collect()  # a row a held-back text
-    return [(r.label, r.score) for r in sorted(rows)]
+        for b in batches:
+            if b.num_rows:
+                model, strangers = shipped.value
+                model.calibrate(examples.read()[1], strangers)
+                yield pa.RecordBatch.from_arrays([pa.array([float(model.temperature)]), pa.array([[float(x) for x in model.thresholds]], pa.list_(pa.float64()))], ["temperature", "thresholds"])
+
+    one = spark.range(0, 1, 1, 1).mapInArrow(calibrate, "temperature double, thresholds array<double>").first()
+    shipped.destroy()
+    model.temperature, model.thresholds = one.temperature, list(one.thresholds)
+    return model
 
 
 def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int = 600, most: int = 6_000) -> LanguageModel:
@@ -222,30 +280,18 @@ def train_language_model(spark: SparkSession, docs: DataFrame, per_label: int =
 
     Documents whose crc32(doc_id as text) mod 3 is 1, or without id, lang or letters, are no part of it. Each text is
     joined by a short stretch of itself, so that short texts are known as well, and half of them by texts in no
-    language; what the driver gets of a text is 6 bytes a bucket at most. A fifth of the sample is held back to calibrate; so are, for each language, the
-    scores that a model without it gives to its texts, each fitted in a task of its own.
+    language. A fifth of the sample is held back to calibrate; so are, for each language, the scores that a model without it
+    gives to its texts. Models are fitted in tasks, which read bucket shares, 6 bytes a bucket, from the shared folder: the driver gets no texts and no features.
     """
     scratch = Scratch(spark, "langid")
     sample = scratch.save(labelled_sample(docs, per_label, most).where(F.regexp_like("text", F.lit(r"\p{L}"))).repartition(32, "doc_id"), "sample")
     labels = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
-    model = LanguageModel(labels)
     if not labels:
-        return model
+        return LanguageModel(labels)
     letters = sample.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where(F.regexp_like("c", F.lit(r"^\p{L}$"))).distinct()
     letters = sorted(r.c for r in letters.collect())  # of one alphabet or some
-    rows = sorted(_examples(sample, letters).collect(), key=lambda r: (r.doc_id, r.lang, r.part))
-    place = {key: i for i, key in enumerate(sorted({(r.doc_id, r.lang) for r in rows}))}
-    train, held = [], []
-    for r in rows:
-        i, x = place[r.doc_id, r.lang], _arrays(r.bucket, r.share)
-        y = labels.index(r.lang) if r.part < 2 else len(labels)
-        if i % 5:
-            train.append((x, y))
-        elif r.part != 1:
-            held.append((x, y))
-    model.fit(train)
-    model.calibrate(held, _strangers(spark, labels, train, held) if len(labels) > 1 else [])
-    return model
+    scratch.save(_examples(sample, letters), "examples")
+    return _fitted(spark, Examples(f"{scratch.path}/examples", labels))
 
 
 def _arrays(bucket: bytes, share: bytes) -> tuple:

@@ -51,3 +51,23 @@ def test_depths_of_indices_add_up_without_sorting(spark):
     out = P.depth_of_indices(pairs)
     assert {tuple(r) for r in out.collect()} == {(0, 0), (1, 1), (2, 2)}
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_parents_meet_their_chains_by_broadcast(spark, monkeypatch):
+    from treelake import tables
+    from treelake.operators import tree as T
+
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 5)] + [(4, i) for i in range(10, 40)] + [(5, i) for i in range(40, 43)], "parent long, child long")
+    want = sorted(map(tuple, T.node_paths(edges, 1).collect()))
+    assert len(want) == 38 and max(r[2] for r in want) == 3
+    hot, save = [], tables.saved
+    monkeypatch.setattr(tables, "saved", lambda df, name: hot.append(save(df, name)) or hot[-1])
+    for most in (0, 10, 1000):
+        hot.clear()
+        assert sorted(map(tuple, T.node_paths(edges, 1, most=most).collect())) == want
+        tops = {r.top for h in hot for r in h.collect()}
+        assert tops == {0: {2, 3, 4, 5}, 10: {4, 2}, 1000: set()}[most]
+    monkeypatch.setattr(tables, "saved", save)
+    rows, other = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 9), (3, 10), (None, 11)], "k int, i int"), spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, x string")
+    for most in (0, 5, 9):
+        assert sorted((r.i, r.x) for r in tables.met(rows, other, "k", most).collect()) == [(i, "a") for i in range(9)] + [(9, "b")]

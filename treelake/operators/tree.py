@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import saved
+from ..tables import MANY, met, saved
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
@@ -16,13 +16,13 @@ def edges_of(nodes: DataFrame) -> DataFrame:
     return nodes.where("taxid is not null and parent is not null and parent <> taxid").select("parent", F.col("taxid").alias("child"))
 
 
-def node_paths(edges: DataFrame, root: int, max_depth: int | None = None) -> DataFrame:
+def node_paths(edges: DataFrame, root: int, max_depth: int | None = None, most: int = MANY) -> DataFrame:
     """The subtree of `root`: (taxid, path, depth), root included, at most `max_depth` levels below it.
 
     By path doubling: each round appends to every unfinished chain of ancestors the chain of its last
     one, so a tree of d levels takes log2(d) joins of one row a node, however deep it is. Nodes that don't
     lead to the root are left out, those as soon as their chain meets itself that lead into a cycle; of several parents of a node the least counts. Each
-    round is written, so the plan stays short.
+    round is written, so the plan stays short. A node that is the last of more than `most` chains meets them by broadcast.
     """
     spark = edges.sparkSession
     up = edges.where(F.col("child") != root).groupBy(F.col("child").alias("taxid")).agg(F.min("parent").alias("top"))
@@ -36,7 +36,7 @@ def node_paths(edges: DataFrame, root: int, max_depth: int | None = None) -> Dat
         # the chain above a node may be open or ended; where it is neither, the node is unreachable
         above = rest.select(F.col("taxid").alias("top"), F.col("chain").alias("more"), F.col("top").alias("next"))
         above = above.unionByName(done.select(F.col("taxid").alias("top"), F.col("chain").alias("more"), F.lit(root).cast("long").alias("next")))
-        grown = rest.join(above, "top").select("taxid", F.concat("chain", "more").alias("chain"), F.col("next").alias("top"))
+        grown = met(rest, above, "top", most).select("taxid", F.concat("chain", "more").alias("chain"), F.col("next").alias("top"))
         if max_depth is not None:
             grown = grown.where(F.size("chain") <= max_depth)
         open_ = saved(grown.where((F.col("top") == root) | ~F.array_contains("chain", F.col("top"))), "chains")

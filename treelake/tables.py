@@ -94,3 +94,13 @@ def with_group(rows: DataFrame, groups: DataFrame, by: list[str], size: str, how
     big = F.broadcast(groups.where(F.col(size) > most))
     rest = rows.join(big.select(*by), by, "left_anti").join(groups.where(F.col(size) <= most), by, how)
     return rows.join(big, by).unionByName(rest)
+
+
+def met(rows: DataFrame, other: DataFrame, key: str, most: int = MANY) -> DataFrame:
+    """rows with the columns of other(<key>, ...), which has one row a key; rows without one are left out.
+
+    Keys that more than `most` rows share meet them by broadcast, of which there are no more than rows / most; the rest by a join.
+    """
+    hot = saved(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key), "hot")
+    far = rows.join(F.broadcast(other.join(F.broadcast(hot), key, "left_semi")), key)
+    return far.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(other, key))

@@ -71,3 +71,27 @@ def test_hot_parents_meet_their_chains_by_broadcast(spark, monkeypatch):
     rows, other = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 9), (3, 10), (None, 11)], "k int, i int"), spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, x string")
     for most in (0, 5, 9):
         assert sorted((r.i, r.x) for r in tables.met(rows, other, "k", most).collect()) == [(i, "a") for i in range(9)] + [(9, "b")]
+
+
+def test_kept_ancestors_of_a_hot_root_match_plain_walks(spark, monkeypatch):
+    from treelake import tables
+    from treelake.operators import noise as X
+    from treelake.operators import tree as T
+
+    up = {i: 1 for i in range(2, 12)} | {i: 2 + i % 10 for i in range(12, 60)} | {60: 59}
+    paths = T.node_paths(spark.createDataFrame([(p, c) for c, p in up.items()], "parent long, child long"), 1)
+    hot, save = [], tables.saved
+    monkeypatch.setattr(tables, "saved", lambda df, name: save(df, name) if name != "hot" else hot.append(save(df, name)) or hot[-1])
+    for keep in ({1} | {i for i in up if i % 3}, {i for i in up if i % 3}):
+        want = {}
+        for i in keep:
+            above, at = [], i
+            while at in up:
+                at = up[at]
+                above += [at] if at in keep else []
+            want[i] = (above[0] if above else None, len(above))
+        ids = spark.createDataFrame([(i,) for i in keep] + [(59,), (59,), (999,)], "taxid long")
+        for most in (0, 20, 1000):
+            hot.clear()
+            assert {r.taxid: (r.parent, r.depth) for r in X.reparent(paths, ids, most).collect()} == want
+            assert (1 in {r.a for h in hot for r in h.collect()}) == (most < 1000)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import CONTAINERS, NOISE, container_category, noise_categories
+from ..tables import MANY, met, saved
 
 
 def flags(nodes: DataFrame, noise=NOISE, containers=CONTAINERS) -> DataFrame:
@@ -85,13 +86,17 @@ def depth_before_after(paths: DataFrame, kept: DataFrame) -> DataFrame:
     return flag.groupBy("depth").agg(F.count("*").alias("before"), F.count("kept").alias("after"))
 
 
-def reparent(paths: DataFrame, keep: DataFrame) -> DataFrame:
+def reparent(paths: DataFrame, keep: DataFrame, most: int = MANY) -> DataFrame:
     """(taxid, parent, depth): the tree of an allow-list; the nearest kept ancestor becomes the parent.
 
-    A kept node without a kept ancestor is a root (parent null, depth 0); there may be several.
+    A kept node without a kept ancestor is a root (parent null, depth 0); there may be several. The root is above every node,
+    so ancestors of more than `most` kept nodes meet them by broadcast.
     """
-    each = paths.join(keep.select("taxid"), "taxid", "left_semi").select("taxid", F.posexplode("path").alias("pos", "a"))
-    on = each.join(keep.select(F.col("taxid").alias("a")).distinct(), "a", "left_semi").where(F.col("a") != F.col("taxid"))
-    up = on.groupBy("taxid").agg(F.max_by("a", "pos").alias("parent"), F.count("*").cast("int").alias("depth"))
-    base = paths.join(keep.select("taxid"), "taxid", "left_semi").select("taxid")
-    return base.join(up, "taxid", "left").select("taxid", "parent", F.coalesce("depth", F.lit(0)).alias("depth"))
+    kept = keep.select("taxid").distinct()
+    # a semi-join would be pushed into the union of the paths' rounds, where a round of few rows gets all kept ids in one task
+    base = saved(paths.join(kept, "taxid"), "kept_paths")
+    each = base.select("taxid", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("pos", "a"))
+    on = met(each, kept.select(F.col("taxid").alias("a")), "a", most).select("taxid", "pos", "a")
+    # a row without an ancestor for each kept node: it counts and ranks nothing, and keeps roots in the result
+    own = base.select("taxid", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("a"))
+    return on.unionByName(own).groupBy("taxid").agg(F.max_by("a", "pos").alias("parent"), F.count("a").cast("int").alias("depth"))

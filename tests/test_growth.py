@@ -95,3 +95,19 @@ def test_kept_ancestors_of_a_hot_root_match_plain_walks(spark, monkeypatch):
             hot.clear()
             assert {r.taxid: (r.parent, r.depth) for r in X.reparent(paths, ids, most).collect()} == want
             assert (1 in {r.a for h in hot for r in h.collect()}) == (most < 1000)
+
+
+def test_pairs_are_written_a_file_a_task(spark, tmp_path):
+    from pathlib import Path
+
+    from treelake.operators import pairs as P
+    from treelake.sources import readers, writers
+
+    rows = spark.range(600).select(*[F.col("id").cast("int").alias(c) if c != "depth_diff" else (F.col("id") % 3 + 1).cast("int").alias(c) for c in P.COLUMNS[:5]], *[F.col("id").alias(c) for c in P.COLUMNS[5:]])
+    facts = writers.training_data(rows, str(tmp_path), 25)
+    assert (facts["n_pairs"], facts["deepest"], facts["bin 1"]) == (600, 3, 200)
+    back = readers.pairs_parquet(spark, f"{tmp_path}/pairs")
+    assert back.exceptAll(rows.select(*back.columns)).isEmpty() and back.count() == 600
+    tasks = [f.name.split("-")[1] for f in Path(tmp_path, "pairs").rglob("part-*.parquet")]
+    assert len(tasks) == len(set(tasks)) == 24  # eight files a difference, each by a task that writes no other
+    writers.pairs_parquet(rows.where("false"), f"{tmp_path}/none")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import saved
+
 
 def edge_list(edges: DataFrame, path: str) -> None:
     """Two columns as `a b` lines, without header."""
@@ -23,18 +25,32 @@ def tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def pairs_parquet(pairs: DataFrame, path: str, rows: int = 4_000_000) -> None:
-    """Partitioned by depth difference, so that a curriculum reads only what it trains on; one shuffle, about `rows` pairs a file."""
+def _dealt(pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The pairs with the number _file of the file that takes each, and how many files there are: about `rows` pairs a file, of one depth difference."""
     files = pairs.groupBy(F.col("depth_diff").alias("_d")).agg(F.ceil(F.count("*") / F.lit(rows)).alias("_files"))  # a row a difference
-    dealt = pairs.join(F.broadcast(files), F.col("depth_diff") == F.col("_d")).withColumn("_file", F.pmod(F.xxhash64("ancestor_idx", "descendant_idx"), F.col("_files")))
-    dealt.repartition("depth_diff", "_file").drop("_d", "_files", "_file").write.mode("overwrite").option("compression", "zstd").partitionBy("depth_diff").parquet(path)
+    before = F.sum("_files").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
+    files = saved(files.withColumn("_first", F.coalesce(before, F.lit(0))), "files")
+    dealt = pairs.join(F.broadcast(files), F.col("depth_diff").eqNullSafe(F.col("_d")))
+    file = F.col("_first") + F.pmod(F.xxhash64("ancestor_idx", "descendant_idx"), F.col("_files"))
+    return dealt.withColumn("_file", file.cast("int")).drop("_d", "_files", "_first"), files.agg(F.sum("_files").alias("n")).first().n or 1
+
+
+def _write_dealt(dealt: DataFrame, files: int, path: str) -> None:
+    """A task a file, whatever else is configured: hashing (depth_diff, _file) would give some tasks several files."""
+    dealt.repartitionById(files, F.col("_file")).drop("_file").write.mode("overwrite").option("compression", "zstd").partitionBy("depth_diff").parquet(path)
+
+
+def pairs_parquet(pairs: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """Partitioned by depth difference, so that a curriculum reads only what it trains on; one shuffle, about `rows` pairs a file and a task."""
+    _write_dealt(*_dealt(pairs, rows), path)
 
 
-def training_data(pairs: DataFrame, path: str) -> dict:
+def training_data(pairs: DataFrame, path: str, rows: int = 1_000_000) -> dict:
     """Writes the pairs, and beside them a record of what the writing pass saw: how many, in bins of depth difference, the deepest."""
     seen, d = Observation("pairs"), F.col("depth_diff")
     bins = {"1": d <= 1, "2": d == 2, "3-5": (d > 2) & (d <= 5), "6-10": (d > 5) & (d <= 10), ">10": d > 10}
-    pairs_parquet(pairs.observe(seen, F.count("*").alias("n_pairs"), F.max(d).alias("deepest"), F.avg(d).alias("mean"), *[F.count_if(c).alias(f"bin {k}") for k, c in bins.items()]), f"{path}/pairs")
+    dealt, files = _dealt(pairs, rows)
+    _write_dealt(dealt.observe(seen, F.count("*").alias("n_pairs"), F.max(d).alias("deepest"), F.avg(d).alias("mean"), *[F.count_if(c).alias(f"bin {k}") for k, c in bins.items()]), files, f"{path}/pairs")
     facts = dict(seen.get)
     record(pairs.sparkSession, facts, f"{path}/statistics.json")
     return facts

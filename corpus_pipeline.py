@@ -11,32 +11,37 @@ from treelake.llm.decontam import drop_leaks
 from treelake.llm.langid import keep_known_languages
 from treelake.llm.mixing import mixed_words
 from treelake.llm.neardup import keep_one_per_group
-from treelake.llm.scratch import Scratch
+from treelake.llm.scratch import Scratch, small_batches
 from treelake.llm.substring import cut_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier doesn't reject."""
+    small_batches(spark)
     return keep_known_languages(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    small_batches(spark)
     return keep_one_per_group(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words that an earlier one has; texts left empty go."""
+    small_batches(spark)
     return cut_repeats(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return drop_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document: doc_id, size, source_size, target, taken."""
+    small_batches(spark)
     return mixed_words(spark, docs)
 
 

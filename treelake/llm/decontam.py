@@ -15,8 +15,8 @@ from .scratch import Scratch, as_batch, slices, store_of, unused
 
 WORDS = re.compile(r"[^\W_]+")
 SHINGLE, SIMILAR = 5, 0.8
-#: Bytes of texts that a task holds as words.
-TEXT_BYTES = 8 << 20
+#: Bytes of texts that a task holds as words, and how many different words of them before it goes on with these.
+TEXT_BYTES, VOCABULARY = 8 << 20, 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -204,16 +204,17 @@ def read_shard(folder: str, shard: int) -> Index | None:
     return pickle.loads(pq.read_table(top, filesystem=store, columns=["index"]).column("index")[0].as_py())
 
 
-def _by_bytes(batches: Iterator, size: int) -> Iterator[list[tuple]]:
-    """Rows (doc_id, t1, words) whose texts are about `size` bytes together; a longer text comes alone."""
-    held, filled = [], 0
+def _by_bytes(batches: Iterator, size: int, vocabulary: int = VOCABULARY) -> Iterator[list[tuple]]:
+    """Rows (doc_id, t1, words) whose texts are about `size` bytes together, or that have about `vocabulary` different words; a
+    longer text comes alone. Equal words are one string, so a word costs its place in a list."""
+    held, filled, known = [], 0, {}
     for b in slices(batches, 64):
         for doc, t1, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "text"))):
-            held.append((doc, t1, words_of(text)))
+            held.append((doc, t1, [known.setdefault(w, w) for w in words_of(text)]))
             filled += len(text or "")
-            if filled >= size:
+            if filled >= size or len(known) >= vocabulary:
                 yield held
-                held, filled = [], 0
+                held, filled, known = [], 0, {}
     if held:
         yield held
 
@@ -265,8 +266,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
 
     Rows of one doc_id stay or go together. A row without a doc_id goes by its own text, and so do others that have
     no doc_id and the same text. Null and empty texts stay; very long ones are read whole; see find_leaks.
+    What goes is written first, so that Spark knows its size: where that allows a broadcast, no text is shuffled.
     """
     key, own = unused(docs, "_gone"), unused(docs, "_text")
     gone = _found(spark, docs, benchmark, threshold, similar, 8 << 20).select(F.col("doc_id").alias(key), F.col("t1").alias(own)).distinct()
+    gone = Scratch(spark, "leaked").save(gone, "gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).eqNullSafe(F.col(own))
     return docs.join(gone, same, "left_anti")

@@ -42,6 +42,13 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Let Arrow batches hold `rows` rows at most from now on: at Spark's 10,000, whole texts take tens of MB a task, in the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     """(doc_id, by): of each value of `by` the n different ids of least hash.
 

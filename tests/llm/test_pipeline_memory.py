@@ -1,10 +1,13 @@
 """What a task of the pipeline holds, and what decontamination shuffles."""
 
+import sys
+
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from treelake.llm import decontam
-from treelake.llm.scratch import as_batch
+from treelake.llm.scratch import as_batch, first_by_hash, slices
 
 
 def test_equal_words_of_a_batch_are_held_once():
@@ -47,3 +50,32 @@ def test_stages_hand_few_texts_at_a_time_to_python(spark, tmp_path):
             assert max(r.n for r in got) == most and sum(r.n for r in got) == 5000
     finally:
         spark.conf.set(key, was)
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_task_gives_back_what_it_and_the_one_before_freed():
+    def held():  # MB
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def filled():
+        blocks = [bytearray(b"x" * 50_000) for _ in range(3000)]
+        return blocks.pop()  # the last one keeps the heap from shrinking
+
+    rows = as_batch("doc_id long", [1, 2])
+    pins, was = [filled()], held()
+    todo = slices([rows])
+    assert next(todo).num_rows == 2
+    assert was - held() > 100  # of 150 MB
+    pins.append(filled())
+    was = held()
+    assert next(todo, None) is None
+    assert was - held() > 100 and len(pins) == 2
+
+
+def test_counts_of_labels_take_no_python_workers(spark):
+    ids = spark.range(50).selectExpr("id AS doc_id", "if(id % 2 = 0, 'a', 'b') AS lang")
+    out = first_by_hash(ids, "lang", 5)
+    assert sorted(r.lang for r in out.collect()) == ["a"] * 5 + ["b"] * 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ExistingRDD" not in plan

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, as_batch, first_by_hash, held_out, slices, store_of
+from .scratch import Scratch, as_batch, first_by_hash, give_back, held_out, slices, store_of
 
 UNKNOWN = "und"
 BUCKET_BITS = 15  # 16 at most
@@ -218,6 +218,8 @@ class Examples:
                 with store.open_input_file(f.path) as file:
                     t = pq.read_table(file)
                 rows += zip(*(t.column(c).to_pylist() for c in ("doc_id", "lang", "part", "bucket", "share")))
+                del t
+                give_back()
         rows.sort(key=lambda r: r[:3])
         place = {key: i for i, key in enumerate(sorted({r[:2] for r in rows}))}
         train, held = [], []
@@ -239,7 +241,7 @@ def _fitted(spark: SparkSession, examples: Examples) -> LanguageModel:
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for k in b.column("k").to_pylist():
                 train, held = examples.read()
                 model = LanguageModel(labels)
@@ -263,7 +265,7 @@ def _fitted(spark: SparkSession, examples: Examples) -> LanguageModel:
     def calibrate(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 model, strangers = shipped.value
                 model.calibrate(examples.read()[1], strangers)

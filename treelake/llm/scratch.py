@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import new_folder
+from ..tables import new_folder, saved
 
 #: The characters that part words in every contract: space, and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,10 +57,9 @@ def first_by_hash(ids: DataFrame, by: str, n: int) -> DataFrame:
     ranked, so the work of a task doesn't grow with the table.
     """
     ids = ids.select("doc_id", by).distinct()
-    counts = ids.groupBy(by).agg(F.count("*").alias("_n"))
-    rows = counts.limit(10_001).collect()
-    if len(rows) <= 10_000:  # else the join deals all ids by value, which many values allow
-        counts = F.broadcast(ids.sparkSession.createDataFrame(rows, counts.schema))
+    counts = saved(ids.groupBy(by).agg(F.count("*").alias("_n")), "counts")  # not from rows of the driver: these take Python workers of their own
+    if counts.count() <= 10_000:  # else the join deals all ids by value, which many values allow
+        counts = F.broadcast(counts)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     near = ids.join(counts, by).withColumn("_h", place).where(F.col("_h") < F.lit(float(1 << 40)) * (2 * n + 100) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", "doc_id"))
@@ -105,11 +105,31 @@ def as_batch(schema: str, *columns):
     return pa.RecordBatch.from_arrays([cast(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
+@lru_cache(1)
+def _trim():
+    """glibc's malloc_trim; elsewhere nothing."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Hand to the system what this process has freed. A worker takes one task after another, and allocators keep freed memory,
+    so the worker of a small task would stay as large as that of the largest before it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator, rows: int = 1024) -> Iterator:
-    """Arrow batches in pieces of a few rows, so that what a task makes of long texts stays small."""
+    """Arrow batches in pieces of a few rows, so that what a task makes of long texts stays small; what it frees goes back after each batch."""
+    gc.collect()  # what the task before has left
+    give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        give_back()
 
 
 def texts_of(batch, column: str = "text") -> Iterator[bytes | None]:

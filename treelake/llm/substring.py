@@ -19,7 +19,7 @@ def _word_hashes(words: list[bytes], memo: dict[bytes, int]):
     import numpy as np
     from xxhash import xxh3_64_intdigest
 
-    if len(memo) > 400_000:
+    if len(memo) > 100_000:  # about 20 MB
         memo.clear()
     for w in set(words).difference(memo):
         memo[w] = xxh3_64_intdigest(w)
